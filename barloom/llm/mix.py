@@ -3,13 +3,12 @@
 A source's target over its size is a whole number of passes plus a fraction; the fraction is every document's inclusion
 probability. The flight phase moves those probabilities along vectors of the null-space of two constraints (words and
 documents of the source), so both totals stay as they are while probabilities reach 0 or 1. It runs in blocks of one
-source; what two constraints leave open in each block meets again in larger rounds until each source has one block, and
-the landing settles its last two documents at least cost.
+source; what two constraints leave open in each block meets again in further rounds until each source has one block, and
+the landing settles its last fourteen documents at least cost.
 """
 
 from __future__ import annotations
 
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, materialize
 
-BLOCK = 2048
+BLOCK, LANDING = 2048, 12
 CAP = 3.0
 SCHEMA = "doc_id long, row long, size long, source_no long, source_size long, target double, passes long, x double"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -88,28 +87,34 @@ def flight(x: np.ndarray, sizes: np.ndarray, seed: int, tiny: float = 1e-9) -> n
 
 
 def land(x: np.ndarray, sizes: np.ndarray, tiny: float = 1e-9) -> np.ndarray:
-    """Settle the few open documents so that words, then documents, miss by the least."""
+    """Settle the few open documents: of all ways, the one that misses words, then documents, by the least."""
     x = x.copy()
     at = np.flatnonzero((x > tiny) & (x < 1 - tiny))
     if len(at):
-        head, tail = at[:-12], at[-12:]
-        x[head] = np.round(x[head])
-        words, docs = float((x[tail] * sizes[tail]).sum()), float(x[tail].sum())
-        x[tail] = min(
-            itertools.product((0.0, 1.0), repeat=len(tail)),
-            key=lambda p: (abs(float(np.dot(p, sizes[tail])) - words), abs(sum(p) - docs), p),
-        )
+        ways = (np.arange(1 << len(at))[:, None] >> np.arange(len(at)) & 1).astype(np.float64)
+        words, docs = np.abs(ways @ sizes[at] - x[at] @ sizes[at]), np.abs(ways.sum(1) - x[at].sum())
+        x[at] = ways[np.lexsort((docs, words))[0]]
     return np.round(x)
 
 
+def finish(x: np.ndarray, sizes: np.ndarray, seed: int, kept: int = LANDING) -> np.ndarray:
+    """The last block of a source: its `kept` smallest documents sit the flight out, for a landing that can be exact."""
+    small = np.argsort(np.where((x > 0) & (x < 1), sizes, np.inf), kind="stable")[:kept]
+    rest = np.setdiff1d(np.arange(len(x)), small)
+    x = x.copy()
+    x[rest] = flight(x[rest], sizes[rest], seed)
+    return land(x, sizes)
+
+
 def settle(number: int):
     """The work of a round on one block of one source; the last round's only block also lands."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "doc_id", "size"], kind="stable")
         sizes, first = pdf["size"].to_numpy(np.float64), pdf.iloc[0]
-        x = flight(pdf["x"].to_numpy(np.float64), sizes, seed=int(first["source_no"]) * 1000003 + int(first["block"]) * 31 + number)
-        return pdf.assign(x=land(x, sizes) if first["last"] else x)[COLUMNS]
+        seed = int(first["source_no"]) * 1000003 + int(first["block"]) * 31 + number
+        x = (finish if first["last"] else flight)(pdf["x"].to_numpy(np.float64), sizes, seed)
+        return pdf.assign(x=x)[COLUMNS]
 
     return run
 

@@ -14,20 +14,15 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Maps A-Z to a-z and nothing else (str.lower would change other letters, and lengths).
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: str.split() also cuts at other Unicode blanks; these are kept as letters of a word by hiding them.
-_BLANKS = "\x1c\x1d\x1e\x1f\x85\xa0                　"
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text as UTF-8: bytes.split() cuts at space and bytes 9 to 13, and nowhere else."""
+    return [] if text is None else text.encode().split()
 
-def words_of(text: str) -> list[str]:
-    """The words of a text: runs of anything but space and bytes 9 to 13."""
-    found = text.split()
-    if any(b in text for b in _BLANKS) if not text.isascii() else any(b in text for b in "\x1c\x1d\x1e\x1f"):
-        import re
 
-        found = re.findall(WORD, text)
-    return found
+def lower_words_of(text: str | None) -> list[bytes]:
+    """The same with A-Z lowered; bytes.lower() changes no other letter."""
+    return [] if text is None else text.encode().lower().split()
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import media, mix, shard
+from . import media, mix, quality, shard, simhash
 
 QUERIES = {
+    "op2_mcd_quality": quality.op2,
     "op3_media_columns": media.op3,
     "op7_hash_tree": shard.op7,
+    "op8_simhash_pivots": simhash.op8,
     "op10_cube_mix": mix.op10,
 }
 

@@ -1,12 +1,14 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import media, mix, quality, shard, simhash
+from . import langid, media, mix, quality, shard, simhash, toxicity
 
 QUERIES = {
     "op2_mcd_quality": quality.op2,
     "op3_media_columns": media.op3,
+    "op6_cross_parsing": langid.op6,
     "op7_hash_tree": shard.op7,
     "op8_simhash_pivots": simhash.op8,
+    "op9_subword_toxicity": toxicity.op9,
     "op10_cube_mix": mix.op10,
 }
 

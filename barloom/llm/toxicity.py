@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its hashed character n-grams and of itself, so a misspelling that was never
+A word's vector is the mean of the vectors of its hashed character n-grams, so a misspelling that was never
 seen shares most of them. The words of a text's few highest windows are averaged and go through a linear softmax, so that
 a few words count in a long text as in a short one; every window of the text is looked at.
 """
@@ -18,10 +18,10 @@ from .common import documents, mix64, remainder
 
 #: The fitting sample: so many labelled documents of either class, none with a text beyond so many characters.
 DOCS_PER_CLASS, LONGEST = 2000, 20_000
-BUCKETS, DIM, NGRAMS = 1 << 18, 4, (3, 4, 5)
-WINDOW, TOP = 8, 3  # words of a window; windows of a text that make up its bag
+BUCKETS, DIM, NGRAMS = 1 << 18, 4, (3, 4, 5, 6)
+WINDOW, TOP = 2, 4  # words of a window; windows of a text that make up its bag
 WARM, LAPS, EPOCHS = 6, 8, 15
-RATE, DECAY, SEED = 0.05, 1e-6, 9
+RATE, DECAY, SEED = 0.05, 1e-4, 9
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -30,7 +30,8 @@ def tokens(text: str | None) -> list[str]:
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every n-gram of `<word>` as UTF-8, and of the whole; every word has at least one."""
+    """(word number, bucket) of every n-gram of `<word>` as UTF-8; every word has at least one. There is no bucket for
+    whole words: rare ones would be learned by heart, and their variants not at all."""
     raw = [f"<{EDGE.sub('', w)}>".encode() for w in words]
     size = np.array([len(r) for r in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -45,10 +46,9 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = h * np.uint64(0x100000001B3) + data[at + k]
         who.append(owner[at])
         what.append(mix64(h))
-    power = np.uint64(0x9E3779B97F4A7C15) ** (np.arange(len(data)) - start[owner]).astype(np.uint64)
-    whole = np.add.reduceat(data * power, start) if len(raw) else np.zeros(0, np.uint64)
-    who.append(np.arange(len(raw)))
-    what.append(mix64(whole ^ np.uint64(77)))
+    short = np.flatnonzero(size < NGRAMS[0])  # "<>" and the like: one bucket for all
+    who.append(short)
+    what.append(np.zeros(len(short), np.uint64))
     return np.concatenate(who), (np.concatenate(what) % np.uint64(BUCKETS)).astype(np.int64)
 
 

@@ -1,8 +1,9 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import langid, media, mix, quality, shard, simhash, toxicity
+from . import katz, langid, media, mix, quality, shard, simhash, toxicity
 
 QUERIES = {
+    "op1_katz_backoff": katz.op1,
     "op2_mcd_quality": quality.op2,
     "op3_media_columns": media.op3,
     "op6_cross_parsing": langid.op6,

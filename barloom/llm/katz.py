@@ -96,7 +96,7 @@ class Parted:
         self.order = np.lexsort((keys, part))
         self.part, self.keys = part[self.order].astype(np.int64), keys[self.order]
         self.names, self.start = np.unique(self.part, return_index=True)
-        self.stop = np.append(self.start[1:], len(keys))
+        self.stop = np.append(self.start[1:], len(keys))[: len(self.names)]
 
     def ask(self, block: int, counts: np.ndarray, more: np.ndarray | None = None) -> Iterator[dict]:
         for p, a, b in zip(self.names, self.start, self.stop, strict=True):

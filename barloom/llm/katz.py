@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
+from .blocks import Parted, answers_to
+from .common import bucketed, documents, lower_words_of, materialize, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
 
 TOKENS_PER_BLOCK = 4_000_000
 CUT = 5  # counts above it aren't discounted
@@ -88,30 +89,6 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(rows, BLOCK)
 
 
-class Parted:
-    """Distinct keys in order of (part, key), as a block sends them and gets its answers."""
-
-    def __init__(self, keys: np.ndarray, parts: int):
-        part = (mix64(keys) >> np.uint64(16)) % np.uint64(parts)
-        self.order = np.lexsort((keys, part))
-        self.part, self.keys = part[self.order].astype(np.int64), keys[self.order]
-        self.names, self.start = np.unique(self.part, return_index=True)
-        self.stop = np.append(self.start[1:], len(keys))[: len(self.names)]
-
-    def ask(self, block: int, counts: np.ndarray, more: np.ndarray | None = None) -> Iterator[dict]:
-        for p, a, b in zip(self.names, self.start, self.stop, strict=True):
-            at = self.order[a:b]
-            yield {"part": int(p), "block": block, "keys": pack_sorted(self.keys[a:b]), "counts": pack(counts[at]), "more": b"" if more is None else pack(more[at])}
-
-    def answers(self, told: pd.DataFrame, column: str, dtype) -> np.ndarray:
-        """Values in the order of the keys as given."""
-        out = np.empty(len(self.order), dtype)
-        by = dict(zip(told["part"], told[column], strict=True))
-        for p, a, b in zip(self.names, self.start, self.stop, strict=True):
-            out[self.order[a:b]] = unpack(by[p], dtype)
-        return out
-
-
 class Pairs:
     """The distinct (word, next word) of a block, by global ids, and where its tokens have them."""
 
@@ -209,9 +186,8 @@ class Discounts:
         return np.where(counts > 0, self.of(counts) / max(self.over, 1), self.unseen)
 
 
-def answers_to(blocks: DataFrame, told: DataFrame, run, schema: str) -> DataFrame:
-    """Give every block its answers. The blocks are bucketed, so only answers are shuffled."""
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(run, schema)
+def asked_rows(parted: Parted, block: int, **columns: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame(list(parted.ask(block, **columns)), columns=["part", "block", "keys", "counts", "more"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -231,7 +207,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         for pdf in batches:
             for row in pdf.itertuples():
                 found = Parted(unpack(row.vocab, np.uint64), parts)
-                yield pd.DataFrame(found.ask(row.block, unpack(row.counts, np.uint32)))
+                yield asked_rows(found, row.block, counts=unpack(row.counts, np.uint32))
 
     asked = blocks.select("block", "vocab", "counts").mapInPandas(ask_words, ASK)
     words = materialize(asked.groupBy("part").applyInPandas(merge(True, parts), TOLD), "kind")
@@ -242,7 +218,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         row = next(left.itertuples())
         ids = Parted(unpack(row.vocab, np.uint64), parts).answers(right, "ids", np.uint32)
         pairs = Pairs(row, ids)
-        return pd.DataFrame(Parted(pairs.keys, parts).ask(row.block, pairs.counts()), columns=["part", "block", "keys", "counts", "more"])
+        return asked_rows(Parted(pairs.keys, parts), row.block, counts=pairs.counts())
 
     of_words = words.where("kind = 'words'").select("kind", "part", "block", "counts", "ids")
     pairs = materialize(answers_to(blocks, of_words, ask_pairs, ASK).groupBy("part").applyInPandas(merge(False, parts), TOLD), "kind")
@@ -273,7 +249,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         at = k.pairs.left[mine]
         kept = np.bincount(at, two.of(k.seen[mine]), n)[k.contexts]
         below = np.bincount(at, one.share(k.counts[k.pairs.right[mine]]), n)[k.contexts]
-        return pd.DataFrame(k.asked.ask(row.block, k.counts[k.contexts], np.stack([kept, below], 1).view("V16").reshape(-1)), columns=["part", "block", "keys", "counts", "more"])
+        return asked_rows(k.asked, row.block, counts=k.counts[k.contexts], more=np.stack([kept, below], 1).view("V16").reshape(-1))
 
     def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block", kind="stable")

@@ -1,12 +1,13 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import katz, langid, media, mix, quality, shard, simhash, suffix, toxicity
+from . import katz, langid, media, mix, pack, quality, shard, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_katz_backoff": katz.op1,
     "op2_mcd_quality": quality.op2,
     "op3_media_columns": media.op3,
     "op4_suffix_dedup": suffix.op4,
+    "op5_bm25_packing": pack.op5,
     "op6_cross_parsing": langid.op6,
     "op7_hash_tree": shard.op7,
     "op8_simhash_pivots": simhash.op8,

@@ -189,13 +189,36 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rules, and a row that fails them is never kept. Repeated rows count each time. d2 is null for a row that fails.
     """
     rows = materialize(with_vector(statistics(docs, id_col, text_col, lang_col, source_col)))
-    passing = rows.where(~F.col("base_failed"))
-    named = materialize(groups(passing))
-    keyed = passing.join(named, passing["lang"].eqNullSafe(named["lang"]) & passing["source"].eqNullSafe(named["source"]))
-    judged = distance(by_group(keyed.select(*(passing[c] for c in passing.columns), "g"), estimates(materialize(keyed.select("g", *X)))))
     wanted = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     failing = rows.where("base_failed").select(*wanted, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
-    return judged.select(*wanted, F.round("d2", 9).alias("d2"), (F.col("d2") <= CUT).alias("kept")).unionByName(failing)
+    return judge(rows, fit(rows)).select(*wanted, F.round("d2", 9).alias("d2"), "kept").unionByName(failing)
+
+
+def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The group of each (lang, source), and the estimates of each group."""
+    passing = rows.where(~F.col("base_failed"))
+    named = materialize(groups(passing))
+    return named, estimates(materialize(grouped(passing, named).select("g", *X)))
+
+
+def grouped(passing: DataFrame, named: DataFrame) -> DataFrame:
+    named = named.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "g")
+    return passing.join(named, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")))
+
+
+def judge(rows: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """d2 and kept of the rows that pass the base rules."""
+    named, found = model
+    return distance(by_group(grouped(rows.where(~F.col("base_failed")), named), found)).withColumn("kept", F.col("d2") <= CUT)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that quality() keeps, with all their columns. Verdicts are computed where the text is read, so
+    texts aren't shuffled, and ids play no part."""
+    whole = docs.select(F.struct(*docs.columns).alias("whole"))
+    read = lambda df: with_vector(statistics(df, "whole", f"whole.{text_col}", f"whole.{lang_col}", f"whole.{source_col}"))
+    model = fit(materialize(read(whole).drop("doc_id")))
+    return judge(read(whole), model).where("kept").select("doc_id.*")
 
 
 def op2(spark, sf_dir):

@@ -18,13 +18,14 @@ suffixes always share a distance to the cover and are compared by the bytes befo
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Parted, answers_to
@@ -35,35 +36,37 @@ BEFORE = LENGTH - GRAM  # a string that holds the GRAM starts at most so far bef
 BLOCK_BYTES, SLICE = 12 << 20, 1 << 18
 HOT = 20_000  # occurrences of a GRAM beyond which its bucket isn't gathered
 LAST = np.iinfo(np.int64).max
-BLOCK = "block long, doc_ids binary, lengths binary, nulls binary, data binary"
+BLOCK = "block long, doc_ids binary, lengths binary, nulls binary, data binary, carried binary"
 ASK = "kind string, part int, block long, keys binary, counts binary, ids binary, places binary, reach binary, bytes binary"
 TOLD = "kind string, part int, block long, answer binary"
 ASK_COLUMNS = [c.split()[0] for c in ASK.split(", ")]
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Blocks of `docs` (doc_id, raw)."""
+    """Blocks of `docs` (doc_id, raw, carried)."""
 
-    def made(number: int, ids: list, raws: list[bytes]) -> pd.DataFrame:
+    def made(number: int, ids: list, raws: list[bytes], carried: list[str]) -> pd.DataFrame:
         null = np.array([pd.isna(i) for i in ids])
         numbers = np.array([LAST if n else int(i) for i, n in zip(ids, null, strict=True)], np.int64)
         data = zstandard.ZstdCompressor(level=3).compress(b"".join(raws))
         return pd.DataFrame([{
             "block": number, "doc_ids": pack(numbers), "lengths": pack(np.array([len(r) for r in raws], np.uint64)), "nulls": null.tobytes(), "data": data,
+            "carried": zstandard.ZstdCompressor().compress(json.dumps(carried).encode()),
         }])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, k, ids, raws, held = TaskContext.get().partitionId() << 24, 0, [], [], 0
+        base, k, ids, raws, carried, held = TaskContext.get().partitionId() << 24, 0, [], [], [], 0
         for pdf in batches:
-            for i, raw in zip(pdf["doc_id"].astype(object), pdf["raw"], strict=True):
+            for i, raw, more in zip(pdf["doc_id"].astype(object), pdf["raw"], pdf["carried"], strict=True):
                 ids.append(i)
+                carried.append(more or "")
                 raws.append(b"" if raw is None else bytes(raw))
                 held += len(raws[-1])
                 if held >= BLOCK_BYTES:
-                    yield made(base + k, ids, raws)
-                    k, ids, raws, held = k + 1, [], [], 0
+                    yield made(base + k, ids, raws, carried)
+                    k, ids, raws, carried, held = k + 1, [], [], [], 0
         if ids:
-            yield made(base + k, ids, raws)
+            yield made(base + k, ids, raws, carried)
 
     return docs.mapInPandas(rows, BLOCK)
 
@@ -267,12 +270,12 @@ def ask_rows(kind: str, parted: Parted, block: int, **columns) -> pd.DataFrame:
     return pd.DataFrame(list(parted.ask(block, **columns)), columns=ASK_COLUMNS).assign(kind=kind)
 
 
-def removed(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that `finish` makes of each block's cover and the mask of bytes to remove."""
+def removed(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", carried: Column | None = None) -> DataFrame:
+    """Rows that `finish` makes of each block's cover, the mask of bytes to remove, and a carried string for each text."""
     spark = docs.sparkSession
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw")
     parts = max(spread(spark), docs.count() // 4000)
-    blocks = bucketed(encode(docs.select(F.col(id_col).cast("long").alias("doc_id"), raw)), parts, "block")
+    blocks = bucketed(encode(docs.select(F.col(id_col).cast("long").alias("doc_id"), raw, (F.lit("") if carried is None else carried).alias("carried"))), parts, "block")
 
     def ask_grams(batches):
         for pdf in batches:
@@ -335,12 +338,16 @@ def removed(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_c
         for at in starts:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
-        return finish(c, np.cumsum(edge, dtype=np.int32)[:-1] > 0)
+        return finish(c, np.cumsum(edge, dtype=np.int32)[:-1] > 0, carried_of(left))
 
     return answers_to(blocks, told, cut, schema)
 
 
-def digest(c: Cover, gone: np.ndarray) -> pd.DataFrame:
+def carried_of(left: pd.DataFrame) -> list[str]:
+    return json.loads(zstandard.ZstdDecompressor().decompress(bytes(left["carried"].iloc[0])))
+
+
+def digest(c: Cover, gone: np.ndarray, carried: list[str]) -> pd.DataFrame:
     rows = []
     for i, null, a, b in zip(c.ids.tolist(), c.null, c.start, c.end, strict=True):
         out = gone[a:b]
@@ -360,18 +367,28 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, kept and n_removed: what is left of each text. A run that would cut a character leaves all of it."""
+    """The rows of `docs`, with their columns, what is left of each text, and n_removed. A character goes only with all of
+    its bytes. Null texts come back empty."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
 
-    def finish(c: Cover, gone: np.ndarray) -> pd.DataFrame:
-        inside = (c.data & 0xC0) == 0x80  # continuation bytes: a character goes only with all of its bytes
-        lead = np.flatnonzero(~inside)
+    def finish(c: Cover, gone: np.ndarray, carried: list[str]) -> pd.DataFrame:
+        lead = np.flatnonzero((c.data & 0xC0) != 0x80)
         if len(lead):
             whole = np.minimum.reduceat(gone.astype(np.uint8), lead)
             gone = np.repeat(whole, np.diff(np.append(lead, len(gone)))).astype(bool)
-        rows = [(None if n else i, c.data[a:b][~gone[a:b]].tobytes().decode(), int(gone[a:b].sum())) for i, n, a, b in zip(c.ids.tolist(), c.null, c.start, c.end, strict=True)]
-        return pd.DataFrame(rows, columns=["doc_id", "kept", "n_removed"]).astype({"doc_id": "Int64"})
-
-    return removed(docs, finish, "doc_id long, kept string, n_removed long", id_col, text_col)
+        rows = [
+            (None if n else i, c.data[a:b][~gone[a:b]].tobytes().decode(), int(gone[a:b].sum()), more)
+            for i, n, a, b, more in zip(c.ids.tolist(), c.null, c.start, c.end, carried, strict=True)
+        ]
+        return pd.DataFrame(rows, columns=["id", "kept", "n_removed", "carried"]).astype({"id": "Int64"})
+
+    schema = docs.select(*rest).schema
+    carried = F.to_json(F.struct(*rest)) if rest else None
+    made = removed(docs, finish, "id long, kept string, n_removed long, carried string", id_col, text_col, carried)
+    if rest:
+        made = made.withColumn("carried", F.from_json("carried", schema))
+    back = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.col("kept")} | {c: F.col("carried")[c] for c in rest}
+    return made.select(*(back[c].alias(c) for c in docs.columns), *(["n_removed"] if "n_removed" not in docs.columns else []))
 
 
 def op4(spark, sf_dir):

@@ -64,6 +64,7 @@ def test_removed_bytes_of_documents(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     assert sorted(map(tuple, suffix.dedup_digest(docs).collect())) == brute(rows)
     kept = {r.doc_id: r for r in suffix.kept_texts(docs).collect()}
+    assert {i: (r.lang, r.source, r.n_chars) for i, r in kept.items()} == {r.doc_id: (r.lang, r.source, r.n_chars) for r in docs.collect()}
     for r in suffix.dedup_digest(docs).collect():
         assert kept[r.doc_id].n_removed <= r.n_removed and (r.n_removed == 0) == (kept[r.doc_id].n_removed == 0)
 

@@ -19,6 +19,7 @@ from .common import documents, mix64, remainder
 #: The fitting sample: so many labelled documents of either class, none with a text beyond so many characters.
 DOCS_PER_CLASS, LONGEST = 2000, 20_000
 BUCKETS, DIM, NGRAMS = 1 << 18, 4, (3, 4, 5, 6)
+CHUNK = 10_000  # words whose n-grams are laid out at a time
 WINDOW, TOP = 2, 4  # words of a window; windows of a text that make up its bag
 WARM, LAPS, EPOCHS = 6, 8, 15
 RATE, DECAY, SEED = 0.05, 1e-4, 9
@@ -102,26 +103,37 @@ class Bags:
         self.bag = np.repeat(bag, size)
         self.size = np.bincount(self.bag).astype(np.float64)
         self.begin = np.searchsorted(self.bag, np.arange(len(self.size)))
-        who, what = subwords([words[i] for i in used])
-        order = np.argsort(who, kind="stable")
-        self.who, self.what = who[order], what[order]
-        self.edge = np.searchsorted(self.who, np.arange(len(used)))
-        self.per = np.bincount(self.who, minlength=len(used)).astype(np.float64)
+        self.buckets = [buckets_of([words[i] for i in used[a : a + CHUNK]]) for a in range(0, len(used), CHUNK)]
 
     def means(self, emb: np.ndarray) -> np.ndarray:
-        vec = np.add.reduceat(emb[self.what], self.edge) / self.per[:, None]
-        return np.add.reduceat(vec[self.word], self.begin) / self.size[:, None]
+        return np.add.reduceat(word_vectors(self.buckets, emb)[self.word], self.begin) / self.size[:, None]
 
     def gradient(self, back: np.ndarray) -> np.ndarray:
         """Of the embedding, from that of the bags' means."""
         back = (back / self.size[:, None])[self.bag]
-        out = np.empty((BUCKETS, DIM))
+        words = sum(len(per) for _, _, per in self.buckets)
+        out = np.zeros((BUCKETS, DIM))
         for d in range(DIM):
-            word = np.bincount(self.word, back[:, d], len(self.per)) / self.per
-            out[:, d] = np.bincount(self.what, word[self.who], BUCKETS)
+            slope = np.bincount(self.word, back[:, d], words)
+            for k, (what, _, per) in enumerate(self.buckets):
+                part = slope[k * CHUNK : k * CHUNK + len(per)] / per
+                out[:, d] += np.bincount(what, np.repeat(part, per), BUCKETS)
         return out
 
 
+def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the words' n-grams, word after word, where each word's begin, and how many it has."""
+    who, what = subwords(words)
+    order = np.argsort(who, kind="stable")
+    per = np.bincount(who, minlength=len(words))
+    return what[order].astype(np.int32), np.cumsum(per) - per, per
+
+
+def word_vectors(buckets: list[tuple], emb: np.ndarray) -> np.ndarray:
+    """Means of the rows of `emb`, a part of the words at a time."""
+    return np.concatenate([np.add.reduceat(emb[what], edge) / (per if emb.ndim == 1 else per[:, None]) for what, edge, per in buckets])
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """Adam on whole batches; classes weigh the same. First a text's bag is all of it; in each later lap it is its
     highest windows as the model stands."""
@@ -140,14 +152,14 @@ def train(texts: list[str], labels: list[int]) -> Model:
     emb, out, bias = rng.normal(0, 0.05, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (emb, out, bias)]
     every = np.arange(len(split))
-    whole = Bags(flat, np.array([0]), np.array([len(flat)]), np.array([0]), words)  # each word once, for the scores of all
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     step = 0
     for lap in range(1 + LAPS):
         bags = Bags(flat, at[:-1], at[1:], every, words) if not lap else None
         if lap:
             bucket = emb @ (out[:, 1] - out[:, 0])
-            total = np.concatenate([[0.0], np.cumsum((np.add.reduceat(bucket[whole.what], whole.edge) / whole.per)[flat])])
+            each = np.concatenate([word_vectors([buckets_of(words[a : a + CHUNK])], bucket) for a in range(0, len(words), CHUNK)])
+            total = np.concatenate([[0.0], np.cumsum(each[flat])])
             order = np.lexsort(((total[first] - total[last]) / (last - first), owner))
             kept = order[np.arange(len(order)) - np.searchsorted(owner[order], owner[order]) < TOP]
             bags = Bags(flat, first[kept], last[kept], owner[kept], words)

@@ -38,7 +38,8 @@ def normalize(raw: DataFrame, symbol: str | None = None, interval: str | None =
     df = df.withColumn("ts", ts)
     for c, v in (("symbol", symbol), ("interval", interval)):
         df = df.withColumn(c, F.lit(v)) if v is not None else df
-    one = df.groupBy("symbol", "interval", "ts").agg(*(F.max_by(c, F.monotonically_increasing_id()).alias(c) for c in frames.OHLCV))
+    df = df.withColumn("_at", F.monotonically_increasing_id())
+    one = df.groupBy("symbol", "interval", "ts").agg(*(F.max_by(c, "_at").alias(c) for c in frames.OHLCV))
     return one.select(*(F.col(f.name).cast(f.dataType) for f in BARS))
 
 

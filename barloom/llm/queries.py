@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import katz, langid, media, mix, pack, quality, shard, simhash, suffix, toxicity
+from . import katz, langid, media, mix, pack, quality, quality_sql, shard, shard_sql, simhash, suffix, toxicity
 
 QUERIES = {
     "op1_katz_backoff": katz.op1,
@@ -15,4 +15,7 @@ QUERIES = {
     "op10_cube_mix": mix.op10,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op2_mcd_quality": quality_sql.oracle(),
+    "op7_hash_tree": shard_sql.oracle(),
+}

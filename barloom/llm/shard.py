@@ -89,7 +89,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
         F.lit("key").alias("law"),
         place(key, tree(shards)).cast("int").alias("shard"),
         place(key, tree(shards + 1)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit(17)), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int").alias("part"),
     )
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

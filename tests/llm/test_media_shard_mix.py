@@ -122,3 +122,16 @@ def test_flight_keeps_totals():
     y = mix.flight(x, sizes, 3)
     open_ = (y > 1e-9) & (y < 1 - 1e-9)
     assert open_.sum() <= 2 and abs(y.sum() - x.sum()) < 1e-6 and abs(y @ sizes - x @ sizes) < 1e-3
+
+
+def test_shards_against_sql(spark):
+    import duckdb
+
+    from barloom.llm import shard_sql
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(shard_sql.oracle())
+    columns = [d[0] for d in want.description]
+    made = shard.op7(spark, "/root/testdata/sf0.001").select(*columns).collect()
+    assert sorted(map(tuple, made)) == sorted(want.fetchall())

@@ -125,3 +125,14 @@ def test_simhash_small_cases(spark):
     assert len(made) == len(ROWS) and by[2] == by[3] == by[4] == {("0" * 16, 2)}
     assert by[None] == by[7]
     assert simhash.near_duplicates(small(spark).limit(0)).collect() == []
+
+
+def test_quality_against_sql(spark):
+    import duckdb
+
+    from barloom.llm import quality_sql
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    made = quality.op2(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, made)) == sorted(con.execute(quality_sql.oracle()).fetchall())

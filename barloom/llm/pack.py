@@ -9,8 +9,8 @@ and its rest stays unused. So every window is full but the last of a shard.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,16 +25,18 @@ from .common import documents, materialize
 WINDOW, END_ID = 1024, 0
 SHARD = 512  # tails to a bucket on average, and half of what splits one
 K1, B = 1.2, 0.75
-HELD = 500_000  # encoded words that a worker keeps
+HELD = 450_000  # encoded words in each of two generations that a worker keeps
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 STAGED = PIECE + ", ids binary, terms binary, bucket long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
-#: Between two words one blank is a boundary of tokens, unless there are blanks on both of its sides.
-TANGLED = re.compile(r"\s (?:\s|\Z)")
+#: One blank between two words is a boundary of tokens, unless there are blanks on both of its sides. A text that has one
+#: after another is encoded whole.
+BLANKS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+MARKS = ".,;:!?"
 
 
 class Encoder(dict):
-    """Token ids (little-endian 16 bits) of a blank and the word; by the public byte-level BPE, word by word."""
+    """Token ids (little-endian 16 bits) of a blank and the word, by the public byte-level BPE; the words of late."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -43,56 +45,64 @@ class Encoder(dict):
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.whole.encode_ordinary(text), "<u2").tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > HELD:
+            self.older = dict(self)
             self.clear()
-        self[word] = found = self.encode(" " + word)
+        found = self.older.get(word)
+        if found is None:
+            bare = word.rstrip(MARKS)
+            if bare != word and bare[-1:].isalpha():  # marks after a letter are tokens of their own
+                end = word[len(bare) :]
+                mark = self.marks.get(end)
+                if mark is None:
+                    mark = self.marks[end] = self.encode(end)
+                found = self[bare] + mark
+            else:
+                found = self.encode(" " + word)
+        self[word] = found
         return found
 
-    def words(self, text: str) -> list[tuple[str, bytes]] | None:
-        """Words with their ids, or None where blanks don't part tokens."""
-        if TANGLED.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [(first, self.encode(first)), *zip(rest, map(self.__getitem__, rest), strict=True)]
-
 
 @cache
 def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def ids_of(text: str | None, vocabulary: str = "byte_bpe_50k.tiktoken") -> tuple[np.ndarray, list[tuple[str, int]]]:
-    """The ids of a text and its end, and (word, ids of it) in order."""
+def ids_of(text: str | None, vocabulary: str = "byte_bpe_50k.tiktoken") -> tuple[np.ndarray, list[str], list[bytes]]:
+    """The ids of a text and its end, its words, and the ids of each (nothing, where words don't part ids)."""
     e, text = encoder(vocabulary), text or ""
-    found = e.words(text)
-    if found is None:
-        raw = e.encode(text)
-        words = [(w, max(1, len(raw) // 2 * len(w) // max(1, len(text)))) for w in text.split()]
-    else:
-        raw = b"".join([b for _, b in found])
-        words = [(w, len(b) // 2) for w, b in found]
-    return np.append(np.frombuffer(raw, "<u2"), np.uint16(END_ID)), words
+    if any(b in text for b in BLANKS):
+        return np.append(np.frombuffer(e.encode(text), "<u2"), np.uint16(END_ID)), text.split(), []
+    words = text.split(" ")
+    parts = [e.encode(words[0]), *map(e.__getitem__, words[1:])]
+    return np.append(np.frombuffer(b"".join(parts), "<u2"), np.uint16(END_ID)), words, parts
 
 
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def terms_of(words: list[tuple[str, int]], tail: int) -> np.ndarray:
-    """Hashes and counts of the words of the last `tail` ids, as [2, n]."""
+def terms_of(words: list[str], parts: list[bytes], total: int, tail: int) -> np.ndarray:
+    """Hashes and counts of the words of the last `tail` of `total` ids, as [2, n]."""
+    if parts:
+        k, left = len(parts), tail - 1  # the end is no word
+        while k and left > 0:
+            k -= 1
+            left -= len(parts[k]) // 2
+    else:
+        k = len(words) - -(-len(words) * tail // total)
     held: dict[str, int] = {}
-    for w, n in reversed(words):
-        if tail <= 0:
-            break
-        tail -= n
+    for w, n in Counter(words[k:]).items():
         w = w.strip(".,;:!?\n").lower()
         if w:
-            held[w] = held.get(w, 0) + 1
+            held[w] = held.get(w, 0) + n
     return np.array([[zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in held], [min(c, 255) for c in held.values()]], np.uint32).reshape(2, -1)
 
 
@@ -105,13 +115,13 @@ def pieces(docs: DataFrame, buckets: int) -> DataFrame:
             for a in range(0, len(pdf), 1000):
                 out = []
                 for i, text in zip(pdf["doc_id"].iloc[a : a + 1000], pdf["text"].iloc[a : a + 1000], strict=True):
-                    ids, words = ids_of(text if isinstance(text, str) else None)
+                    ids, words, parts = ids_of(text if isinstance(text, str) else None)
                     tail = len(ids) % WINDOW
                     for start in range(0, len(ids) - tail, WINDOW):
                         out.append((i, start, WINDOW, checksum(ids[start : start + WINDOW]), len(ids), (base + whole) * 2, 0, None, None, None))
                         whole += 1
                     if tail:
-                        terms = terms_of(words, tail)
+                        terms = terms_of(words, parts, len(ids), tail)
                         least = int((terms[0] * np.uint32(0x9E3779B1)).min()) if terms.size else 0
                         rest = ids[len(ids) - tail :]
                         out.append((i, len(ids) - tail, tail, checksum(rest), len(ids), None, None, rest.tobytes(), terms.tobytes(), least * 0x9E3779B97F4A7C15 % (1 << 64) % buckets))

@@ -56,4 +56,25 @@ def best_and_worst(equity: DataFrame) -> DataFrame:
         df.select(*per, F.lit("best").alias("kind"), C("_lo_ts").alias("from_ts"), C("ts").alias("to_ts"), (C("equity") - C("_lo")).alias("change"), (C("equity") - C("_lo")).alias("_size"))
     )
     top = Window.partitionBy(*per, "kind").orderBy(F.desc("_size"), "to_ts")
-    return both.withColumn("_rn", F.row_number().over(top)).where("_rn = 1 and _size > 0").drop("_rn", "_size")
+    return both.withColumn("_rn", F.row_number().over(top)).where("_rn = 1 and _size >= 1e-6").drop("_rn", "_size")
+
+
+def period_windows(periods: DataFrame, bars: DataFrame, around: int = 10) -> DataFrame:
+    """For each best or worst period the bars before, during and after it: price change, mean volume and its ratio to that of
+    all bars, deviation of returns, and how many there are (a phase without bars has no row)."""
+    from .frames import prepared
+
+    per = [k for k in keys(bars)]
+    b = prepared(bars).withColumns({"_r": ratio("close", F.lag("close").over(series(bars))) - 1, "_mean": F.avg("volume").over(Window.partitionBy(*per))})
+    at = b.select(*per, C("ts").alias("_t"), C("bar_idx").alias("_i"))
+    ends = periods.join(at.withColumnsRenamed({"_t": "from_ts", "_i": "_a"}), [*per, "from_ts"]).join(at.withColumnsRenamed({"_t": "to_ts", "_i": "_b"}), [*per, "to_ts"])
+    own = [c for c in keys(periods) if c not in per]
+    j = ends.select(*per, *own, "kind", "_a", "_b").join(b, per)  # two periods a series
+    phase = F.when(C("bar_idx").between(C("_a") - around, C("_a") - 1), "pre").when(C("bar_idx").between(C("_a"), C("_b")), "during").when(C("bar_idx").between(C("_b") + 1, C("_b") + around), "post")
+    j = j.withColumn("phase", phase).where("phase is not null")
+    first = F.min("bar_idx").over(Window.partitionBy(*per, *own, "kind", "phase"))
+    j = j.withColumn("_r", F.when(C("bar_idx") > first, C("_r")))  # returns within the phase
+    return j.groupBy(*per, *own, "kind", "phase").agg(
+        (ratio(F.max_by("close", "bar_idx"), F.min_by("close", "bar_idx")) - 1).alias("price_change_pct"), F.avg("volume").alias("avg_volume"),
+        ratio(F.avg("volume"), F.first("_mean")).alias("volume_ratio"), F.stddev_samp("_r").alias("volatility"), F.count("*").alias("num_bars"),
+    )

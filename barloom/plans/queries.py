@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import keys, series
 from ..operators import analysis as A
 from ..operators import backtest as B
-from ..operators import candles, chart, frames, journal, metrics, strategies, ticks
+from ..operators import candles, chart, documents, frames, journal, metrics, strategies, ticks
 from ..operators import indicators as I
 from ..sources import fixtures as S
 from ..streaming import bars as stream
@@ -327,6 +326,13 @@ def _scan(spark, sf_dir):
     return A.scan(b, watched)
 
 
+# Documents
+query("period_windows")(lambda spark, sf_dir: rounded(metrics.period_windows(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), S.hourly(spark, sf_dir)), "price_change_pct", "avg_volume", "volume_ratio", "volatility"))
+query("symbol_document")(lambda spark, sf_dir: documents.symbol_document(S.hourly(spark, sf_dir)))
+query("stats_table")(lambda spark, sf_dir: rounded(documents.stats_table(A.pattern_stats(S.hourly(spark, sf_dir))), "win_rate", "avg_forward_return", "avg_confidence"))
+query("recommendation")(lambda spark, sf_dir: rounded(documents.recommendation(A.pattern_stats(S.hourly(spark, sf_dir))), "score"))
+
+
 # Ticks
 ASOF = """with t as (select 'EVT' as symbol, ts, value as price, cast(1 + event_id % 5 as double) as size from events where event_type = 'purchase'),
  q as (select 'EVT' as symbol, ts, value * 0.999 as bid_price, value * 1.001 as ask_price, cast(1 + event_id % 7 as double) as bid_size, cast(1 + event_id % 3 as double) as ask_size from events where event_type = 'view'),

@@ -234,3 +234,25 @@ def test_stream_equals_batch(spark, tmp_path):
     made = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     whole = {tuple(r) for r in stream.ohlcv(ticks_).collect()}
     assert made <= whole and len(whole) - len(made) <= 2
+
+
+def test_watchlist_and_recommendation(spark):
+    from barloom.operators import documents
+
+    log = spark.createDataFrame([("a ", 1, "add"), ("B", 2, "add"), ("A", 3, "add"), ("b", 4, "remove"), ("c", 5, "add"), ("B", 6, "add")], "symbol string, seq long, event string")
+    assert [tuple(r) for r in documents.watchlist(log).orderBy("position").collect()] == [("A", 1), ("C", 2), ("B", 3)]
+    stats = spark.createDataFrame([("x", "p", "bullish", 10, 0.6, 80.0), ("x", "q", "bearish", 2, None, None), ("x", "r", "neutral", 9, None, 9.0), ("y", "p", "bullish", 0, None, None)],
+                                  "symbol string, name string, direction string, occurrences long, win_rate double, avg_confidence double")
+    made = {r.symbol: (round(r.score, 6), r.verdict) for r in documents.recommendation(stats).collect()}
+    assert made == {"x": (round(0.6 * 0.8 - 0.5 * 0.5 * 0.4, 6), "bullish"), "y": (0.0, "mixed")}
+
+
+def test_period_windows(spark):
+    rows = [("P", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1.0, 1.0, 1.0, float(c), 10.0 + i) for i, c in enumerate([10, 11, 12, 13, 12, 11, 10, 11, 12])]
+    b = spark.createDataFrame(rows, BARS)
+    curve = frames.prepared(b).select("symbol", "ts", "bar_idx", (F.col("close") * 100).alias("equity"))
+    p = metrics.best_and_worst(curve)
+    got = {(r.kind, r.phase): r for r in metrics.period_windows(p, b, 2).collect()}
+    assert {(r.kind, r.change) for r in p.collect()} == {("worst", -300.0), ("best", 300.0)}
+    assert got["worst", "during"].num_bars == 4 and got["worst", "pre"].num_bars == 2 and got["worst", "post"].price_change_pct == pytest.approx(12 / 11 - 1)
+    assert ("best", "pre") not in got and got["best", "during"].volume_ratio == pytest.approx(11.5 / 14)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .blocks import Parted, answers_to
 from .common import bucketed, documents, lower_words_of, materialize, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
 
-TOKENS_PER_BLOCK = 4_000_000
+TOKENS_PER_BLOCK = 2_500_000
 CUT = 5  # counts above it aren't discounted
 BEGIN, END = 1, 2  # keys beside the words' hashes
 LARGE = np.uint64(0xFFFFFFFF)

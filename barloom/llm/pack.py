@@ -23,20 +23,17 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 WINDOW, END_ID = 1024, 0
+VOCABULARY = "byte_bpe_50k.tiktoken"
 SHARD = 512  # tails to a bucket on average, and half of what splits one
 K1, B = 1.2, 0.75
-HELD = 450_000  # encoded words in each of two generations that a worker keeps
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 STAGED = PIECE + ", ids binary, terms binary, bucket long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
-#: One blank between two words is a boundary of tokens, unless there are blanks on both of its sides. A text that has one
-#: after another is encoded whole.
-BLANKS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-MARKS = ".,;:!?"
+MARKS = b".,;:!?"
 
 
-class Encoder(dict):
-    """Token ids (little-endian 16 bits) of a blank and the word, by the public byte-level BPE; the words of late."""
+class Encoder:
+    """Ids of the public byte-level BPE, and how many bytes of text each stands for."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -45,83 +42,55 @@ class Encoder(dict):
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode_ordinary(text), "<u2").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > HELD:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(word)
-        if found is None:
-            bare = word.rstrip(MARKS)
-            if bare != word and bare[-1:].isalpha():  # marks after a letter are tokens of their own
-                end = word[len(bare) :]
-                mark = self.marks.get(end)
-                if mark is None:
-                    mark = self.marks[end] = self.encode(end)
-                found = self[bare] + mark
-            else:
-                found = self.encode(" " + word)
-        self[word] = found
-        return found
+        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.widths[list(ranks.values())] = [len(token) for token in ranks]
 
+    def ids_of(self, text: str) -> np.ndarray:
+        """The ids of a text and its end."""
+        return np.array([*self.whole.encode_ordinary(text), END_ID], "<u2")
 
-@cache
-def encoder(vocabulary: str) -> Encoder:
-    return Encoder(vocabulary)
+    def tail_of(self, text: str, ids: np.ndarray, tail: int) -> bytes:
+        """The bytes of a text that its last `tail` ids stand for; the end stands for none."""
+        data = text.encode()
+        return data[len(data) - int(self.widths[ids[len(ids) - tail : -1]].sum()) :]
 
 
-def ids_of(text: str | None, vocabulary: str = "byte_bpe_50k.tiktoken") -> tuple[np.ndarray, list[str], list[bytes]]:
-    """The ids of a text and its end, its words, and the ids of each (nothing, where words don't part ids)."""
-    e, text = encoder(vocabulary), text or ""
-    if any(b in text for b in BLANKS):
-        return np.append(np.frombuffer(e.encode(text), "<u2"), np.uint16(END_ID)), text.split(), []
-    words = text.split(" ")
-    parts = [e.encode(words[0]), *map(e.__getitem__, words[1:])]
-    return np.append(np.frombuffer(b"".join(parts), "<u2"), np.uint16(END_ID)), words, parts
+@cache
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    return Encoder(vocabulary)
 
 
 def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def terms_of(words: list[str], parts: list[bytes], total: int, tail: int) -> np.ndarray:
-    """Hashes and counts of the words of the last `tail` of `total` ids, as [2, n]."""
-    if parts:
-        k, left = len(parts), tail - 1  # the end is no word
-        while k and left > 0:
-            k -= 1
-            left -= len(parts[k]) // 2
-    else:
-        k = len(words) - -(-len(words) * tail // total)
-    held: dict[str, int] = {}
-    for w, n in Counter(words[k:]).items():
-        w = w.strip(".,;:!?\n").lower()
+def terms_of(data: bytes) -> np.ndarray:
+    """Hashes and counts of the words of a tail without marks around them, as [2, n]; a word that is cut counts as one."""
+    held: dict[bytes, int] = {}
+    for w, n in Counter(data.lower().split()).items():
+        w = w.strip(MARKS)
         if w:
             held[w] = held.get(w, 0) + n
-    return np.array([[zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in held], [min(c, 255) for c in held.values()]], np.uint32).reshape(2, -1)
+    return np.array([list(map(zlib.crc32, held)), [min(c, 255) for c in held.values()]], np.uint32).reshape(2, -1)
 
 
-def pieces(docs: DataFrame, buckets: int) -> DataFrame:
+def pieces(docs: DataFrame, buckets: int, vocabulary: str) -> DataFrame:
     """Whole windows, each a sequence of its own, and tails with their ids and words."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, whole = TaskContext.get().partitionId() << 38, 0
+        base, whole, e = TaskContext.get().partitionId() << 38, 0, encoder(vocabulary)
         for pdf in batches:
             for a in range(0, len(pdf), 1000):
                 out = []
                 for i, text in zip(pdf["doc_id"].iloc[a : a + 1000], pdf["text"].iloc[a : a + 1000], strict=True):
-                    ids, words, parts = ids_of(text if isinstance(text, str) else None)
+                    text = text if isinstance(text, str) else ""
+                    ids = e.ids_of(text)
                     tail = len(ids) % WINDOW
                     for start in range(0, len(ids) - tail, WINDOW):
                         out.append((i, start, WINDOW, checksum(ids[start : start + WINDOW]), len(ids), (base + whole) * 2, 0, None, None, None))
                         whole += 1
                     if tail:
-                        terms = terms_of(words, parts, len(ids), tail)
+                        terms = terms_of(e.tail_of(text, ids, tail))
                         least = int((terms[0] * np.uint32(0x9E3779B1)).min()) if terms.size else 0
                         rest = ids[len(ids) - tail :]
                         out.append((i, len(ids) - tail, tail, checksum(rest), len(ids), None, None, rest.tobytes(), terms.tobytes(), least * 0x9E3779B97F4A7C15 % (1 << 64) % buckets))
@@ -189,15 +158,15 @@ def fill(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
-    Null and empty texts are their end id alone. Repeated rows are packed each; null ids are kept. The ids are those of
-    the public byte-level BPE without special tokens.
+    Null and empty texts are their end id alone. Repeated rows are packed each; null ids are kept. `vocabulary` names a
+    tiktoken file of public_tokenizers; ids are its, without special tokens.
     """
     buckets = max(1, docs.count() // SHARD)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    staged = materialize(pieces(named, buckets))
+    staged = materialize(pieces(named, buckets, vocabulary))
     tails = staged.where(F.col("bucket").isNotNull())
     splits = tails.groupBy("bucket").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("long").alias("splits"))
     wide = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.col("splits"))

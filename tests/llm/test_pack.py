@@ -85,3 +85,22 @@ def test_neighbours_share_words(spark):
     for r in made:
         topics[r.sequence_id].add(r.doc_id % 2)
     assert sum(len(t) > 1 for t in topics.values()) <= 1 + len(topics) // 4
+
+
+def test_tails_are_the_bytes_of_their_ids():
+    """Ids equal those of the JSON form, and a tail's bytes, joined after what its other ids stand for, give the text."""
+    encode, e = reference(), pack.encoder()
+    for _, text in ROWS:
+        text = text or ""
+        ids = e.ids_of(text)
+        assert ids.tolist() == encode(text)
+        for tail in {1, 2, len(ids) // 2, len(ids)} - {0}:
+            if tail <= len(ids):
+                head = b"".join(e.whole.decode_single_token_bytes(int(i)) for i in ids[: len(ids) - tail])
+                assert head + e.tail_of(text, ids, tail) == text.encode()
+
+
+def test_terms():
+    assert pack.terms_of(b"").shape == (2, 0)
+    got = pack.terms_of(b" Red, red. RED ! blue " + b"x " * 300)
+    assert dict(got.T.tolist()) == {zlib.crc32(b"red"): 3, zlib.crc32(b"blue"): 1, zlib.crc32(b"x"): 255}

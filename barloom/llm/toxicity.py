@@ -187,9 +187,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         some = named.where(F.col("y") == y).orderBy(draw, "id").limit(DOCS_PER_CLASS)
         chosen = some if chosen is None else chosen.unionByName(some)
-    got = docs.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) <= LONGEST).join(F.broadcast(chosen), F.col(id_col) == F.col("id"))
-    rows = sorted(got.select("id", "y", F.col(text_col).alias("text")).collect(), key=lambda r: (r.id, r.text or ""))
-    return train([r.text or "" for r in rows], [int(r.y) for r in rows])
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = texts.where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "id")
+    rows = sorted(got.select("id", "y", "text").collect(), key=lambda r: (r.id, r.text))
+    return train([r.text for r in rows], [int(r.y) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

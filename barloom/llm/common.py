@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import materialize, shared_dir  # noqa: F401
+
 #: Word separators: space and the bytes 9 to 13. A word is a maximal run of other characters.
 SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,27 +39,6 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_barloom_dir", None)
-        if base is None:
-            base = spark._barloom_dir = tempfile.mkdtemp(prefix="barloom-")
-    return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, *partition_by: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
-
-    The table lives as long as the folder; whoever owns spark.checkpoint.dir clears it.
-    """
-    path = shared_dir(df.sparkSession)
-    writer = df.write.option("compression", compression)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, n: int, key: str, compression: str = "zstd") -> DataFrame:
     """Like materialize(), laid out in `n` buckets of `key`: later joins and groupings by it need no shuffle."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, correlation, keys, ratio, rolling, series, true
+from ..functions.tables import materialize
 from . import backtest, candles, frames, indicators as I, metrics as M, strategies
 
 C = F.col
@@ -67,8 +70,9 @@ def walk_forward(bars: DataFrame, names: list[str], regime_days: int = 20, test_
 
 
 def regime_map(walk: DataFrame, by: str = "sharpe_ratio") -> DataFrame:
+    """Figures of each strategy in each regime and its place: by mean, then wins, then the order of registration."""
     out = walk.groupBy("trend_regime", "vol_regime", "strategy").agg(F.count_if("won").alias("wins"), F.count("*").alias("folds"), F.avg(by).alias("avg_metric"))
-    w = Window.partitionBy("trend_regime", "vol_regime").orderBy(C("avg_metric").desc_nulls_last(), C("wins").desc(), "strategy")
+    w = Window.partitionBy("trend_regime", "vol_regime").orderBy(C("avg_metric").desc_nulls_last(), C("wins").desc(), M.place(strategies.registered()), "strategy")
     return out.withColumn("place", F.row_number().over(w))
 
 
@@ -78,20 +82,27 @@ def recommend(walk: DataFrame, bars: DataFrame, by: str = "sharpe_ratio") -> Dat
     now = classify_regime(bars).groupBy(*per).agg(F.max_by("trend_regime", "ts").alias("trend_regime"), F.max_by("vol_regime", "ts").alias("vol_regime"))
     best = regime_map(walk, by).where("place = 1").select("trend_regime", "vol_regime", C("strategy").alias("_s"))
     overall = walk.groupBy("strategy").agg(F.avg(by).alias("_m"), F.count_if("won").alias("_w"))
-    top = overall.agg(F.max_by("strategy", F.struct(F.coalesce("_m", F.lit(float("-inf"))), "_w")).alias("_o"))
+    top = overall.agg(F.max_by("strategy", F.struct(F.coalesce("_m", F.lit(float("-inf"))), "_w", -M.place(strategies.registered()))).alias("_o"))
     return now.join(best, ["trend_regime", "vol_regime"], "left").crossJoin(F.broadcast(top)).select(*per, "trend_regime", "vol_regime", F.coalesce("_s", "_o").alias("recommended"))
 
 
 def compare(bars: DataFrame, names: list[str], config: backtest.Config = backtest.Config()) -> DataFrame:
-    """Figures of each strategy on each series, from one back-test of all."""
-    signals = None
+    """Figures of each strategy on each series, from one back-test of all. Signals are written one strategy at a time: a
+    plan of fourteen takes the driver minutes."""
+    bars, signals = materialize(bars), None
     for name in names:
-        one = strategies.signals(bars, name).withColumn("strategy", F.lit(name))
+        one = materialize(strategies.signals(bars, name).withColumn("strategy", F.lit(name)))
         signals = one if signals is None else signals.unionByName(one)
-    curve, trades = backtest.run(signals, config)
+    curve, trades = map(materialize, backtest.run(materialize(signals), config))
     return M.metrics(curve, trades, initial_capital=config.initial_capital)
 
 
+def comparison(bars: DataFrame, names: tuple[str, ...] = (), config: backtest.Config = backtest.Config()) -> DataFrame:
+    """Figures of the named strategies, or all, and of the benchmark, which holds over night."""
+    figures = compare(bars, list(names or strategies.registered()), config)
+    return figures.unionByName(compare(bars, [strategies.BENCHMARK], replace(config, flatten_eod=False)))
+
+
 def indicator_signals(bars: DataFrame) -> DataFrame:
     """A boolean for each of SIGNALS."""
     df = I.volume_surge(I.chaikin_money_flow(I.on_balance_volume(I.money_flow_index(I.awesome_oscillator(I.stochastic(I.bollinger(bars)))))))

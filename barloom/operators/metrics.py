@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keys, ratio, series, upto
+from .strategies import BENCHMARK
 
 C = F.col
 
@@ -38,11 +39,17 @@ def metrics(equity: DataFrame, trades: DataFrame, risk_free: float = 0.0, initia
     return out.select(*per, *names)
 
 
+def place(order: tuple[str, ...]) -> Column:
+    """A strategy's number in the order of registration."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, order)), C("strategy")), F.lit(0)) if order else F.lit(0)
+
+
 def ranking(figures: DataFrame, by: str = "sharpe_ratio", order: tuple[str, ...] = ()) -> DataFrame:
-    """rank of each strategy within its symbol, nulls last, ties in the order of registration; delta to the best."""
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, order)), C("strategy")), F.lit(0)) if order else F.lit(0)
-    w = Window.partitionBy(*(k for k in keys(figures) if k != "strategy")).orderBy(C(by).desc_nulls_last(), place, "strategy")
-    return figures.withColumns({"rank": F.row_number().over(w), "delta": C(by) - F.first(by).over(w)})
+    """rank of each strategy within its symbol, nulls last, ties in the order of registration; delta to the best. The
+    benchmark comes after them, has no rank, and its delta is to the best strategy."""
+    ranked = C("strategy") != BENCHMARK
+    w = Window.partitionBy(*(k for k in keys(figures) if k != "strategy")).orderBy(ranked.desc(), C(by).desc_nulls_last(), place(order), "strategy")
+    return figures.withColumns({"rank": F.when(ranked, F.row_number().over(w)), "delta": C(by) - F.first(F.when(ranked, C(by))).over(w)})
 
 
 def best_and_worst(equity: DataFrame) -> DataFrame:

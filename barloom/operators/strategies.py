@@ -209,13 +209,23 @@ strategy("bollinger_reversion", "Bollinger reversion", lambda b, p: I.bollinger(
          lambda p: _reverting(C("close"), C("bb_lower"), C("bb_upper"), C("bb_mid"), at_least=True), period=20, num_std=2.0)
 
 
+BENCHMARK = "buy_and_hold"
+
+
+def registered() -> tuple[str, ...]:
+    """All strategies that compete, in the order of registration; the benchmark does not."""
+    out = list(REGISTRY)
+    out.insert(out.index("range_breakout") + 1, "chart_pattern_breakout")
+    return tuple(out)
+
+
 def buy_and_hold(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"signal": F.lit(1), "stop_price": F.lit(None).cast("double"), "target_price": F.lit(None).cast("double")})
 
 
 def signals(bars: DataFrame, name: str, exit_mode: str | None = None, **params) -> DataFrame:
     """The bars with signal (-1, 0 or 1), stop_price and target_price (null: none)."""
-    if name == "buy_and_hold":
+    if name == BENCHMARK:
         return buy_and_hold(bars)
     if name == "chart_pattern_breakout":
         from . import chart

@@ -286,13 +286,13 @@ def _periods(spark, sf_dir):
     return metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0])
 
 
-NAMES = ["awesome_oscillator", "bollinger_reversion", "volume_momentum"]
+NAMES = list(strategies.registered())
 
 
 @query("compare_rank")
 def flagship(spark, sf_dir):
-    """Strategies back-tested on every symbol and ranked by Sharpe ratio."""
-    return metrics.ranking(rounded(A.compare(S.hourly(spark, sf_dir), NAMES), *FIGURES), "sharpe_ratio", tuple(NAMES))
+    """All strategies back-tested on every symbol and ranked by Sharpe ratio, and the benchmark."""
+    return metrics.ranking(rounded(A.comparison(S.hourly(spark, sf_dir)), *FIGURES), "sharpe_ratio", tuple(NAMES))
 
 
 # Analysis

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import analysis, backtest, chart, frames, indicators, journal, kernels, metrics, strategies, ticks
+from barloom.plans import queries as plans
 from barloom.sources import fixtures, store
 from barloom.streaming import bars as stream
 
@@ -256,3 +257,16 @@ def test_period_windows(spark):
     assert {(r.kind, r.change) for r in p.collect()} == {("worst", -300.0), ("best", 300.0)}
     assert got["worst", "during"].num_bars == 4 and got["worst", "pre"].num_bars == 2 and got["worst", "post"].price_change_pct == pytest.approx(12 / 11 - 1)
     assert ("best", "pre") not in got and got["best", "during"].volume_ratio == pytest.approx(11.5 / 14)
+
+
+def test_every_strategy_competes_and_the_benchmark_has_no_rank(spark):
+    names = strategies.registered()
+    assert len(names) == 14 and names[6:9] == ("range_breakout", "chart_pattern_breakout", "awesome_oscillator")
+    df = spark.createDataFrame(walk(4, 16), BARS)
+    rows = metrics.ranking(analysis.comparison(df), "sharpe_ratio", names).collect()
+    ranked, (held,) = [r for r in rows if r.rank is not None], [r for r in rows if r.rank is None]
+    assert sorted(r.strategy for r in ranked) == sorted(names) and sorted(r.rank for r in ranked) == list(range(1, 15))
+    assert held.strategy == "buy_and_hold" and held.num_trades == 1  # held over night
+    best = next(r for r in ranked if r.rank == 1)
+    assert math.isclose(held.delta, held.sharpe_ratio - best.sharpe_ratio, abs_tol=1e-9)
+    assert plans.NAMES == list(names)  # what the walk-forward queries run

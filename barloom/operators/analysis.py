@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, correlation, keys, ratio, rolling, series, true
 from ..functions.tables import materialize
-from . import backtest, candles, frames, indicators as I, metrics as M, strategies
+from . import backtest, candles, chart, frames, indicators as I, metrics as M, strategies
 
 C = F.col
 LEAST_SEEN = 5  # occurrences from which a win rate counts
@@ -216,23 +216,34 @@ def validate_cross_section(bars: DataFrame, ahead: int = 1, train_days: int = 60
     return table.select("fold_id").join(found, "fold_id", "left").withColumn("n_timestamps", F.coalesce("n_timestamps", F.lit(0)))
 
 
-def recent_patterns(bars: DataFrame, lookback: int = 5) -> DataFrame:
-    """Patterns seen on each series' last bars, and those forming on its last."""
+def recent_patterns(bars: DataFrame, lookback: int = 5, shapes: DataFrame | None = None) -> DataFrame:
+    """What each series' last bars show, by pattern_kind: candlesticks, confirmed or forming on the last bar; breakouts of
+    chart patterns; a contracted range on the last bar. `shapes`: chart_patterns of the bars, where they are known."""
     per, last = keys(bars), F.row_number().over(series(bars).orderBy(F.desc("ts")))
     df = candles.candle_patterns(bars).withColumn("_back", last).where(C("_back") <= lookback)
     seen = long_form(df, candles.DIRECTIONS, [*per, "ts", "_back"], True).where("seen").withColumn("state", F.lit("confirmed"))
     forming = long_form(df.where("_back = 1"), {"morning_star_forming": "bullish", "evening_star_forming": "bearish"}, [*per, "ts", "_back"]).where("seen").withColumn("state", F.lit("forming"))
-    return seen.unionByName(forming).select(*per, "ts", "name", "direction", "state", "confidence")
+    columns = [*per, "ts", "name", "direction", "state", "confidence", "pattern_kind"]
+    out = seen.unionByName(forming).withColumn("pattern_kind", F.lit("candlestick")).select(*columns)
+    shapes = materialize(chart.chart_patterns(bars)) if shapes is None else shapes
+    broken = shapes.join(bars.groupBy(*per).agg(F.count("*").alias("_n")), per).where(C("breakout_idx") >= C("_n") - lookback)
+    broken = broken.withColumns({"ts": C("breakout_time").cast(bars.schema["ts"].dataType), "state": F.lit("confirmed"), "pattern_kind": F.lit("chart")})
+    coiled = I.range_contraction(bars).withColumn("_back", last).where((C("_back") == 1) & C("contraction"))
+    coiled = coiled.withColumns({"name": F.lit("range_contraction"), "direction": F.lit("neutral"), "state": F.lit("contraction"), "confidence": F.lit(None).cast("double"), "pattern_kind": F.lit("range")})
+    return out.unionByName(broken.select(*columns)).unionByName(coiled.select(*columns))
 
 
 def scan(bars: DataFrame, watchlist: DataFrame, least_win: float = 0.55, lookback: int = 5, ahead: int = 10) -> DataFrame:
-    """Recent patterns of watched symbols with a good record, best first; watched symbols without bars come as skipped."""
+    """Recent candlesticks and chart breakouts of watched symbols with a good record, best first; watched symbols without
+    bars come as skipped."""
     watched = watchlist.select("symbol").distinct()
-    some = bars.join(watched, "symbol", "left_semi")
-    good = pattern_stats(some, ahead).where((C("win_rate") >= least_win) & (C("occurrences") >= LEAST_SEEN))
-    per = keys(bars)
-    hits = recent_patterns(some, lookback).where("state = 'confirmed'").join(good.select(*per, "name", "win_rate", "occurrences", "avg_forward_return"), [*per, "name"])
-    hits = hits.select("symbol", "ts", "name", "direction", "confidence", "win_rate", "occurrences", "avg_forward_return", F.lit(False).alias("skipped"))
+    some = materialize(bars.join(watched, "symbol", "left_semi"))
+    per, shapes = keys(bars), materialize(chart.chart_patterns(some))
+    stats = pattern_stats(some, ahead).withColumn("pattern_kind", F.lit("candlestick"))
+    stats = stats.unionByName(chart.chart_pattern_stats(some, ahead, shapes).withColumn("pattern_kind", F.lit("chart")))
+    good = stats.where((C("win_rate") >= least_win) & (C("occurrences") >= LEAST_SEEN)).select(*per, "pattern_kind", "name", "win_rate", "occurrences", "avg_forward_return")
+    hits = recent_patterns(some, lookback, shapes).where("state = 'confirmed'").join(good, [*per, "pattern_kind", "name"])
+    hits = hits.select("symbol", "ts", "name", "pattern_kind", "direction", "confidence", "win_rate", "occurrences", "avg_forward_return", F.lit(False).alias("skipped"))
     none = watched.join(bars.select("symbol").distinct(), "symbol", "left_anti").withColumn("skipped", F.lit(True))
     return hits.unionByName(none, allowMissingColumns=True)
 

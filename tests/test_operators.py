@@ -270,3 +270,16 @@ def test_every_strategy_competes_and_the_benchmark_has_no_rank(spark):
     best = next(r for r in ranked if r.rank == 1)
     assert math.isclose(held.delta, held.sharpe_ratio - best.sharpe_ratio, abs_tol=1e-9)
     assert plans.NAMES == list(names)  # what the walk-forward queries run
+
+
+def test_chart_breakouts_and_contraction_are_recent_patterns_and_hits(spark):
+    df = spark.createDataFrame(walk(9, 60), BARS).localCheckpoint()
+    n, shapes = df.count(), chart.chart_patterns(df).localCheckpoint()
+    want = sorted((r.breakout_time, r.name, r.direction) for r in shapes.collect() if r.breakout_idx >= n - 60)
+    recent = analysis.recent_patterns(df, 60, shapes).collect()
+    assert want and sorted((r.ts, r.name, r.direction) for r in recent if r.pattern_kind == "chart") == want
+    last = indicators.range_contraction(df).orderBy(F.desc("ts")).first()
+    assert [r.ts for r in recent if r.pattern_kind == "range"] == ([last.ts] if last.contraction else [])
+    good = {r.name for r in chart.chart_pattern_stats(df, 10, shapes).collect() if r.occurrences >= 5 and r.win_rate >= 0.3}
+    hits = analysis.scan(df, df.select("symbol").distinct(), 0.3, 60).where("pattern_kind = 'chart'").collect()
+    assert good and sorted((h.ts, h.name, h.direction) for h in hits) == [w for w in want if w[1] in good]

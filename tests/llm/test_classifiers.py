@@ -62,11 +62,42 @@ def test_subwords_against_plain_slices():
     who, what = toxicity.subwords(words)
     for i, w in enumerate(words):
         raw = f"<{toxicity.EDGE.sub('', w)}>".encode()
-        assert (who == i).sum() == 1 + sum(max(0, len(raw) - n + 1) for n in toxicity.NGRAMS)
+        assert (who == i).sum() == max(1, sum(max(0, len(raw) - n + 1) for n in toxicity.NGRAMS))  # n-grams, or the one bucket of short words
     one = toxicity.subwords(["idiot"])
     assert np.array_equal(np.sort(one[1]), np.sort(what[who == 0]))
 
 
+def test_toxicity_scores_against_plain_averages():
+    """The score is the softmax of the weighted mean of all words, each the mean of its buckets."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS), rng.normal(0, 1, toxicity.BUCKETS), 0.3)
+    texts = ["one two two three", "  ", None, "!", "idiots " * 5000 + "x"]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        logits, weights = [], []
+        for w in (text or "").lower().split():
+            at = toxicity.subwords([w])[1]
+            logits.append(model.table[0, at].mean())
+            weights.append(np.exp(model.table[1, at].astype(float).mean()))
+        mean = np.average(logits, weights=weights) if logits else 0.0
+        assert abs(got - 1 / (1 + np.exp(-mean - 0.3))) < 1e-4
+
+
+def test_toxicity_gradient():
+    """Slopes of the loss along every trained number, by differences."""
+    bags = toxicity.Bags(["a bad bad word", "one more", "word"])
+    rng = np.random.default_rng(5)
+    emb, back = rng.normal(0, 0.3, (toxicity.DIM + 1, toxicity.BUCKETS)), rng.normal(0, 1, (toxicity.DIM, 3))
+    v, share, mean = bags.means(emb)
+    got = bags.gradient(v, share, mean, back)
+    for b in np.unique(np.concatenate([what for what, _, _ in bags.buckets]))[:12]:
+        for d in range(toxicity.DIM + 1):
+            up, down = emb.copy(), emb.copy()
+            up[d, b] += 1e-5
+            down[d, b] -= 1e-5
+            slope = ((bags.means(up)[2] - bags.means(down)[2]) * back).sum() / 2e-5
+            assert abs(slope - got[d, b]) < 1e-6
+
+
 def test_toxicity_small_cases(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as y")
     labels = spark.createDataFrame([(1, 0), (None, 1), (4, None), (9, 1)], "doc_id long, toxic int")

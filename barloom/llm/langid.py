@@ -2,8 +2,8 @@
 
 A text is cut, from left to right, into the longest phrases that the language's text contains (a character it doesn't
 have is a phrase of its own). Phrases times the logarithm of the language's sample length, over the text's length,
-estimate the cross entropy; the language with the least wins. Automata are dense tables, and many texts step through
-them side by side.
+estimate the cross entropy; the language with the least wins. Every letter of any sample is a symbol of its own. Moves by
+the most frequent symbols are dense tables, all others a sorted list, and many texts step through them side by side.
 """
 
 from __future__ import annotations
@@ -14,54 +14,50 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, remainder
 
-#: The fitting sample: so many labelled documents of a language, and so many normalised characters of them together.
-DOCS_PER_LANG, CHARS_PER_LANG = 64, 16_000
-ALPHABET = 62
+#: The fitting sample: so many labelled documents of a language, whole, drawn among those of up to so many characters; only
+#: where a language has fewer such are longer ones drawn too, cut to that.
+DOCS_PER_LANG, LONGEST = 16, 2_000
+DENSE = 64  # symbols with a column of the table
 BLOCK, LANES = 2048, 2048
 SPACE, OTHER = 0, 1
 
 
 @cache
 def folded() -> np.ndarray:
-    """For each code point of the basic plane its lower-case letter, or 0 if it is no letter."""
-    out = np.zeros(1 << 16, np.uint16)
-    for c in range(1 << 16):
+    """For each code point its lower-case letter, or 0 if it is no letter; the planes from the fourth on have none."""
+    out = np.zeros(0x34001, np.uint32)
+    for c in range(len(out) - 1):
         if unicodedata.category(chr(c))[0] == "L":
             low = chr(c).lower()
-            out[c] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else c
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
 def letters(text: str) -> np.ndarray:
-    """Lower-case letters as code points, everything else as 0, and runs of that as one. Letters beyond the basic plane
-    become 0xFFFF."""
+    """Lower-case letters as code points, everything else as 0, and runs of that as one."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    out = np.where(points < 1 << 16, folded()[np.minimum(points, 0xFFFF)], 0xFFFF if len(points) else 0).astype(np.uint16)
-    high = np.flatnonzero(points >= 1 << 16)
-    for i in high:
-        if unicodedata.category(chr(points[i]))[0] != "L":
-            out[i] = 0
+    out = folded()[np.minimum(points, len(folded()) - 1)]
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
 
 
-def automaton(symbols: list[int], alphabet: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton, -1 where there is none; state 0 is the root."""
-    moves: list[list[int]] = [[-1] * alphabet]
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is the root."""
+    moves: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
         new = len(moves)
-        moves.append([-1] * alphabet)
+        moves.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and moves[p][s] < 0:
+        while p >= 0 and s not in moves[p]:
             moves[p][s] = new
             p = link[p]
         if p >= 0:
@@ -70,15 +66,15 @@ def automaton(symbols: list[int], alphabet: int) -> np.ndarray:
                 link[new] = q
             else:
                 twin = len(moves)
-                moves.append(moves[q][:])
+                moves.append(dict(moves[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and moves[p][s] == q:
+                while p >= 0 and moves[p].get(s) == q:
                     moves[p][s] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return np.array(moves, np.int32)
+    return moves
 
 
 class Model:
@@ -87,32 +83,47 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         text = {}
         for lang in sorted(samples):
-            got, n = [], 0
-            for t in samples[lang]:
-                if n >= CHARS_PER_LANG:
-                    break
-                got.append(letters(t)[: CHARS_PER_LANG - n])
-                n += len(got[-1])
-            if n and any(g.any() for g in got):
+            got = [letters(t) for t in samples[lang]]
+            if any(g.any() for g in got):
                 text[lang] = np.concatenate(got)
         self.langs = list(text)
-        used, counts = np.unique(np.concatenate([*text.values(), np.zeros(1, np.uint16)]), return_counts=True)
-        common = used[(used > 0) & (used < 0xFFFF)][np.argsort(-counts[(used > 0) & (used < 0xFFFF)], kind="stable")][:ALPHABET]
-        self.symbol = np.full(1 << 16, OTHER, np.uint8)
+        used, counts = np.unique(np.concatenate([*text.values(), np.zeros(1, np.uint32)]), return_counts=True)
+        ranked = used[np.argsort(-counts, kind="stable")]
+        ranked = ranked[ranked > 0]
+        self.symbol = np.full(len(folded()), OTHER, np.int32)
         self.symbol[0] = SPACE
-        self.symbol[common] = np.arange(2, 2 + len(common))
-        self.width = 2 + len(common)
-        tables, roots, at = [], [], 0
+        self.symbol[ranked] = np.arange(2, 2 + len(ranked))
+        self.symbols, self.width = 2 + len(ranked), min(DENSE, 2 + len(ranked))
+        tables, roots, keys, to, at = [], [], [], [], 0
         for lang in self.langs:
-            symbols = self.symbol[text[lang]]
-            t = automaton(symbols[symbols != OTHER].tolist(), self.width)
-            tables.append(np.where(t < 0, -1, t + at))
+            moves = automaton(self.symbol[text[lang]].tolist())
+            table = np.full((len(moves), self.width), -1, np.int32)
+            for state, out in enumerate(moves):
+                for s, target in out.items():
+                    if s < self.width:
+                        table[state, s] = target + at
+                    else:
+                        keys.append((state + at) * self.symbols + s)
+                        to.append(target + at)
+            tables.append(table)
             roots.append(at)
-            at += len(t)
+            at += len(moves)
         self.table = np.ascontiguousarray(np.concatenate(tables)).reshape(-1) if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.to = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max), np.append(np.array(to, np.int32)[order], -1).astype(np.int32)
         self.roots = np.array(roots, np.int32)
         self.cost = np.array([math.log2(len(text[lang]) + 1) for lang in self.langs])
 
+    def moved(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where each state goes by a symbol, -1 for nowhere."""
+        out = self.table[state * self.width + np.minimum(symbol, self.width - 1)]
+        rare = np.flatnonzero(symbol >= self.width)
+        if len(rare):
+            key = state[..., rare].astype(np.int64) * self.symbols + symbol[rare]
+            at = np.searchsorted(self.keys, key)
+            out[..., rare] = np.where(self.keys[at] == key, self.to[at], -1)
+        return out
+
     def phrases(self, lanes: list[np.ndarray]) -> np.ndarray:
         """Phrases of each lane (symbols) in each language."""
         order = sorted(range(len(lanes)), key=lambda i: -len(lanes[i]))
@@ -123,16 +134,15 @@ class Model:
         k = len(self.langs)
         state = np.tile(self.roots, (len(lanes), 1)).T.copy()
         count = np.zeros((k, len(lanes)), np.int32)
-        first = self.table.reshape(-1, self.width)[self.roots]  # [language, symbol]
         active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
         for t, n in enumerate(active):
             s = grid[t, :n]
             now = state[:, :n]
-            to = self.table[now * self.width + s]
+            to = self.moved(now, s)
             at = np.flatnonzero(to.reshape(-1) < 0)
             if len(at):
                 lang, lane = np.divmod(at, n)
-                again = first[lang, s[lane]]
+                again = self.moved(self.roots[lang], s[lane])
                 ended = (now[lang, lane] != self.roots[lang]).astype(np.int32) + (again < 0)
                 count[lang, lane] += ended
                 to[lang, lane] = np.where(again < 0, self.roots[lang], again)
@@ -175,27 +185,28 @@ class Model:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """From up to DOCS_PER_LANG documents of each language, those of the least hashed ids. Only ids and languages are
-    sorted; the texts of the chosen rows come by a join with a list of that bound."""
-    from pyspark.sql import Window
-
+    """From up to DOCS_PER_LANG documents of each language, those of the least hashed ids among the short. Null languages
+    and texts are left out; rows that share an id are told apart by text. Only ids, hashes and languages are sorted; the
+    texts of the chosen rows come by a join with a list of that bound."""
     named = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    draw = F.xxhash64(F.col(id_col), F.lit(6)).alias("draw")
-    order = Window.partitionBy("lang").orderBy("draw", "id")
-    chosen = named.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), draw).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG)
-    ids = chosen.select("id").distinct()
-    got = named.join(F.broadcast(ids), F.col(id_col) == F.col("id"), "left_semi")
-    rows = got.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), draw, F.substring(F.col(text_col), 1, CHARS_PER_LANG).alias("text")).collect()
+    rows = named.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    long, draw = (F.length("text") > LONGEST).alias("long"), F.xxhash64("id", F.lit(6)).alias("draw")
+    order = Window.partitionBy("lang").orderBy("long", "draw", "id", "h")
+    chosen = rows.select("lang", "id", "h", long, draw).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).drop("long")
+    chosen = chosen.groupBy("lang", "id", "h").agg(F.min("k").alias("k"))  # equal rows are one
+    c = F.broadcast(chosen.withColumnsRenamed({"lang": "_lang", "id": "_id", "h": "_h"}))
+    got = rows.join(c, (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    got = got.groupBy("lang", "k").agg(F.min(F.substring("text", 1, LONGEST)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.draw, r.id)):
-        if len(samples.setdefault(r.lang, [])) < DOCS_PER_LANG:
-            samples[r.lang].append(r.text)
+    for r in sorted(got, key=lambda r: (r.lang, r.k)):
+        samples.setdefault(r.lang, []).append(r.text)
     return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every row: `und` and 0 for a text that is null or has no letter, or where nothing was
-    learned. Equal entropies go to the language first by code point. No shuffle."""
+    learned. Equal entropies go to the language first by code point. Repeated rows get equal answers, texts of any length
+    are parsed whole, in blocks of BLOCK, and other columns are not read, whatever their names. No shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
@@ -209,6 +220,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def op6(spark, sf_dir):
+    """The language of every row of `documents`, learned from those whose ids' crc32 isn't 0 by 5. Null and letterless
+    texts are `und`; null ids and languages are kept, and a null language teaches nothing."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held_out = remainder("doc_id", 5) == 0
     model = fit(docs.where(~held_out))

@@ -3,8 +3,8 @@
 A source's target over its size is a whole number of passes plus a fraction; the fraction is every document's inclusion
 probability. The flight phase moves those probabilities along vectors of the null-space of two constraints (words and
 documents of the source), so both totals stay as they are while probabilities reach 0 or 1. It runs in blocks of one
-source; what two constraints leave open in each block meets again in further rounds until each source has one block, and
-the landing settles its last fourteen documents at least cost.
+source; what two constraints leave open in each block, and a few documents of various sizes that it keeps back, meet again
+in further rounds until each source has one block, and the landing settles its last fourteen documents at least cost.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .common import WORD, documents, materialize
 
 BLOCK, LANDING = 2048, 12
 CAP = 3.0
-SCHEMA = "doc_id long, row long, size long, source_no long, source_size long, target double, passes long, x double"
+SCHEMA = "doc_id long, key long, row long, size long, source_no long, source_size long, target double, passes long, x double"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
@@ -97,55 +97,75 @@ def land(x: np.ndarray, sizes: np.ndarray, tiny: float = 1e-9) -> np.ndarray:
     return np.round(x)
 
 
-def finish(x: np.ndarray, sizes: np.ndarray, seed: int, kept: int = LANDING) -> np.ndarray:
-    """The last block of a source: its `kept` smallest documents sit the flight out, for a landing that can be exact."""
-    small = np.argsort(np.where((x > 0) & (x < 1), sizes, np.inf), kind="stable")[:kept]
-    rest = np.setdiff1d(np.arange(len(x)), small)
+def weights_of(sizes: np.ndarray, kept: int) -> np.ndarray:
+    """Documents whose sizes add up to every total within their reach, as far as there are such: each the largest that is
+    at most one more than all before it together, or else the smallest left."""
+    order, reach, chosen = np.argsort(sizes, kind="stable").tolist(), 0.0, []
+    while order and len(chosen) < kept:
+        k = int(np.searchsorted(sizes[order], reach + 1, "right"))
+        chosen.append(order.pop(max(k - 1, 0)))
+        reach += sizes[chosen[-1]]
+    return np.array(chosen, int)
+
+
+def move(x: np.ndarray, sizes: np.ndarray, seed: int, kept: int, last: bool) -> np.ndarray:
+    """The flight of a block. Up to `kept` of its open documents sit it out, so that the landing of the last block of a source
+    has some of all sizes and can be exact."""
+    open_ = np.flatnonzero((x > 0) & (x < 1))
+    rest = np.setdiff1d(np.arange(len(x)), open_[weights_of(sizes[open_], kept)])
     x = x.copy()
     x[rest] = flight(x[rest], sizes[rest], seed)
-    return land(x, sizes)
+    return land(x, sizes) if last else x
+
 
+def reserve(block: int) -> int:
+    """Documents of a block that sit a round out; the next round has at most a few for each block of this."""
+    return min(LANDING, block // 4)
 
-def settle(number: int):
+
+def settle(number: int, block: int):
     """The work of a round on one block of one source; the last round's only block also lands."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["at", "row", "size"], kind="stable")
         sizes, first = pdf["size"].to_numpy(np.float64), pdf.iloc[0]
-        seed = int(first["source_no"]) * 1000003 + int(first["block"]) * 31 + number
-        x = (finish if first["last"] else flight)(pdf["x"].to_numpy(np.float64), sizes, seed)
-        return pdf.assign(x=x)[COLUMNS]
+        seed, last = int(first["source_no"]) * 1000003 + int(first["block"]) * 31 + number, bool(first["last"])
+        return pdf.assign(x=move(pdf["x"].to_numpy(np.float64), sizes, seed, LANDING if last else reserve(block), last))[COLUMNS]
 
     return run
 
 
 def blocks_of(source_docs: Column, number: int, block: int) -> Column:
-    """Blocks of a source in a round: each block before it left two documents open."""
+    """Blocks of a source in a round: each block before it left a reserve and two documents open."""
     out = F.ceil(source_docs / block)
     for _ in range(number):
-        out = F.ceil(2 * out / block)
+        out = F.when(out <= 1, 1).otherwise(F.ceil((2 + reserve(block)) * out / block))
     return F.greatest(out, F.lit(1)).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP, block: int = BLOCK,
-        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of `docs`.
+        id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, row for every row of `docs`.
 
     size: words of the text (null: 0); null is a source of its own, the last. taken is size times copies, and copies is
     the passes of the source or one more, at most `cap`. A source without words has target 0 and copies 0. Repeated rows
-    are documents of their own. Draws are hashed from ids, so reruns agree.
+    are documents of their own: equal ones are counted first and then numbered, so that a row's draws are hashed from what
+    it holds and its number among its equals, reruns agree, and no block gets all copies of one row. Other columns are not
+    read; `row` names the rows equal to this in id, text and source, or in what `row_col` says.
     """
-    sized = materialize(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+    known = F.xxhash64(*map(F.col, dict.fromkeys((id_col, text_col, source_col)))) if row_col is None else F.col(row_col)
+    counted = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), known.alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ))
+    ).groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("times"))
+    sized = materialize(counted.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times"))
     targets = materialize(source_targets(sized, weights, cap))
     share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     rows = (
         sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
         .withColumn("share", share)
         .select(
-            "doc_id", F.xxhash64("doc_id", "size").alias("row"), "size", "source_no", "source_size", "target",
+            "doc_id", "key", F.xxhash64("key", "number").alias("row"), "size", "source_no", "source_size", "target",
             F.floor("share").cast("long").alias("passes"), (F.col("share") - F.floor("share")).alias("x"),
             blocks_of(F.col("source_docs"), 0, block).alias("blocks"),
         )
@@ -156,21 +176,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = CAP,
     while True:
         dealt = rows.withColumn("at", F.xxhash64("row", F.lit(number))).withColumn("last", F.col("blocks") <= 1)
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row", F.lit(1000 + number)), F.col("blocks")))
-        made = materialize(dealt.groupBy("source_no", "block").applyInPandas(settle(number), SCHEMA)
+        made = materialize(dealt.groupBy("source_no", "block").applyInPandas(settle(number, block), SCHEMA)
                            .join(targets.select("source_no", "source_docs"), "source_no"))
         whole = F.col("x").isin(0.0, 1.0)
         settled.append(made.where(whole))
         if blocks <= 1:
             break
-        # a block leaves two documents open, so the next round has fewer by three orders of magnitude
-        number, blocks = number + 1, -(-2 * blocks // block)
+        # a block leaves fourteen documents open, so the next round has fewer by two orders of magnitude
+        number, blocks = number + 1, -(-(2 + reserve(block)) * blocks // block)
         rows = made.where(~whole).withColumn("blocks", blocks_of(F.col("source_docs"), number, block)).drop("source_docs")
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
     copies = F.when(F.col("source_size") > 0, F.col("passes") + F.col("x").cast("long")).otherwise(0)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("key").alias("row"))
 
 
 def op10(spark, sf_dir):
-    return mix(documents(spark, sf_dir, "doc_id", "text", "source"))
+    """The mix of all rows of `documents`; null and empty texts have size 0, and repeated rows are taken each by itself."""
+    return mix(documents(spark, sf_dir, "doc_id", "text", "source")).drop("row")

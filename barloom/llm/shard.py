@@ -77,19 +77,19 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
     Law `key`: doc_id and the number of shards decide; one more shard only takes rows. Null ids share the shard of the
     empty key; null texts have no bytes (size 1, crc32 0). Repeated rows share a shard and get slots of their own.
-    Slots are numbered within (shard, part) with `parts` hashed parts of a shard, and then moved by the counts of the
-    parts before: no task sorts a whole shard.
+    Slots are numbered within (shard, part) with `parts` parts of a shard, hashed from id and text, and then moved by the
+    counts of the parts before: no task sorts a whole shard, nor all rows without an id.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    size, crc = F.octet_length(text).cast("long") + 1, F.crc32(text.cast("binary"))
+    slot = F.md5(F.concat_ws(":", F.lit("slot"), key, size.cast("string"), crc.cast("string")).cast("binary"))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"),
         F.lit("key").alias("law"),
         place(key, tree(shards)).cast("int").alias("shard"),
         place(key, tree(shards + 1)).cast("int").alias("grown_shard"),
-        F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), key).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.conv(F.substring(slot, 1, 8), 16, 10).cast("long"), F.lit(parts)).cast("int").alias("part"),
     )
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,4 +102,5 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
 
 
 def op7(spark, sf_dir):
+    """Shards 0 to 15 for all rows of `documents`; nulls, repeated rows and empty texts as assign_shards() says."""
     return assign_shards(documents(spark, sf_dir, "doc_id", "text"))

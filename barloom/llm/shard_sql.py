@@ -40,5 +40,5 @@ def oracle() -> str:
     new = f"{draw('x16', 1.0)} > greatest({draw('r0', 8.0)}, {draw('r1', 8.0)})"
     return f"""with t as (select doc_id, coalesce(text, '') as text, coalesce(cast(doc_id as varchar), '') as key from documents), c as materialized ({crc32()}),
 r as (select *, {best(['r0', 'r1'], 8.0, 0)} as region from c), k as (select *, {choose('region', racks)} as rack from r),
-s as (select *, cast({choose('rack', shards)} as integer) as shard, cast(('0x' || substr(md5('slot:' || key), 1, 8)) as bigint) % {PARTS} as part, cast(strlen(text) + 1 as bigint) as size from k)
+s as (select *, cast({choose('rack', shards)} as integer) as shard, cast(('0x' || substr(md5('slot:' || key || ':' || (strlen(text) + 1) || ':' || crc), 1, 8)) as bigint) % {PARTS} as part, cast(strlen(text) + 1 as bigint) as size from k)
 select doc_id, size, crc as text_crc32, 'key' as law, shard, cast(row_number() over (partition by shard order by part, doc_id, size, crc) - 1 as bigint) as slot, case when {new} then 16 else shard end as grown_shard from s"""

@@ -116,6 +116,27 @@ def test_mix_rounds_and_small_cases(spark):
     assert {r.taken for r in mix.mix(small(spark).where("text is null or text = ''")).collect()} == {0}
 
 
+def test_move_against_all_ways():
+    """A last block lands on the total that the best of all subsets has, and keeps the number of documents nearly."""
+    rng = np.random.default_rng(8)
+    for n in (3, 9, 13):
+        sizes = rng.integers(1, 60, n).astype(float)
+        x = np.full(n, 0.4)
+        y = mix.move(x, sizes, 5, mix.LANDING, True)
+        ways = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(float)
+        assert set(y) <= {0.0, 1.0}
+        assert abs(y @ sizes - x @ sizes) <= np.abs(ways @ sizes - x @ sizes).min() + (0 if n <= mix.LANDING else 1)
+
+
+def test_mix_equal_rows_without_ids(spark):
+    """Copies of one row without an id spread over blocks and come back as often as they are."""
+    docs = spark.range(300).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, 'b', 'a') as source", "'w w w' as text")
+    made = mix.mix(docs, block=32).collect()
+    assert len(made) == 300 and {r.taken for r in made} <= {0, 3, 6, 9}
+    for target in {r.target for r in made}:
+        assert abs(sum(r.taken for r in made if r.target == target) - target) <= 3
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     sizes, x = rng.integers(1, 1000, 500).astype(float), np.full(500, 0.37)

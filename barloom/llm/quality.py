@@ -2,8 +2,9 @@
 
 Every text gives a vector of four transformed statistics. For each language and source, concentration steps look for the
 share of documents whose covariance has the least determinant: distances from the current centre and scatter, the rows
-within the share's quantile, their mean and covariance, and again. A document is rejected when its Mahalanobis distance
-from the group's final estimate is beyond a chi-square quantile.
+within the share's quantile, their mean and covariance, and again, until no determinant changes. They run from two starts
+side by side, and of each group the end with the lesser determinant counts. A document is rejected when its Mahalanobis
+distance from the group's estimate is beyond a chi-square quantile.
 
 All sums are over whole numbers and all quantiles over counted bins, so results don't depend on the order of rows, and
 nothing larger than a table of groups and bins leaves the map side.
@@ -21,11 +22,11 @@ from .common import WORD, documents, materialize
 SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UNIT = 10_000  # whole numbers in one unit of a transformed statistic
-#: Standard deviations that are added to each estimate: of the statistics as transformed. Statistics that are zero for
-#: most documents would have none, and anything but zero would count as an outlier.
-FLOORS = (0.05, 0.03, 0.2, 0.25)
-SHARE, STEPS, TAIL, LEAST_ROWS = 0.75, 4, 1e-5, 64
-P = len(FLOORS)
+SHARE, STEPS, TAIL, LEAST_ROWS = 0.75, 6, 1e-5, 64
+#: Words of the shortest text that passes the base rules, words of its least repeat (two windows of three), and lines and
+#: words of five characters that stand in for what a short text doesn't tell.
+SHORTEST, REPEAT, LINES, WORDS = 50, 6, 20, 50
+P = 4
 X = [f"x{i}" for i in range(P)]
 
 
@@ -98,10 +99,9 @@ def with_vector(stats: DataFrame) -> DataFrame:
     """base_failed, and the transformed statistics as whole numbers of 1/UNIT."""
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     raw = (
-        # fifty words of five characters stand in for what a short text doesn't tell
-        F.ln((F.col("word_chars") + 250.0) / (F.col("n_words") + 50.0)),
+        F.ln((F.col("word_chars") + 5.0 * WORDS) / (F.col("n_words") + float(WORDS))),
         F.ln(ratio("n_symbols", "n_words") + 1.0),
-        F.asin(F.sqrt(F.least(ratio("n_dup_lines", "n_lines"), F.lit(1.0)))),
+        F.asin(F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + float(LINES)))),
         F.asin(F.sqrt(F.least(ratio("n_repeat_words", "n_words"), F.lit(1.0)))),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -125,12 +125,22 @@ def by_group(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table, "g")
 
 
-def bin_at(binned: DataFrame, share: float) -> DataFrame:
-    """g and the least bin `cut` that holds at least `share` of the group's rows with all before it."""
-    counts = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("g").orderBy("bin")
-    counts = counts.withColumns({"upto": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("g"))})
-    return counts.where(F.col("upto") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("cut"))
+def floors(passing: DataFrame) -> tuple[float, ...]:
+    """Standard deviations that are added to each estimate, since statistics that are zero for most documents have none:
+    what one character or symbol makes in the shortest text that passes, and what one repeated line or window makes in a
+    text of the median number of lines or words. Two whole numbers come to the driver."""
+    half = {r.g: r.cut for r in bin_at(passing.select(F.explode(F.array(*(F.struct(F.lit(c).alias("g"), F.col(c).alias("bin")) for c in ("n_lines", "n_words")))).alias("r")).select("r.*"), 0.5, ["g"]).collect()}
+    lines, words = max(half.get("n_lines", 1), 1), max(half.get("n_words", SHORTEST), SHORTEST)
+    size = 5.0 * (SHORTEST + WORDS)
+    return math.log((size + 1) / size), math.log(1 / SHORTEST + 1), math.asin(math.sqrt(1 / (lines + LINES))), math.asin(math.sqrt(REPEAT / words))
+
+
+def bin_at(binned: DataFrame, share: float, by: list[str]) -> DataFrame:
+    """`by` and the least bin `cut` that holds at least `share` of the group's rows with all before it."""
+    counts = binned.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    up = Window.partitionBy(*by).orderBy("bin")
+    counts = counts.withColumns({"upto": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy(*by))})
+    return counts.where(F.col("upto") >= F.col("all") * share).groupBy(*by).agg(F.min("bin").alias("cut"))
 
 
 def distance(rows: DataFrame) -> DataFrame:
@@ -145,16 +155,26 @@ def distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum(made.values(), F.lit(0.0)))
 
 
-def moments(kept: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of `scale` times the covariance plus the squared floors, by group."""
+ENDS = ["g", "start"]
+FACTOR = [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
+ESTIMATE = [f"m{i}" for i in range(P)] + FACTOR
+
+
+def log_det() -> Column:
+    """Of the scatter, to nine places."""
+    return F.round(sum((2 * F.ln(F.col(f"l{i}{i}")) for i in range(1, P)), 2 * F.ln(F.col("l00"))), 9).alias("log_det")
+
+
+def moments(kept: DataFrame, scale: float, floor: tuple[float, ...]) -> DataFrame:
+    """Mean and Cholesky factor of `scale` times the covariance plus the squared floors, by group and start."""
     dec = lambda c: c.cast("decimal(20,0)")
     sums = {f"s{i}": F.sum(dec(F.col(X[i]))) for i in range(P)}
     sums |= {f"q{i}{j}": F.sum(dec(F.col(X[i]) * F.col(X[j]))) for i in range(P) for j in range(i + 1)}
-    out = kept.groupBy("g").agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()))
+    out = kept.groupBy(*ENDS).agg(F.count("*").alias("n"), *(v.alias(k) for k, v in sums.items()))
     out = out.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / F.col("n") / UNIT for i in range(P)})
     out = out.withColumns({
         f"c{i}{j}": F.lit(scale) * (F.col(f"q{i}{j}").cast("double") / F.col("n") / (UNIT * UNIT) - F.col(f"m{i}") * F.col(f"m{j}"))
-        + (FLOORS[i] ** 2 if i == j else 0.0)
+        + (floor[i] ** 2 if i == j else 0.0)
         for i in range(P) for j in range(i + 1)
     })
     for i in range(P):
@@ -163,22 +183,39 @@ def moments(kept: DataFrame, scale: float) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-12))) if i == j else v / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
+    return out.select(*ENDS, *ESTIMATE)
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The minimum-covariance-determinant estimate of each group of `rows` (g, x0..). Starts from coordinate medians
-    with the floors as scales."""
+def starts(rows: DataFrame, floor: tuple[float, ...]) -> DataFrame:
+    """Coordinate medians with the floors as scales (start 0), and with the spread of the middle half added (start 1)."""
     long = rows.select("g", F.posexplode(F.array(*(F.floor(F.col(x) / 20).cast("long") for x in X))).alias("i", "bin"))
-    medians = bin_at(long.withColumn("g", F.struct("g", "i")), 0.5).select("g.g", "g.i", "cut")
-    start = medians.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, (F.col("cut") * 20 + 10) / F.lit(float(UNIT)))).alias(f"m{i}") for i in range(P)))
-    current = start.withColumns({f"l{i}{j}": F.lit(FLOORS[i] if i == j else 0.0) for i in range(P) for j in range(i + 1)})
+    cuts = [bin_at(long, q, ["g", "i"]).withColumnRenamed("cut", name) for q, name in ((0.25, "low"), (0.5, "mid"), (0.75, "high"))]
+    table = cuts[0].join(cuts[1], ["g", "i"]).join(cuts[2], ["g", "i"])
+    pick = lambda c, i: F.max(F.when(F.col("i") == i, c))
+    wide = table.groupBy("g").agg(
+        *(pick((F.col("mid") * 20 + 10) / F.lit(float(UNIT)), i).alias(f"m{i}") for i in range(P)), *(pick((F.col("high") - F.col("low")) * 20 / F.lit(1.349 * UNIT), i).alias(f"w{i}") for i in range(P)),
+    )
+    wide = wide.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    scale = {f"l{i}{j}": F.sqrt(F.lit(floor[i] ** 2) + F.col("start") * F.col(f"w{i}") * F.col(f"w{i}")) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
+    return wide.withColumns(scale).select(*ENDS, *ESTIMATE)
+
+
+def estimates(rows: DataFrame, floor: tuple[float, ...], steps: int = STEPS) -> DataFrame:
+    """The minimum-covariance-determinant estimate of each group of `rows` (g, x0..): of both starts the one whose last
+    determinant is less, the first of equals. After `steps` steps it stops unsettled."""
+    current = materialize(starts(rows, floor))
     for _ in range(steps):
-        current = materialize(current)
         near = distance(by_group(rows, current)).withColumn("bin", F.floor(F.ln(F.col("d2") + 1) * 64).cast("long"))
-        cuts = materialize(bin_at(near, SHARE))
-        current = moments(by_group(near, cuts).where(F.col("bin") <= F.col("cut")), CONSISTENCY)
-    return materialize(current)
+        cuts = materialize(bin_at(near, SHARE, ENDS))
+        inside = near.join(cuts, ENDS).where(F.col("bin") <= F.col("cut"))
+        after = materialize(moments(inside, CONSISTENCY, floor))
+        before = current.select(*ENDS, log_det().alias("was"))
+        changed = after.select(*ENDS, log_det()).join(before, ENDS).where("log_det <> was").limit(1).count()
+        current = after
+        if not changed:
+            break
+    best = Window.partitionBy("g").orderBy(log_det(), "start")
+    return materialize(current.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn", "start"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -198,7 +235,7 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The group of each (lang, source), and the estimates of each group."""
     passing = rows.where(~F.col("base_failed"))
     named = materialize(groups(passing))
-    return named, estimates(materialize(grouped(passing, named).select("g", *X)))
+    return named, estimates(materialize(grouped(passing, named).select("g", *X)), floors(passing))
 
 
 def grouped(passing: DataFrame, named: DataFrame) -> DataFrame:
@@ -213,13 +250,13 @@ def judge(rows: DataFrame, model: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of `docs` that quality() keeps, with all their columns. Verdicts are computed where the text is read, so
-    texts aren't shuffled, and ids play no part."""
+    """The rows of `docs` that quality() keeps, with all their columns, whatever their names. Rows are written beside
+    their counts once, so that texts are parsed once and aren't shuffled; ids play no part."""
     whole = docs.select(F.struct(*docs.columns).alias("whole"))
-    read = lambda df: with_vector(statistics(df, "whole", f"whole.{text_col}", f"whole.{lang_col}", f"whole.{source_col}"))
-    model = fit(materialize(read(whole).drop("doc_id")))
-    return judge(read(whole), model).where("kept").select("doc_id.*")
+    rows = materialize(with_vector(statistics(whole, "whole", f"whole.{text_col}", f"whole.{lang_col}", f"whole.{source_col}")))
+    return judge(rows, fit(rows.drop("doc_id"))).where("kept").select("doc_id.*")
 
 
 def op2(spark, sf_dir):
+    """Counts and verdict of every row of `documents`; nulls, empty texts and repeated rows as quality() says."""
     return quality(documents(spark, sf_dir, "doc_id", "text", "lang", "source"))

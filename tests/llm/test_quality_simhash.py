@@ -1,6 +1,7 @@
 import itertools
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from barloom.llm import quality, simhash
@@ -57,6 +58,50 @@ def test_quality_verdicts(spark):
     assert sum(bad) <= 0.1 * len(bad)
 
 
+def test_planted_repeats_below_the_base_rule(spark):
+    """Junk that the base rules let through, in an otherwise clean language and source: texts of repeated short lines, and of
+    lines and words repeated both. A line or a few words said twice are kept."""
+    import random
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 8)))
+    line = lambda n=9: " ".join(word() for _ in range(n))
+    rows = [(i, "\n".join(line() for _ in range(rng.randrange(12, 40)))) for i in range(400)]
+    twice = [(1000 + i, "\n".join([a := line(), *(line() for _ in range(20)), a])) for i in range(8)]
+    lines = [(2000 + i, "\n".join([*(["ok go"] * 60), *(line() for _ in range(32))])) for i in range(8)]
+    both = [(3000 + i, "\n".join([*(["go on now"] * 45), *(line() for _ in range(30))])) for i in range(8)]
+    docs = spark.createDataFrame(rows + twice + lines + both, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    made = {r.doc_id: r for r in quality.quality(docs).collect()}
+    assert not any(r.base_failed for r in made.values())
+    assert sum(made[i].kept for i, _ in rows) >= 395 and all(made[i].kept for i, _ in twice)
+    assert not any(made[i].kept for i, _ in lines + both)
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {i for i, r in made.items() if r.kept}
+
+
+def test_estimates_have_the_least_determinant(spark):
+    """Against a plain loop over the same starts: each step's determinant is no more than the one before, nearly, and the
+    end is the lesser of both."""
+    rows = quality.materialize(quality.with_vector(quality.statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))))
+    named, found = quality.fit(rows)
+    passing = quality.grouped(rows.where("not base_failed"), named).toPandas()
+    floor = quality.floors(rows.where("not base_failed"))
+    for r in found.collect():
+        x = passing.loc[passing["g"] == r.g, quality.X].to_numpy(float) / quality.UNIT
+        ends = []
+        for start in (0, 1):
+            centre = (np.floor(np.quantile(np.round(x * quality.UNIT), 0.5, axis=0, method="inverted_cdf") / 20) * 20 + 10) / quality.UNIT
+            low, high = (np.floor(np.quantile(np.round(x * quality.UNIT), q, axis=0, method="inverted_cdf") / 20) for q in (0.25, 0.75))
+            scatter = np.diag(np.array(floor) ** 2 + start * ((high - low) * 20 / (1.349 * quality.UNIT)) ** 2)
+            for _ in range(quality.STEPS):
+                d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(scatter), x - centre)
+                bins = np.floor(np.log(d2 + 1) * 64)
+                kept = x[bins <= np.quantile(bins, quality.SHARE, method="inverted_cdf")]
+                centre, scatter = kept.mean(0), quality.CONSISTENCY * np.cov(kept.T, bias=True) + np.diag(np.array(floor) ** 2)
+            ends.append(np.linalg.slogdet(scatter)[1])
+        got = sum(2 * np.log(r[f"l{i}{i}"]) for i in range(quality.P))
+        assert got == pytest.approx(min(ends), abs=1e-6)
+
+
 def test_quality_empty_table(spark):
     assert quality.quality(small(spark).limit(0)).collect() == []
 

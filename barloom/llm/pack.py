@@ -1,9 +1,11 @@
 """Lexical retrieval packing: fill each seed's window with its nearest unused neighbours by BM25.
 
-A document's ids are cut into whole windows and a tail. Tails are dealt to shards, those with the same least hashed word
-together, and large buckets split. Each shard has an inverted index of its tails; the longest unused tail is the seed of a
-window, and the index returns unused neighbours by score, which fill the window in that order; the last is cut to fit,
-and its rest stays unused. So every window is full but the last of a shard.
+A document's ids are cut into whole windows and a tail. What retrieves a tail are the words of its whole document, as hashed
+terms. Document frequencies of the terms, the number of documents and their mean length are counted over all documents, and
+every shard weighs its words by them. Tails are dealt to shards, those with the same least hashed word together, and large
+buckets split. Each shard has an inverted index of its tails; the longest unused tail is the seed of a window, and the index
+returns unused neighbours by score, which fill the window in that order; the last is cut to fit, and its rest stays unused.
+So every window is full but the last of a shard.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 SHARD = 512  # tails to a bucket on average, and half of what splits one
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-STAGED = PIECE + ", ids binary, terms binary, bucket long"
+TERMS, CHUNK = 1 << 20, 1 << 14  # hashed terms; terms of which a task counts the documents in one row
+FEW = 2_000_000  # buckets to split that may be broadcast
+STAGED = PIECE + ", ids binary, terms binary, bucket long, row long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
 MARKS = b".,;:!?"
 
 
 class Encoder:
-    """Ids of the public byte-level BPE, and how many bytes of text each stands for."""
+    """Ids of the public byte-level BPE."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -42,18 +46,11 @@ class Encoder:
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.whole = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.widths = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.widths[list(ranks.values())] = [len(token) for token in ranks]
 
     def ids_of(self, text: str) -> np.ndarray:
         """The ids of a text and its end."""
         return np.array([*self.whole.encode_ordinary(text), END_ID], "<u2")
 
-    def tail_of(self, text: str, ids: np.ndarray, tail: int) -> bytes:
-        """The bytes of a text that its last `tail` ids stand for; the end stands for none."""
-        data = text.encode()
-        return data[len(data) - int(self.widths[ids[len(ids) - tail : -1]].sum()) :]
-
 
 @cache
 def encoder(vocabulary: str = VOCABULARY) -> Encoder:
@@ -64,55 +61,93 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def terms_of(data: bytes) -> np.ndarray:
-    """Hashes and counts of the words of a tail without marks around them, as [2, n]; a word that is cut counts as one."""
-    held: dict[bytes, int] = {}
-    for w, n in Counter(data.lower().split()).items():
+def terms_of(text: str) -> np.ndarray:
+    """Hashed terms and counts of the words of a text without marks around them, as [2, n]."""
+    held: dict[int, int] = {}
+    for w, n in Counter(text.encode().lower().split()).items():
         w = w.strip(MARKS)
         if w:
-            held[w] = held.get(w, 0) + n
-    return np.array([list(map(zlib.crc32, held)), [min(c, 255) for c in held.values()]], np.uint32).reshape(2, -1)
+            t = zlib.crc32(w) % TERMS
+            held[t] = held.get(t, 0) + n
+    return np.array([list(held), list(held.values())], np.uint32).reshape(2, -1)
+
+
+def bucket_of(terms: np.ndarray, buckets: int) -> int:
+    least = int((terms[0] * np.uint32(0x9E3779B1)).min()) if terms.size else 0
+    return least * 0x9E3779B97F4A7C15 % (1 << 64) % buckets
 
 
 def pieces(docs: DataFrame, buckets: int, vocabulary: str) -> DataFrame:
-    """Whole windows, each a sequence of its own, and tails with their ids and words."""
+    """Whole windows, each a sequence of its own, and tails with their ids. Terms are with a document's last piece."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, whole, e = TaskContext.get().partitionId() << 38, 0, encoder(vocabulary)
+        base, made, e = TaskContext.get().partitionId() << 38, 0, encoder(vocabulary)
         for pdf in batches:
             for a in range(0, len(pdf), 1000):
                 out = []
                 for i, text in zip(pdf["doc_id"].iloc[a : a + 1000], pdf["text"].iloc[a : a + 1000], strict=True):
                     text = text if isinstance(text, str) else ""
-                    ids = e.ids_of(text)
+                    ids, terms = e.ids_of(text), terms_of(text)
                     tail = len(ids) % WINDOW
-                    for start in range(0, len(ids) - tail, WINDOW):
-                        out.append((i, start, WINDOW, checksum(ids[start : start + WINDOW]), len(ids), (base + whole) * 2, 0, None, None, None))
-                        whole += 1
-                    if tail:
-                        terms = terms_of(e.tail_of(text, ids, tail))
-                        least = int((terms[0] * np.uint32(0x9E3779B1)).min()) if terms.size else 0
-                        rest = ids[len(ids) - tail :]
-                        out.append((i, len(ids) - tail, tail, checksum(rest), len(ids), None, None, rest.tobytes(), terms.tobytes(), least * 0x9E3779B97F4A7C15 % (1 << 64) % buckets))
-                frame = pd.DataFrame(out, columns=[*COLUMNS, "ids", "terms", "bucket"])
-                yield frame.astype({c: "Int64" for c in [*COLUMNS, "bucket"]})
+                    for start in range(0, len(ids), WINDOW):
+                        some = ids[start : start + WINDOW]
+                        last = terms.tobytes() if start + WINDOW >= len(ids) else None
+                        cut = (None, None, some.tobytes(), last, bucket_of(terms, buckets)) if len(some) < WINDOW else ((base + made) * 2, 0, None, last, None)
+                        out.append((i, start, len(some), checksum(some), len(ids), *cut, base + made))
+                        made += 1
+                frame = pd.DataFrame(out, columns=[*COLUMNS, "ids", "terms", "bucket", "row"])
+                yield frame.astype({c: "Int64" for c in [*COLUMNS, "bucket", "row"]})
 
     return docs.mapInPandas(rows, STAGED)
 
 
+class Corpus:
+    """What all documents say: their number, their mean length, and the weight of each hashed term."""
+
+    def __init__(self, documents: int, words: int, frequency: np.ndarray):
+        self.frequency, self.mean = frequency, max(words / max(documents, 1), 1e-9)
+        self.idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5)).astype(np.float32)
+
+
+def corpus(staged: DataFrame) -> Corpus:
+    """Counts over all documents: each task sums its own, a row for each part of the terms, and those are summed by part.
+    TERMS numbers come to the driver, however large the corpus."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, documents, words = np.zeros(TERMS, np.int64), 0, 0
+        for pdf in batches:
+            terms = [np.frombuffer(t, np.uint32).reshape(2, -1) for t in pdf["terms"]]
+            flat = np.concatenate(terms, 1)
+            found += np.bincount(flat[0], minlength=TERMS)
+            documents, words = documents + len(terms), words + int(flat[1].sum(dtype=np.int64))
+        if documents:
+            yield pd.DataFrame([{"part": -1, "found": np.array([documents, words]).tobytes()}] + [{"part": a // CHUNK, "found": found[a : a + CHUNK].tobytes()} for a in range(0, TERMS, CHUNK)])
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(pdf["found"].iloc[0]) // 8, np.int64)
+        for f in pdf["found"]:
+            out += np.frombuffer(f, np.int64)
+        return pd.DataFrame([{"part": pdf["part"].iloc[0], "found": out.tobytes()}])
+
+    schema = "part int, found binary"
+    counted = staged.where(F.col("terms").isNotNull()).select("terms").mapInPandas(rows, schema).groupBy("part").applyInPandas(total, schema)
+    by = {r.part: np.frombuffer(r.found, np.int64) for r in counted.collect()}
+    documents, words = by.pop(-1, np.zeros(2, np.int64)).tolist()
+    return Corpus(documents, words, np.concatenate([by[k] for k in sorted(by)]) if by else np.zeros(TERMS, np.int64))
+
+
 class Index:
     """An inverted index with BM25 weights over the tails of a shard."""
 
-    def __init__(self, terms: list[np.ndarray]):
+    def __init__(self, terms: list[np.ndarray], known: Corpus):
         n = len(terms)
         doc = np.repeat(np.arange(n), [t.shape[1] for t in terms])
         flat = np.concatenate(terms, 1)
         size = np.bincount(doc, flat[1], n)
-        distinct, term, df = np.unique(flat[0], return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        distinct, term, here = np.unique(flat[0], return_inverse=True, return_counts=True)
         tf = flat[1].astype(np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(size.mean(), 1e-9)))
-        common = df[term] > 1  # a word of one tail leads to no neighbour
+        weight = known.idf[flat[0]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / known.mean))
+        common = here[term] > 1  # a word of one tail leads to no neighbour
         order = np.argsort(term[common], kind="stable")
         self.doc, self.weight = doc[common][order], weight[common][order]
         self.begin = np.searchsorted(term[common][order], np.arange(len(distinct)))
@@ -127,12 +162,12 @@ class Index:
         return np.bincount(self.doc[at], self.weight[at], n)
 
 
-def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+def fill(pdf: pd.DataFrame, known: Corpus) -> pd.DataFrame:
     """The windows of a shard."""
-    pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
+    pdf = pdf.sort_values(["doc_id", "start", "row"], kind="stable")
     shard, n = int(pdf["shard"].iloc[0]), len(pdf)
     ids = [np.frombuffer(b, "<u2") for b in pdf["ids"]]
-    index = Index([np.frombuffer(b, np.uint32).reshape(2, -1) for b in pdf["terms"]])
+    index = Index([np.frombuffer(b, np.uint32).reshape(2, -1) for b in pdf["terms"]], known)
     at, left = np.zeros(n, np.int64), np.array([len(x) for x in ids], np.int64)
     starts, totals, names = pdf["start"].to_numpy(np.int64), pdf["doc_tokens"].to_numpy(np.int64), pdf["doc_id"].astype("Int64").tolist()
     out, number = [], 0
@@ -161,19 +196,33 @@ def fill(pdf: pd.DataFrame) -> pd.DataFrame:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
-    Null and empty texts are their end id alone. Repeated rows are packed each; null ids are kept. `vocabulary` names a
-    tiktoken file of public_tokenizers; ids are its, without special tokens.
+    Null and empty texts are their end id alone. Repeated rows are packed each; null ids are kept; texts of any length count
+    whole; other columns are not read, whatever their names. `vocabulary` names a tiktoken file of public_tokenizers; ids are
+    its, without special tokens. Rows are numbered before they are written, and what is written decides their shards.
     """
-    buckets = max(1, docs.count() // SHARD)
+    spark, buckets = docs.sparkSession, max(1, docs.count() // SHARD)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     staged = materialize(pieces(named, buckets, vocabulary))
-    tails = staged.where(F.col("bucket").isNotNull())
-    splits = tails.groupBy("bucket").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("long").alias("splits"))
-    wide = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.col("splits"))
-    tails = tails.join(splits, "bucket").withColumn("shard", F.col("bucket") + F.lit(buckets) * wide)
-    filled = tails.groupBy("shard").applyInPandas(fill, PIECE)
+    held = spark.sparkContext.broadcast(corpus(staged))
+    tails = sharded(staged.where(F.col("bucket").isNotNull()), buckets)
+    filled = tails.groupBy("shard").applyInPandas(lambda pdf: fill(pdf, held.value), PIECE)
     return staged.where(F.col("bucket").isNull()).select(*COLUMNS).unionByName(filled)
 
 
+def sharded(tails: DataFrame, buckets: int) -> DataFrame:
+    """Tails with their shard: a bucket of more than twice the usual size is several. Sizes are counted first and joined to
+    the tails where these are read, or, of more than FEW large buckets, by (bucket, salt): no bucket moves whole."""
+    large = materialize(tails.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD).select("bucket", F.ceil(F.col("n") / (2 * SHARD)).cast("long").alias("splits")))
+    number, most = large.agg(F.count("*"), F.max("splits")).first()
+    if number <= FEW:
+        tails = tails.join(F.broadcast(large), "bucket", "left")
+    else:
+        salts = F.sequence(F.lit(0), F.lit(max(1, most // 100)).cast("int") - 1)
+        tails = tails.withColumn("salt", F.pmod("row", F.size(salts))).join(large.withColumn("salt", F.explode(salts)), ["bucket", "salt"], "left").drop("salt")
+    wide = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.coalesce("splits", F.lit(1)))
+    return tails.withColumn("shard", F.col("bucket") + F.lit(buckets) * wide)
+
+
 def op5(spark, sf_dir):
+    """The pieces of all rows of `documents`; nulls, empty texts and repeated rows as pack_documents() says."""
     return pack_documents(documents(spark, sf_dir, "doc_id", "text"))

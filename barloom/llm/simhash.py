@@ -18,7 +18,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, lower_words_of, materialize, mix64, spread
@@ -46,15 +46,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long) of every row; no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """doc_id, row and fp (the fingerprint's bits as a long) of every row; no shuffle."""
 
     def rows(batches):
         for pdf in batches:
             fps = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": fps})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "row": pdf["row"], "fp": fps})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(rows, "doc_id long, fp long")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(0).cast("long") if row is None else row).alias("row"), F.col(text_col).alias("text"))
+    return named.mapInPandas(rows, "doc_id long, row long, fp long")
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -127,15 +128,8 @@ def links(pdf: pd.DataFrame, limit: int = LIMIT) -> pd.DataFrame:
     return pd.DataFrame({"u": signed[tied], "v": signed[label[tied]]}).drop_duplicates()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of every row of `docs`.
-
-    component_id is the least doc_id that links reach. Null, empty and wordless texts have fingerprint 0, which links
-    like any other. A null id takes part, but isn't a least id; where a group has no other, component_id is null.
-    Repeated rows share a fingerprint.
-    """
-    spark = docs.sparkSession
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
+def linked(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """fp, least (its least doc_id) and root (the fingerprint that names its component) of each distinct fingerprint."""
     distances = F.concat(*(F.unhex(F.lpad(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)))), 2, "0")) for p in pivots()))
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("table", distances))
     total = distinct.count()
@@ -147,16 +141,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("slices")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = rows.select("fp", "mask", "key", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    deals = max(spread(spark), total // 20_000)
+    deals = max(spread(fps.sparkSession), total // 20_000)
     rows = rows.withColumn("deal", F.pmod(F.xxhash64("mask", "key", "a", "b"), F.lit(deals)))
     rows = rows.join(distinct.select("fp", "table"), "fp")
     found = rows.groupBy("deal").applyInPandas(lambda pdf: links(pdf, limit), "u long, v long")
     roots = components(found)
-    named = materialize(distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    return materialize(distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of every row of `docs`.
+
+    component_id is the least doc_id that links reach. Null, empty and wordless texts have fingerprint 0, which links
+    like any other. A null id takes part, but isn't a least id; where a group has no other, component_id is null.
+    Repeated rows share a fingerprint.
+    """
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
+    named = linked(fps, limit)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
+    """One row of `docs` of each group that links reach, with all its columns: that of the least id, null last, then of the
+    least hash over all columns. Rows that are equal in everything are one row."""
+    columns, row = docs.columns, F.xxhash64(*docs.columns)
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, row))
+    named = fps.join(linked(fps, limit).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stay = materialize(named.groupBy("root").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.row").alias("row")))
+    whole = docs.select(F.struct(*columns).alias("whole"), F.col(id_col).cast("long").alias("key"), row.alias("hash"))
+    kept = whole.join(stay, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row")), "left_semi")
+    return kept.dropDuplicates(["key", "hash"]).select("whole.*")
+
+
 def op8(spark, sf_dir):
+    """Fingerprint and component of every row of `documents`; nulls, wordless texts and repeated rows as near_duplicates()
+    says."""
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))

@@ -61,20 +61,47 @@ def test_small_cases(spark, monkeypatch, shard):
 
 
 def test_index_scores_against_the_formula():
+    """BM25 by the figures of all documents, of which the shard holds some."""
     rng = np.random.default_rng(2)
-    terms = [np.stack([rng.choice(40, k, replace=False), rng.integers(1, 5, k)]).astype(np.uint32) for k in rng.integers(0, 20, 12)]
-    index, n = pack.Index(terms), len(terms)
-    size = [t[1].sum() for t in terms]
+    every = [np.stack([rng.choice(40, k, replace=False), rng.integers(1, 500, k)]).astype(np.uint32) for k in rng.integers(0, 20, 30)]
+    terms, frequency = every[:12], np.zeros(pack.TERMS, np.int64)
+    for t in every:
+        frequency[t[0]] += 1
+    known = pack.Corpus(len(every), sum(int(t[1].sum()) for t in every), frequency)
+    index, n = pack.Index(terms, known), len(terms)
+    size = [int(t[1].sum()) for t in terms]
     for s in range(n):
         got = index.scores(s, n)
         for d in range(n):
             total = 0.0
             for w in set(terms[s][0].tolist()) & set(terms[d][0].tolist()):
-                df = sum(w in t[0] for t in terms)
-                if df > 1:
-                    tf = float(terms[d][1][terms[d][0] == w][0])
-                    total += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[d] / np.mean(size)))
-            assert got[d] == pytest.approx(total)
+                if sum(w in t[0] for t in terms) > 1:
+                    tf, df = float(terms[d][1][terms[d][0] == w][0]), frequency[w]
+                    total += np.log1p((len(every) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[d] / np.mean([int(t[1].sum()) for t in every])))
+            assert got[d] == pytest.approx(total, rel=1e-5)
+
+
+def test_corpus_counts_all_documents(spark):
+    """Also those that leave no tail: a text of 1023 ids and its end."""
+    rows = [*ROWS, (20, "a " * 1023), (21, "one")]
+    staged = pack.pieces(spark.createDataFrame(rows, "doc_id long, text string"), 4, pack.VOCABULARY)
+    known, want, words = pack.corpus(staged), np.zeros(pack.TERMS, np.int64), 0
+    for _, text in rows:
+        t = pack.terms_of(text or "")
+        want[t[0]] += 1
+        words += int(t[1].sum())
+    assert np.array_equal(known.frequency, want) and known.mean == words / len(rows)
+
+
+@pytest.mark.parametrize("few", [2_000_000, -1])
+def test_large_buckets_are_split(spark, monkeypatch, few):
+    monkeypatch.setattr(pack, "SHARD", 8)
+    monkeypatch.setattr(pack, "FEW", few)
+    docs = spark.createDataFrame([(i if i % 3 else None, "same words here") for i in range(200)], "doc_id long, text string")
+    staged = pack.pieces(docs, 25, pack.VOCABULARY)
+    sizes = [r["count"] for r in pack.sharded(staged, 25).groupBy("shard").count().collect()]
+    assert sum(sizes) == 200 and max(sizes) < 64
+    assert check(docs.where("doc_id is not null"), [r for r in pack.pack_documents(docs).collect() if r.doc_id is not None]) > 0
 
 
 def test_neighbours_share_words(spark):
@@ -87,20 +114,13 @@ def test_neighbours_share_words(spark):
     assert sum(len(t) > 1 for t in topics.values()) <= 1 + len(topics) // 4
 
 
-def test_tails_are_the_bytes_of_their_ids():
-    """Ids equal those of the JSON form, and a tail's bytes, joined after what its other ids stand for, give the text."""
+def test_ids_equal_those_of_the_json_form():
     encode, e = reference(), pack.encoder()
     for _, text in ROWS:
-        text = text or ""
-        ids = e.ids_of(text)
-        assert ids.tolist() == encode(text)
-        for tail in {1, 2, len(ids) // 2, len(ids)} - {0}:
-            if tail <= len(ids):
-                head = b"".join(e.whole.decode_single_token_bytes(int(i)) for i in ids[: len(ids) - tail])
-                assert head + e.tail_of(text, ids, tail) == text.encode()
+        assert e.ids_of(text or "").tolist() == encode(text or "")
 
 
 def test_terms():
-    assert pack.terms_of(b"").shape == (2, 0)
-    got = pack.terms_of(b" Red, red. RED ! blue " + b"x " * 300)
-    assert dict(got.T.tolist()) == {zlib.crc32(b"red"): 3, zlib.crc32(b"blue"): 1, zlib.crc32(b"x"): 255}
+    assert pack.terms_of("").shape == (2, 0)
+    got = pack.terms_of(" Red, red. RED ! blue " + "x " * 300)
+    assert dict(got.T.tolist()) == {zlib.crc32(b"red") % pack.TERMS: 3, zlib.crc32(b"blue") % pack.TERMS: 1, zlib.crc32(b"x") % pack.TERMS: 300}

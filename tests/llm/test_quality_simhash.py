@@ -181,3 +181,12 @@ def test_quality_against_sql(spark):
     con.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
     made = quality.op2(spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, made)) == sorted(con.execute(quality_sql.oracle()).fetchall())
+
+
+def test_keep_one_of_each_group(spark):
+    """Rows that share an id but not a text are documents of their own; equal rows are one."""
+    rows = [(1, "a b c d e", "p"), (1, "quite another text of words", "q"), (1, "a b c d e", "p"), (2, "A b c d e", "r"), (None, "a b c d e", "n"), (None, "only here and now", None), (3, None, "z"), (None, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, whole string").selectExpr("*", "1 as key", "2 as row")
+    made = sorted(map(tuple, simhash.keep_one(docs).collect()), key=str)
+    assert made == sorted([(1, "a b c d e", "p", 1, 2), (1, "quite another text of words", "q", 1, 2), (None, "only here and now", None, 1, 2), (3, None, "z", 1, 2)], key=str)
+    assert simhash.keep_one(docs.limit(0)).count() == 0

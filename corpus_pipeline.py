@@ -1,27 +1,18 @@
 """A corpus pipeline of five stages over `documents`: each takes what the one before kept.
 
-Documents are told apart by doc_id. Rows that repeat one are one document, and rows without one are told apart by text.
+A row is told apart by its doc_id and a hash over all its columns: rows that share an id but not a text are documents of their
+own, and only rows that are equal in everything are one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import mix, pack, quality, simhash, suffix
 from barloom.llm.common import materialize
 
 
-def key(docs: DataFrame) -> Column:
-    """doc_id, or where that is null a number above all ids made from the text."""
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(text, F.lit(1 << 62)))
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*docs.columns).alias("whole"), key(docs).alias("key"), "text", "source")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep_good(docs)
@@ -29,27 +20,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints: that of the least id."""
-    keyed = with_key(docs)
-    found = simhash.near_duplicates(keyed.select("key", "text"), "key", "text")
-    stay = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct())
-    return keyed.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("whole.*")
+    return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 100 bytes that start earlier too; n_chars is counted anew."""
-    ordered = docs.withColumn("doc_id", key(docs))
-    cut = suffix.kept_texts(ordered)
-    known = F.when(F.col("doc_id") < (1 << 62), F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).withColumn("doc_id", known).select(*docs.columns)
+    cut = suffix.kept_texts(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: none, or up to three times."""
-    keyed = with_key(docs)
-    one = keyed.dropDuplicates(["key"])
-    copies = materialize(mix.mix(one.select("key", "text", "source"), id_col="key").where("copies > 0").select(F.col("doc_id").alias("key"), "copies"))
-    taken = one.join(copies, "key").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return taken.select("whole.*")
+    """Each document as often as the mix takes it: none, or up to three times. Equal rows are taken together."""
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("key"), F.xxhash64(*docs.columns).alias("hash"), "text", "source")
+    taken = mix.mix(rows, id_col="key", row_col="hash").where("copies > 0").groupBy("doc_id", "row").agg(F.sum("copies").cast("int").alias("copies"))
+    taken = materialize(taken.withColumnRenamed("doc_id", "id"))
+    one = rows.dropDuplicates(["key", "hash"]).join(taken, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row")))
+    return one.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

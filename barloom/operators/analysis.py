@@ -53,16 +53,27 @@ def folds(bars: DataFrame, before: int, test: int, by: list[str] | None = None)
     return out.drop("_a")
 
 
+def fold_days(bars: DataFrame, before: int, test: int, by: list[str] | None = None) -> DataFrame:
+    """A row for each day of each fold: fold_id, part (`before` or `test`) and day. A day is in before/test folds at most, and
+    rows join by day."""
+    by = keys(bars) if by is None else by
+    days = days_of(bars, by).withColumn("_n", F.max(C("day_no") + 1).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))))
+    first = F.greatest(F.ceil((C("day_no") - before - test + 1) / test), F.lit(0))
+    f = days.withColumn("fold_id", F.explode(F.sequence(first.cast("int"), F.floor(C("day_no") / test).cast("int"))))
+    f = f.where(C("fold_id") * test + before + test <= C("_n"))
+    return f.select(*by, "fold_id", F.when(C("day_no") < C("fold_id") * test + before, "before").otherwise("test").alias("part"), "day")
+
+
 def walk_forward(bars: DataFrame, names: list[str], regime_days: int = 20, test_days: int = 5, config: backtest.Config = backtest.Config(), by: str = "sharpe_ratio") -> DataFrame:
     """A row for each (series, fold, strategy): the fold's regime, the strategy's figures on its test days alone (where its
     indicators start anew) and whether it won. Folds and strategies are keys, so all run at once."""
     per = keys(bars)
-    table = folds(bars, regime_days, test_days)
-    regime = classify_regime(bars).select(*per, "ts", "trend_regime", "vol_regime", F.to_date("ts").alias("_day"))
-    at = table.join(regime, per).where(C("_day").between(C("before_start"), C("before_end")))
+    bars = materialize(bars)
+    table = materialize(fold_days(bars, regime_days, test_days))
+    regime = classify_regime(bars).select(*per, "ts", "trend_regime", "vol_regime", F.to_date("ts").alias("day"))
+    at = regime.join(table.where("part = 'before'"), [*per, "day"])
     at = at.groupBy(*per, "fold_id").agg(F.max_by("trend_regime", "ts").alias("trend_regime"), F.max_by("vol_regime", "ts").alias("vol_regime"))
-    test = bars.withColumn("_day", F.to_date("ts")).join(table.select(*per, "fold_id", "test_start", "test_end"), per)
-    test = test.where(C("_day").between(C("test_start"), C("test_end"))).drop("_day", "test_start", "test_end")
+    test = bars.withColumn("day", F.to_date("ts")).join(table.where("part = 'test'").drop("part"), [*per, "day"]).drop("day")
     figures = compare(test, names, config)
     out = figures.join(at, [*per, "fold_id"])
     ranked = M.ranking(out, by, tuple(names))
@@ -70,25 +81,37 @@ def walk_forward(bars: DataFrame, names: list[str], regime_days: int = 20, test_
 
 
 def regime_map(walk: DataFrame, by: str = "sharpe_ratio") -> DataFrame:
-    """Figures of each strategy in each regime and its place: by mean, then wins, then the order of registration."""
-    out = walk.groupBy("trend_regime", "vol_regime", "strategy").agg(F.count_if("won").alias("wins"), F.count("*").alias("folds"), F.avg(by).alias("avg_metric"))
-    w = Window.partitionBy("trend_regime", "vol_regime").orderBy(C("avg_metric").desc_nulls_last(), C("wins").desc(), M.place(strategies.registered()), "strategy")
+    """Figures of each strategy in each regime of a series and its place: by mean, then wins, then the order of registration."""
+    per = [k for k in keys(walk) if k not in ("strategy", "fold_id")]
+    out = walk.groupBy(*per, "trend_regime", "vol_regime", "strategy").agg(F.count_if("won").alias("wins"), F.count("*").alias("folds"), F.avg(by).alias("avg_metric"))
+    w = Window.partitionBy(*per, "trend_regime", "vol_regime").orderBy(C("avg_metric").desc_nulls_last(), C("wins").desc(), M.place(strategies.registered()), "strategy")
     return out.withColumn("place", F.row_number().over(w))
 
 
 def recommend(walk: DataFrame, bars: DataFrame, by: str = "sharpe_ratio") -> DataFrame:
-    """Each series' current regime, and the best strategy of that regime, or of all folds where it has none."""
-    per = [k for k in keys(bars)]
+    """Each series' current regime, and the best strategy of its folds in that regime, or of all its folds where it has none;
+    null for a series without folds."""
+    per = keys(bars)
     now = classify_regime(bars).groupBy(*per).agg(F.max_by("trend_regime", "ts").alias("trend_regime"), F.max_by("vol_regime", "ts").alias("vol_regime"))
-    best = regime_map(walk, by).where("place = 1").select("trend_regime", "vol_regime", C("strategy").alias("_s"))
-    overall = walk.groupBy("strategy").agg(F.avg(by).alias("_m"), F.count_if("won").alias("_w"))
-    top = overall.agg(F.max_by("strategy", F.struct(F.coalesce("_m", F.lit(float("-inf"))), "_w", -M.place(strategies.registered()))).alias("_o"))
-    return now.join(best, ["trend_regime", "vol_regime"], "left").crossJoin(F.broadcast(top)).select(*per, "trend_regime", "vol_regime", F.coalesce("_s", "_o").alias("recommended"))
+    walk = materialize(walk)
+    best = regime_map(walk, by).where("place = 1").select(*per, "trend_regime", "vol_regime", C("strategy").alias("_s"))
+    overall = walk.groupBy(*per, "strategy").agg(F.avg(by).alias("_m"), F.count_if("won").alias("_w")).where("_m is not null")
+    top = overall.groupBy(*per).agg(F.max_by("strategy", F.struct("_m", "_w", -M.place(strategies.registered()))).alias("_o"))
+    return now.join(best, [*per, "trend_regime", "vol_regime"], "left").join(top, per, "left").select(*per, "trend_regime", "vol_regime", F.coalesce("_s", "_o").alias("recommended"))
+
+
+def regime_stretches(regimes: DataFrame) -> DataFrame:
+    """Runs of bars of one trend and volatility regime: number, first and last bar, and how many."""
+    per, w = keys(regimes), series(regimes)
+    at = F.concat_ws("/", "trend_regime", "vol_regime")
+    df = regimes.withColumn("_at", at).withColumn("_new", F.when(C("_at") == F.lag("_at").over(w), 0).otherwise(1)).withColumn("stretch", F.sum("_new").over(w))
+    return df.groupBy(*per, "stretch", "trend_regime", "vol_regime").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("bars"))
 
 
 def compare(bars: DataFrame, names: list[str], config: backtest.Config = backtest.Config()) -> DataFrame:
-    """Figures of each strategy on each series, from one back-test of all. Signals are written one strategy at a time: a
-    plan of fourteen takes the driver minutes."""
+    """Figures of each strategy on each series, from one back-test of all. Bars are written once and each strategy's signals
+    too, as rows of one table: a plan of fourteen takes the driver minutes."""
+    frames.check_bars(bars)
     bars, signals = materialize(bars), None
     for name in names:
         one = materialize(strategies.signals(bars, name).withColumn("strategy", F.lit(name)))
@@ -174,36 +197,41 @@ def composite_score(bars: DataFrame, ahead: int = 10) -> DataFrame:
 def scored(long: DataFrame, table: DataFrame, per: list[str], pooled: bool) -> DataFrame:
     """Test rows of each fold with `score`, the mean of the weights that training gave to the signals true on them."""
     by = [] if pooled else per
-    train = long.join(table.select(*by, "fold_id", "before_start", "before_end"), by) if by else long.crossJoin(F.broadcast(table.select("fold_id", "before_start", "before_end")))
-    stats = win_stats(train.where(C("day").between(C("before_start"), C("before_end"))), [*by, "fold_id"])
+    part = lambda name: long.join(table.where(C("part") == name).drop("part"), [*by, "day"])
+    stats = win_stats(part("before"), [*by, "fold_id"])
     weights = stats.withColumn("weight", weight()).where("weight <> 0").select(*by, "fold_id", "name", "weight")
-    test = long.join(table.select(*by, "fold_id", "test_start", "test_end"), by) if by else long.crossJoin(F.broadcast(table.select("fold_id", "test_start", "test_end")))
-    test = test.where(C("day").between(C("test_start"), C("test_end"))).join(weights, [*by, "fold_id", "name"], "left")
+    test = part("test").join(weights, [*by, "fold_id", "name"], "left")
     return test.groupBy(*per, "fold_id", "ts", "forward_return").agg(F.avg(F.when(C("seen"), C("weight"))).alias("score"))
 
 
 def validate_forecast(bars: DataFrame, ahead: int = 1, train_days: int = 60, test_days: int = 20) -> DataFrame:
-    """Hit rate, coverage and base rate of each fold. Returns at the end of training reach into the test, as measured."""
+    """Hit rate, coverage and base rate of each fold, and of all folds together (fold_id null). Returns at the end of training
+    reach into the test, as measured."""
     per = keys(bars)
-    long = all_signals(bars, ahead)
-    rows = scored(long, folds(bars, train_days, test_days), per, False)
+    long = materialize(all_signals(bars, ahead))
+    rows = scored(long, fold_days(bars, train_days, test_days), per, False)
     used = C("score").isNotNull() & C("forward_return").isNotNull()
     up = C("forward_return") > 0
-    return rows.groupBy(*per, "fold_id").agg(
+    return rows.groupingSets([[*per, "fold_id"], per], *per, "fold_id").agg(
         F.count("*").alias("n_test_bars"), F.count_if(used).alias("n_predictions"), ratio(F.count_if(used), F.count("*")).alias("coverage"),
         ratio(F.count_if(used & ((C("score") > 0) == up)), F.count_if(used)).alias("hit_rate"), ratio(F.count_if(used & up), F.count_if(used)).alias("baseline_up_rate"),
     )
 
 
 def validate_cross_section(bars: DataFrame, ahead: int = 1, train_days: int = 60, test_days: int = 20, least: int = 5) -> DataFrame:
-    """Per fold: rank correlation of pooled scores with returns at the times that all symbols have, its hit rate, and the
-    mean return above the median score less that below."""
+    """Per fold, and over all (fold_id null): rank correlation of pooled scores with returns at the times that all symbols
+    have, its hit rate, and the mean return above the median score less that below. Symbols with fewer days than training
+    and two tests leave the universe; fewer than `least` that stay are an error."""
     per = keys(bars)
+    enough = bars.groupBy(*per).agg(F.countDistinct(F.to_date("ts")).alias("_d")).where(C("_d") >= train_days + 2 * test_days).select(*per)
+    bars = materialize(bars.join(enough, per, "left_semi"))
     n = bars.select(*per).distinct().count()
+    if n < least:
+        raise frames.InsufficientHistoryError(n, least, "symbols with enough trading days")
     common = bars.groupBy(F.to_date("ts").alias("day")).agg(F.countDistinct(*per).alias("k")).where(C("k") == n).select("day")
     whole = bars.join(common, F.to_date("ts") == C("day"), "left_semi")
-    table = folds(whole, train_days, test_days, [])
-    long = all_signals(bars, ahead)
+    table = materialize(fold_days(whole, train_days, test_days, []))
+    long = materialize(all_signals(bars, ahead))
     at_all = bars.groupBy("ts").agg(F.countDistinct(*per).alias("k")).where(C("k") == n).select("ts")
     rows = scored(long, table, per, True).join(at_all, "ts", "left_semi").where("forward_return is not null").withColumn("score", F.coalesce("score", F.lit(0.0)))
     at = ["fold_id", "ts"]
@@ -212,8 +240,10 @@ def validate_cross_section(bars: DataFrame, ahead: int = 1, train_days: int = 60
         correlation(C("_rs"), C("_rr")).alias("ic"), F.count("*").alias("k"), F.countDistinct("score").alias("_d"),
         (F.avg(F.when(C("score") > C("_m"), C("forward_return"))) - F.avg(F.when(C("score") < C("_m"), C("forward_return")))).alias("spread"),
     ).where((C("k") >= least) & (C("_d") >= 2) & C("ic").isNotNull())
-    found = per_ts.groupBy("fold_id").agg(F.count("*").alias("n_timestamps"), F.avg("ic").alias("mean_ic"), F.avg((C("ic") > 0).cast("double")).alias("ic_hit_rate"), F.avg("spread").alias("top_minus_bottom_spread"))
-    return table.select("fold_id").join(found, "fold_id", "left").withColumn("n_timestamps", F.coalesce("n_timestamps", F.lit(0)))
+    found = per_ts.groupingSets([["fold_id"], []], "fold_id").agg(F.count("*").alias("n_timestamps"), F.avg("ic").alias("mean_ic"), F.avg((C("ic") > 0).cast("double")).alias("ic_hit_rate"), F.avg("spread").alias("top_minus_bottom_spread"))
+    every = table.select("fold_id").distinct().unionByName(bars.sparkSession.createDataFrame([(None,)], "fold_id int"))
+    joined = every.join(found.withColumnRenamed("fold_id", "_f"), C("fold_id").eqNullSafe(C("_f")), "left").drop("_f")
+    return joined.withColumn("n_timestamps", F.coalesce("n_timestamps", F.lit(0)))
 
 
 def recent_patterns(bars: DataFrame, lookback: int = 5, shapes: DataFrame | None = None) -> DataFrame:
@@ -245,7 +275,7 @@ def scan(bars: DataFrame, watchlist: DataFrame, least_win: float = 0.55, lookbac
     hits = recent_patterns(some, lookback, shapes).where("state = 'confirmed'").join(good, [*per, "pattern_kind", "name"])
     hits = hits.select("symbol", "ts", "name", "pattern_kind", "direction", "confidence", "win_rate", "occurrences", "avg_forward_return", F.lit(False).alias("skipped"))
     none = watched.join(bars.select("symbol").distinct(), "symbol", "left_anti").withColumn("skipped", F.lit(True))
-    return hits.unionByName(none, allowMissingColumns=True)
+    return hits.unionByName(none, allowMissingColumns=True).orderBy("skipped", F.desc_nulls_last("win_rate"), F.desc("occurrences"), "symbol", F.desc("ts"), "pattern_kind", "name")
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
@@ -254,24 +284,29 @@ def snapshot(bars: DataFrame) -> DataFrame:
     df = frames.session_vwap(I.money_flow_index(I.stochastic(bars)))
     df = I.average_true_range(I.adx(I.macd(I.rsi(df))))
     whole = Window.partitionBy(*per)
+    known = F.last("atr_pct", ignorenulls=True).over(series(df).rowsBetween(Window.unboundedPreceding, 0))
+    over = lambda c, base: F.when(base > 0, c / base).otherwise(1.0)
+    df = df.withColumns({"_atr": known, "_median": F.median("atr_pct").over(whole), "_mean": rolling(F.avg, "volume", series(df), 20, 1)})
     df = df.withColumns({
-        "_atr_ratio": ratio("atr_pct", F.median("atr_pct").over(whole)), "_vol_ratio": ratio("volume", rolling(F.avg, "volume", series(df), 20, 1)), "_dev": ratio(C("close") - C("vwap"), "vwap"),
+        "_atr_ratio": F.when(C("_atr").isNotNull(), over(C("_atr"), C("_median"))), "_vol_ratio": over(C("volume"), C("_mean")),
+        "_dev": F.when(C("vwap").isNotNull(), F.when(C("vwap") > 0, (C("close") - C("vwap")) / C("vwap")).otherwise(0.0)),
     })
     last = df.withColumn("_back", F.row_number().over(whole.orderBy(F.desc("ts")))).where("_back = 1")
 
     def label(c: Column, high: float, low: float, names: tuple[str, str, str]) -> Column:
         return F.when(c > high, names[0]).when(c < low, names[2]).otherwise(names[1])
 
-    gauges = {
-        "rsi": (C("rsi"), label(C("rsi"), 70, 30, ("Overbought", "Neutral", "Oversold")), C("rsi")),
-        "macd": (C("macd_histogram"), label(C("macd_histogram"), 0, 0, ("Bullish", "Neutral", "Bearish")), 50 + 50 * ratio("macd_histogram", 0.02 * C("close"))),
-        "stochastic": (C("stoch_k"), label(C("stoch_k"), 80, 20, ("Overbought", "Neutral", "Oversold")), C("stoch_k")),
-        "adx": (C("adx"), label(C("adx"), 25, 20, ("Trending", "Transitional", "Ranging")), C("adx")),
-        "atr_pct": (C("atr_pct"), label(C("_atr_ratio"), 1.5, 0.67, ("Elevated", "Normal", "Low")), 50 + 50 * (C("_atr_ratio") - 1)),
-        "volume": (C("_vol_ratio"), label(C("_vol_ratio"), 1.3, 0.7, ("Above average", "Average", "Below average")), 50 * C("_vol_ratio")),
-        "mfi": (C("mfi"), label(C("mfi"), 80, 20, ("Overbought", "Neutral", "Oversold")), C("mfi")),
-        "vwap": (C("_dev"), label(C("_dev"), 0.003, -0.003, ("Above", "At", "Below")), 50 + 50 * C("_dev") / 0.01),
+    swing = F.when(C("macd_histogram").isNotNull(), F.coalesce(ratio("macd_histogram", 0.02 * C("close")), F.lit(0.0)))
+    gauges = {  # what is unknown stands in the middle, and an unknown trend at 30
+        "rsi": (C("rsi"), label(C("rsi"), 70, 30, ("Overbought", "Neutral", "Oversold")), C("rsi"), 50.0),
+        "macd": (C("macd_histogram"), label(C("macd_histogram"), 0, 0, ("Bullish", "Neutral", "Bearish")), 50 + 50 * swing, 50.0),
+        "stochastic": (C("stoch_k"), label(C("stoch_k"), 80, 20, ("Overbought", "Neutral", "Oversold")), C("stoch_k"), 50.0),
+        "adx": (C("adx"), label(C("adx"), 25, 20, ("Trending", "Transitional", "Ranging")), C("adx"), 30.0),
+        "atr_pct": (C("_atr"), label(C("_atr_ratio"), 1.5, 0.67, ("Elevated", "Normal", "Low")), 50 + 50 * (C("_atr_ratio") - 1), 50.0),
+        "volume": (C("_vol_ratio"), label(C("_vol_ratio"), 1.3, 0.7, ("Above average", "Average", "Below average")), 50 * C("_vol_ratio"), 50.0),
+        "mfi": (C("mfi"), label(C("mfi"), 80, 20, ("Overbought", "Neutral", "Oversold")), C("mfi"), 50.0),
+        "vwap": (C("_dev"), label(C("_dev"), 0.003, -0.003, ("Above VWAP", "At VWAP", "Below VWAP")), 50 + 50 * C("_dev") / 0.01, 50.0),
     }
-    clip = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), c)))
-    rows = F.array(*(F.struct(F.lit(n).alias("gauge"), v.cast("double").alias("value"), x.alias("label"), clip(g).alias("gauge_pct")) for n, (v, x, g) in gauges.items()))
+    clip = lambda c, unknown: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(c, F.lit(unknown))))
+    rows = F.array(*(F.struct(F.lit(n).alias("gauge"), v.cast("double").alias("value"), x.alias("label"), clip(g, u).alias("gauge_pct")) for n, (v, x, g, u) in gauges.items()))
     return last.select(*per, "ts", F.explode(rows).alias("g")).select(*per, "ts", "g.*")

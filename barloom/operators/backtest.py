@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keys, series, upto
-from .frames import prepared, with_bar_minutes
+from .frames import check_bars, prepared, with_bar_minutes
 
 C = F.col
 
@@ -127,6 +127,8 @@ def equity(df: DataFrame, accounts: DataFrame, config: Config = Config()) -> Dat
 
 def run(signals: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
     """(equity by bar, trades) of bars that carry signal, stop_price and target_price; every series at once."""
-    df = positions(signals, config)
+    if "signal" not in signals.columns or not signals.schema["signal"].dataType.simpleString() in ("int", "bigint"):
+        raise ValueError("signals need a whole-number column `signal`")
+    df = positions(check_bars(signals), config)
     accounts = account(runs(df, config), config)
     return equity(df, accounts, config), trades(accounts, config)

@@ -26,7 +26,7 @@ def bars_document(bars: DataFrame) -> DataFrame:
 
 def patterns_document(bars: DataFrame) -> DataFrame:
     per = keys(bars)
-    row = F.struct("place", "name", "direction", "confidence", "vertices", F.struct("p1", "p2").alias("trendline"), "breakout_time", "breakout_price")
+    row = F.struct("place", "name", "direction", "confidence", "vertices", "trendlines", "breakout_time", "breakout_price")
     return chart.chart_patterns(bars).groupBy(*per).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("patterns_json"))
 
 

@@ -11,10 +11,10 @@ OHLCV = ("open", "high", "low", "close", "volume")
 
 
 class InsufficientHistoryError(ValueError):
-    """Fewer trading days than asked for."""
+    """Fewer trading days, or symbols that have enough of them, than asked for."""
 
-    def __init__(self, have: int, need: int):
-        super().__init__(f"{have} trading days, {need} needed")
+    def __init__(self, have: int, need: int, of: str = "trading days"):
+        super().__init__(f"{have} {of}, {need} needed")
         self.have, self.need = have, need
 
 
@@ -23,6 +23,14 @@ def prepared(bars: DataFrame) -> DataFrame:
     return bars.withColumn("session_date", F.to_date("ts")).withColumn("bar_idx", (F.row_number().over(series(bars)) - 1).cast("long"))
 
 
+def check_bars(bars: DataFrame) -> DataFrame:
+    """The bars, if they have the five columns and a time; else ValueError."""
+    missing = [c for c in (*OHLCV, "ts") if c not in bars.columns]
+    if missing:
+        raise ValueError(f"bars without {', '.join(missing)}")
+    return bars
+
+
 def drop_bad_rows(bars: DataFrame) -> DataFrame:
     """Rows with all five values; NaN counts as missing."""
     clean = bars.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in OHLCV})

@@ -120,7 +120,8 @@ def debounced(bars: DataFrame, state: Column, confirm: int, *more: str) -> DataF
 
 def overlays(bars: DataFrame) -> DataFrame:
     """What a chart draws, by its own variants: rsi_chart starts from zero averages and is 100 without losses, vwap_chart
-    restarts each day and is the close without volume, stoch_d_chart needs three values in a row."""
+    restarts each day and is the close without volume, bands are of the population's deviation, stoch_d_chart is the mean of
+    the values that the last three bars have, if all do."""
 
     def run(p):
         change = p["close"].diff().fillna(0.0)
@@ -128,7 +129,7 @@ def overlays(bars: DataFrame) -> DataFrame:
         value = (100 - 100 / (1 + gain / loss.where(loss != 0))).fillna(100.0)
         return {"rsi_chart": value.where(value.index >= 14)}
 
-    made = K.add(stochastic(bars), {"rsi_chart": "double"}, run).withColumn("session_date", F.to_date("ts"))
+    made = K.add(bollinger(stochastic(bars).withColumnRenamed("stoch_d", "stoch_d_chart"), population=True), {"rsi_chart": "double"}, run).withColumn("session_date", F.to_date("ts"))
     made = made.withColumn("rsi_chart", F.nanvl("rsi_chart", F.lit(None).cast("double")))
     day = upto(series(made, "session_date"))
     typical = (C("high") + C("low") + C("close")) / 3

@@ -12,15 +12,15 @@ FEATURES = ("order_flow_imbalance", "quote_imbalance", "relative_spread")
 
 
 def classify_side(trades: DataFrame, quotes: DataFrame, slice_: str = "1 day") -> DataFrame:
-    """Trades with mid (of the last quote at or before) and side: the sign of price against mid, at the mid that of the
-    price's change. Without a quote the side is null.
+    """Trades with mid (of the last quote at or before, the last read of one instant) and side: the sign of price against mid,
+    at the mid that of the price's change. Without a quote, or with one that lacks a price, the side is null.
 
     Rows of a symbol are split by time slices, so a busy symbol is no single task: within a slice the last quote is a
     window; what was last before a slice comes from a small table with a row for each slice.
     """
     part = F.window("ts", slice_)["start"]
-    t = trades.select("*", F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_mid"), part.alias("_slice"))
-    q = quotes.select("symbol", "ts", F.lit(0).alias("_kind"), ((C("bid_price") + C("ask_price")) / 2).alias("_mid"), part.alias("_slice"))
+    t = trades.select("*", F.lit(1).alias("_kind"), F.lit(None).cast("struct<v:double>").alias("_mid"), part.alias("_slice"))
+    q = quotes.select("symbol", "ts", F.lit(0).alias("_kind"), F.struct(((C("bid_price") + C("ask_price")) / 2).alias("v")).alias("_mid"), part.alias("_slice"))
     both = t.unionByName(q, allowMissingColumns=True)
     inside = Window.partitionBy("symbol", "_slice").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     before = inside.orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, -1)
@@ -31,7 +31,7 @@ def classify_side(trades: DataFrame, quotes: DataFrame, slice_: str = "1 day") -
     )
     earlier = Window.partitionBy("symbol").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("symbol", "_slice", F.last("_em", True).over(earlier).alias("_sm"), F.last("_ep", True).over(earlier).alias("_sp"))
-    out = both.where("_kind = 1").join(ends, ["symbol", "_slice"]).withColumns({"mid": F.coalesce("_m", "_sm"), "_prev": F.coalesce("_p", "_sp")})
+    out = both.where("_kind = 1").join(ends, ["symbol", "_slice"]).withColumns({"mid": F.coalesce("_m", "_sm")["v"], "_prev": F.coalesce("_p", "_sp")})
     side = F.signum(C("price") - C("mid"))
     tick = F.coalesce(F.signum(C("price") - C("_prev")), F.lit(0.0))
     return out.withColumn("side", F.when(side == 0, tick).otherwise(side)).select(*trades.columns, "mid", "side")

@@ -13,6 +13,7 @@ from ..operators import candles, chart, documents, frames, journal, metrics, str
 from ..operators import indicators as I
 from ..sources import fixtures as S
 from ..streaming import bars as stream
+from . import signal_sql as X
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,7 @@ def query(name: str, sql: str | None = None, bars: str = HOURLY):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = (f"with {bars}" + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().lstrip("+")) if bars else sql
+            ORACLES[name] = (f"with recursive {bars}" + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().lstrip("+")) if bars else sql
         return fn
 
     return add
@@ -126,29 +127,28 @@ def ewm_sql(alpha: float, name: str) -> str:
     return recursive("close as y", f"r.y * (1 - {alpha!r}) + n.close * {alpha!r}", "", f"round(y, 6) as {name}")
 
 
-def recursed(name: str, make, columns: list[str], sql: str) -> None:
-    simple(name, make, columns, sql)
-    ORACLES[name] = ORACLES[name].replace("with ", "with recursive ", 1)
-
-
-recursed("ema", lambda b: I.ema(b, 20), ["ema"], ewm_sql(2 / 21, "ema"))
-recursed("macd", I.macd, ["macd_line", "macd_signal", "macd_histogram"], recursive(
+simple("ema", lambda b: I.ema(b, 20), ["ema"], ewm_sql(2 / 21, "ema"))
+simple("macd", I.macd, ["macd_line", "macd_signal", "macd_histogram"], recursive(
     "close as f, close as s, cast(0 as double) as g", "r.f * 11 / 13 + n.close * 2 / 13, r.s * 25 / 27 + n.close * 2 / 27, r.g * 0.8 + ((r.f * 11 / 13 + n.close * 2 / 13) - (r.s * 25 / 27 + n.close * 2 / 27)) * 0.2", "",
     "round(f - s, 6) as macd_line, round(g, 6) as macd_signal, round(f - s - g, 6) as macd_histogram"))
 CHANGES = f", c as (select *, coalesce(close - lag(close) over ({W}), 0) as d from n)"
-recursed("rsi", I.rsi, ["rsi"], f"""+ {NUMBERED}{CHANGES}, r as (select symbol, ts, rn, cast(null as double) as g, cast(null as double) as l from c where rn = 1
+simple("rsi", I.rsi, ["rsi"], f"""+ {NUMBERED}{CHANGES}, r as (select symbol, ts, rn, cast(null as double) as g, cast(null as double) as l from c where rn = 1
  union all select c.symbol, c.ts, c.rn, coalesce(r.g * 13 / 14 + greatest(c.d, 0) / 14, greatest(c.d, 0)), coalesce(r.l * 13 / 14 + greatest(-c.d, 0) / 14, greatest(-c.d, 0)) from r join c on c.symbol = r.symbol and c.rn = r.rn + 1)
  select symbol, ts, round(case when rn > 14 and l <> 0 then 100 - 100 / (1 + g / l) else 50 end, 6) as rsi from r""")
 RANGES = f", c as (select *, greatest(high - low, abs(high - lag(close) over ({W})), abs(low - lag(close) over ({W}))) as t from n)"
-recursed("average_true_range", I.average_true_range, ["atr", "atr_pct"], f"""+ {NUMBERED}{RANGES}, r as (select symbol, ts, rn, close, t as a from c where rn = 1
+simple("average_true_range", I.average_true_range, ["atr", "atr_pct"], f"""+ {NUMBERED}{RANGES}, r as (select symbol, ts, rn, close, t as a from c where rn = 1
  union all select c.symbol, c.ts, c.rn, c.close, r.a * 13 / 14 + c.t / 14 from r join c on c.symbol = r.symbol and c.rn = r.rn + 1)
  select symbol, ts, round(case when rn >= 14 then a end, 6) as atr, round(case when rn >= 14 then a / nullif(close, 0) end, 6) as atr_pct from r""")
-recursed("heikin_ashi", I.heikin_ashi, ["ha_open", "ha_high", "ha_low", "ha_close"], recursive(
+simple("heikin_ashi", I.heikin_ashi, ["ha_open", "ha_high", "ha_low", "ha_close"], recursive(
     "open as o, (open + high + low + close) / 4 as c, high as h, low as l", "(r.o + r.c) / 2, (n.open + n.high + n.low + n.close) / 4, n.high, n.low", "",
     "round(o, 6) as ha_open, round(greatest(o, c, h), 6) as ha_high, round(least(o, c, l), 6) as ha_low, round(c, 6) as ha_close"))
-simple("adx", I.adx, ["adx"])
-simple("parabolic_sar", I.parabolic_sar, ["sar"])
-simple("chart_overlays", I.overlays, ["rsi_chart", "vwap_chart", "stoch_d"])
+simple("adx", I.adx, ["adx"], f"+ {X.STRENGTH} select symbol, ts, round(adx, 6) as adx from st")
+simple("parabolic_sar", I.parabolic_sar, ["sar"], f"+ {X.NUMBERED}, {X.SAR} select symbol, ts, round(sar, 6) as sar from sr")
+_OVER = X.recurrence("oc", "c", "cast(0 as double) as g, cast(0 as double) as l", "r.g * 13 / 14 + greatest(n.ch, 0) / 14, r.l * 13 / 14 + greatest(-n.ch, 0) / 14")
+simple("chart_overlays", I.overlays, ["rsi_chart", "vwap_chart", "stoch_k", "stoch_d_chart", "bb_mid", "bb_upper", "bb_lower"], f"""+ {X.NUMBERED}, {X.MOVES}, {_OVER}, {VWAP}, o0 as (select *, {full('min(low) {w}', 14)} as lo, {full('max(high) {w}', 14)} as hi, {full('avg(close) {w}', 20)} as m, {full('stddev_pop(close) {w}', 20)} as sd from v),
+ o1 as (select *, 100 * (close - lo) / nullif(hi - lo, 0) as k from o0), o2 as (select *, {full('avg(k) {w}', 3, 'k')} as kd from o1)
+ select o2.symbol, o2.ts, round(case when rn > 14 then case when l <> 0 then 100 - 100 / (1 + g / l) else 100 end end, 6) as rsi_chart, round(coalesce(vwap, close), 6) as vwap_chart, round(k, 6) as stoch_k, round(kd, 6) as stoch_d_chart, round(m, 6) as bb_mid, round(m + 2 * sd, 6) as bb_upper, round(m - 2 * sd, 6) as bb_lower
+ from o2 join oc on oc.symbol = o2.symbol and oc.ts = o2.ts""")
 
 # Candles: the oracle writes the bearish shapes out, where the library mirrors the bullish ones
 CANDLES = "k as (select *, " + ", ".join(f"lag({c}, {k}) over ({W}) as {c[0]}{k}" for c in ("open", "high", "low", "close") for k in (1, 2)) + f", sign(lag(close, 1) over ({W}) - lag(close, 6) over ({W})) as tr from bars)"
@@ -207,15 +207,23 @@ SIGNAL_SQL = {
     "bollinger_reversion": level_sql(f"m as (select *, {full('avg(close) {w}', 20)} as m, {full('stddev_samp(close) {w}', 20)} as s from bars)", "close <= m - 2 * s", "close >= m + 2 * s", "m"),
     "candlestick_reversal": level_sql(CANDLES, " or ".join(f"coalesce({PREDICATES[n]}, false)" for n in ("hammer", "bullish_engulfing", "morning_star", "three_white_soldiers")), " or ".join(f"coalesce({PREDICATES[n]}, false)" for n in ("hanging_man", "bearish_engulfing", "evening_star", "three_black_crows")), "k"),
 }
+TABLES = X.strategy_tables(CANDLES, *(" or ".join(f"coalesce({PREDICATES[n]}, false)" for n in names) for names in (("hammer", "bullish_engulfing", "morning_star", "three_white_soldiers"), ("hanging_man", "bearish_engulfing", "evening_star", "three_black_crows"))))
+AO_TABLES = X.signals(*TABLES["awesome_oscillator"][:4], *TABLES["awesome_oscillator"][4]["zero_cross"])
+
+
+def signal_sql(name: str, mode: str, columns: str) -> str:
+    return f"+ {X.signals(*TABLES[name][:4], *TABLES[name][4][mode])} select symbol, ts, signal{columns} from sg"
+
+
 for _name, _s in strategies.REGISTRY.items():
     for _i, _mode in enumerate(_s.modes):
         def _signal(spark, sf_dir, name=_name, mode=_mode):
             return rounded(strategies.signals(S.hourly(spark, sf_dir), name, mode).select("symbol", "ts", "signal", "stop_price", "target_price"), "stop_price", "target_price")
 
         if _i == 0:
-            query(f"sig_{_name}", SIGNAL_SQL.get(_name))(lambda spark, sf_dir, name=_name: strategies.signals(S.hourly(spark, sf_dir), name).select("symbol", "ts", "signal"))
+            query(f"sig_{_name}", SIGNAL_SQL.get(_name) or signal_sql(_name, _mode, ""))(lambda spark, sf_dir, name=_name: strategies.signals(S.hourly(spark, sf_dir), name).select("symbol", "ts", "signal"))
         else:
-            query(f"sig_{_name}_{_mode}")(_signal)
+            query(f"sig_{_name}_{_mode}", signal_sql(_name, _mode, ", round(stop_price, 6) as stop_price, round(target_price, 6) as target_price"))(_signal)
 query("sig_buy_and_hold", "select symbol, ts, 1 as signal from bars")(lambda spark, sf_dir: strategies.buy_and_hold(S.hourly(spark, sf_dir)).select("symbol", "ts", "signal"))
 for _mode in ("level_reversal", "vertex_stop", "measured_move"):
     query("sig_chart_pattern_breakout" + ("" if _mode == "level_reversal" else f"_{_mode}"))(lambda spark, sf_dir, mode=_mode: chart.breakout_signals(S.hourly(spark, sf_dir), mode).select("symbol", "ts", "signal", "stop_price", "target_price"))
@@ -266,24 +274,25 @@ def _equity(spark, sf_dir):
     return rounded(B.run(_ao_signals(spark, sf_dir))[0].select("symbol", "ts", "position", "equity"), "equity", places=4)
 
 
-for _n in ("trades", "equity_curve"):
-    ORACLES[_n] = ORACLES[_n].replace("with ", "with recursive ", 1)
 FIGURES = ("total_return", "annualized_return", "sharpe_ratio", "sortino_ratio", "max_drawdown", "win_rate", "profit_factor", "avg_trade_return_pct")
 
 
-@query("metrics")
+@query("metrics", f"+ {AO_TABLES}, {X.account()}, {X.METRICS} select * from mt")
 def _metrics(spark, sf_dir):
     return rounded(metrics.metrics(*B.run(_ao_signals(spark, sf_dir))), *FIGURES)
 
 
-@query("bracket_trades")
+@query("bracket_trades", f"""+ {X.signals(*TABLES["candlestick_reversal"][:4], *TABLES["candlestick_reversal"][4]["candle_stop"])}, {X.account(False, 1.0)} select symbol, cast(run as bigint) as run, t0 as entry_time, round(ep, 4) as entry_price, t1 as exit_time, round(xp, 4) as exit_price, side, cast(qty as bigint) as qty,
+ round(pnl, 4) as pnl, round(pnl / (qty * ep), 6) as return_pct from tr where qty > 0""")
 def _bracket(spark, sf_dir):
-    return B.run(strategies.signals(S.hourly(spark, sf_dir), "candlestick_reversal", "candle_stop"), B.Config(execution_timing="same_close", commission_per_trade=1.0))[1]
+    t = B.run(strategies.signals(S.hourly(spark, sf_dir), "candlestick_reversal", "candle_stop"), B.Config(execution_timing="same_close", commission_per_trade=1.0))[1]
+    t = t.withColumn("run", F.col("run").cast("bigint")).drop("commission", "slippage")
+    return rounded(rounded(t, "entry_price", "exit_price", "pnl", places=4), "return_pct")
 
 
-@query("best_worst_periods")
+@query("best_worst_periods", f"+ {AO_TABLES}, {X.account()}, {X.EXTREMES} select symbol, kind, from_ts, to_ts, round(change, 4) as change from ex")
 def _periods(spark, sf_dir):
-    return metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0])
+    return rounded(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), "change", places=4)
 
 
 NAMES = list(strategies.registered())
@@ -296,26 +305,47 @@ def flagship(spark, sf_dir):
 
 
 # Analysis
-simple("regime", A.classify_regime, ["trend_regime", "vol_regime"])
+REGIME = f"""{X.STRENGTH}, rg as (select bars.symbol, bars.ts, adx, atr / nullif(close, 0) as ap from bars join st using (symbol, ts)), re as (select symbol, ts, case when adx >= median(adx) over (partition by symbol) then 'trending' else 'ranging' end as trend_regime, case when ap >= median(ap) over (partition by symbol) then 'high_vol' else 'low_vol' end as vol_regime from rg)"""
+simple("regime", A.classify_regime, ["trend_regime", "vol_regime"], f"+ {REGIME} select * from re")
+query("regime_stretches", f"""+ {REGIME}, s0 as (select *, case when (trend_regime, vol_regime) = (lag(trend_regime) over ({W}), lag(vol_regime) over ({W})) then 0 else 1 end as nw from re), s1 as (select *, sum(nw) over ({W} rows unbounded preceding) as stretch from s0)
+ select symbol, cast(stretch as bigint) as stretch, trend_regime, vol_regime, min(ts) as from_ts, max(ts) as to_ts, count(*) as bars from s1 group by all""")(lambda spark, sf_dir: A.regime_stretches(A.classify_regime(S.hourly(spark, sf_dir))))
 query("walkforward_folds")(lambda spark, sf_dir: rounded(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), *FIGURES))
 query("regime_map")(lambda spark, sf_dir: rounded(A.regime_map(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5)), "avg_metric"))
 query("recommend")(lambda spark, sf_dir: A.recommend(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), S.hourly(spark, sf_dir)))
 _UNION = " union all ".join(f"select symbol, ts, close, '{n}' as name, '{d}' as direction, coalesce({PREDICATES[n]}, false) as seen, 100 * {CONFIDENCES[n]} as conf from k" for n, d in candles.DIRECTIONS.items())
+_PATTERN_STATS = f"""+ {CANDLES}, l as ({_UNION}), r as (select symbol, ts, lead(close, 10) over ({W}) / nullif(close, 0) - 1 as fr from bars), j as (select l.*, fr, seen and fr is not null as hit from l join r on r.symbol = l.symbol and r.ts = l.ts),
+ ps as (select symbol, name, direction, cast(count(*) filter (where hit) as bigint) as occurrences, case direction when 'bullish' then avg(cast(fr > 0 as double)) filter (where hit) when 'bearish' then avg(cast(fr < 0 as double)) filter (where hit) end as win_rate,
+ avg(fr) filter (where hit) as avg_forward_return, avg(coalesce(conf, 0)) filter (where hit) as avg_confidence from j group by 1, 2, 3)"""
+_ROUNDED = "round(win_rate, 6) as win_rate, round(avg_forward_return, 6) as avg_forward_return, round(avg_confidence, 6) as avg_confidence"
 
 
-@query("pattern_stats", f"""+ {CANDLES}, l as ({_UNION}), r as (select symbol, ts, lead(close, 10) over ({W}) / nullif(close, 0) - 1 as fr from bars), j as (select l.*, fr, seen and fr is not null as hit from l join r on r.symbol = l.symbol and r.ts = l.ts)
- select symbol, name, direction, cast(count(*) filter (where hit) as bigint) as occurrences, round(case direction when 'bullish' then avg(cast(fr > 0 as double)) filter (where hit) when 'bearish' then avg(cast(fr < 0 as double)) filter (where hit) end, 6) as win_rate,
- round(avg(fr) filter (where hit), 6) as avg_forward_return, round(avg(coalesce(conf, 0)) filter (where hit), 6) as avg_confidence from j group by 1, 2, 3""")
+@query("pattern_stats", f"{_PATTERN_STATS} select symbol, name, direction, occurrences, {_ROUNDED} from ps")
 def _pattern_stats(spark, sf_dir):
     return rounded(A.pattern_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return", "avg_confidence")
 
 
-query("indicator_stats")(lambda spark, sf_dir: rounded(A.indicator_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return"))
-query("signal_weights")(lambda spark, sf_dir: A.indicator_stats(S.hourly(spark, sf_dir)).withColumn("weight", F.round(A.weight(), 6)).select("symbol", "name", "weight"))
-query("composite_score")(lambda spark, sf_dir: rounded(A.composite_score(S.hourly(spark, sf_dir)), "score"))
-query("forecast_folds")(lambda spark, sf_dir: rounded(A.validate_forecast(S.hourly(spark, sf_dir), 1, 15, 5), "coverage", "hit_rate", "baseline_up_rate"))
-query("cross_section_ic")(lambda spark, sf_dir: rounded(A.validate_cross_section(S.hourly(spark, sf_dir), 1, 15, 5), "mean_ic", "ic_hit_rate", "top_minus_bottom_spread"))
-query("snapshot")(lambda spark, sf_dir: rounded(A.snapshot(S.hourly(spark, sf_dir)), "value", "gauge_pct"))
+LONG10 = X.long_table(10, A.SIGNALS)
+ALL10, ALL1 = (X.long_table(n, A.SIGNALS, CANDLES, PREDICATES, candles.DIRECTIONS) for n in (10, 1))
+query("indicator_stats", f"+ {LONG10}, {X.win_stats('lg', 'symbol')} select symbol, name, direction, occurrences, round(win_rate, 6) as win_rate, round(avg_forward_return, 6) as avg_forward_return from ws")(
+    lambda spark, sf_dir: rounded(A.indicator_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return"))
+query("signal_weights", f"+ {LONG10}, {X.win_stats('lg', 'symbol')} select symbol, name, round({X.WEIGHT}, 6) as weight from ws")(
+    lambda spark, sf_dir: A.indicator_stats(S.hourly(spark, sf_dir)).withColumn("weight", F.round(A.weight(), 6)).select("symbol", "name", "weight"))
+query("composite_score", f"""+ {ALL10}, {X.win_stats('lg', 'symbol')}, wt as (select symbol, name, {X.WEIGHT} as w from ws), la as (select * from (select *, max(ts) over (partition by symbol) as last from lg) where ts = last)
+ select symbol, max(ts) as as_of, round(coalesce(avg(w) filter (where seen and w <> 0), 0), 6) as score, count(*) filter (where seen and w <> 0) as contributing from la join wt using (symbol, name) group by 1""")(
+    lambda spark, sf_dir: rounded(A.composite_score(S.hourly(spark, sf_dir)), "score"))
+query("forecast_folds", f"""+ {ALL1}, dy as (select distinct symbol, cast(ts as date) as day from bars), {X.fold_table(15, 5)}, {X.scored('symbol, ')}, u as (select *, score is not null and fr is not null as used from sc)
+ select symbol, fold_id, count(*) as n_test_bars, count(*) filter (where used) as n_predictions, round(count(*) filter (where used) / count(*), 6) as coverage, round(count(*) filter (where used and (score > 0) = (fr > 0)) / nullif(count(*) filter (where used), 0), 6) as hit_rate,
+ round(count(*) filter (where used and fr > 0) / nullif(count(*) filter (where used), 0), 6) as baseline_up_rate from u group by grouping sets ((symbol, fold_id), (symbol))""")(
+    lambda spark, sf_dir: rounded(A.validate_forecast(S.hourly(spark, sf_dir), 1, 15, 5), "coverage", "hit_rate", "baseline_up_rate"))
+query("cross_section_ic", f"""+ ok as (select symbol from bars group by 1 having count(distinct cast(ts as date)) >= 25), ub as (select bars.* from bars semi join ok using (symbol)), un as (select count(distinct symbol) as n from ub), {ALL1}, dy as (select cast(ts as date) as day from ub group by 1 having count(distinct symbol) = (select n from un)), {X.fold_table(15, 5, '')},
+ lgx as (select * from lg semi join ok using (symbol)), {X.scored('').replace('from lg ', 'from lgx ')}, al as (select ts from ub group by 1 having count(distinct symbol) = (select n from un)),
+ c1 as (select fold_id, ts, fr, coalesce(score, 0) as score from sc semi join al using (ts) where fr is not null),
+ c2 as (select *, rank() over (partition by fold_id, ts order by score) + (count(*) over (partition by fold_id, ts, score) - 1) / 2.0 as rs, rank() over (partition by fold_id, ts order by fr) + (count(*) over (partition by fold_id, ts, fr) - 1) / 2.0 as rr, median(score) over (partition by fold_id, ts) as med from c1),
+ c3 as (select fold_id, ts, covar_pop(rs, rr) / nullif(stddev_pop(rs) * stddev_pop(rr), 0) as ic, avg(fr) filter (where score > med) - avg(fr) filter (where score < med) as spread from c2 group by 1, 2 having count(*) >= 5 and count(distinct score) >= 2),
+ c4 as (select fold_id, count(*) as n_timestamps, round(avg(ic), 6) as mean_ic, round(avg(cast(ic > 0 as double)), 6) as ic_hit_rate, round(avg(spread), 6) as top_minus_bottom_spread from c3 where ic is not null group by grouping sets ((fold_id), ())),
+ ev as (select distinct fold_id from fo union all select null) select ev.fold_id, coalesce(n_timestamps, 0) as n_timestamps, mean_ic, ic_hit_rate, top_minus_bottom_spread from ev left join c4 on ev.fold_id is not distinct from c4.fold_id""")(
+    lambda spark, sf_dir: rounded(A.validate_cross_section(S.hourly(spark, sf_dir), 1, 15, 5), "mean_ic", "ic_hit_rate", "top_minus_bottom_spread"))
+query("snapshot", f"+ {X.gauges()}")(lambda spark, sf_dir: rounded(A.snapshot(S.hourly(spark, sf_dir)), "value", "gauge_pct"))
 query("recent_patterns")(lambda spark, sf_dir: rounded(A.recent_patterns(S.daily(spark, sf_dir)), "confidence"))
 
 
@@ -327,10 +357,15 @@ def _scan(spark, sf_dir):
 
 
 # Documents
-query("period_windows")(lambda spark, sf_dir: rounded(metrics.period_windows(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), S.hourly(spark, sf_dir)), "price_change_pct", "avg_volume", "volume_ratio", "volatility"))
+query("period_windows", f"""+ {AO_TABLES}, {X.account()}, {X.EXTREMES}, pb as (select *, row_number() over ({W}) - 1 as i, avg(volume) over (partition by symbol) as mean from bars),
+ pe as (select ex.symbol, kind, a.i as a, b.i as b from ex join pb a on a.symbol = ex.symbol and a.ts = from_ts join pb b on b.symbol = ex.symbol and b.ts = to_ts),
+ ph as (select pb.*, kind, case when i between a - 10 and a - 1 then 'pre' when i between a and b then 'during' when i between b + 1 and b + 10 then 'post' end as phase from pe join pb using (symbol)),
+ pr as (select *, close / nullif(lag(close) over (partition by symbol, kind, phase order by i), 0) - 1 as r from ph where phase is not null)
+ select symbol, kind, phase, round(arg_max(close, i) / nullif(arg_min(close, i), 0) - 1, 6) as price_change_pct, round(avg(volume), 6) as avg_volume, round(avg(volume) / nullif(any_value(mean), 0), 6) as volume_ratio, round(stddev_samp(r), 6) as volatility, count(*) as num_bars from pr group by 1, 2, 3""")(lambda spark, sf_dir: rounded(metrics.period_windows(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), S.hourly(spark, sf_dir)), "price_change_pct", "avg_volume", "volume_ratio", "volatility"))
 query("symbol_document")(lambda spark, sf_dir: documents.symbol_document(S.hourly(spark, sf_dir)))
-query("stats_table")(lambda spark, sf_dir: rounded(documents.stats_table(A.pattern_stats(S.hourly(spark, sf_dir))), "win_rate", "avg_forward_return", "avg_confidence"))
-query("recommendation")(lambda spark, sf_dir: rounded(documents.recommendation(A.pattern_stats(S.hourly(spark, sf_dir))), "score"))
+query("stats_table", f"{_PATTERN_STATS} select symbol, name, direction, occurrences, {_ROUNDED}, row_number() over (partition by symbol, direction order by coalesce(win_rate, -1) desc, name) as row, occurrences < 5 as low_sample from ps")(lambda spark, sf_dir: rounded(documents.stats_table(A.pattern_stats(S.hourly(spark, sf_dir))), "win_rate", "avg_forward_return", "avg_confidence"))
+query("recommendation", f"""{_PATTERN_STATS}, rs as (select symbol, coalesce(sum(case when occurrences > 0 then case direction when 'bullish' then 1 when 'bearish' then -1 end * coalesce(win_rate, 0.5) * coalesce(avg_confidence, 50) / 100 * least(1.0, occurrences / 5.0) end), 0) as score from ps group by 1)
+ select symbol, round(score, 6) as score, case when abs(score) < 0.05 then 'mixed' when score > 0 then 'bullish' else 'bearish' end as verdict from rs""")(lambda spark, sf_dir: rounded(documents.recommendation(A.pattern_stats(S.hourly(spark, sf_dir))), "score"))
 
 
 # Ticks
@@ -355,7 +390,11 @@ def _micro(spark, sf_dir):
     return rounded(f, "order_flow_imbalance", "close", "quote_imbalance", "relative_spread")
 
 
-query("micro_ic")(lambda spark, sf_dir: rounded(ticks.validate(S.trades(spark, sf_dir), S.quotes(spark, sf_dir), "6 hours", 1, 2, 2), "ic"))
+_IC = MICRO.replace("interval 15 minutes", "interval 6 hours") + """, f as (select * from a full outer join b using (symbol, bucket) where coalesce(trade_count, 0) >= 2 and coalesce(quote_count, 0) >= 2), g as (select *, lead(close) over (partition by symbol order by bucket) / nullif(close, 0) - 1 as r from f),
+ l as (select symbol, r, unnest(['order_flow_imbalance', 'quote_imbalance', 'relative_spread']) as feature, unnest([order_flow_imbalance, quote_imbalance, relative_spread]) as value from g), m as (select * from l where r is not null and value is not null),
+ k as (select *, rank() over (partition by symbol, feature order by value) + (count(*) over (partition by symbol, feature, value) - 1) / 2.0 as x, rank() over (partition by symbol, feature order by r) + (count(*) over (partition by symbol, feature, r) - 1) / 2.0 as y from m)
+ select symbol, feature, count(*) as n, round(case when count(*) >= 10 then covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) end, 6) as ic from k group by 1, 2"""
+query("micro_ic", _IC, "")(lambda spark, sf_dir: rounded(ticks.validate(S.trades(spark, sf_dir), S.quotes(spark, sf_dir), "6 hours", 1, 2, 2), "ic"))
 JOURNAL = """with t as (select o_orderpriority as setup_type, round(o_totalprice - 250000, 2) as net_pl from orders where o_orderstatus = 'F')
  select setup_type, cast(grouping(setup_type) as integer) as is_total, count(*) as trades, count(*) filter (where net_pl > 0) as wins, round(count(*) filter (where net_pl > 0) / count(*), 6) as win_rate, round(avg(net_pl) filter (where net_pl > 0), 4) as avg_win,
  round(avg(net_pl) filter (where net_pl <= 0), 4) as avg_loss, round(coalesce(sum(net_pl) filter (where net_pl > 0), 0) / nullif(abs(sum(net_pl) filter (where net_pl <= 0)), 0), 6) as profit_factor, round(sum(net_pl), 2) as net from t group by grouping sets ((setup_type), ())"""
@@ -367,8 +406,41 @@ def _journal(spark, sf_dir):
     return rounded(rounded(rounded(s, "win_rate", "profit_factor"), "avg_win", "avg_loss", places=4), "net", places=2)
 
 
+SETUPS = """s as (select o_orderkey as id, case when o_orderkey % 2 = 0 then 'long' else 'short' end as side, o_totalprice as entry_price, o_totalprice * (1 + (o_orderkey % 7 - 4) / 100.0::double) as stop_loss, o_totalprice * (1 + (o_orderkey % 11 - 5) / 50.0::double) as target_price, o_orderkey % 3 = 0 as volume_confirmed, o_orderkey % 5 = 0 as higher_tf_aligned from orders),
+ r as (select *, case side when 'long' then entry_price - stop_loss else stop_loss - entry_price end as risk, case side when 'long' then target_price - entry_price else entry_price - target_price end as reward from s),
+ c as (select *, case when risk > 0 and reward > 0 then reward / risk end as rr from r)"""
+
+
+@query("journal_checks", f"""with {SETUPS} select id, round(rr, 6) as rr_ratio, coalesce(risk > 0 and reward > 0 and rr >= 1.5, false) as is_valid, case when risk <= 0 then 'stop loss is not on the losing side of the entry' when reward <= 0 then 'target is not on the winning side of the entry' when rr < 1.5 then 'reward is too small against the risk' end as error,
+ cast(volume_confirmed is false as integer) + cast(higher_tf_aligned is false as integer) as n_warnings, case when risk > 0 then cast(floor(200 / risk) as bigint) else 0 end as suggested_quantity from c""", "")
+def _checks(spark, sf_dir):
+    v = journal.suggested_quantity(journal.validate_setup(S.setups(spark, sf_dir)))
+    return rounded(v.select("id", "rr_ratio", "is_valid", F.get("errors", F.lit(0)).alias("error"), F.size("warnings").alias("n_warnings"), "suggested_quantity"), "rr_ratio")
+
+
+@query("journal_life", """with t as (select o_orderkey as id, case when o_orderkey % 2 = 0 then 'long' else 'short' end as side, o_totalprice as p, o_totalprice * (1 + (o_orderkey % 9 - 4) / 100.0::double) as x, o_orderkey % 4 as k from orders),
+ c as (select *, case when k <> 3 then case side when 'long' then 1 else -1 end * (x - p) * 10 end as gross from t)
+ select id, 'S' || id % 3 as symbol, side, round(gross, 4) as gross_pl, round(gross - 5, 4) as net_pl, case when k = 2 then 'invalidated' when k = 3 then 'open' when gross - 5 > 0 then 'closed_win' else 'closed_loss' end as status, case when k = 1 then 'checked' else '' end as notes from c""", "")
+def _life(spark, sf_dir):
+    trades = journal.create(S.setups(spark, sf_dir).withColumns({"symbol": F.concat(F.lit("s"), F.col("id") % 3), "setup_type": F.lit("orb"), "quantity": F.lit(10)}), F.lit("2024-01-02"))
+    k = F.col("id") % 4
+    trades = journal.close(trades.withColumns({"fees": F.lit(5.0), "exit_price": F.when(k != 3, F.col("entry_price") * (1 + (F.col("id") % 9 - 4) / 100.0))}))
+    changes = trades.where(k.isin(1, 2)).select("id", F.lit(1).alias("seq"), F.when(k == 1, "notes").otherwise("invalidate").alias("event"), F.lit("checked").alias("notes"))
+    done = journal.export(journal.amend(trades, changes))
+    return rounded(done.select("id", "symbol", "side", "gross_pl", "net_pl", "status", "notes"), "gross_pl", "net_pl", places=4)
+
+
+@query("watchlist", """with e as (select upper(trim(event_type)) as symbol, event_id as seq, case when event_id % 11 = 0 then 'remove' else 'add' end as event from events where event_id <= 400), g as (select *, coalesce(max(case when event = 'remove' then seq end) over (partition by symbol), -1) as gone from e),
+ k as (select symbol, min(seq) as first from g where event = 'add' and seq > gone group by 1) select symbol, row_number() over (order by first) as position from k""", "")
+def _watchlist(spark, sf_dir):
+    e = S.table(spark, sf_dir, "events").where("event_id <= 400")
+    return documents.watchlist(e.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "remove").otherwise("add").alias("event")))
+
+
 # Chart patterns
-query("swings")(lambda spark, sf_dir: chart.swings(S.hourly(spark, sf_dir)))
+query("swings", f"+ {X.SWINGS} select symbol, cast(swing_no as integer) as swing_no, cast(bar_idx as bigint) as bar_idx, ts, price, kind from sw")(lambda spark, sf_dir: chart.swings(S.hourly(spark, sf_dir)))
+# thresholds in per cent of the price, small enough for many swings
+query("swings_fine", f"+ {X.SWINGS.replace('coalesce(greatest(300 * median(atr / nullif(close, 0)), 0.5), 3.0) / 100', '0.2::double')} select symbol, cast(swing_no as integer) as swing_no, cast(bar_idx as bigint) as bar_idx, ts, price, kind from sw")(lambda spark, sf_dir: chart.swings(S.hourly(spark, sf_dir), 20.0))
 query("chart_patterns")(lambda spark, sf_dir: chart.chart_patterns(S.hourly(spark, sf_dir)))
 query("chart_pattern_stats")(lambda spark, sf_dir: rounded(chart.chart_pattern_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return", "avg_confidence"))
 query("trendlines")(lambda spark, sf_dir: chart.converging(S.hourly(spark, sf_dir), chart.swings(S.hourly(spark, sf_dir))).select("symbol", "name", "direction", "at", "breakout_idx", "confidence"))

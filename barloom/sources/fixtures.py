@@ -45,3 +45,12 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("entry_timestamp"), F.when(s != "O", F.round(p - 250000, 2)).alias("net_pl"),
         F.when(s == "O", "open").when(s == "P", "invalidated").when(p > 250000, "closed_win").otherwise("closed_loss").alias("status"),
     )
+
+
+def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade setups with stops and targets on either side of the entry."""
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 2 == 0, "long").otherwise("short").alias("side"), p.alias("entry_price"), (p * (1 + (k % 7 - 4) / 100.0)).alias("stop_loss"), (p * (1 + (k % 11 - 5) / 50.0)).alias("target_price"),
+        (k % 3 == 0).alias("volume_confirmed"), (k % 5 == 0).alias("higher_tf_aligned"),
+    )

@@ -218,7 +218,8 @@ def test_journal(spark):
     s = spark.createDataFrame([("long", 10.0, 9.0, 12.0), ("short", 10.0, 9.0, 12.0), ("long", 10.0, 10.0, 11.0)], "side string, entry_price double, stop_loss double, target_price double")
     made = journal.suggested_quantity(journal.validate_setup(s)).collect()
     assert made[0].rr_ratio == 2 and not made[0].errors and made[0].suggested_quantity == 200
-    assert len(made[1].errors) == 2 and made[2].suggested_quantity == 0
+    # a misplaced stop hides a misplaced target, as the journal has it
+    assert len(made[1].errors) == 1 and not made[1].is_valid and made[1].suggested_quantity == 0 and made[2].suggested_quantity == 0
     events = spark.createDataFrame([(1, 1, "create"), (1, 2, "close"), (2, 3, "create"), (2, 4, "delete")], "id long, seq long, event string")
     assert [(r.id, r.event) for r in journal.latest(events).collect()] == [(1, "close")]
     t = spark.createDataFrame([("x", "closed_win", 5.0), ("x", "closed_loss", 0.0), ("y", "open", None)], "setup_type string, status string, net_pl double")

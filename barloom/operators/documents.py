@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keys
+from ..functions.tables import materialize
 from . import analysis, candles, chart
 
 C = F.col
@@ -24,10 +25,11 @@ def bars_document(bars: DataFrame) -> DataFrame:
     return df.groupBy(*per).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("bars_json"))
 
 
-def patterns_document(bars: DataFrame) -> DataFrame:
+def patterns_document(bars: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """patterns_json of each series; `shapes`: chart_patterns of the bars, where they are known."""
     per = keys(bars)
     row = F.struct("place", "name", "direction", "confidence", "vertices", "trendlines", "breakout_time", "breakout_price")
-    return chart.chart_patterns(bars).groupBy(*per).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("patterns_json"))
+    return (chart.chart_patterns(bars) if shapes is None else shapes).groupBy(*per).agg(F.to_json(F.array_sort(F.collect_list(row))).alias("patterns_json"))
 
 
 def stats_table(stats: DataFrame) -> DataFrame:
@@ -38,11 +40,12 @@ def stats_table(stats: DataFrame) -> DataFrame:
 
 def symbol_document(bars: DataFrame) -> DataFrame:
     """One document a series: bars, chart patterns, both tables of statistics, gauges."""
-    per = keys(bars)
+    per, bars = keys(bars), materialize(bars)
+    shapes = materialize(chart.chart_patterns(bars))
     pack = lambda df, name: df.groupBy(*per).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*(c for c in df.columns if c not in per))))).alias(name))
     out = bars_document(bars)
-    for df in (patterns_document(bars), pack(analysis.pattern_stats(bars), "stats_json"), pack(chart.chart_pattern_stats(bars), "chart_stats_json"), pack(analysis.snapshot(bars).drop("ts"), "gauges_json")):
-        out = out.join(df, per, "left")
+    for df in (patterns_document(bars, shapes), pack(analysis.pattern_stats(bars), "stats_json"), pack(chart.chart_pattern_stats(bars, found=shapes), "chart_stats_json"), pack(analysis.snapshot(bars).drop("ts"), "gauges_json")):
+        out = out.join(materialize(df), per, "left")
     return out
 
 

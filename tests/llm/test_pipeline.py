@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from barloom.llm import mix, quality
 from tests.llm.test_pack import check
@@ -33,7 +35,7 @@ def test_stages_on_documents(spark, tmp_path):
         assert want[r.doc_id] <= len(r.text.encode()) <= want[r.doc_id] + 6 * 50 and r.n_chars == len(r.text)
 
     before, after = seen["mixing sources to target weights"]
-    copies = Counter({r.doc_id: r.copies for r in mix.mix(before).collect() if r.copies})
+    copies = Counter({r.doc_id: r.copies for r in mix.mix(before.withColumn("h", F.xxhash64(*columns)), row_col="h").collect() if r.copies})
     assert Counter(r.doc_id for r in after.collect()) == copies and {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
 
     before, after = seen["packing"]

@@ -63,12 +63,13 @@ def checksum(ids: np.ndarray) -> int:
 
 def terms_of(text: str) -> np.ndarray:
     """Hashed terms and counts of the words of a text without marks around them, as [2, n]."""
-    found = Counter(text.encode().lower().split())
-    words = [w.strip(MARKS) for w in found]
-    some = np.fromiter(map(bool, words), bool, len(words))
-    term = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))[some] % np.uint32(TERMS)
-    distinct, at = np.unique(term, return_inverse=True)
-    return np.stack([distinct, np.bincount(at, np.fromiter(found.values(), np.int64, len(words))[some], len(distinct))]).astype(np.uint32)
+    held: dict[int, int] = {}
+    for w, n in Counter(text.encode().lower().split()).items():
+        w = w.strip(MARKS)
+        if w:
+            t = zlib.crc32(w) % TERMS
+            held[t] = held.get(t, 0) + n
+    return np.array([list(held), list(held.values())], np.uint32).reshape(2, -1)
 
 
 def bucket_of(terms: np.ndarray, buckets: int) -> int:

@@ -1,13 +1,16 @@
-"""Katz backoff language model: Good-Turing discounted bigram counts with exactly normalised backoff weights.
-
-Texts are encoded once, in blocks of a few million tokens that are stored bucketed by block. A block asks hashed parts for
-what the whole corpus says of its distinct words, word pairs and contexts, once for each, and the parts answer in the
-order asked: counts meet in as many tasks as there are parts, whatever word is frequent, since every block has summed its
-own before. Words and pairs with their counts are stored as tables partitioned by kind, `model` rows beside the answers.
-
-P(w | v) is d(c) c(v w) / c(v) for pairs seen in training, else alpha(v) P(w); P(w) is d(c) c(w) / N for words seen in
-training, else the rest of the mass, that of all unseen words together, as one type. alpha(v) makes the sum over all
-words and the unseen type 1: (1 - sum of discounted shares) / (1 - sum of P over the words seen after v).
+"""Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
+
+Texts are encoded once, in blocks of some million tokens that are stored bucketed by block. A block asks hashed parts for
+what the whole corpus says of its distinct n-grams of all orders, and then of its contexts, once for each, and the parts
+answer in the order asked: counts meet in as many tasks as there are parts and orders, whatever word is frequent, since every
+block has summed its own before. What the parts know is stored as two tables partitioned by kind, whose `model` rows score
+any text: n-grams with their counts, and contexts with what their backoff weights are made of.
+
+For an n-gram of context h and last word w, P(w | h) is d(c) c(h w) / c(h) where training has it, else alpha(h) P(w | h'),
+where h' is h without its first word; a context that training lacks has alpha 1. P(w) is d(c) c(w) / N for words seen in
+training, else the rest of the mass, that of all unseen words together, as one type. alpha(h) makes the sum over all words
+and the unseen type 1: (1 - sum of discounted shares after h) / (1 - sum of P(w | h') over the words seen after h). All those
+P(w | h') are seen themselves and have the denominator of h', so that a part can sum their discounted counts without it.
 """
 
 from __future__ import annotations
@@ -21,16 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Parted, answers_to
-from .common import bucketed, documents, lower_words_of, materialize, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
+from .blocks import answers_to
+from .common import bucketed, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
 
-TOKENS_PER_BLOCK = 2_500_000
+ORDER = 3
+TOKENS_PER_BLOCK = 2_000_000
 CUT = 5  # counts above it aren't discounted
 BEGIN, END = 1, 2  # keys beside the words' hashes
-LARGE = np.uint64(0xFFFFFFFF)
-BLOCK = "block long, doc_ids binary, lengths binary, train binary, tokens binary, vocab binary, counts binary"
-ASK = "part int, block long, keys binary, counts binary, more binary"
-TOLD = "kind string, part int, block long, keys binary, counts binary, ids binary, stats array<long>"
+BLOCK = "block long, doc_ids binary, lengths binary, train binary, tokens binary, vocab binary"
+ASK = "n int, part int, block long, keys binary, counts binary, more binary"
+TOLD = "kind string, n int, part int, block long, keys binary, counts binary, more binary, ids binary, stats array<long>"
 
 
 class Vocabulary(dict):
@@ -39,21 +42,37 @@ class Vocabulary(dict):
         return n
 
 
+def word_key(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 1)
+
+
+def longer_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of n-grams by the keys of their contexts and of their last words."""
+    return mix64(context * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def pack_counts(values: np.ndarray) -> bytes:
+    """Compress counts in the least width that holds them all, which comes first."""
+    top = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + pack(values.astype(f"u{width}"))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], f"u{data[0]}").astype(np.int64)
+
+
 def _encoded(number: int, docs: list[tuple], pieces: list[np.ndarray], vocabulary: Vocabulary) -> pd.DataFrame:
     seq = np.concatenate(pieces)
     sizes = np.array([len(p) for p in pieces], np.uint32)
-    train = np.array([not held for _, held in docs])
-    local = np.bincount(seq, minlength=len(vocabulary))
-    order = np.argsort(-local, kind="stable")  # frequent words have small numbers
+    order = np.argsort(-np.bincount(seq, minlength=len(vocabulary)), kind="stable")  # frequent words have small numbers
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    keys = np.array([xxhash.xxh64_intdigest(w, 1) if k > 1 else (BEGIN, END)[k] for k, w in enumerate(vocabulary)], np.uint64)
-    counts = np.bincount(seq[np.repeat(train, sizes)], minlength=len(vocabulary))
-    ids = np.array([0 if i is None else i for i, _ in docs], np.int64)
-    null = np.array([i is None for i, _ in docs])
+    keys = np.array([word_key(w) if k > 1 else (BEGIN, END)[k] for k, w in enumerate(vocabulary)], np.uint64)
+    flags = np.array([[not held for _, held in docs], [i is None for i, _ in docs]], np.uint8)
     return pd.DataFrame([{
-        "block": number, "doc_ids": pack(ids), "lengths": pack(sizes), "train": np.stack([train, null]).astype(np.uint8).tobytes(),
-        "tokens": pack(rank[seq]), "vocab": pack(keys[order]), "counts": pack(counts[order].astype(np.uint32)),
+        "block": number, "doc_ids": pack(np.array([0 if i is None else i for i, _ in docs], np.int64)), "lengths": pack(sizes),
+        "train": flags.tobytes(), "tokens": pack(rank[seq]), "vocab": pack(keys[order]),
     }])
 
 
@@ -89,69 +108,151 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(rows, BLOCK)
 
 
-class Pairs:
-    """The distinct (word, next word) of a block, by global ids, and where its tokens have them."""
+class Grams:
+    """The distinct n-grams of a block, by order from 1 and ascending key, and where its tokens have them.
 
-    def __init__(self, row, ids: np.ndarray):
-        seq = unpack(row.tokens, np.uint32)
-        self.next = seq[1:][seq[1:] != self.begin(row)]
-        left = seq[:-1][seq[1:] != self.begin(row)]
-        key = ids[left].astype(np.uint64) << np.uint64(32) | ids[self.next].astype(np.uint64)
-        self.keys, first, self.at = np.unique(key, return_index=True, return_inverse=True)
-        self.left, self.right = left[first], self.next[first]
-        self.sizes = unpack(row.lengths, np.uint32).astype(np.int64) - 1
-        self.train, self.null = np.frombuffer(row.train, np.uint8).reshape(2, -1).astype(bool)
-
-    @staticmethod
-    def begin(row) -> int:
-        return int(np.flatnonzero(unpack(row.vocab, np.uint64) == BEGIN)[0])
+    keys[n], and for n > 1 the places of its context and of the n-gram without its first word among those of order n - 1; at[n]
+    is the n-gram that ends at each token, -1 where the text has no n tokens until there. Parts hold ranges of keys.
+    """
 
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.at[np.repeat(self.train, self.sizes)], minlength=len(self.keys)).astype(np.uint32)
+    def __init__(self, row, order: int, parts: int):
+        self.block, self.order = row.block, order
+        self.sizes = unpack(row.lengths, np.uint32).astype(np.int64)
+        self.train, self.null = np.frombuffer(row.train, np.uint8).reshape(2, -1).astype(bool)
+        self.place = np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        vocab = unpack(row.vocab, np.uint64)
+        sort = np.argsort(vocab)
+        rank = np.empty(len(vocab), np.int32)
+        rank[sort] = np.arange(len(vocab))
+        self.keys, self.at = {1: vocab[sort]}, {1: rank[unpack(row.tokens, np.uint32)]}
+        self.context, self.lower = {}, {}
+        key = own = self.keys[1][self.at[1]]
+        for n in range(2, order + 1):
+            key = longer_keys(np.append(np.uint64(0), key[:-1]), own)
+            ends = np.flatnonzero(self.place >= n - 1)
+            self.keys[n], first, inverse = np.unique(key[ends], return_index=True, return_inverse=True)
+            self.at[n] = np.full(len(key), -1, np.int32)
+            self.at[n][ends] = inverse
+            self.context[n], self.lower[n] = self.at[n - 1][ends[first] - 1], self.at[n - 1][ends[first]]
+        self.runs = {}
+        for n, keys in self.keys.items():
+            names, start = np.unique((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), return_index=True)
+            self.runs[n] = list(zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)][: len(names)], strict=True))
+
+    def counts(self, n: int) -> np.ndarray:
+        here = (self.place >= n - 1) & np.repeat(self.train, self.sizes)
+        return np.bincount(self.at[n][here], minlength=len(self.keys[n]))
+
+    def ask_counts(self) -> pd.DataFrame:
+        out = []
+        for n in self.keys:
+            counts = self.counts(n)
+            out += [(n, p, self.block, pack_sorted(self.keys[n][a:b]), pack_counts(counts[a:b]), b"") for p, a, b in self.runs[n]]
+        return pd.DataFrame(out, columns=["n", "part", "block", "keys", "counts", "more"])
+
+    def hear_counts(self, told: pd.DataFrame) -> None:
+        """seen[n]: counts in all of training; first[n]: whether this block is the first to have trained on it; ids[n]: place
+        among its part's trained n-grams."""
+        by = {(r.n, r.part): r for r in told[told["kind"] == "told"].itertuples()}
+        self.seen, self.first, self.ids = {}, {}, {}
+        for n in self.keys:
+            rows = [by[n, p] for p, _, _ in self.runs[n]]
+            self.seen[n] = np.concatenate([unpack_counts(r.counts) for r in rows]) if rows else np.zeros(0, np.int64)
+            if n > 1:
+                self.first[n] = np.concatenate([unpack(r.more, np.uint8) for r in rows]).astype(bool) if rows else np.zeros(0, bool)
+            if n < self.order:
+                self.ids[n] = np.concatenate([unpack_sorted(r.ids) for r in rows]) if rows else np.zeros(0, np.uint64)
+
+    def contexts(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Of the n-grams' contexts that training has: each part, and their places among those of order n - 1."""
+        used = (np.bincount(self.context[n], minlength=len(self.keys[n - 1])) > 0) & (self.seen[n - 1] > 0)
+        for p, a, b in self.runs[n - 1]:
+            at = a + np.flatnonzero(used[a:b])
+            if len(at):
+                yield p, at
+
+    def ask_contexts(self, discounts: dict[int, Discounts]) -> pd.DataFrame:
+        """Each n-gram is summed where it was trained on first: its discounted count, and what is below it."""
+        out = []
+        for n in range(2, self.order + 1):
+            mine = np.flatnonzero(self.first[n])
+            of, lower, size = self.context[n][mine], self.seen[n - 1][self.lower[n][mine]], len(self.keys[n - 1])
+            kept = np.bincount(of, discounts[n].of(self.seen[n][mine]), size)
+            below = np.bincount(of, discounts[1].share(lower) if n == 2 else discounts[n - 1].of(lower), size)
+            for p, at in self.contexts(n):
+                sums = np.stack([kept[at], below[at]], 1).view("V16").reshape(-1)
+                out.append((n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(self.seen[n - 1][at]), pack(sums)))
+        return pd.DataFrame(out, columns=["n", "part", "block", "keys", "counts", "more"])
+
+    def shares(self, discounts: dict[int, Discounts], told: pd.DataFrame) -> dict[int, np.ndarray]:
+        """P of every n-gram's last word after its context, by recursion over the orders."""
+        by = {(r.n, r.part): r.more for r in told[told["kind"] == "weights"].itertuples()}
+        p, over = {1: discounts[1].share(self.seen[1])}, {}
+        for n in range(2, self.order + 1):
+            alpha, over[n] = np.ones(len(self.keys[n - 1])), np.maximum(self.seen[n - 1], 1).astype(np.float64)
+            for part, at in self.contexts(n):
+                left, below = unpack(by[n - 1, part], "V16").view(np.float64).reshape(-1, 2).T
+                over[n][at] += left < 0
+                if n > 2:
+                    below = below / over[n - 1][self.lower[n - 1][at]]
+                alpha[at] = weight(left, below)
+            lower, of = self.lower[n], self.context[n]
+            p[n] = np.where(self.seen[n] > 0, discounts[n].of(self.seen[n]) / over[n][of], alpha[of] * p[n - 1][lower])
+        return p
+
+
+def weight(left: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """alpha of contexts by the mass left (negative where the denominator is the count and one) and that of the words below."""
+    return np.abs(left) / np.maximum(1 - below, 1e-300)
 
 
 def tally(counts: np.ndarray) -> list[int]:
     """n_1 .. n_(CUT+1), all, distinct, and the sum of counts above CUT."""
-    of = np.bincount(np.minimum(counts, CUT + 2).astype(np.int64), minlength=CUT + 3)
+    of = np.bincount(np.minimum(counts, CUT + 2), minlength=CUT + 3)
     return [*of[1 : CUT + 2].tolist(), int(counts.sum()), len(counts), int(counts[counts > CUT].sum())]
 
 
-def merge(words: bool, parts: int):
-    """Sum what blocks count of a part's keys; a `model` row, and an answer to each block: the sums, and the ids of words
-    or, of pairs, which block is the first to have trained on one."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        part = int(pdf["part"].iloc[0])
-        keys = [unpack_sorted(k) for k in pdf["keys"]]
-        own = [unpack(c, np.uint32) for c in pdf["counts"]]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        flat = np.concatenate(own)
-        total = np.bincount(at, flat, len(every)).astype(np.uint64)
-        if total.max(initial=0) > LARGE >> np.uint64(1):
-            raise OverflowError("a count is beyond 31 bits")
-        trained = total > 0
-        if words:
-            rank = np.empty(len(every), np.int64)
-            rank[np.argsort(-total.astype(np.int64), kind="stable")] = np.arange(len(every))
-            ids = rank * parts + part
-            if ids.max(initial=0) >= LARGE:
-                raise OverflowError("more than 32 bits of words")
-            extra, counted = ids.astype(np.uint32)[at], total[trained & (every != BEGIN)]
-        else:
-            has = np.flatnonzero(flat > 0)
-            first = np.full(len(every), -1, np.int64)
-            first[at[has][::-1]] = has[::-1]
-            extra = (first[at] == np.arange(len(flat))).astype(np.uint8)
-            counted = total[trained]
-        ends = np.cumsum([len(k) for k in keys])
-        told = total.astype(np.uint32)[at]
-        rows = [{"kind": "model", "part": part, "block": -1, "keys": pack_sorted(every[trained]), "counts": pack(total[trained].astype(np.uint32)), "ids": pack(ids[trained].astype(np.uint32)) if words else b"", "stats": tally(counted)}]
-        for block, a, b in zip(pdf["block"], ends - [len(k) for k in keys], ends, strict=True):
-            rows.append({"kind": "words" if words else "pairs", "part": part, "block": block, "keys": b"", "counts": pack(told[a:b]), "ids": pack(extra[a:b]), "stats": []})
-        return pd.DataFrame(rows)
-
-    return run
+def merge_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum what blocks count of a part's n-grams: a `model` row, and an answer to each block. Sums are exact up to 2^53."""
+    pdf = pdf.sort_values("block", kind="stable")
+    n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
+    keys, flat = [unpack_sorted(k) for k in pdf["keys"]], np.concatenate([unpack_counts(c) for c in pdf["counts"]])
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, flat, len(every)).astype(np.int64)
+    trained = total > 0
+    has = np.flatnonzero(flat > 0)
+    first = np.full(len(every), -1, np.int64)
+    first[at[has][::-1]] = has[::-1]
+    more = (first[at] == np.arange(len(flat))).astype(np.uint8)
+    ids, told = (np.cumsum(trained) - trained).astype(np.uint64)[at], total[at]
+    counted = total[trained & (every != BEGIN)] if n == 1 else total[trained]
+    out = [("model", n, part, -1, pack_sorted(every[trained]), pack_counts(total[trained]), b"", b"", tally(counted))]
+    ends = np.cumsum([len(k) for k in keys])
+    for block, k, b in zip(pdf["block"], keys, ends, strict=True):
+        a = b - len(k)
+        out.append(("told", n, part, block, b"", pack_counts(told[a:b]), pack(more[a:b]), pack_sorted(ids[a:b]), []))
+    return pd.DataFrame(out, columns=["kind", "n", "part", "block", "keys", "counts", "more", "ids", "stats"])
+
+
+def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum what blocks know of a part's contexts: the mass left (see weight()) and the words below. `ids` of the model row are
+    places among the part's n-grams of that order."""
+    pdf = pdf.sort_values("block", kind="stable")
+    n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
+    keys = [unpack_sorted(k) for k in pdf["keys"]]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.concatenate([unpack(m, "V16") for m in pdf["more"]]).view(np.float64).reshape(-1, 2)
+    count = np.zeros(len(every))
+    count[at] = np.concatenate([unpack_counts(c) for c in pdf["counts"]])
+    kept, below = np.bincount(at, sums[:, 0], len(every)), np.bincount(at, sums[:, 1], len(every))
+    full = kept >= count * (1 - 1e-9)  # nothing discounted: one more in the denominator leaves a share
+    left = 1 - kept / (count + full)
+    known = np.stack([np.where(full, -left, left), below], 1).view("V16").reshape(-1)
+    out = [("model", n, part, -1, b"", b"", pack(known), pack_sorted(every), [])]
+    ends = np.cumsum([len(k) for k in keys])
+    for block, k, b in zip(pdf["block"], keys, ends, strict=True):
+        out.append(("weights", n, part, block, b"", b"", pack(known[at[b - len(k) : b]]), b"", []))
+    return pd.DataFrame(out, columns=["kind", "n", "part", "block", "keys", "counts", "more", "ids", "stats"])
 
 
 class Discounts:
@@ -179,23 +280,20 @@ class Discounts:
     def of(self, counts: np.ndarray) -> np.ndarray:
         """Discounted counts."""
         c = counts.astype(np.float64)
-        return np.where(counts > CUT, c, c * self.d[np.minimum(counts, CUT).astype(np.int64)])
+        return np.where(counts > CUT, c, c * self.d[np.minimum(counts, CUT)])
 
     def share(self, counts: np.ndarray) -> np.ndarray:
         """P(w) by the word's count; 0 is the unseen type."""
         return np.where(counts > 0, self.of(counts) / max(self.over, 1), self.unseen)
 
 
-def asked_rows(parted: Parted, block: int, **columns: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame(list(parted.ask(block, **columns)), columns=["part", "block", "keys", "counts", "more"])
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out") -> tuple[DataFrame, dict[str, DataFrame]]:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", order: int = ORDER) -> tuple[DataFrame, dict[str, DataFrame]]:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`; the model's tables.
 
     Rows whose `held_col` is true (or null) take no part in training. Null and empty texts are their end alone. Repeated
-    rows count each time. Scores are log10 probabilities of words and end; without training rows all words are unseen and
-    the scores are 0. Counts are exact up to collisions of 64-bit word hashes.
+    rows count each time. Other columns of `docs`, whatever their names, are left. Scores are log10 probabilities of words and
+    end; without training rows all words are unseen and the scores are 0. Counts are exact up to collisions of 64-bit hashes.
+    `order` is 2 or more; a text's first words have what contexts there are, from its start on.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.col(held_col), F.lit(True)).alias("held_out")
@@ -203,98 +301,49 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     parts = max(spread(spark), docs.count() // 4000)
     blocks = bucketed(encode(rows), parts, "block")
 
-    def ask_words(batches):
+    def ask_counts(batches):
         for pdf in batches:
             for row in pdf.itertuples():
-                found = Parted(unpack(row.vocab, np.uint64), parts)
-                yield asked_rows(found, row.block, counts=unpack(row.counts, np.uint32))
-
-    asked = blocks.select("block", "vocab", "counts").mapInPandas(ask_words, ASK)
-    words = materialize(asked.groupBy("part").applyInPandas(merge(True, parts), TOLD), "kind")
-    stats = lambda df: [df.where("kind = 'model'").agg(*(F.sum(F.get("stats", F.lit(i))) for i in range(CUT + 4))).first()]
-    one = Discounts([int(v or 0) for v in stats(words)[0]])
+                yield Grams(row, order, parts).ask_counts()
 
-    def ask_pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = next(left.itertuples())
-        ids = Parted(unpack(row.vocab, np.uint64), parts).answers(right, "ids", np.uint32)
-        pairs = Pairs(row, ids)
-        return asked_rows(Parted(pairs.keys, parts), row.block, counts=pairs.counts())
-
-    of_words = words.where("kind = 'words'").select("kind", "part", "block", "counts", "ids")
-    pairs = materialize(answers_to(blocks, of_words, ask_pairs, ASK).groupBy("part").applyInPandas(merge(False, parts), TOLD), "kind")
-    two = Discounts([int(v or 0) for v in stats(pairs)[0]])
-    of_pairs = pairs.where("kind = 'pairs'").select("kind", "part", "block", "counts", "ids")
-    both = of_words.unionByName(of_pairs)
-
-    class Known:
-        """A block with all answers to its words and pairs."""
-
-        def __init__(self, row, told: pd.DataFrame):
-            by = dict(list(told.groupby("kind")))
-            self.words = Parted(unpack(row.vocab, np.uint64), parts)
-            self.ids = self.words.answers(by["words"], "ids", np.uint32)
-            self.counts = self.words.answers(by["words"], "counts", np.uint32)
-            self.pairs = Pairs(row, self.ids)
-            asked = Parted(self.pairs.keys, parts)
-            self.seen = asked.answers(by["pairs"], "counts", np.uint32)
-            self.first = asked.answers(by["pairs"], "ids", np.uint8).astype(bool)
-            # contexts that training has, in order of their ids; each pair is summed where it was seen first
-            self.contexts = np.flatnonzero((self.counts > 0) & (np.bincount(self.pairs.left, minlength=len(self.ids)) > 0))
-            self.asked = Parted(self.ids[self.contexts].astype(np.uint64), parts)
+    counts = materialize(blocks.mapInPandas(ask_counts, ASK).groupBy("n", "part").applyInPandas(merge_counts, TOLD), "kind")
+    sums = counts.where("kind = 'model'").groupBy("n").agg(F.array(*(F.sum(F.get("stats", F.lit(i))) for i in range(CUT + 4))).alias("stats"))
+    stats = {r.n: r.stats for r in sums.collect()}  # a row for each order
+    discounts = {n: Discounts(stats.get(n, [0] * (CUT + 4))) for n in range(1, order + 1)}
+    one, told = discounts[1], counts.where("kind = 'told'").drop("keys", "stats")
 
     def ask_contexts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        row = next(left.itertuples())
-        k = Known(row, right)
-        mine, n = np.flatnonzero(k.first), len(k.ids)
-        at = k.pairs.left[mine]
-        kept = np.bincount(at, two.of(k.seen[mine]), n)[k.contexts]
-        below = np.bincount(at, one.share(k.counts[k.pairs.right[mine]]), n)[k.contexts]
-        return asked_rows(k.asked, row.block, counts=k.counts[k.contexts], more=np.stack([kept, below], 1).view("V16").reshape(-1))
-
-    def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        keys = [unpack_sorted(k) for k in pdf["keys"]]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
-        more = np.concatenate([unpack(m, "V16") for m in pdf["more"]]).view(np.float64).reshape(-1, 2)
-        count = np.zeros(len(every))
-        count[at] = np.concatenate([unpack(c, np.uint32) for c in pdf["counts"]])
-        kept, below = np.bincount(at, more[:, 0], len(every)), np.bincount(at, more[:, 1], len(every))
-        full = kept >= count * (1 - 1e-9)  # nothing discounted: one more in the denominator leaves a share
-        alpha = (1 - kept / (count + full)) / np.maximum(1 - below, 1e-300)
-        signed = np.where(full, -alpha, alpha)[at]
-        ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame([
-            {"kind": "contexts", "part": int(pdf["part"].iloc[0]), "block": b, "counts": pack(signed[e - len(k) : e]), "ids": b""}
-            for b, k, e in zip(pdf["block"], keys, ends, strict=True)
-        ])
-
-    told = answers_to(blocks, both, ask_contexts, ASK).groupBy("part").applyInPandas(merge_contexts, "kind string, part int, block long, counts binary, ids binary")
+        grams = Grams(next(left.itertuples()), order, parts)
+        grams.hear_counts(right)
+        return grams.ask_contexts(discounts)
+
+    weights = materialize(answers_to(blocks, told, ask_contexts, ASK).groupBy("n", "part").applyInPandas(merge_contexts, TOLD), "kind")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples())
-        k = Known(row, right)
-        share = one.share(k.counts)
-        alpha, count = np.ones(len(k.ids)), np.maximum(k.counts.astype(np.float64), 1)
-        if len(k.contexts):
-            signed = k.asked.answers(right[right["kind"] == "contexts"], "counts", np.float64)
-            alpha[k.contexts] = np.abs(signed)
-            count[k.contexts] += signed < 0
-        p = k.pairs
-        with np.errstate(divide="ignore"):
-            log = np.log10(np.where(k.seen > 0, two.of(k.seen) / count[p.left], alpha[p.left] * share[p.right]))
-            base = np.log10((k.counts + 1.0) / (one.total + one.types + 1))
-        begin = np.cumsum(p.sizes) - p.sizes
+        g = Grams(row, order, parts)
+        g.hear_counts(right)
+        log = np.zeros(len(g.place))
+        for n, p in g.shares(discounts, right).items():  # the longest that a place has comes last
+            if n > 1:
+                here = g.place >= n - 1
+                log[here] = np.log10(p)[g.at[n][here]]
+        base = np.log10((g.seen[1] + 1.0) / (one.total + one.types + 1))[g.at[1]]
+        known = (g.seen[1] > 0)[g.at[1]]
+        begin = np.cumsum(g.sizes) - g.sizes
+        base[begin], known[begin] = 0, False
         total = lambda v: np.add.reduceat(v, begin)
         return pd.DataFrame({
-            "doc_id": pd.arrays.IntegerArray(unpack(row.doc_ids, np.int64).copy(), p.null.copy()), "held_out": ~p.train, "n_tokens": p.sizes,
-            "n_known": total((k.counts[p.next] > 0).astype(np.int64)), "train_tokens": one.total,
-            "base_score": total(base[p.next]), "score": total(log[p.at]),
+            "doc_id": pd.arrays.IntegerArray(unpack(row.doc_ids, np.int64).copy(), g.null.copy()), "held_out": ~g.train, "n_tokens": g.sizes - 1,
+            "n_known": total(known.astype(np.int64)), "train_tokens": one.total, "base_score": total(base), "score": total(log),
         })
 
-    out = answers_to(blocks, both.unionByName(told), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out, {"words": words.where("kind = 'model'"), "pairs": pairs.where("kind = 'model'")}
+    heard = told.unionByName(weights.where("kind = 'weights'").drop("keys", "stats"))
+    out = answers_to(blocks, heard, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out, {"ngrams": counts.where("kind = 'model'"), "weights": weights.where("kind = 'model'")}
 
 
 def op1(spark, sf_dir):
+    """Scores of all texts, null ones as empty; a null doc_id has the checksum of the empty text. See score()."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     return score(docs.withColumn("held_out", remainder("doc_id", 7) == 2))[0]

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a new
+    temporary one, and a cluster, whose machines would not see it, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_barloom_dir", None)
         if base is None:
             base = spark._barloom_dir = tempfile.mkdtemp(prefix="barloom-")

@@ -40,11 +40,14 @@ def ascii_lower(col: Column) -> Column:
 
 
 def bucketed(df: DataFrame, n: int, key: str, compression: str = "zstd") -> DataFrame:
-    """Like materialize(), laid out in `n` buckets of `key`: later joins and groupings by it need no shuffle."""
+    """Like materialize(), laid out in `n` buckets of `key`: later joins and groupings by it need no shuffle. The catalogue
+    forgets the table at once; its files stay, and what is returned reads them."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     name = "barloom_" + path.rsplit("-", 1)[1]
     df.write.option("compression", compression).option("path", path).format("parquet").bucketBy(n, key).saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def spread(spark: SparkSession, least: int = 96) -> int:

@@ -1,10 +1,13 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
 
 Texts are encoded once, in blocks of some million tokens that are stored bucketed by block. A block asks hashed parts for
-what the whole corpus says of its distinct n-grams of all orders, and then of its contexts, once for each, and the parts
+what the whole corpus says of its distinct n-grams, order by order, and then of its contexts, once for each, and the parts
 answer in the order asked: counts meet in as many tasks as there are parts and orders, whatever word is frequent, since every
-block has summed its own before. What the parts know is stored as two tables partitioned by kind, whose `model` rows score
-any text: n-grams with their counts, and contexts with what their backoff weights are made of.
+block has summed its own before. A part also says which n-grams only one block has. Whatever contains such an n-gram is in
+that block alone too, so the block knows all about it and asks no more: most trigrams of a corpus are never sent, and most
+contexts neither. What parts and blocks know is stored as two tables, whose rows score any text: n-grams with their counts,
+and contexts with what their backoff weights are made of. A row of either holds keys of one order and part; those that a
+block alone knows have its number in `block`, the others -1.
 
 For an n-gram of context h and last word w, P(w | h) is d(c) c(h w) / c(h) where training has it, else alpha(h) P(w | h'),
 where h' is h without its first word; a context that training lacks has alpha 1. P(w) is d(c) c(w) / N for words seen in
@@ -32,8 +35,8 @@ TOKENS_PER_BLOCK = 2_000_000
 CUT = 5  # counts above it aren't discounted
 BEGIN, END = 1, 2  # keys beside the words' hashes
 BLOCK = "block long, doc_ids binary, lengths binary, train binary, tokens binary, vocab binary"
-ASK = "n int, part int, block long, keys binary, counts binary, more binary"
-TOLD = "kind string, n int, part int, block long, keys binary, counts binary, more binary, ids binary, stats array<long>"
+ROW = "kind string, n int, part int, block long, keys binary, counts binary, more binary, ids binary, stats array<long>"
+FIELDS = [f.split()[0] for f in ROW.split(", ")]
 
 
 class Vocabulary(dict):
@@ -126,6 +129,7 @@ class Grams:
         rank[sort] = np.arange(len(vocab))
         self.keys, self.at = {1: vocab[sort]}, {1: rank[unpack(row.tokens, np.uint32)]}
         self.context, self.lower = {}, {}
+        self.seen, self.first, self.ids, self.alone, self.asked = {}, {}, {}, {}, {}
         key = own = self.keys[1][self.at[1]]
         for n in range(2, order + 1):
             key = longer_keys(np.append(np.uint64(0), key[:-1]), own)
@@ -143,46 +147,74 @@ class Grams:
         here = (self.place >= n - 1) & np.repeat(self.train, self.sizes)
         return np.bincount(self.at[n][here], minlength=len(self.keys[n]))
 
-    def ask_counts(self) -> pd.DataFrame:
+    def to_ask(self, n: int) -> np.ndarray:
+        """The n-grams that other blocks may have: above order 2, those whose context and whose end others have."""
+        if n <= 2:
+            return np.ones(len(self.keys[n]), bool)
+        return ~(self.alone[n - 1][self.context[n]] | self.alone[n - 1][self.lower[n]])
+
+    def ask_counts(self, orders: list[int]) -> pd.DataFrame:
+        """Questions, and rows of the model for trained n-grams that needn't be asked."""
         out = []
-        for n in self.keys:
-            counts = self.counts(n)
-            out += [(n, p, self.block, pack_sorted(self.keys[n][a:b]), pack_counts(counts[a:b]), b"") for p, a, b in self.runs[n]]
-        return pd.DataFrame(out, columns=["n", "part", "block", "keys", "counts", "more"])
-
-    def hear_counts(self, told: pd.DataFrame) -> None:
-        """seen[n]: counts in all of training; first[n]: whether this block is the first to have trained on it; ids[n]: place
-        among its part's trained n-grams."""
+        for n in orders:
+            counts, ask = self.counts(n), self.to_ask(n)
+            for p, a, b in self.runs[n]:
+                at, own = a + np.flatnonzero(ask[a:b]), a + np.flatnonzero(~ask[a:b] & (counts[a:b] > 0))
+                if len(at):
+                    out.append(("ask", n, p, self.block, pack_sorted(self.keys[n][at]), pack_counts(counts[at]), b"", b"", []))
+                if len(own):
+                    out.append(("model", n, p, self.block, pack_sorted(self.keys[n][own]), pack_counts(counts[own]), b"", b"", tally(counts[own])))
+        return pd.DataFrame(out, columns=FIELDS)
+
+    def hear_counts(self, told: pd.DataFrame, orders: list[int]) -> None:
+        """seen[n]: counts in all of training; first[n]: whether this block is the first to have trained on it; alone[n]: whether
+        no other block has it; ids[n]: place among the trained n-grams of its row of the model."""
         by = {(r.n, r.part): r for r in told[told["kind"] == "told"].itertuples()}
-        self.seen, self.first, self.ids = {}, {}, {}
-        for n in self.keys:
-            rows = [by[n, p] for p, _, _ in self.runs[n]]
-            self.seen[n] = np.concatenate([unpack_counts(r.counts) for r in rows]) if rows else np.zeros(0, np.int64)
-            if n > 1:
-                self.first[n] = np.concatenate([unpack(r.more, np.uint8) for r in rows]).astype(bool) if rows else np.zeros(0, bool)
-            if n < self.order:
-                self.ids[n] = np.concatenate([unpack_sorted(r.ids) for r in rows]) if rows else np.zeros(0, np.uint64)
-
-    def contexts(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Of the n-grams' contexts that training has: each part, and their places among those of order n - 1."""
-        used = (np.bincount(self.context[n], minlength=len(self.keys[n - 1])) > 0) & (self.seen[n - 1] > 0)
+        for n in orders:
+            ask, seen = self.to_ask(n), self.counts(n)
+            first, alone, ids = seen > 0, ~ask, np.zeros(len(ask), np.uint64)
+            for p, a, b in self.runs[n]:
+                own = ~ask[a:b] & first[a:b]
+                ids[a:b] = np.cumsum(own) - own
+                at = a + np.flatnonzero(ask[a:b])
+                if len(at):
+                    r = by[n, p]
+                    flags = unpack(r.more, np.uint8)
+                    seen[at], first[at], alone[at] = unpack_counts(r.counts), flags & 1 > 0, flags & 2 > 0
+                    if n < self.order:
+                        ids[at] = unpack_sorted(r.ids)
+            self.seen[n], self.first[n], self.alone[n], self.ids[n], self.asked[n] = seen, first, alone, ids, ask
+
+    def contexts(self, n: int, alone: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """Of the n-grams' contexts that training has, those that this block alone has, or the others: each part, and their
+        places among those of order n - 1."""
+        used = (np.bincount(self.context[n], minlength=len(self.keys[n - 1])) > 0) & (self.seen[n - 1] > 0) & (self.alone[n - 1] == alone)
         for p, a, b in self.runs[n - 1]:
             at = a + np.flatnonzero(used[a:b])
             if len(at):
                 yield p, at
 
+    def sums(self, n: int, discounts: dict[int, Discounts]) -> tuple[np.ndarray, np.ndarray]:
+        """By context, over the n-grams that were trained on here first: discounted counts, and what is below them."""
+        mine = np.flatnonzero(self.first[n])
+        of, lower, size = self.context[n][mine], self.seen[n - 1][self.lower[n][mine]], len(self.keys[n - 1])
+        below = discounts[1].share(lower) if n == 2 else discounts[n - 1].of(lower)
+        return np.bincount(of, discounts[n].of(self.seen[n][mine]), size), np.bincount(of, below, size)
+
     def ask_contexts(self, discounts: dict[int, Discounts]) -> pd.DataFrame:
-        """Each n-gram is summed where it was trained on first: its discounted count, and what is below it."""
+        """Questions, and rows of the model for contexts that no other block has."""
         out = []
         for n in range(2, self.order + 1):
-            mine = np.flatnonzero(self.first[n])
-            of, lower, size = self.context[n][mine], self.seen[n - 1][self.lower[n][mine]], len(self.keys[n - 1])
-            kept = np.bincount(of, discounts[n].of(self.seen[n][mine]), size)
-            below = np.bincount(of, discounts[1].share(lower) if n == 2 else discounts[n - 1].of(lower), size)
-            for p, at in self.contexts(n):
+            kept, below = self.sums(n, discounts)
+            for p, at in self.contexts(n, alone=False):
                 sums = np.stack([kept[at], below[at]], 1).view("V16").reshape(-1)
-                out.append((n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(self.seen[n - 1][at]), pack(sums)))
-        return pd.DataFrame(out, columns=["n", "part", "block", "keys", "counts", "more"])
+                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(self.seen[n - 1][at]), pack(sums), b"", []))
+            for p, every in self.contexts(n, alone=True):
+                for block, at in ((-1, every[self.asked[n - 1][every]]), (self.block, every[~self.asked[n - 1][every]])):
+                    if len(at):
+                        known = np.stack([mass_left(kept[at], self.seen[n - 1][at]), below[at]], 1).view("V16").reshape(-1)
+                        out.append(("model", n - 1, p, block, b"", b"", pack(known), pack_sorted(self.ids[n - 1][at]), []))
+        return pd.DataFrame(out, columns=FIELDS)
 
     def shares(self, discounts: dict[int, Discounts], told: pd.DataFrame) -> dict[int, np.ndarray]:
         """P of every n-gram's last word after its context, by recursion over the orders."""
@@ -190,19 +222,29 @@ class Grams:
         p, over = {1: discounts[1].share(self.seen[1])}, {}
         for n in range(2, self.order + 1):
             alpha, over[n] = np.ones(len(self.keys[n - 1])), np.maximum(self.seen[n - 1], 1).astype(np.float64)
-            for part, at in self.contexts(n):
-                left, below = unpack(by[n - 1, part], "V16").view(np.float64).reshape(-1, 2).T
+            kept, below = self.sums(n, discounts)
+            known = [(at, mass_left(kept[at], self.seen[n - 1][at]), below[at]) for _, at in self.contexts(n, alone=True)]
+            known += [(at, *unpack(by[n - 1, part], "V16").view(np.float64).reshape(-1, 2).T) for part, at in self.contexts(n, alone=False)]
+            for at, left, under in known:
                 over[n][at] += left < 0
                 if n > 2:
-                    below = below / over[n - 1][self.lower[n - 1][at]]
-                alpha[at] = weight(left, below)
+                    under = under / over[n - 1][self.lower[n - 1][at]]
+                alpha[at] = weight(left, under)
             lower, of = self.lower[n], self.context[n]
             p[n] = np.where(self.seen[n] > 0, discounts[n].of(self.seen[n]) / over[n][of], alpha[of] * p[n - 1][lower])
         return p
 
 
+def mass_left(kept: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of contexts, the share that discounts leave; negative where nothing is discounted, and one more in the denominator
+    leaves it."""
+    full = kept >= count * (1 - 1e-9)
+    left = 1 - kept / (count + full)
+    return np.where(full, -left, left)
+
+
 def weight(left: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """alpha of contexts by the mass left (negative where the denominator is the count and one) and that of the words below."""
+    """alpha of contexts by mass_left() and the mass of the words below."""
     return np.abs(left) / np.maximum(1 - below, 1e-300)
 
 
@@ -212,8 +254,9 @@ def tally(counts: np.ndarray) -> list[int]:
     return [*of[1 : CUT + 2].tolist(), int(counts.sum()), len(counts), int(counts[counts > CUT].sum())]
 
 
-def merge_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum what blocks count of a part's n-grams: a `model` row, and an answer to each block. Sums are exact up to 2^53."""
+def merge_counts(pdf: pd.DataFrame, order: int) -> pd.DataFrame:
+    """Sum what blocks count of a part's n-grams: a `model` row, and an answer to each block, with ids where they can be
+    contexts. Sums are exact up to 2^53."""
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys, flat = [unpack_sorted(k) for k in pdf["keys"]], np.concatenate([unpack_counts(c) for c in pdf["counts"]])
@@ -223,20 +266,20 @@ def merge_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     has = np.flatnonzero(flat > 0)
     first = np.full(len(every), -1, np.int64)
     first[at[has][::-1]] = has[::-1]
-    more = (first[at] == np.arange(len(flat))).astype(np.uint8)
+    more = (first[at] == np.arange(len(flat))).astype(np.uint8) | (np.bincount(at)[at] == 1).astype(np.uint8) << 1
     ids, told = (np.cumsum(trained) - trained).astype(np.uint64)[at], total[at]
     counted = total[trained & (every != BEGIN)] if n == 1 else total[trained]
     out = [("model", n, part, -1, pack_sorted(every[trained]), pack_counts(total[trained]), b"", b"", tally(counted))]
     ends = np.cumsum([len(k) for k in keys])
     for block, k, b in zip(pdf["block"], keys, ends, strict=True):
         a = b - len(k)
-        out.append(("told", n, part, block, b"", pack_counts(told[a:b]), pack(more[a:b]), pack_sorted(ids[a:b]), []))
-    return pd.DataFrame(out, columns=["kind", "n", "part", "block", "keys", "counts", "more", "ids", "stats"])
+        out.append(("told", n, part, block, b"", pack_counts(told[a:b]), pack(more[a:b]), pack_sorted(ids[a:b]) if n < order else b"", []))
+    return pd.DataFrame(out, columns=FIELDS)
 
 
 def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum what blocks know of a part's contexts: the mass left (see weight()) and the words below. `ids` of the model row are
-    places among the part's n-grams of that order."""
+    """Sum what blocks know of a part's contexts: mass_left() and the words below. `ids` of a model row are places among the
+    n-grams of the same order, part and block."""
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys = [unpack_sorted(k) for k in pdf["keys"]]
@@ -245,14 +288,12 @@ def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
     count = np.zeros(len(every))
     count[at] = np.concatenate([unpack_counts(c) for c in pdf["counts"]])
     kept, below = np.bincount(at, sums[:, 0], len(every)), np.bincount(at, sums[:, 1], len(every))
-    full = kept >= count * (1 - 1e-9)  # nothing discounted: one more in the denominator leaves a share
-    left = 1 - kept / (count + full)
-    known = np.stack([np.where(full, -left, left), below], 1).view("V16").reshape(-1)
+    known = np.stack([mass_left(kept, count), below], 1).view("V16").reshape(-1)
     out = [("model", n, part, -1, b"", b"", pack(known), pack_sorted(every), [])]
     ends = np.cumsum([len(k) for k in keys])
     for block, k, b in zip(pdf["block"], keys, ends, strict=True):
         out.append(("weights", n, part, block, b"", b"", pack(known[at[b - len(k) : b]]), b"", []))
-    return pd.DataFrame(out, columns=["kind", "n", "part", "block", "keys", "counts", "more", "ids", "stats"])
+    return pd.DataFrame(out, columns=FIELDS)
 
 
 class Discounts:
@@ -287,6 +328,10 @@ class Discounts:
         return np.where(counts > 0, self.of(counts) / max(self.over, 1), self.unseen)
 
 
+def answers(table: DataFrame, kind: str) -> DataFrame:
+    return table.where(F.col("kind") == kind).drop("keys", "stats")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", order: int = ORDER) -> tuple[DataFrame, dict[str, DataFrame]]:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`; the model's tables.
 
@@ -301,28 +346,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     parts = max(spread(spark), docs.count() // 4000)
     blocks = bucketed(encode(rows), parts, "block")
 
-    def ask_counts(batches):
+    def first_counts(batches):
         for pdf in batches:
             for row in pdf.itertuples():
-                yield Grams(row, order, parts).ask_counts()
+                yield Grams(row, 2, parts).ask_counts([1, 2])
+
+    def ask_order(n: int):
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            grams = Grams(next(left.itertuples()), n, parts)
+            grams.hear_counts(right, list(range(1, n)))
+            return grams.ask_counts([n])
+
+        return run
+
+    def merged(asked: DataFrame, merge) -> DataFrame:
+        return materialize(asked.groupBy("n", "part").applyInPandas(merge, ROW), "kind")
 
-    counts = materialize(blocks.mapInPandas(ask_counts, ASK).groupBy("n", "part").applyInPandas(merge_counts, TOLD), "kind")
+    merge = lambda pdf: merge_counts(pdf, order)
+    counts = merged(blocks.mapInPandas(first_counts, ROW), merge)
+    for n in range(3, order + 1):
+        asked = materialize(answers_to(blocks, answers(counts, "told"), ask_order(n), ROW), "kind")
+        counts = counts.unionByName(merged(asked.where("kind = 'ask'"), merge)).unionByName(asked.where("kind = 'model'"))
     sums = counts.where("kind = 'model'").groupBy("n").agg(F.array(*(F.sum(F.get("stats", F.lit(i))) for i in range(CUT + 4))).alias("stats"))
     stats = {r.n: r.stats for r in sums.collect()}  # a row for each order
     discounts = {n: Discounts(stats.get(n, [0] * (CUT + 4))) for n in range(1, order + 1)}
-    one, told = discounts[1], counts.where("kind = 'told'").drop("keys", "stats")
+    one = discounts[1]
 
     def ask_contexts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(next(left.itertuples()), order, parts)
-        grams.hear_counts(right)
+        grams.hear_counts(right, list(range(1, order + 1)))
         return grams.ask_contexts(discounts)
 
-    weights = materialize(answers_to(blocks, told, ask_contexts, ASK).groupBy("n", "part").applyInPandas(merge_contexts, TOLD), "kind")
+    asked = materialize(answers_to(blocks, answers(counts, "told"), ask_contexts, ROW), "kind")
+    weights = merged(asked.where("kind = 'ask'"), merge_contexts).unionByName(asked.where("kind = 'model'"))
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples())
         g = Grams(row, order, parts)
-        g.hear_counts(right)
+        g.hear_counts(right, list(range(1, order + 1)))
         log = np.zeros(len(g.place))
         for n, p in g.shares(discounts, right).items():  # the longest that a place has comes last
             if n > 1:
@@ -338,7 +399,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             "n_known": total(known.astype(np.int64)), "train_tokens": one.total, "base_score": total(base), "score": total(log),
         })
 
-    heard = told.unionByName(weights.where("kind = 'weights'").drop("keys", "stats"))
+    heard = answers(counts, "told").unionByName(answers(weights, "weights"))
     out = answers_to(blocks, heard, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out, {"ngrams": counts.where("kind = 'model'"), "weights": weights.where("kind = 'model'")}
 

@@ -29,4 +29,12 @@ def materialize(df: DataFrame, *partition_by: str, compression: str = "zstd") ->
     path = shared_dir(df.sparkSession)
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.barloom_path = path
+    return made
+
+
+def discard(table: DataFrame, partition: str = "") -> None:
+    """Delete a table of materialize(), or one partition of it, once what was made of it is itself stored."""
+    path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{table.barloom_path}/{partition}")
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

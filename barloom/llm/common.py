@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import materialize, shared_dir  # noqa: F401
+from ..functions.tables import discard, materialize, shared_dir  # noqa: F401
 
 #: Word separators: space and the bytes 9 to 13. A word is a maximal run of other characters.
 SEPARATORS = " \t\n\x0b\x0c\r"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers_to
-from .common import bucketed, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
+from .common import bucketed, discard, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
 
 ORDER = 3
 TOKENS_PER_BLOCK = 2_000_000
@@ -194,26 +194,24 @@ class Grams:
             if len(at):
                 yield p, at
 
-    def sums(self, n: int, discounts: dict[int, Discounts]) -> tuple[np.ndarray, np.ndarray]:
-        """By context, over the n-grams that were trained on here first: discounted counts, and what is below them."""
+    def facts(self, n: int) -> np.ndarray:
+        """By context, over the n-grams that were trained on here first: classes() of their counts, and of the counts of the
+        n-grams below them."""
         mine = np.flatnonzero(self.first[n])
-        of, lower, size = self.context[n][mine], self.seen[n - 1][self.lower[n][mine]], len(self.keys[n - 1])
-        below = discounts[1].share(lower) if n == 2 else discounts[n - 1].of(lower)
-        return np.bincount(of, discounts[n].of(self.seen[n][mine]), size), np.bincount(of, below, size)
+        of, size = self.context[n][mine], len(self.keys[n - 1])
+        return np.concatenate([classes(of, self.seen[n][mine], size), classes(of, self.seen[n - 1][self.lower[n][mine]], size)])
 
     def ask_contexts(self, discounts: dict[int, Discounts]) -> pd.DataFrame:
         """Questions, and rows of the model for contexts that no other block has."""
         out = []
         for n in range(2, self.order + 1):
-            kept, below = self.sums(n, discounts)
+            facts, count = self.facts(n), self.seen[n - 1]
             for p, at in self.contexts(n, alone=False):
-                sums = np.stack([kept[at], below[at]], 1).view("V16").reshape(-1)
-                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(self.seen[n - 1][at]), pack(sums), b"", []))
+                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(count[at]), pack_counts(facts[:, at].reshape(-1)), b"", []))
             for p, every in self.contexts(n, alone=True):
                 for block, at in ((-1, every[self.asked[n - 1][every]]), (self.block, every[~self.asked[n - 1][every]])):
                     if len(at):
-                        known = np.stack([mass_left(kept[at], self.seen[n - 1][at]), below[at]], 1).view("V16").reshape(-1)
-                        out.append(("model", n - 1, p, block, b"", b"", pack(known), pack_sorted(self.ids[n - 1][at]), []))
+                        out.append(("model", n - 1, p, block, b"", b"", pack_known(*known(n, facts[:, at], count[at], discounts)), pack_sorted(self.ids[n - 1][at]), []))
         return pd.DataFrame(out, columns=FIELDS)
 
     def shares(self, discounts: dict[int, Discounts], told: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -222,10 +220,11 @@ class Grams:
         p, over = {1: discounts[1].share(self.seen[1])}, {}
         for n in range(2, self.order + 1):
             alpha, over[n] = np.ones(len(self.keys[n - 1])), np.maximum(self.seen[n - 1], 1).astype(np.float64)
-            kept, below = self.sums(n, discounts)
-            known = [(at, mass_left(kept[at], self.seen[n - 1][at]), below[at]) for _, at in self.contexts(n, alone=True)]
-            known += [(at, *unpack(by[n - 1, part], "V16").view(np.float64).reshape(-1, 2).T) for part, at in self.contexts(n, alone=False)]
-            for at, left, under in known:
+            facts = self.facts(n)
+            heard = [(at, facts[:, at]) for _, at in self.contexts(n, alone=True)]
+            heard += [(at, unpack_counts(by[n - 1, part]).reshape(len(facts), -1)) for part, at in self.contexts(n, alone=False)]
+            for at, what in heard:
+                left, under = known(n, what, self.seen[n - 1][at], discounts)
                 over[n][at] += left < 0
                 if n > 2:
                     under = under / over[n - 1][self.lower[n - 1][at]]
@@ -235,16 +234,32 @@ class Grams:
         return p
 
 
-def mass_left(kept: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Of contexts, the share that discounts leave; negative where nothing is discounted, and one more in the denominator
-    leaves it."""
+def classes(of: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """By context, how many n-grams have each count up to CUT, and the sum of larger counts: whole numbers that add up
+    exactly in any order."""
+    out = np.empty((CUT + 1, size), np.int64)
+    for r in range(1, CUT + 1):
+        out[r - 1] = np.bincount(of[counts == r], minlength=size)
+    more = counts > CUT
+    out[CUT] = np.bincount(of[more], counts[more], size)
+    return out
+
+
+def known(n: int, facts: np.ndarray, count: np.ndarray, discounts: dict[int, Discounts]) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts of n-grams: the mass that discounts leave, negative where nothing is discounted and one more in the
+    denominator leaves it; and the mass of the words below, for n > 2 without its denominator."""
+    kept, below = discounts[n].total_of(facts[: CUT + 1]), discounts[n - 1].total_of(facts[CUT + 1 :])
     full = kept >= count * (1 - 1e-9)
     left = 1 - kept / (count + full)
-    return np.where(full, -left, left)
+    return np.where(full, -left, left), below / max(discounts[1].over, 1) if n == 2 else below
+
+
+def pack_known(left: np.ndarray, below: np.ndarray) -> bytes:
+    return pack(np.stack([left, below], 1).view("V16").reshape(-1))
 
 
 def weight(left: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """alpha of contexts by mass_left() and the mass of the words below."""
+    """alpha of contexts by the masses of known(), that below with its denominator."""
     return np.abs(left) / np.maximum(1 - below, 1e-300)
 
 
@@ -277,22 +292,21 @@ def merge_counts(pdf: pd.DataFrame, order: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=FIELDS)
 
 
-def merge_contexts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum what blocks know of a part's contexts: mass_left() and the words below. `ids` of a model row are places among the
-    n-grams of the same order, part and block."""
+def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts]) -> pd.DataFrame:
+    """Sum the facts that blocks have of a part's contexts: an answer to each block, and a row of the model with what known()
+    makes of them. Its `ids` are places among the n-grams of the same order, part and block."""
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys = [unpack_sorted(k) for k in pdf["keys"]]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = np.concatenate([unpack(m, "V16") for m in pdf["more"]]).view(np.float64).reshape(-1, 2)
+    told = np.concatenate([unpack_counts(m).reshape(-1, len(k)) for m, k in zip(pdf["more"], keys, strict=True)], 1)
+    facts = np.stack([np.bincount(at, row, len(every)) for row in told]).astype(np.int64)
     count = np.zeros(len(every))
     count[at] = np.concatenate([unpack_counts(c) for c in pdf["counts"]])
-    kept, below = np.bincount(at, sums[:, 0], len(every)), np.bincount(at, sums[:, 1], len(every))
-    known = np.stack([mass_left(kept, count), below], 1).view("V16").reshape(-1)
-    out = [("model", n, part, -1, b"", b"", pack(known), pack_sorted(every), [])]
+    out = [("model", n, part, -1, b"", b"", pack_known(*known(n + 1, facts, count, discounts)), pack_sorted(every), [])]
     ends = np.cumsum([len(k) for k in keys])
     for block, k, b in zip(pdf["block"], keys, ends, strict=True):
-        out.append(("weights", n, part, block, b"", b"", pack(known[at[b - len(k) : b]]), b"", []))
+        out.append(("weights", n, part, block, b"", b"", pack_counts(facts[:, at[b - len(k) : b]].reshape(-1)), b"", []))
     return pd.DataFrame(out, columns=FIELDS)
 
 
@@ -323,6 +337,10 @@ class Discounts:
         c = counts.astype(np.float64)
         return np.where(counts > CUT, c, c * self.d[np.minimum(counts, CUT)])
 
+    def total_of(self, facts: np.ndarray) -> np.ndarray:
+        """Sums of discounted counts, by classes()."""
+        return facts[CUT] + np.arange(1, CUT + 1) * self.d[1:] @ facts[:CUT]
+
     def share(self, counts: np.ndarray) -> np.ndarray:
         """P(w) by the word's count; 0 is the unseen type."""
         return np.where(counts > 0, self.of(counts) / max(self.over, 1), self.unseen)
@@ -367,6 +385,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     for n in range(3, order + 1):
         asked = materialize(answers_to(blocks, answers(counts, "told"), ask_order(n), ROW), "kind")
         counts = counts.unionByName(merged(asked.where("kind = 'ask'"), merge)).unionByName(asked.where("kind = 'model'"))
+        discard(asked, "kind=ask")
     sums = counts.where("kind = 'model'").groupBy("n").agg(F.array(*(F.sum(F.get("stats", F.lit(i))) for i in range(CUT + 4))).alias("stats"))
     stats = {r.n: r.stats for r in sums.collect()}  # a row for each order
     discounts = {n: Discounts(stats.get(n, [0] * (CUT + 4))) for n in range(1, order + 1)}
@@ -378,7 +397,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return grams.ask_contexts(discounts)
 
     asked = materialize(answers_to(blocks, answers(counts, "told"), ask_contexts, ROW), "kind")
-    weights = merged(asked.where("kind = 'ask'"), merge_contexts).unionByName(asked.where("kind = 'model'"))
+    weights = merged(asked.where("kind = 'ask'"), lambda pdf: merge_contexts(pdf, discounts)).unionByName(asked.where("kind = 'model'"))
+    discard(asked, "kind=ask")
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Let Spark delete a query's shuffle files as it ends, for queries whose result is written to the shared folder."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, *partition_by: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
 
@@ -28,7 +41,8 @@ def materialize(df: DataFrame, *partition_by: str, compression: str = "zstd") ->
     """
     path = shared_dir(df.sparkSession)
     writer = df.write.option("compression", compression)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with shuffles_deleted(df.sparkSession):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.barloom_path = path
     return made

@@ -168,7 +168,7 @@ class Grams:
 
     def hear_counts(self, told: pd.DataFrame, orders: list[int]) -> None:
         """seen[n]: counts in all of training; first[n]: whether this block is the first to have trained on it; alone[n]: whether
-        no other block has it; ids[n]: place among the trained n-grams of its row of the model."""
+        no other block has it; ids[n]: place among the trained n-grams of its row of the model, where that is told."""
         by = {(r.n, r.part): r for r in told[told["kind"] == "told"].itertuples()}
         for n in orders:
             ask, seen = self.to_ask(n), self.counts(n)
@@ -181,7 +181,7 @@ class Grams:
                     r = by[n, p]
                     flags = unpack(r.more, np.uint8)
                     seen[at], first[at], alone[at] = unpack_counts(r.counts), flags & 1 > 0, flags & 2 > 0
-                    if n < self.order:
+                    if n < self.order and r.ids:
                         ids[at] = unpack_sorted(r.ids)
             self.seen[n], self.first[n], self.alone[n], self.ids[n], self.asked[n] = seen, first, alone, ids, ask
 
@@ -194,6 +194,10 @@ class Grams:
             if len(at):
                 yield p, at
 
+    def wants(self, n: int) -> np.ndarray:
+        """The contexts after which this block has an n-gram that training lacks; the others need no backoff weight."""
+        return np.bincount(self.context[n][self.seen[n] == 0], minlength=len(self.keys[n - 1])) > 0
+
     def facts(self, n: int) -> np.ndarray:
         """By context, over the n-grams that were trained on here first: classes() of their counts, and of the counts of the
         n-grams below them."""
@@ -205,9 +209,9 @@ class Grams:
         """Questions, and rows of the model for contexts that no other block has."""
         out = []
         for n in range(2, self.order + 1):
-            facts, count = self.facts(n), self.seen[n - 1]
+            facts, count, wants = self.facts(n), self.seen[n - 1], self.wants(n).astype(np.uint8)
             for p, at in self.contexts(n, alone=False):
-                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(count[at]), pack_counts(facts[:, at].reshape(-1)), b"", []))
+                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(count[at]), pack_counts(facts[:, at].reshape(-1)), pack(wants[at]), []))
             for p, every in self.contexts(n, alone=True):
                 for block, at in ((-1, every[self.asked[n - 1][every]]), (self.block, every[~self.asked[n - 1][every]])):
                     if len(at):
@@ -216,16 +220,21 @@ class Grams:
 
     def shares(self, discounts: dict[int, Discounts], told: pd.DataFrame) -> dict[int, np.ndarray]:
         """P of every n-gram's last word after its context, by recursion over the orders."""
-        by = {(r.n, r.part): r.more for r in told[told["kind"] == "weights"].itertuples()}
+        by = {(r.n, r.part): r for r in told[told["kind"] == "weights"].itertuples()}
         p, over = {1: discounts[1].share(self.seen[1])}, {}
         for n in range(2, self.order + 1):
             alpha, over[n] = np.ones(len(self.keys[n - 1])), np.maximum(self.seen[n - 1], 1).astype(np.float64)
-            facts = self.facts(n)
-            heard = [(at, facts[:, at]) for _, at in self.contexts(n, alone=True)]
-            heard += [(at, unpack_counts(by[n - 1, part]).reshape(len(facts), -1)) for part, at in self.contexts(n, alone=False)]
-            for at, what in heard:
+            facts, wants = self.facts(n), self.wants(n)
+            wanted = []
+            for _, at in self.contexts(n, alone=True):
+                wanted.append((at, facts[:, at]))
+                over[n][at] += known(n, facts[:, at], self.seen[n - 1][at], discounts)[0] < 0
+            for part, at in self.contexts(n, alone=False):
+                r = by[n - 1, part]
+                over[n][at] += unpack(r.ids, np.uint8)
+                wanted.append((at[wants[at]], unpack_counts(r.more).reshape(len(facts), -1)))
+            for at, what in wanted:
                 left, under = known(n, what, self.seen[n - 1][at], discounts)
-                over[n][at] += left < 0
                 if n > 2:
                     under = under / over[n - 1][self.lower[n - 1][at]]
                 alpha[at] = weight(left, under)
@@ -237,7 +246,7 @@ class Grams:
 def classes(of: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """By context, how many n-grams have each count up to CUT, and the sum of larger counts: whole numbers that add up
     exactly in any order."""
-    out = np.empty((CUT + 1, size), np.int64)
+    out = np.empty((CUT + 1, size), np.int32 if counts.sum() < 1 << 31 else np.int64)
     for r in range(1, CUT + 1):
         out[r - 1] = np.bincount(of[counts == r], minlength=size)
     more = counts > CUT
@@ -293,8 +302,9 @@ def merge_counts(pdf: pd.DataFrame, order: int) -> pd.DataFrame:
 
 
 def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts]) -> pd.DataFrame:
-    """Sum the facts that blocks have of a part's contexts: an answer to each block, and a row of the model with what known()
-    makes of them. Its `ids` are places among the n-grams of the same order, part and block."""
+    """Sum the facts that blocks have of a part's contexts: an answer to each block, with those that it wants and all contexts
+    that have one more in the denominator; and a row of the model with what known() makes of them, whose `ids` are places
+    among the n-grams of the same order, part and block."""
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys = [unpack_sorted(k) for k in pdf["keys"]]
@@ -303,10 +313,13 @@ def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts]) -> pd.Dat
     facts = np.stack([np.bincount(at, row, len(every)) for row in told]).astype(np.int64)
     count = np.zeros(len(every))
     count[at] = np.concatenate([unpack_counts(c) for c in pdf["counts"]])
-    out = [("model", n, part, -1, b"", b"", pack_known(*known(n + 1, facts, count, discounts)), pack_sorted(every), [])]
+    left, below = known(n + 1, facts, count, discounts)
+    out = [("model", n, part, -1, b"", b"", pack_known(left, below), pack_sorted(every), [])]
     ends = np.cumsum([len(k) for k in keys])
-    for block, k, b in zip(pdf["block"], keys, ends, strict=True):
-        out.append(("weights", n, part, block, b"", b"", pack_counts(facts[:, at[b - len(k) : b]].reshape(-1)), b"", []))
+    for block, k, b, wants in zip(pdf["block"], keys, ends, pdf["ids"], strict=True):
+        here = at[b - len(k) : b]
+        wanted = facts[:, here[unpack(wants, np.uint8) > 0]]
+        out.append(("weights", n, part, block, b"", b"", pack_counts(wanted.reshape(-1)), pack((left[here] < 0).astype(np.uint8)), []))
     return pd.DataFrame(out, columns=FIELDS)
 
 
@@ -419,7 +432,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             "n_known": total(known.astype(np.int64)), "train_tokens": one.total, "base_score": total(base), "score": total(log),
         })
 
-    heard = answers(counts, "told").unionByName(answers(weights, "weights"))
+    heard = answers(counts, "told").withColumn("ids", F.lit(b"")).unionByName(answers(weights, "weights"))
     out = answers_to(blocks, heard, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out, {"ngrams": counts.where("kind = 'model'"), "weights": weights.where("kind = 'model'")}
 

@@ -22,16 +22,31 @@ def choose(column: str, ways: dict[int, str]) -> str:
     return f"case {column} " + " ".join(f"when {k} then {v}" for k, v in ways.items()) + " end"
 
 
-def crc32() -> str:
-    """By a table made from the polynomial, byte after byte of the text's hexadecimal form."""
-    table = []
+def table() -> list[int]:
+    """The remainders of all bytes, from the polynomial."""
+    made = []
     for n in range(256):
         for _ in range(8):
             n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
-        table.append(n)
-    step = "xor(a >> 8, tab[cast(xor(a, b) & 255 as integer) + 1])"
+        made.append(n)
+    return made
+
+
+def folded(tab: str, values: str) -> str:
+    """The unsigned CRC-32 of a list of bytes, one after another."""
+    step = f"xor(a >> 8, ({tab})[cast(xor(a, b) & 255 as integer) + 1])"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {values}), lambda a, b: {step}), 4294967295)"
+
+
+def crc_of(ascii_text: str) -> str:
+    """The unsigned CRC-32 of a short ASCII text."""
+    return folded(f"{table()} :: bigint[]", f"list_transform(range(1, length({ascii_text}) + 1), lambda i: cast(ascii(substr({ascii_text}, i, 1)) as bigint))")
+
+
+def crc32() -> str:
+    """The same of whole texts, from their hexadecimal form."""
     values = "list_transform(range(0, strlen(text)), lambda i: cast(('0x' || substr(h, 2 * i + 1, 2)) as bigint))"
-    return f"with z as (select *, hex(encode(text)) as h, {table} :: bigint[] as tab from t) select *, xor(list_reduce(list_prepend(cast(4294967295 as bigint), {values}), lambda a, b: {step}), 4294967295) as crc from z"
+    return f"with z as (select *, hex(encode(text)) as h, {table()} :: bigint[] as tab from t) select *, {folded('tab', values)} as crc from z"
 
 
 def oracle() -> str:

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import katz, langid, media, mix, pack, quality, quality_sql, shard, shard_sql, simhash, suffix, toxicity, trie, trie_sql
+from . import katz, langid, media, mix, pack, quality, quality_sql, shard, shard_sql, simhash, spelling, spelling_sql, suffix, toxicity, trie, trie_sql
 
 QUERIES = {
     "op1_katz_backoff": katz.op1,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_subword_toxicity": toxicity.op9,
     "op10_cube_mix": mix.op10,
     "op11_heavy_path_trie": trie.op11,
+    "op13_spelling_ranges": spelling.op13,
 }
 
 ORACLES = {
     "op2_mcd_quality": quality_sql.oracle(),
     "op7_hash_tree": shard_sql.oracle(),
     "op11_heavy_path_trie": trie_sql.oracle(),
+    "op13_spelling_ranges": spelling_sql.oracle(),
 }

@@ -100,7 +100,7 @@ class Wavelet:
 
     def __init__(self, values: np.ndarray):
         self.levels = []
-        for shift in range(max(len(values) - 1, 0).bit_length() - 1, -1, -1):
+        for shift in range(max(len(values) - 1, 1).bit_length() - 1, -1, -1):
             one = (values >> shift & 1).astype(bool)
             ranks = np.concatenate(([0], np.cumsum(one, dtype=np.int32)))
             self.levels.append((1 << shift, len(values) - int(ranks[-1]), ranks))

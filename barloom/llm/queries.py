@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import katz, langid, media, mix, pack, quality, quality_sql, shard, shard_sql, simhash, spelling, spelling_sql, suffix, toxicity, trie, trie_sql
+from . import katz, langid, media, mix, pack, quality, quality_sql, shard, shard_sql, simhash, spelling, spelling_sql, suffix, tokenfile, toxicity, trie, trie_sql
 
 QUERIES = {
     "op1_katz_backoff": katz.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_subword_toxicity": toxicity.op9,
     "op10_cube_mix": mix.op10,
     "op11_heavy_path_trie": trie.op11,
+    "op12_elias_fano_files": tokenfile.op12,
     "op13_spelling_ranges": spelling.op13,
 }
 

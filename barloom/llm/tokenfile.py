@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -35,36 +38,46 @@ HELD_IDS = 1 << 21  # ids of a batch of rows read
 FORMAT, MANIFEST, MAGIC = "token_file", "manifest.json", b"BLTOKENS"
 FOOTER = struct.Struct("<BQQQQ8s")  # bytes of a unit, ids, documents without doc_id (they come first), offsets of both sequences
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
-LEARNT = 400_000  # distinct pieces of text that a worker remembers
+KNOWN = (range(0x0558), range(0x2000, 0x2070))  # characters on which versions of Unicode agree; a test goes through them
+SPACE = r"\t-\r \x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f"  # white space among them
+LEARNT = 600_000  # distinct pieces of text that a worker remembers
 GROUP = 1 << 20  # characters of texts that are cut at a time
 PIECES = 1 << 16  # pieces of one long text that are held at a time
 
 
 class Ids:
     """Ids by the tokenizers library. Its byte-level model never merges across the pieces that its pattern cuts a text into,
-    so each distinct piece is encoded once and remembered. Texts with letters on whose class libraries could differ, as they
-    follow other versions of Unicode, are encoded whole."""
+    so each distinct piece goes through the model once and is remembered. Texts with characters outside KNOWN, on whose class
+    libraries may differ as they follow other versions of Unicode, are encoded whole."""
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.model.encode_special_tokens = True
-        self.unit = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cut, self.other = regex.compile(public_tokenizers.PATTERN), regex.compile(r"[^\x00-՗ -⁯]")
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.unit = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        kinds = {k: "".join(re.escape(chr(c)) for part in KNOWN for c in part if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        letters, numbers = kinds["L"], kinds["N"]
+        self.cut = re.compile(public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
+        self.other = re.compile("[^" + "".join(f"{chr(part[0])}-{chr(part[-1])}" for part in KNOWN) + "]")
+        plain = iter(range(256, 512))  # the model knows bytes as letters: those that show as they are, and the rest from here on
+        self.letters = {b: chr(b) if chr(b) in "".join(pre_tokenizers.ByteLevel.alphabet()) else chr(next(plain)) for b in range(256)}
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.unit).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.unit, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, piece: str) -> bytes:
+        return array(self.unit, [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def joined(self, cut: list[list[str]]) -> list[bytes]:
         distinct = set().union(*cut)
         new = [p for p in distinct if p not in self.known]
         if len(self.known) + len(new) > LEARNT:
             self.known, new = {}, list(distinct)
-        self.known.update(zip(new, self.whole(new), strict=True))
+        self.known.update(zip(new, map(self.piece, new), strict=True))
         of = self.known.__getitem__
         return [b"".join(map(of, pieces)) for pieces in cut]
 
@@ -80,6 +93,11 @@ class Ids:
         """The ids of each text as bytes of units."""
         out: list[bytes] = [b""] * len(texts)
         held, size = [], 0
+
+        def settle() -> None:
+            for k, ids in zip(held, self.joined([self.cut.findall(texts[k]) for k in held]), strict=True):
+                out[k] = ids
+
         for i, text in enumerate(texts):
             if self.other.search(text):
                 out[i] = self.whole([text])[0]
@@ -88,13 +106,10 @@ class Ids:
             else:
                 held.append(i)
                 size += len(text)
-            if held and (size > GROUP or i == len(texts) - 1):
-                for k, ids in zip(held, self.joined([self.cut.findall(texts[k]) for k in held]), strict=True):
-                    out[k] = ids
-                held, size = [], 0
-        if held:
-            for k, ids in zip(held, self.joined([self.cut.findall(texts[k]) for k in held]), strict=True):
-                out[k] = ids
+                if size > GROUP:
+                    settle()
+                    held, size = [], 0
+        settle()
         return out
 
 
@@ -140,19 +155,21 @@ class ShardFile:
 
 
 class TokenWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, unit: int, shard_ids: int):
-        self.path, self.unit, self.shard_ids = path, unit, shard_ids
+    def __init__(self, path: str, vocabulary: str, end_id: int, shard_ids: int):
+        self.path, self.vocabulary, self.end_id, self.shard_ids = path, vocabulary, end_id, shard_ids
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        """Rows (doc_id, ids) in the order in which they come, as files of `shard_ids` ids or a document more."""
+        """Rows (doc_id, text) in the order in which they come, as files of `shard_ids` ids or a document more."""
         where, path = place(self.path)
         where.create_dir(path, recursive=True)
-        number, shards, open_ = TaskContext.get().partitionId(), [], None
+        number, shards, open_, by = TaskContext.get().partitionId(), [], None, ids_by(self.vocabulary)
+        end = array(by.unit, [self.end_id]).tobytes()
         for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), by.of(texts), strict=True):
                 if open_ is None:
-                    open_ = ShardFile(f"{self.path}/part-{number:06d}-{len(shards):04d}-{uuid.uuid4().hex}.tok", self.unit)
-                open_.add(doc_id, ids.as_buffer())
+                    open_ = ShardFile(f"{self.path}/part-{number:06d}-{len(shards):04d}-{uuid.uuid4().hex}.tok", len(end))
+                open_.add(doc_id, ids + end)
                 if open_.n_ids >= self.shard_ids:
                     shards, open_ = [*shards, open_.close()], None
         return Written(number, [*shards, open_.close()] if open_ else shards)
@@ -256,7 +273,7 @@ class Shard:
 
 
 class TokenFiles(DataSource):
-    """Format token_file. Written: doc_id and ids, in the order of the rows; options unit and shard_ids. Read: any of doc_id,
+    """Format token_file. Written: doc_id and text, in the order of the rows; options vocabulary, end_id, shard_ids. Read: any of doc_id,
     start (ids of all documents before), n_tokens, ids (units as they are stored) and ids_crc32 (of 32-bit units)."""
 
     @classmethod
@@ -270,26 +287,18 @@ class TokenFiles(DataSource):
         return TokenReader(self.options["path"], schema, int(self.options.get("split_ids", SPLIT_IDS)))
 
     def writer(self, schema, overwrite: bool) -> TokenWriter:
-        return TokenWriter(self.options["path"], int(self.options.get("unit", 2)), int(self.options.get("shard_ids", SHARD_IDS)))
+        return TokenWriter(self.options["path"], self.options.get("vocabulary", VOCABULARY), int(self.options.get("end_id", END_ID)), int(self.options.get("shard_ids", SHARD_IDS)))
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (units with the end id), in ascending doc_id order, null first; rows of one doc_id by a hash of their text.
+def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text in ascending doc_id order, null first; rows of one doc_id by a hash of their text.
 
-    Ranges are of that order, and equal rows are told apart by where they are read, so one frequent doc_id is no one task's.
+    Partitions are ranges of that order, and equal rows are told apart by where they are read, so one frequent doc_id is no one task's.
     """
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = ids_by(vocabulary)
-        end = np.array([end_id], by.unit).tobytes()
-        for batch in batches:
-            ids = [x + end for x in by.of(["" if t is None else t for t in batch.column("text").to_pylist()])]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
     ranged = named.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(*order, "row")
-    return ranged.sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(rows, "doc_id long, ids binary")
+    return ranged.sortWithinPartitions(*order).select("doc_id", "text")
 
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
@@ -298,10 +307,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts are their end id alone; null doc_ids come first and stay null; repeated rows are written each; texts of
     any length go through in pieces; an empty table makes a manifest without files; other columns are not read.
     """
-    spark = docs.sparkSession
-    spark.dataSource.register(TokenFiles)
-    unit = ids_by(vocabulary).unit.itemsize
-    encoded(docs, id_col, text_col, vocabulary, end_id).write.format(FORMAT).option("unit", unit).option("shard_ids", shard_ids).mode("append").save(path)
+    docs.sparkSession.dataSource.register(TokenFiles)
+    options = {"vocabulary": vocabulary, "end_id": end_id, "shard_ids": shard_ids}
+    in_order(docs, id_col, text_col).write.format(FORMAT).options(**options).mode("append").save(path)
 
 
 def read_tokens(spark: SparkSession, path: str, schema: str = SCHEMA, split_ids: int = SPLIT_IDS) -> DataFrame:

@@ -53,7 +53,9 @@ def between(bars: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def require_days(bars: DataFrame, need: int) -> DataFrame:
-    have = bars.select(F.countDistinct(F.to_date("ts"))).first()[0]
+    """The bars, if every series in them has so many days; no bars are no days."""
+    per = bars.groupBy(*keys(bars)).agg(F.countDistinct(F.to_date("ts")).alias("days"))
+    have = per.agg(F.coalesce(F.min("days"), F.lit(0))).first()[0]
     if have < need:
         raise InsufficientHistoryError(have, need)
     return bars

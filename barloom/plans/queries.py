@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ..operators import analysis as A
 from ..operators import backtest as B
 from ..operators import candles, chart, documents, frames, journal, metrics, strategies, ticks
 from ..operators import indicators as I
+from ..sources import feeds, provider, store
 from ..sources import fixtures as S
 from ..streaming import bars as stream
 from . import signal_sql as X
@@ -99,6 +101,64 @@ def full(expr: str, n: int, of: str = "close", end: str = "current row") -> str:
     return f"case when count({of}) over {w} >= {n} then {expr.format(w=f'over {w}')} end"
 
 
+# Providers, feeds and stores
+@query("fetch_history", """with m as (select upper(event_type) as symbol, date_trunc('minute', ts) as utc, arg_min(value, ts) as open, max(value) as high, min(value) as low, arg_max(value, ts) as close, cast(count(*) as double) as volume from events group by 1, 2)
+ select symbol, '1m' as interval, cast(utc - interval 5 hour as timestamp) as ts, open, high, low, close, volume from m where utc >= '2024-01-11' and utc < '2024-02-10'""", "")
+def _history(spark, sf_dir):
+    """Minute bars of the thirty days to 10 February, in requests of a week each, of which the last are empty."""
+    return provider.fetch_max_available(spark, S.provider_archive(spark, sf_dir), "1m", until=date(2024, 2, 10))
+
+
+FEED_SQL = """with e as (select *, 'S' || (user_id % 3) as symbol, cast(case when event_id % 10 = 0 then date_trunc('hour', ts) else ts end as timestamp) - interval 5 hour as tm from events),
+ o as (select *, row_number() over (partition by event_type, symbol, tm order by event_id desc) as rn from e)"""
+FEED_ROWS = """select symbol, tm as ts, case event_type when 'click' then 'databento' else 'alpaca' end as source, case event_type when 'view' then 'quotes' else 'trades' end as kind,
+ case when event_type <> 'view' then value end as price, case when event_type <> 'view' then cast(1 + event_id % 5 as double) end as size, case when event_type = 'purchase' then cast(event_id % 4 as varchar) end as exchange,
+ case when event_type = 'purchase' then '@' || event_id % 2 end as conditions, case when event_type = 'click' then case when event_id % 2 = 0 then 'A' else 'B' end end as side, case when event_type = 'click' then cast(event_id % 7 as int) end as publisher_id,
+ case when event_type = 'view' then value - 1 end as bid_price, case when event_type = 'view' then value + 1 end as ask_price, case when event_type = 'view' then cast(1 + event_id % 5 as double) end as bid_size, case when event_type = 'view' then 'V' end as bid_exchange
+ from o where event_type in ('purchase', 'view', 'click') and (event_type = 'click' or rn = 1)"""
+
+
+def _feeds(spark, sf_dir, start: str, end: str) -> DataFrame:
+    root, out = S.feed_archive(spark, sf_dir), None
+    for source, kind in feeds.FEEDS:
+        some = feeds.get_ticks(spark, root, ["S0", "S1", "S2"], start, end, source, kind)
+        out = some if out is None else out.unionByName(some)
+    return out.withColumn("conditions", F.array_join("conditions", "")).drop("ask_size", "ask_exchange", "seq")
+
+
+@query("ticks_by_feed", f"{FEED_SQL} {FEED_ROWS} and tm between '2024-01-03 09:30:00' and '2024-01-20 16:00:00'", "")
+def _ticks_by_feed(spark, sf_dir):
+    """Trades and quotes of two sources as one table."""
+    return _feeds(spark, sf_dir, "2024-01-03 09:30:00", "2024-01-20 16:00:00")
+
+
+@query("ticks_cached", f"""{FEED_SQL} select symbol, cast(tm as date) as date, count(distinct tm) as n, sum(case when rn = 1 then cast(1 + event_id % 5 as double) end) as size, cast(tm as date) < '2024-01-12' as kept
+ from o where event_type = 'click' and symbol <> 'S2' and cast(tm as date) between '2024-01-03' and '2024-01-12' group by symbol, cast(tm as date)""", "")
+def _ticks_cached(spark, sf_dir):
+    """Days asked for twice: the second time only the gaps are fetched, and the last day, which is today's, isn't kept."""
+    root, path = S.feed_archive(spark, sf_dir), S.shared_dir(spark)
+
+    def fetch(days):
+        ticks = feeds.as_ticks(spark.read.parquet(f"{root}/databento/trades"), "databento", "trades")
+        return ticks.withColumn("date", F.to_date("ts")).join(days, ["symbol", "date"], "left_semi").drop("date")
+
+    ask = lambda a, b: store.get_ticks_cached(spark, path, fetch, ["S0", "S1"], date(2024, 1, a), date(2024, 1, b), "databento", "trades", date(2024, 1, 12))
+    ask(5, 8)
+    rows = ask(3, 12).withColumn("date", F.to_date("ts"))
+    kept = spark.read.schema(store.DAYS).parquet(f"{path}/days").select("symbol", "date", F.lit(True).alias("kept"))
+    return rows.groupBy("symbol", "date").agg(F.count("*").alias("n"), F.sum("size").alias("size")).join(kept, ["symbol", "date"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
+@query("stored_bars", "select symbol, ts, round(case when symbol = 'purchase' then close + 1 else close end, 6) as close, volume from bars where symbol <> 'view'")
+def _stored_bars(spark, sf_dir):
+    """Bars stored, and then an update that raises one symbol and deletes all rows of another."""
+    path, b = S.shared_dir(spark), S.hourly(spark, sf_dir).withColumn("interval", F.lit("1h"))
+    store.save_bars(spark, path, b)
+    raised = F.when(F.col("symbol") == "purchase", F.col("close") + 1)
+    store.save_bars(spark, path, b.where("symbol in ('purchase', 'view')").withColumn("close", raised))
+    return rounded(store.read_bars(spark, path, interval="1h").select("symbol", "ts", "close", "volume"), "close")
+
+
 # Indicators of bounded frames
 simple("sma", lambda b: I.sma(b, 20), ["sma"], f"select symbol, ts, round({full('avg(close) {w}', 20)}, 6) as sma from bars")
 simple("bollinger", I.bollinger, ["bb_mid", "bb_upper", "bb_lower"], f"""+ m as (select *, {full('avg(close) {w}', 20)} as m, {full('stddev_samp(close) {w}', 20)} as s from bars)

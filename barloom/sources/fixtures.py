@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,3 +56,25 @@ def setups(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("id"), F.when(k % 2 == 0, "long").otherwise("short").alias("side"), p.alias("entry_price"), (p * (1 + (k % 7 - 4) / 100.0)).alias("stop_loss"), (p * (1 + (k % 11 - 5) / 50.0)).alias("target_price"),
         (k % 3 == 0).alias("volume_confirmed"), (k % 5 == 0).alias("higher_tf_aligned"),
     )
+
+
+def provider_archive(spark: SparkSession, sf_dir: str) -> str:
+    """Minute bars of the events under a provider's names, times in UTC; the folder they are in."""
+    e, path = table(spark, sf_dir, "events"), shared_dir(spark)
+    bars = e.groupBy(F.lit("1m").alias("interval"), F.upper("event_type").alias("symbol"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts")).agg(
+        F.min_by("value", "ts").alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"), F.max_by("value", "ts").alias("Close"), F.count("*").alias("Volume")
+    )
+    bars.write.partitionBy("interval", "symbol").parquet(path)
+    return path
+
+
+def feed_archive(spark: SparkSession, sf_dir: str) -> str:
+    """Files of three feeds, made of the events by their type: root/source/kind, times in UTC. Every tenth event comes twice to a time."""
+    e, root, k = table(spark, sf_dir, "events"), shared_dir(spark), F.col("event_id")
+    ts = F.when(k % 10 == 0, F.date_trunc("hour", "ts").cast("timestamp_ntz")).otherwise(F.col("ts").cast("timestamp_ntz")).alias("timestamp")
+    base = [F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("symbol"), ts, k.alias("seq")]
+    price, size = F.col("value").alias("price"), (1 + k % 5).alias("size")
+    e.where("event_type = 'purchase'").select(*base, price, size, (k % 4).cast("string").alias("exchange"), F.array(F.lit("@"), (k % 2).cast("string")).alias("conditions"), F.lit("more").alias("tape")).write.parquet(f"{root}/alpaca/trades")
+    e.where("event_type = 'view'").select(*base, (F.col("value") - 1).alias("bid_price"), (F.col("value") + 1).alias("ask_price"), size.alias("bid_size"), F.lit("V").alias("bid_exchange")).write.parquet(f"{root}/alpaca/quotes")
+    e.where("event_type = 'click'").select(*base, price, size, F.when(k % 2 == 0, "A").otherwise("B").alias("side"), (k % 7).alias("publisher_id")).write.parquet(f"{root}/databento/trades")
+    return root

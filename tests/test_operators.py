@@ -155,14 +155,6 @@ def test_store_round_trip(spark, tmp_path):
         store.normalize(raw.drop("Open"), "X", "1h")
 
 
-def test_tick_days(spark, tmp_path):
-    path, today = str(tmp_path / "ticks"), dt.date(2024, 1, 5)
-    days = [dt.date(2024, 1, d) for d in range(1, 6)]
-    assert store.missing_days(spark, path, "a", "trades", "EVT", days, today) == days
-    store.save_ticks(path, fixtures.trades(spark, SF), "a", "trades", today)
-    assert store.missing_days(spark, path, "a", "trades", "EVT", days, today) == [today]
-
-
 def test_sides_across_slices(spark):
     t = lambda h, m=0: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=m)
     trades = spark.createDataFrame([("S", t(0), 9.0, 1.0), ("S", t(2), 10.0, 1.0), ("S", t(50), 10.0, 1.0), ("S", t(51), 9.5, 1.0), ("S", t(52), 10.0, 1.0)], "symbol string, ts timestamp_ntz, price double, size double")

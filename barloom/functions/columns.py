@@ -62,3 +62,10 @@ def average_rank(c: Column, within: list) -> Column:
     """Ranks from 1, ties sharing their mean; null for null."""
     w = Window.partitionBy(*within, c.isNull())
     return F.when(c.isNotNull(), F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*within, c)) - 1) / F.lit(2.0))
+
+
+def rank_correlation(r: Column, s: Column, k: Column) -> Column:
+    """Pearson's of two ranks, each of all k rows of a group. Twice the distance of a rank from its mean is a whole number, so
+    sums are exact, and so is the sign, in whatever order rows come. Null where either side is constant."""
+    x, y = ((2 * c - (k + 1)).cast("long") for c in (r, s))
+    return F.try_divide(F.sum(x * y).cast("double"), F.sqrt(F.sum(x * x).cast("double") * F.sum(y * y).cast("double")))

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, correlation, keys, ratio, rolling, series, true
+from ..functions.columns import average_rank, keys, rank_correlation, ratio, rolling, series, true
 from ..functions.tables import materialize
 from . import backtest, candles, chart, frames, indicators as I, metrics as M, strategies
 
@@ -24,6 +24,10 @@ SIGNALS = {
 }
 
 
+#: Places to which scores are rounded before they are ranked.
+SCORE_PLACES = 9
+
+
 def classify_regime(bars: DataFrame) -> DataFrame:
     """trend_regime and vol_regime: ADX and ATR % against the medians of the whole series (so it looks ahead)."""
     df = I.average_true_range(I.adx(bars))
@@ -220,7 +224,8 @@ def validate_forecast(bars: DataFrame, ahead: int = 1, train_days: int = 60, tes
 
 def validate_cross_section(bars: DataFrame, ahead: int = 1, train_days: int = 60, test_days: int = 20, least: int = 5) -> DataFrame:
     """Per fold, and over all (fold_id null): rank correlation of pooled scores with returns at the times that all symbols
-    have, its hit rate, and the mean return above the median score less that below. Symbols with fewer days than training
+    have, its hit rate, and the mean return above the median score less that below. Scores are means of weights, rounded to
+    SCORE_PLACES, so that equal ones tie in whatever order they were added. Symbols with fewer days than training
     and two tests leave the universe; fewer than `least` that stay are an error."""
     per = keys(bars)
     enough = bars.groupBy(*per).agg(F.countDistinct(F.to_date("ts")).alias("_d")).where(C("_d") >= train_days + 2 * test_days).select(*per)
@@ -233,11 +238,12 @@ def validate_cross_section(bars: DataFrame, ahead: int = 1, train_days: int = 60
     table = materialize(fold_days(whole, train_days, test_days, []))
     long = materialize(all_signals(bars, ahead))
     at_all = bars.groupBy("ts").agg(F.countDistinct(*per).alias("k")).where(C("k") == n).select("ts")
-    rows = scored(long, table, per, True).join(at_all, "ts", "left_semi").where("forward_return is not null").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rows = scored(long, table, per, True).join(at_all, "ts", "left_semi").where("forward_return is not null").withColumn("score", F.coalesce(F.round("score", SCORE_PLACES), F.lit(0.0)))
     at = ["fold_id", "ts"]
-    rows = rows.withColumns({"_rs": average_rank(C("score"), at), "_rr": average_rank(C("forward_return"), at), "_m": F.median("score").over(Window.partitionBy(*at))})
+    together = Window.partitionBy(*at)
+    rows = rows.withColumns({"_rs": average_rank(C("score"), at), "_rr": average_rank(C("forward_return"), at), "_m": F.median("score").over(together), "_k": F.count("*").over(together)})
     per_ts = rows.groupBy(*at).agg(
-        correlation(C("_rs"), C("_rr")).alias("ic"), F.count("*").alias("k"), F.countDistinct("score").alias("_d"),
+        rank_correlation(C("_rs"), C("_rr"), C("_k")).alias("ic"), F.count("*").alias("k"), F.countDistinct("score").alias("_d"),
         (F.avg(F.when(C("score") > C("_m"), C("forward_return"))) - F.avg(F.when(C("score") < C("_m"), C("forward_return")))).alias("spread"),
     ).where((C("k") >= least) & (C("_d") >= 2) & C("ic").isNotNull())
     found = per_ts.groupingSets([["fold_id"], []], "fold_id").agg(F.count("*").alias("n_timestamps"), F.avg("ic").alias("mean_ic"), F.avg((C("ic") > 0).cast("double")).alias("ic_hit_rate"), F.avg("spread").alias("top_minus_bottom_spread"))

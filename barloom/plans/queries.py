@@ -399,9 +399,10 @@ query("forecast_folds", f"""+ {ALL1}, dy as (select distinct symbol, cast(ts as
     lambda spark, sf_dir: rounded(A.validate_forecast(S.hourly(spark, sf_dir), 1, 15, 5), "coverage", "hit_rate", "baseline_up_rate"))
 query("cross_section_ic", f"""+ ok as (select symbol from bars group by 1 having count(distinct cast(ts as date)) >= 25), ub as (select bars.* from bars semi join ok using (symbol)), un as (select count(distinct symbol) as n from ub), {ALL1}, dy as (select cast(ts as date) as day from ub group by 1 having count(distinct symbol) = (select n from un)), {X.fold_table(15, 5, '')},
  lgx as (select * from lg semi join ok using (symbol)), {X.scored('').replace('from lg ', 'from lgx ')}, al as (select ts from ub group by 1 having count(distinct symbol) = (select n from un)),
- c1 as (select fold_id, ts, fr, coalesce(score, 0) as score from sc semi join al using (ts) where fr is not null),
- c2 as (select *, rank() over (partition by fold_id, ts order by score) + (count(*) over (partition by fold_id, ts, score) - 1) / 2.0 as rs, rank() over (partition by fold_id, ts order by fr) + (count(*) over (partition by fold_id, ts, fr) - 1) / 2.0 as rr, median(score) over (partition by fold_id, ts) as med from c1),
- c3 as (select fold_id, ts, covar_pop(rs, rr) / nullif(stddev_pop(rs) * stddev_pop(rr), 0) as ic, avg(fr) filter (where score > med) - avg(fr) filter (where score < med) as spread from c2 group by 1, 2 having count(*) >= 5 and count(distinct score) >= 2),
+ c1 as (select fold_id, ts, fr, coalesce(round(score, 9), 0) as score from sc semi join al using (ts) where fr is not null),
+ c2 as (select *, rank() over (partition by fold_id, ts order by score) + (count(*) over (partition by fold_id, ts, score) - 1) / 2.0 as rs, rank() over (partition by fold_id, ts order by fr) + (count(*) over (partition by fold_id, ts, fr) - 1) / 2.0 as rr, median(score) over (partition by fold_id, ts) as med, count(*) over (partition by fold_id, ts) as k from c1),
+ cx as (select *, cast(2 * rs - k - 1 as bigint) as x, cast(2 * rr - k - 1 as bigint) as y from c2),
+ c3 as (select fold_id, ts, cast(sum(x * y) as double) / nullif(sqrt(cast(sum(x * x) as double) * cast(sum(y * y) as double)), 0) as ic, avg(fr) filter (where score > med) - avg(fr) filter (where score < med) as spread from cx group by 1, 2 having count(*) >= 5 and count(distinct score) >= 2),
  c4 as (select fold_id, count(*) as n_timestamps, round(avg(ic), 6) as mean_ic, round(avg(cast(ic > 0 as double)), 6) as ic_hit_rate, round(avg(spread), 6) as top_minus_bottom_spread from c3 where ic is not null group by grouping sets ((fold_id), ())),
  ev as (select distinct fold_id from fo union all select null) select ev.fold_id, coalesce(n_timestamps, 0) as n_timestamps, mean_ic, ic_hit_rate, top_minus_bottom_spread from ev left join c4 on ev.fold_id is not distinct from c4.fold_id""")(
     lambda spark, sf_dir: rounded(A.validate_cross_section(S.hourly(spark, sf_dir), 1, 15, 5), "mean_ic", "ic_hit_rate", "top_minus_bottom_spread"))

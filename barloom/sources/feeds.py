@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +85,8 @@ def get_ticks(spark: SparkSession, root: str, symbols: list[str], start: str, en
     feed_of(source, kind)
     raw = spark.read.parquet(f"{root}/{source}/{kind}")
     time = "timestamp" if "timestamp" in raw.columns else "ts"
-    to = "UTC" if isinstance(raw.schema[time].dataType, T.TimestampNTZType) else spark.conf.get("spark.sql.session.timeZone")
-    first, last = (F.convert_timezone(F.lit(zone), F.lit(to), F.lit(t).cast("timestamp_ntz")).cast(raw.schema[time].dataType) for t in (start, end))
+    instants = [datetime.fromisoformat(t).replace(tzinfo=ZoneInfo(zone)).astimezone(timezone.utc) for t in (start, end)]
+    zoneless = isinstance(raw.schema[time].dataType, T.TimestampNTZType)
+    first, last = (F.lit(t.replace(tzinfo=None)).cast("timestamp_ntz") if zoneless else F.lit(t) for t in instants)
     wanted = raw.where(F.col("symbol").isin([s.upper() for s in symbols]) & (F.col(time) >= first) & (F.col(time) <= last))
     return as_ticks(wanted, source, kind, zone)

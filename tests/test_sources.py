@@ -142,4 +142,4 @@ def test_archives_of_the_events(spark):
     root = fixtures.feed_archive(spark, SF)
     plan = feeds.get_ticks(spark, root, ["S1"], "2024-01-03 00:00:00", "2024-01-04 00:00:00", "databento", "trades")._jdf.queryExecution().toString()
     assert "PushedFilters: [In(symbol" in plan.replace("IsNotNull(symbol), ", "") or "EqualTo(symbol,S1)" in plan
-    assert "GreaterThanOrEqual(timestamp,2024-01-03T05:00" in plan.replace(" ", "") or "GreaterThanOrEqual(timestamp,2024-01-0305:00" in plan.replace(" ", "")
+    assert "GreaterThanOrEqual(timestamp," in plan and "<= 2024-01-04 05:00:00" in plan

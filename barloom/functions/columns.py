@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 #: Columns that tell one series from another, where a table has them.
-KEYS = ("symbol", "interval", "fold_id", "strategy")
+KEYS = ("symbol", "interval", "fold_id", "strategy", "set_id")
 
 
 def keys(df: DataFrame) -> list[str]:

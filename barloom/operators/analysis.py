@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +45,6 @@ def days_of(bars: DataFrame, by: list[str]) -> DataFrame:
     return days.withColumn("day_no", F.row_number().over(Window.partitionBy(*by).orderBy("day")) - 1)
 
 
-def folds(bars: DataFrame, before: int, test: int, by: list[str] | None = None) -> DataFrame:
-    """fold_id, its first and last days before and of the test; folds advance by the test's length."""
-    by = keys(bars) if by is None else by
-    days = days_of(bars, by)
-    last = F.max("day_no").over(Window.partitionBy(*by)) if by else F.max("day_no").over(Window.partitionBy(F.lit(0)))
-    starts = days.withColumn("_n", last + 1).where((C("day_no") % test == 0) & (C("day_no") + before + test <= C("_n")))
-    out = starts.select(*by, (C("day_no") / test).cast("int").alias("fold_id"), C("day_no").alias("_a"), C("day").alias("before_start"))
-    for name, at in (("before_end", before - 1), ("test_start", before), ("test_end", before + test - 1)):
-        d = days.select(*by, (C("day_no") - at).alias("_a"), C("day").alias(name))
-        out = out.join(d, [*by, "_a"])
-    return out.drop("_a")
-
-
 def fold_days(bars: DataFrame, before: int, test: int, by: list[str] | None = None) -> DataFrame:
     """A row for each day of each fold: fold_id, part (`before` or `test`) and day. A day is in before/test folds at most, and
     rows join by day."""
@@ -124,6 +112,36 @@ def compare(bars: DataFrame, names: list[str], config: backtest.Config = backtes
     return M.metrics(curve, trades, initial_capital=config.initial_capital)
 
 
+def comparison_report(bars: DataFrame, names: tuple[str, ...] = (), config: backtest.Config = backtest.Config(), wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(figures as comparison() has them, failures), the latter with a row for each series and strategy that has none, and why.
+
+    A series that frames.check_series() finds fault with fails in all strategies; a strategy that fails on one series, in its
+    kernel, fails there alone; one that can't be planned, for its settings, fails on all. Everything else is as without them.
+    """
+    frames.check_bars(bars)
+    names, per = [*(names or strategies.registered()), strategies.BENCHMARK], keys(bars)
+    checked = materialize(frames.check_series(bars, wanted))
+    good = materialize(bars.join(checked.where("error is null"), per, "left_semi")).withColumn("error", F.lit(None).cast("string"))
+    failed = checked.where("error is not null").select(*per, F.explode(F.array(*map(F.lit, names))).alias("strategy"), "error")
+    figures = None
+    for some, how in ((names[:-1], config), (names[-1:], replace(config, flatten_eod=False))):
+        made = None
+        for name in some:
+            try:
+                one = materialize(strategies.signals(good, name).withColumn("strategy", F.lit(name)))
+            except (ValueError, KeyError, AnalysisException) as e:
+                failed = failed.unionByName(checked.where("error is null").select(*per, F.lit(name).alias("strategy"), F.lit(f"{type(e).__name__}: {e}").alias("error")))
+                continue
+            made = one if made is None else made.unionByName(one)
+        if made is None:
+            continue
+        lost = made.where("error is not null").groupBy(*per, "strategy").agg(F.min("error").alias("error"))
+        curve, trades = map(materialize, backtest.run(materialize(made.join(lost, [*per, "strategy"], "left_anti").drop("error")), how))
+        some_figures = M.metrics(curve, trades, initial_capital=how.initial_capital)
+        figures, failed = some_figures if figures is None else figures.unionByName(some_figures), failed.unionByName(lost)
+    return figures, failed
+
+
 def comparison(bars: DataFrame, names: tuple[str, ...] = (), config: backtest.Config = backtest.Config()) -> DataFrame:
     """Figures of the named strategies, or all, and of the benchmark, which holds over night."""
     figures = compare(bars, list(names or strategies.registered()), config)

@@ -31,6 +31,28 @@ def check_bars(bars: DataFrame) -> DataFrame:
     return bars
 
 
+def check_series(bars: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The keys of each series and `error`: why no back-test can run on it, or null. `wanted` names series that must be there.
+
+    A series has bars, all five values in each, and no time twice. Where rows have `seq`, the order in which they came, times
+    must ascend with it.
+    """
+    per = keys(bars)
+    lacks = {c: F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in OHLCV}
+    facts = bars.groupBy(*per).agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("ts")).alias("twice"), *(v.alias(f"no_{c}") for c, v in lacks.items()))
+    if "seq" in bars.columns:
+        back = F.col("ts") < F.lag("ts").over(Window.partitionBy(*per).orderBy("seq"))
+        facts = facts.join(bars.withColumn("_back", back).groupBy(*per).agg(F.count_if("_back").alias("back")), per)
+    if wanted is not None:
+        facts = wanted.select(*per).distinct().join(facts, per, "left").unionByName(facts.join(wanted, per, "left_anti"))
+    reasons = [F.when(F.col("n").isNull(), F.lit("no bars"))]
+    reasons += [F.when(F.col(f"no_{c}") > 0, F.concat(F.lit(f"{c} missing in "), F.col(f"no_{c}").cast("string"), F.lit(" bars"))) for c in OHLCV]
+    reasons += [F.when(F.col("twice") > 0, F.concat(F.lit("times repeated in "), F.col("twice").cast("string"), F.lit(" bars")))]
+    reasons += [F.when(F.col("back") > 0, F.concat(F.lit("times go back in "), F.col("back").cast("string"), F.lit(" bars")))] if "seq" in bars.columns else []
+    error = F.concat_ws("; ", *reasons)
+    return facts.select(*per, F.when(error != "", error).alias("error"))
+
+
 def drop_bad_rows(bars: DataFrame) -> DataFrame:
     """Rows with all five values; NaN counts as missing."""
     clean = bars.withColumns({c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in OHLCV})

@@ -13,14 +13,27 @@ from pyspark.sql import types as T
 from ..functions.columns import keys
 
 
+def given(p: pd.DataFrame, value):
+    """A setting: the value, or what the series has in the column of that name."""
+    return p[value].iloc[0] if isinstance(value, str) else value
+
+
 def add(df: DataFrame, made: dict[str, str], run, *more: str) -> DataFrame:
-    """Columns `made` (name: type) that `run` computes from each series in order of time; `more` columns split series."""
-    per = [*keys(df), *more]
+    """Columns `made` (name: type) that `run` computes from each series in order of time; `more` columns split series.
+
+    Where the rows have a column `error`, a series on which `run` fails gets the reason there and nulls, and all others go on.
+    """
+    per, forgiving = [*keys(df), *more], "error" in df.columns
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in made.items())])
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-        return pdf.assign(**run(pdf))
+        if not forgiving:
+            return pdf.assign(**run(pdf))
+        try:
+            return pdf.assign(**run(pdf))
+        except Exception as e:
+            return pdf.assign(**dict.fromkeys(made)).assign(error=f"{type(e).__name__}: {e}")
 
     return df.groupBy(*per).applyInPandas(work, schema)
 
@@ -37,6 +50,7 @@ def true_range(p: pd.DataFrame) -> pd.Series:
 
 def rsi(p: pd.DataFrame, period: int = 14) -> pd.Series:
     """50 where undefined, also while nothing has been lost."""
+    period = given(p, period)
     change = p["close"].diff()
     gain, loss = (smooth(x, alpha=1 / period, least=period) for x in (change.clip(lower=0), -change.clip(upper=0)))
     return (100 - 100 / (1 + gain / loss.where(loss != 0))).fillna(50.0)
@@ -56,13 +70,13 @@ def adx(p: pd.DataFrame, period: int = 14) -> pd.Series:
 
 
 def macd(p: pd.DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> dict[str, pd.Series]:
-    line = smooth(p["close"], span=fast) - smooth(p["close"], span=slow)
-    of = smooth(line, span=signal)
+    line = smooth(p["close"], span=given(p, fast)) - smooth(p["close"], span=given(p, slow))
+    of = smooth(line, span=given(p, signal))
     return {"macd_line": line, "macd_signal": of, "macd_histogram": line - of}
 
 
 def parabolic_sar(p: pd.DataFrame, step: float = 0.02, most: float = 0.2) -> np.ndarray:
-    high, low, n = p["high"].to_list(), p["low"].to_list(), len(p)
+    high, low, n, step, most = p["high"].to_list(), p["low"].to_list(), len(p), given(p, step), given(p, most)
     out = np.full(n, np.nan)
     if n < 2:
         return out
@@ -113,7 +127,7 @@ def hold(p: pd.DataFrame) -> np.ndarray:
 
 def fixed_hold(p: pd.DataFrame, bars: int = 5) -> np.ndarray:
     """A position lasts so many bars, or until the opposite pattern."""
-    state, until, out = 0, 0, []
+    state, until, out, bars = 0, 0, [], given(p, bars)
     for i, (el, es) in enumerate(zip(p["_el"], p["_es"], strict=True)):
         if state and (i >= until or (es if state > 0 else el)):
             state = 0

@@ -55,6 +55,16 @@ MODES = {
     "dual_thrust": ("level_reversal", "session_close_only", "measured_move"), "heikin_ashi_trend": ("shaven_candle", "any_reversal", "entry_candle_stop"),
     "bollinger_reversion": ("threshold_cross", "midline", "opposite_extreme"),
 }
+#: Settings that are lengths of frames, which Spark wants as literals, and settings that kernels take from a series' rows. All
+#: others are used in column arithmetic, and may be columns.
+LENGTHS = {
+    "orb": ("minutes",), "vwap_reversion": ("std_window",), "volume_momentum": ("lookback",), "range_breakout": ("contraction_lookback", "breakout_lookback"),
+    "awesome_oscillator": ("fast", "slow", "swing_lookback"), "dual_thrust": ("lookback_days",), "bollinger_reversion": ("period",),
+}
+IN_KERNELS = {
+    "ma_crossover": ("fast", "slow"), "rsi_reversion": ("period",), "macd_crossover": ("fast", "slow", "signal"), "parabolic_sar": ("af_step", "af_max"),
+    "candlestick_reversal": ("fixed_hold_bars",),
+}
 
 
 def strategy(name: str, title: str, prepare, entries, exits, **defaults) -> None:
@@ -106,7 +116,8 @@ strategy("vwap_reversion", "VWAP reversion", _vwap, lambda p: band(C("_dev"), -C
 
 def _session_emas(b: DataFrame, p: dict) -> DataFrame:
     b = b.withColumn("session_date", F.to_date("ts"))
-    run = lambda d: {"_fast": K.smooth(d["close"], span=p["fast"]), "_slow": K.smooth(d["close"], span=p["slow"])}
+    fast, slow = p["fast"], p["slow"]
+    run = lambda d: {"_fast": K.smooth(d["close"], span=K.given(d, fast)), "_slow": K.smooth(d["close"], span=K.given(d, slow))}
     return K.add(b, {"_fast": "double", "_slow": "double"}, run, "session_date")
 
 
@@ -246,7 +257,8 @@ def signals(bars: DataFrame, name: str, exit_mode: str | None = None, **params)
             made = made.withColumns({"_el": true(C("_cross_up")), "_es": true(C("_cross_down"))})
         made = K.add(made.withColumns({"_xl": true(way.long), "_xs": true(way.short)}), {"signal": "int"}, lambda d: {"signal": K.hold(d)}, *split)
     elif way.kind == "fixed":
-        made = K.add(made, {"signal": "int"}, lambda d: {"signal": K.fixed_hold(d, p["fixed_hold_bars"])})
+        bars_held = p["fixed_hold_bars"]
+        made = K.add(made, {"signal": "int"}, lambda d: {"signal": K.fixed_hold(d, bars_held)})
     elif way.kind == "confirmed":
         made = I.debounced(made, level, way.confirm, *split)
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import analysis as A
 from ..operators import backtest as B
-from ..operators import candles, chart, documents, frames, journal, metrics, strategies, ticks
+from ..operators import candles, chart, documents, frames, journal, metrics, strategies, sweep, ticks
 from ..operators import indicators as I
 from ..sources import feeds, provider, store
 from ..sources import fixtures as S
@@ -358,6 +358,43 @@ def _periods(spark, sf_dir):
 NAMES = list(strategies.registered())
 
 
+SETTINGS = [{"fast": f, "slow": s} for f in (5, 9, 12) for s in (20, 26, 34)]
+_SETS = ", ".join(f"({k}, {s['fast']}, {s['slow']})" for k, s in enumerate(SETTINGS))
+SWEPT = HOURLY.replace("bars as", "raw as", 1) + f""", ps as (select * from (values {_SETS}) as v(set_id, fast, slow)),
+ bars as (select symbol || '#' || set_id as symbol, ts, open, high, low, close, volume, fast, slow from raw cross join ps)"""
+_EMAS = X.recurrence("se", "n", "fast, slow, close as f, close as s", "r.fast, r.slow, r.f * (1 - 2e0 / (r.fast + 1)) + n.close * 2e0 / (r.fast + 1), r.s * (1 - 2e0 / (r.slow + 1)) + n.close * 2e0 / (r.slow + 1)", "dn", ", d")
+CROSSOVERS = X.signals(f"{X.NUMBERED}, {_EMAS}, q as (select n.*, f, s from n join se on se.symbol = n.symbol and se.ts = n.ts)", *TABLES["ma_crossover"][1:4], "level", None, None, None)
+_SPLIT = "split_part(symbol, '#', 1) as symbol, cast(split_part(symbol, '#', 2) as int) as set_id"
+
+
+@query("sweep_signals", f"+ {CROSSOVERS} select {_SPLIT}, ts, signal from sg", SWEPT)
+def _sweep_signals(spark, sf_dir):
+    """Three by three settings of a crossover as rows."""
+    sets = sweep.parameter_sets(spark, "ma_crossover", SETTINGS)
+    return sweep.sweep_signals(S.hourly(spark, sf_dir), sets, "ma_crossover").select("symbol", "set_id", "ts", "signal")
+
+
+@query("sweep_figures", f"+ {CROSSOVERS}, {X.account()}, {X.METRICS} select * exclude (symbol), {_SPLIT} from mt", SWEPT)
+def _sweep_figures(spark, sf_dir):
+    """Their back-tests, in one plan."""
+    made = sweep.sweep(S.hourly(spark, sf_dir), sweep.parameter_sets(spark, "ma_crossover", SETTINGS), "ma_crossover").drop("place")
+    return rounded(made, *(c for c, t in made.dtypes if t == "double"))
+
+
+@query("compare_failures", """+ s as (select distinct symbol, cast(null as varchar) as error from bars union all select 'ABSENT', 'no bars' union all select 'GAPS', 'volume missing in ' || count(*) || ' bars' from bars where symbol = 'view' and hour(ts) = 3
+ union all select 'TWICE', 'times repeated in ' || count(*) || ' bars' from bars where symbol = 'view' and hour(ts) = 5) select s.symbol, n.strategy, s.error
+ from s, (values ('awesome_oscillator'), ('orb'), ('buy_and_hold')) as n(strategy)""")
+def _failures(spark, sf_dir):
+    """A comparison in which some symbols can't be run, and say why; null: it has figures."""
+    b = S.hourly(spark, sf_dir)
+    view = b.where("symbol = 'view'")
+    gaps = view.withColumns({"symbol": F.lit("GAPS"), "volume": F.when(F.hour("ts") != 3, F.col("volume"))})
+    twice = view.unionByName(view.where("hour(ts) = 5")).withColumn("symbol", F.lit("TWICE"))
+    wanted = b.select("symbol").unionByName(spark.createDataFrame([("ABSENT",)], "symbol string"))
+    figures, failed = A.comparison_report(b.unionByName(gaps).unionByName(twice), ("awesome_oscillator", "orb"), wanted=wanted)
+    return failed.select("symbol", "strategy", "error").unionByName(figures.select("symbol", "strategy", F.lit(None).cast("string").alias("error")))
+
+
 @query("compare_rank")
 def flagship(spark, sf_dir):
     """All strategies back-tested on every symbol and ranked by Sharpe ratio, and the benchmark."""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, keys, rank_correlation, ratio, rolling, series, true
+from ..functions.select import with_medians
 from ..functions.tables import materialize
 from . import backtest, candles, chart, frames, indicators as I, metrics as M, strategies
 
@@ -31,9 +32,8 @@ SCORE_PLACES = 9
 
 def classify_regime(bars: DataFrame) -> DataFrame:
     """trend_regime and vol_regime: ADX and ATR % against the medians of the whole series (so it looks ahead)."""
-    df = I.average_true_range(I.adx(bars))
-    whole = Window.partitionBy(*keys(bars))
-    df = df.withColumns({"_ma": F.median("adx").over(whole), "_mv": F.median("atr_pct").over(whole)})
+    df = materialize(I.average_true_range(I.adx(bars)))
+    df = with_medians(df, keys(bars), {"_ma": "adx", "_mv": "atr_pct"})
     return df.withColumns({
         "trend_regime": F.when(C("adx") >= C("_ma"), "trending").otherwise("ranging"), "vol_regime": F.when(C("atr_pct") >= C("_mv"), "high_vol").otherwise("low_vol"),
     }).drop("_ma", "_mv")
@@ -306,11 +306,11 @@ def snapshot(bars: DataFrame) -> DataFrame:
     """Eight gauges of each series' last bar: value, label, and a place from 0 to 100."""
     per = keys(bars)
     df = frames.session_vwap(I.money_flow_index(I.stochastic(bars)))
-    df = I.average_true_range(I.adx(I.macd(I.rsi(df))))
+    df = with_medians(materialize(I.average_true_range(I.adx(I.macd(I.rsi(df))))), per, {"_median": "atr_pct"})
     whole = Window.partitionBy(*per)
     known = F.last("atr_pct", ignorenulls=True).over(series(df).rowsBetween(Window.unboundedPreceding, 0))
     over = lambda c, base: F.when(base > 0, c / base).otherwise(1.0)
-    df = df.withColumns({"_atr": known, "_median": F.median("atr_pct").over(whole), "_mean": rolling(F.avg, "volume", series(df), 20, 1)})
+    df = df.withColumns({"_atr": known, "_mean": rolling(F.avg, "volume", series(df), 20, 1)})
     df = df.withColumns({
         "_atr_ratio": F.when(C("_atr").isNotNull(), over(C("_atr"), C("_median"))), "_vol_ratio": over(C("volume"), C("_mean")),
         "_dev": F.when(C("vwap").isNotNull(), F.when(C("vwap") > 0, (C("close") - C("vwap")) / C("vwap")).otherwise(0.0)),

@@ -12,7 +12,7 @@ from ..operators import analysis as A
 from ..operators import backtest as B
 from ..operators import candles, chart, documents, frames, journal, metrics, strategies, sweep, ticks
 from ..operators import indicators as I
-from ..sources import feeds, provider, store
+from ..sources import feeds, provider, records, store
 from ..sources import fixtures as S
 from ..streaming import bars as stream
 from . import signal_sql as X
@@ -528,10 +528,27 @@ def _life(spark, sf_dir):
     return rounded(done.select("id", "symbol", "side", "gross_pl", "net_pl", "status", "notes"), "gross_pl", "net_pl", places=4)
 
 
-@query("watchlist", """with e as (select upper(trim(event_type)) as symbol, event_id as seq, case when event_id % 11 = 0 then 'remove' else 'add' end as event from events where event_id <= 400), g as (select *, coalesce(max(case when event = 'remove' then seq end) over (partition by symbol), -1) as gone from e),
+@query("journal_records", """with t as (select o_orderkey as id, json_object('id', o_orderkey, 'side', case when o_orderkey % 2 = 0 then 'long' else 'short' end, 'status', 'open', 'quantity', o_orderkey % 50, 'more', json_object('clerk', o_orderstatus)) as doc from orders where o_orderkey % 5 <> 4),
+ m as (select id, json_merge_patch(doc, case id % 4 when 1 then json_object('notes', 'checked', 'status', 'invalidated') when 2 then json_object('quantity', 7, 'tag', o_orderpriority) else json_object() end) as doc from t join orders on o_orderkey = id)
+ select id, json_extract_string(doc, '$.side') as side, json_extract_string(doc, '$.status') as status, cast(json_extract(doc, '$.quantity') as int) as quantity, json_extract_string(doc, '$.notes') as notes, json_extract_string(doc, '$.tag') as tag, json_extract_string(doc, '$.more.clerk') as clerk from m""", "")
+def _records(spark, sf_dir):
+    """Trades as JSON records: stored, patched, some deleted; fields that are unknown to the journal stay."""
+    o, found = S.table(spark, sf_dir, "orders"), records.RecordStore(spark, S.shared_dir(spark))
+    k = F.col("o_orderkey")
+    lines = o.select(F.to_json(F.struct(k.alias("id"), F.when(k % 2 == 0, "long").otherwise("short").alias("side"), F.lit("open").alias("status"), (k % 50).alias("quantity"), F.struct(F.col("o_orderstatus").alias("clerk")).alias("more"))).alias("value"))
+    found.put("trades", records.parsed(lines).withColumn("seq", F.lit(0)))
+    patch = F.when(k % 4 == 1, F.to_json(F.struct(F.lit("checked").alias("notes"), F.lit("invalidated").alias("status")))).when(k % 4 == 2, F.to_json(F.struct(F.lit(7).alias("quantity"), F.col("o_orderpriority").alias("tag"))))
+    found.put("trades", o.select(k.cast("string").alias("id"), F.lit(1).alias("seq"), F.parse_json(patch).alias("doc")).where("doc is not null"))
+    found.delete("trades", o.where(k % 5 == 4).select(k.alias("id")))
+    kinds = {"side": "string", "status": "string", "quantity": "int", "notes": "string", "tag": "string"}
+    made = records.fields(found.read("trades"), kinds)
+    return made.select(F.col("id").cast("long").alias("id"), *kinds, F.try_variant_get("doc", "$.more.clerk", "string").alias("clerk"))
+
+
+@query("watchlist", """with e as (select upper(trim(event_type)) as symbol, event_id as seq, case when event_id % 11 = 0 then 'remove' else 'add' end as event from events), g as (select *, coalesce(max(case when event = 'remove' then seq end) over (partition by symbol), -1) as gone from e),
  k as (select symbol, min(seq) as first from g where event = 'add' and seq > gone group by 1) select symbol, row_number() over (order by first) as position from k""", "")
 def _watchlist(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where("event_id <= 400")
+    e = S.table(spark, sf_dir, "events")
     return documents.watchlist(e.select(F.col("event_type").alias("symbol"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 11 == 0, "remove").otherwise("add").alias("event")))
 
 

@@ -33,12 +33,12 @@ def last(n: int, end: str = "current row") -> str:
 
 
 def query(name: str, sql: str | None = None, bars: str = HOURLY):
-    """Register a query; `sql` follows the common table of bars."""
+    """Register a query; `sql` follows the common table of bars, or stands without any, or begins with tables of its own (+)."""
 
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = (f"with recursive {bars}" + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().lstrip("+")) if bars else sql
+            ORACLES[name] = f"with recursive {sql}" if bars == "+" else (f"with recursive {bars}" + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().lstrip("+")) if bars else sql
         return fn
 
     return add
@@ -401,6 +401,19 @@ def flagship(spark, sf_dir):
     return metrics.ranking(rounded(A.comparison(S.hourly(spark, sf_dir)), *FIGURES), "sharpe_ratio", tuple(NAMES))
 
 
+#: The strategies whose signals SQL can say: all but the one on chart patterns. A few of them for what only groups folds anew.
+THIRTEEN = [n for n in NAMES if n in TABLES]
+FEW = ["orb", "volume_momentum", "awesome_oscillator", "macd_crossover"]
+
+
+@query("compare_thirteen", f"""{X.contest(TABLES, THIRTEEN, HOURLY)}, al as (select * from mt union all {X.benchmark(HOURLY)}), sp as (select * exclude (symbol, exact), split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2) as strategy from al),
+ rk as (select *, row_number() over w as k, first_value(case when strategy <> 'buy_and_hold' then sharpe_ratio end) over w as top from sp window w as (partition by symbol order by strategy = 'buy_and_hold', sharpe_ratio desc nulls last, {X.order_of(THIRTEEN)}))
+ select * exclude (k, top), case when strategy <> 'buy_and_hold' then k end as rank, round(sharpe_ratio - top, 6) as delta from rk""", bars="+")
+def _thirteen(spark, sf_dir):
+    """Thirteen strategies and the benchmark, ranked on every symbol."""
+    return rounded(metrics.ranking(rounded(A.comparison(S.hourly(spark, sf_dir), tuple(THIRTEEN)), *FIGURES), "sharpe_ratio", tuple(THIRTEEN)), "delta")
+
+
 # Analysis
 REGIME = f"""{X.STRENGTH}, rg as (select bars.symbol, bars.ts, adx, atr / nullif(close, 0) as ap from bars join st using (symbol, ts)), re as (select symbol, ts, case when adx >= median(adx) over (partition by symbol) then 'trending' else 'ranging' end as trend_regime, case when ap >= median(ap) over (partition by symbol) then 'high_vol' else 'low_vol' end as vol_regime from rg)"""
 simple("regime", A.classify_regime, ["trend_regime", "vol_regime"], f"+ {REGIME} select * from re")
@@ -409,6 +422,13 @@ query("regime_stretches", f"""+ {REGIME}, s0 as (select *, case when (trend_regi
 query("walkforward_folds")(lambda spark, sf_dir: rounded(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), *FIGURES))
 query("regime_map")(lambda spark, sf_dir: rounded(A.regime_map(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5)), "avg_metric"))
 query("recommend")(lambda spark, sf_dir: A.recommend(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), S.hourly(spark, sf_dir)))
+query("walkforward_thirteen", f"{X.walk(TABLES, THIRTEEN, HOURLY, REGIME, 10, 5)} select * exclude (exact) from wf", bars="+")(lambda spark, sf_dir: rounded(A.walk_forward(S.hourly(spark, sf_dir), THIRTEEN, 10, 5), *FIGURES))
+query("regime_map_few", f"{X.walk(TABLES, FEW, HOURLY, REGIME, 10, 5)}, {X.mapped(FEW)} select * replace (round(avg_metric, 6) as avg_metric) from rm", bars="+")(
+    lambda spark, sf_dir: rounded(A.regime_map(A.walk_forward(S.hourly(spark, sf_dir), FEW, 10, 5)), "avg_metric"))
+query("recommend_few", f"""{X.walk(TABLES, FEW, HOURLY, REGIME, 10, 5)}, {X.mapped(FEW)}, nw as (select symbol, arg_max(trend_regime, ts) as trend_regime, arg_max(vol_regime, ts) as vol_regime from (with recursive {HOURLY}, {REGIME} select * from re) group by 1),
+ o0 as (select symbol, strategy, avg(exact) as m, count(*) filter (where won) as w from wf group by 1, 2), o1 as (select *, row_number() over (partition by symbol order by m desc, w desc, {X.order_of(FEW)}) as k from o0 where m is not null)
+ select nw.symbol, nw.trend_regime, nw.vol_regime, coalesce(rm.strategy, o1.strategy) as recommended from nw left join rm on rm.symbol = nw.symbol and rm.trend_regime = nw.trend_regime and rm.vol_regime = nw.vol_regime and place = 1 left join o1 on o1.symbol = nw.symbol and k = 1""", bars="+")(
+    lambda spark, sf_dir: A.recommend(A.walk_forward(S.hourly(spark, sf_dir), FEW, 10, 5), S.hourly(spark, sf_dir)))
 _UNION = " union all ".join(f"select symbol, ts, close, '{n}' as name, '{d}' as direction, coalesce({PREDICATES[n]}, false) as seen, 100 * {CONFIDENCES[n]} as conf from k" for n, d in candles.DIRECTIONS.items())
 _PATTERN_STATS = f"""+ {CANDLES}, l as ({_UNION}), r as (select symbol, ts, lead(close, 10) over ({W}) / nullif(close, 0) - 1 as fr from bars), j as (select l.*, fr, seen and fr is not null as hit from l join r on r.symbol = l.symbol and r.ts = l.ts),
  ps as (select symbol, name, direction, cast(count(*) filter (where hit) as bigint) as occurrences, case direction when 'bullish' then avg(cast(fr > 0 as double)) filter (where hit) when 'bearish' then avg(cast(fr < 0 as double)) filter (where hit) end as win_rate,

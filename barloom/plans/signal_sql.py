@@ -175,6 +175,48 @@ h2 as (select *, last / 100000 - 1 as total_return, sqrt(n / days * 252) as f fr
 h3 as (select symbol, count(*) as num_trades, count(*) filter (where pnl > 0) / count(*) as win_rate, coalesce(sum(pnl) filter (where pnl > 0), 0) / nullif(abs(coalesce(sum(pnl) filter (where pnl < 0), 0)), 0) as profit_factor, avg(pnl / (qty * ep)) as avg_trade_return_pct from tr where qty > 0 group by 1),
 mt as (select symbol, round(total_return, 6) as total_return, round(case when 1 + total_return > 0 then pow(1 + total_return, 252 / days) - 1 end, 6) as annualized_return, round(case when nr >= 2 then mean / nullif(sd, 0) * f end, 6) as sharpe_ratio, round(case when nr >= 2 then mean / nullif(dsd, 0) * f end, 6) as sortino_ratio,
  round(max_drawdown, 6) as max_drawdown, round(win_rate, 6) as win_rate, round(profit_factor, 6) as profit_factor, coalesce(num_trades, 0) as num_trades, round(avg_trade_return_pct, 6) as avg_trade_return_pct from h2 left join h3 using (symbol))"""
+#: The same with the Sharpe ratio before it is rounded, for ranks and means.
+EXACT_METRICS = METRICS.replace("mt as (select symbol,", "mt as (select symbol, case when nr >= 2 then mean / nullif(sd, 0) * f end as exact,")
+BAR = "ts, open, high, low, close, volume"
+
+
+def contest(tables: dict[str, tuple], names: list[str], bars: str) -> str:
+    """Tables up to `mt`: figures of strategies in their default modes, each on all `bars`; its symbol is symbol#strategy. A
+    strategy's tables are a query of its own, as their names are alike."""
+    each = " union all ".join(
+        f"(with recursive {bars}, {signals(*tables[n][:4], *next(iter(tables[n][4].values())))} select symbol || '#{n}' as symbol, {BAR}, signal, cast(stop_price as double) as stop_price, cast(target_price as double) as target_price from sg)"
+        for n in names
+    )
+    return f"every as materialized ({each}), sg as (select * from every), {account()}, {EXACT_METRICS}"
+
+
+def benchmark(bars: str) -> str:
+    """Figures of the bars held over night, as rows of `mt`."""
+    held = f"sg as (select symbol || '#buy_and_hold' as symbol, {BAR}, 1 as signal, cast(null as double) as stop_price, cast(null as double) as target_price from bars)"
+    return f"(with recursive {bars}, {held}, {account(flatten=False)}, {EXACT_METRICS} select * from mt)"
+
+
+def order_of(names: list[str]) -> str:
+    return f"list_position({names!r}, strategy)"
+
+
+def walk(tables: dict[str, tuple], names: list[str], bars: str, regimes: str, before: int, test: int) -> str:
+    """Tables up to `wf`: figures of each strategy on the test days of each fold, the fold's regime, and `won`."""
+    raw = bars.replace("bars as", "raw as", 1)
+    days = f"{raw}, dy as (select distinct symbol, cast(ts as date) as day from raw), {fold_table(before, test)}"
+    tested = f"{days}, bars as (select raw.symbol || '@' || fold_id as symbol, {BAR} from raw join fo on fo.symbol = raw.symbol and fo.day = cast(raw.ts as date) and part = 'test')"
+    at = f"""ar as (select r.symbol, fold_id, arg_max(trend_regime, ts) as trend_regime, arg_max(vol_regime, ts) as vol_regime from (with recursive {bars}, {regimes} select * from re) r
+ join (with recursive {days} select * from fo) f on f.symbol = r.symbol and f.day = cast(r.ts as date) and part = 'before' group by 1, 2)"""
+    return f"""{contest(tables, names, tested)}, {at}, wn as (select * exclude (symbol), split_part(symbol, '@', 1) as symbol, cast(split_part(split_part(symbol, '@', 2), '#', 1) as int) as fold_id, split_part(symbol, '#', 2) as strategy from mt),
+wf as (select wn.*, trend_regime, vol_regime, exact is not null and row_number() over (partition by symbol, fold_id order by exact desc nulls last, {order_of(names)}) = 1 as won from wn join ar using (symbol, fold_id))"""
+
+
+def mapped(names: list[str]) -> str:
+    """Table `rm`: strategies by regime, from `wf`."""
+    return f"""r0 as (select symbol, trend_regime, vol_regime, strategy, count(*) filter (where won) as wins, count(*) as folds, avg(exact) as avg_metric from wf group by 1, 2, 3, 4),
+rm as (select *, row_number() over (partition by symbol, trend_regime, vol_regime order by avg_metric desc nulls last, wins desc, {order_of(names)}) as place from r0)"""
+
+
 EXTREMES = f"""x0 as (select *, max(equity) over ({W} rows unbounded preceding) as hi, min(equity) over ({W} rows unbounded preceding) as lo from eq), x1 as (select *, min(ts) over (partition by symbol, hi) as hts, min(ts) over (partition by symbol, lo) as lts from x0),
 x2 as (select symbol, 'worst' as kind, hts as from_ts, ts as to_ts, equity - hi as change, hi - equity as size from x1 union all select symbol, 'best', lts, ts, equity - lo, equity - lo from x1),
 ex as (select * from (select *, row_number() over (partition by symbol, kind order by size desc, to_ts) as k from x2) where k = 1 and size >= 1e-6)"""

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import last_rows, series
 from ..operators import analysis as A
 from ..operators import backtest as B
 from ..operators import candles, chart, documents, frames, journal, metrics, strategies, sweep, ticks
@@ -15,6 +16,7 @@ from ..operators import indicators as I
 from ..sources import feeds, provider, records, store
 from ..sources import fixtures as S
 from ..streaming import bars as stream
+from . import shape_sql as Y
 from . import signal_sql as X
 
 QUERIES: dict[str, Callable] = {}
@@ -286,7 +288,7 @@ for _name, _s in strategies.REGISTRY.items():
             query(f"sig_{_name}_{_mode}", signal_sql(_name, _mode, ", round(stop_price, 6) as stop_price, round(target_price, 6) as target_price"))(_signal)
 query("sig_buy_and_hold", "select symbol, ts, 1 as signal from bars")(lambda spark, sf_dir: strategies.buy_and_hold(S.hourly(spark, sf_dir)).select("symbol", "ts", "signal"))
 for _mode in ("level_reversal", "vertex_stop", "measured_move"):
-    query("sig_chart_pattern_breakout" + ("" if _mode == "level_reversal" else f"_{_mode}"))(lambda spark, sf_dir, mode=_mode: chart.breakout_signals(S.hourly(spark, sf_dir), mode).select("symbol", "ts", "signal", "stop_price", "target_price"))
+    query("sig_chart_pattern_breakout" + ("" if _mode == "level_reversal" else f"_{_mode}"), f"+ {Y.patterns()}, {Y.signals(_mode)} select symbol, ts, signal, stop_price, target_price from sg")(lambda spark, sf_dir, mode=_mode: chart.breakout_signals(S.hourly(spark, sf_dir), mode).select("symbol", "ts", "signal", "stop_price", "target_price"))
 
 
 @query("debounce", f"""+ {_AO}, s as (select *, case when ao < 0 then -1 when ao > 0 then 1 else 0 end as raw from a), g as (select *, row_number() over ({W}) - row_number() over (partition by symbol, raw order by ts) as g from s),
@@ -395,20 +397,25 @@ def _failures(spark, sf_dir):
     return failed.select("symbol", "strategy", "error").unionByName(figures.select("symbol", "strategy", F.lit(None).cast("string").alias("error")))
 
 
-@query("compare_rank")
-def flagship(spark, sf_dir):
-    """All strategies back-tested on every symbol and ranked by Sharpe ratio, and the benchmark."""
-    return metrics.ranking(rounded(A.comparison(S.hourly(spark, sf_dir)), *FIGURES), "sharpe_ratio", tuple(NAMES))
+THIRTEEN = [n for n in NAMES if n in TABLES]  # all but the one on chart patterns
+FEW = ["orb", "volume_momentum", "awesome_oscillator", "macd_crossover"]
+#: All fourteen, as SQL says them; a few of them for what only groups folds anew.
+ALL_TABLES = TABLES | {"chart_pattern_breakout": f"{Y.patterns()}, {Y.signals()}"}
 
 
-#: The strategies whose signals SQL can say: all but the one on chart patterns. A few of them for what only groups folds anew.
-THIRTEEN = [n for n in NAMES if n in TABLES]
-FEW = ["orb", "volume_momentum", "awesome_oscillator", "macd_crossover"]
+def compared_sql(names: list[str]) -> str:
+    return f"""{X.contest(ALL_TABLES, names, HOURLY)}, al as (select * from mt union all {X.benchmark(HOURLY)}), sp as (select * exclude (symbol, exact), split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2) as strategy from al),
+ rk as (select *, row_number() over w as k, first_value(case when strategy <> 'buy_and_hold' then sharpe_ratio end) over w as top from sp window w as (partition by symbol order by strategy = 'buy_and_hold', sharpe_ratio desc nulls last, {X.order_of(names)}))
+ select * exclude (k, top), case when strategy <> 'buy_and_hold' then k end as rank, round(sharpe_ratio - top, 6) as delta from rk"""
 
 
-@query("compare_thirteen", f"""{X.contest(TABLES, THIRTEEN, HOURLY)}, al as (select * from mt union all {X.benchmark(HOURLY)}), sp as (select * exclude (symbol, exact), split_part(symbol, '#', 1) as symbol, split_part(symbol, '#', 2) as strategy from al),
- rk as (select *, row_number() over w as k, first_value(case when strategy <> 'buy_and_hold' then sharpe_ratio end) over w as top from sp window w as (partition by symbol order by strategy = 'buy_and_hold', sharpe_ratio desc nulls last, {X.order_of(THIRTEEN)}))
- select * exclude (k, top), case when strategy <> 'buy_and_hold' then k end as rank, round(sharpe_ratio - top, 6) as delta from rk""", bars="+")
+@query("compare_rank", compared_sql(NAMES), bars="+")
+def flagship(spark, sf_dir):
+    """All strategies back-tested on every symbol and ranked by Sharpe ratio, and the benchmark."""
+    return rounded(metrics.ranking(rounded(A.comparison(S.hourly(spark, sf_dir)), *FIGURES), "sharpe_ratio", tuple(NAMES)), "delta")
+
+
+@query("compare_thirteen", compared_sql(THIRTEEN), bars="+")
 def _thirteen(spark, sf_dir):
     """Thirteen strategies and the benchmark, ranked on every symbol."""
     return rounded(metrics.ranking(rounded(A.comparison(S.hourly(spark, sf_dir), tuple(THIRTEEN)), *FIGURES), "sharpe_ratio", tuple(THIRTEEN)), "delta")
@@ -419,15 +426,19 @@ REGIME = f"""{X.STRENGTH}, rg as (select bars.symbol, bars.ts, adx, atr / nullif
 simple("regime", A.classify_regime, ["trend_regime", "vol_regime"], f"+ {REGIME} select * from re")
 query("regime_stretches", f"""+ {REGIME}, s0 as (select *, case when (trend_regime, vol_regime) = (lag(trend_regime) over ({W}), lag(vol_regime) over ({W})) then 0 else 1 end as nw from re), s1 as (select *, sum(nw) over ({W} rows unbounded preceding) as stretch from s0)
  select symbol, cast(stretch as bigint) as stretch, trend_regime, vol_regime, min(ts) as from_ts, max(ts) as to_ts, count(*) as bars from s1 group by all""")(lambda spark, sf_dir: A.regime_stretches(A.classify_regime(S.hourly(spark, sf_dir))))
-query("walkforward_folds")(lambda spark, sf_dir: rounded(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), *FIGURES))
-query("regime_map")(lambda spark, sf_dir: rounded(A.regime_map(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5)), "avg_metric"))
-query("recommend")(lambda spark, sf_dir: A.recommend(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), S.hourly(spark, sf_dir)))
+def advised_sql(names: list[str]) -> str:
+    return f"""{X.walk(ALL_TABLES, names, HOURLY, REGIME, 10, 5)}, {X.mapped(names)}, nw as (select symbol, arg_max(trend_regime, ts) as trend_regime, arg_max(vol_regime, ts) as vol_regime from (with recursive {HOURLY}, {REGIME} select * from re) group by 1),
+ o0 as (select symbol, strategy, avg(exact) as m, count(*) filter (where won) as w from wf group by 1, 2), o1 as (select *, row_number() over (partition by symbol order by m desc, w desc, {X.order_of(names)}) as k from o0 where m is not null)
+ select nw.symbol, nw.trend_regime, nw.vol_regime, coalesce(rm.strategy, o1.strategy) as recommended from nw left join rm on rm.symbol = nw.symbol and rm.trend_regime = nw.trend_regime and rm.vol_regime = nw.vol_regime and place = 1 left join o1 on o1.symbol = nw.symbol and k = 1"""
+
+
+query("walkforward_folds", f"{X.walk(ALL_TABLES, NAMES, HOURLY, REGIME, 10, 5)} select * exclude (exact) from wf", bars="+")(lambda spark, sf_dir: rounded(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), *FIGURES))
+query("regime_map", f"{X.walk(ALL_TABLES, NAMES, HOURLY, REGIME, 10, 5)}, {X.mapped(NAMES)} select * replace (round(avg_metric, 6) as avg_metric) from rm", bars="+")(lambda spark, sf_dir: rounded(A.regime_map(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5)), "avg_metric"))
+query("recommend", advised_sql(NAMES), bars="+")(lambda spark, sf_dir: A.recommend(A.walk_forward(S.hourly(spark, sf_dir), NAMES, 10, 5), S.hourly(spark, sf_dir)))
 query("walkforward_thirteen", f"{X.walk(TABLES, THIRTEEN, HOURLY, REGIME, 10, 5)} select * exclude (exact) from wf", bars="+")(lambda spark, sf_dir: rounded(A.walk_forward(S.hourly(spark, sf_dir), THIRTEEN, 10, 5), *FIGURES))
 query("regime_map_few", f"{X.walk(TABLES, FEW, HOURLY, REGIME, 10, 5)}, {X.mapped(FEW)} select * replace (round(avg_metric, 6) as avg_metric) from rm", bars="+")(
     lambda spark, sf_dir: rounded(A.regime_map(A.walk_forward(S.hourly(spark, sf_dir), FEW, 10, 5)), "avg_metric"))
-query("recommend_few", f"""{X.walk(TABLES, FEW, HOURLY, REGIME, 10, 5)}, {X.mapped(FEW)}, nw as (select symbol, arg_max(trend_regime, ts) as trend_regime, arg_max(vol_regime, ts) as vol_regime from (with recursive {HOURLY}, {REGIME} select * from re) group by 1),
- o0 as (select symbol, strategy, avg(exact) as m, count(*) filter (where won) as w from wf group by 1, 2), o1 as (select *, row_number() over (partition by symbol order by m desc, w desc, {X.order_of(FEW)}) as k from o0 where m is not null)
- select nw.symbol, nw.trend_regime, nw.vol_regime, coalesce(rm.strategy, o1.strategy) as recommended from nw left join rm on rm.symbol = nw.symbol and rm.trend_regime = nw.trend_regime and rm.vol_regime = nw.vol_regime and place = 1 left join o1 on o1.symbol = nw.symbol and k = 1""", bars="+")(
+query("recommend_few", advised_sql(FEW), bars="+")(
     lambda spark, sf_dir: A.recommend(A.walk_forward(S.hourly(spark, sf_dir), FEW, 10, 5), S.hourly(spark, sf_dir)))
 _UNION = " union all ".join(f"select symbol, ts, close, '{n}' as name, '{d}' as direction, coalesce({PREDICATES[n]}, false) as seen, 100 * {CONFIDENCES[n]} as conf from k" for n, d in candles.DIRECTIONS.items())
 _PATTERN_STATS = f"""+ {CANDLES}, l as ({_UNION}), r as (select symbol, ts, lead(close, 10) over ({W}) / nullif(close, 0) - 1 as fr from bars), j as (select l.*, fr, seen and fr is not null as hit from l join r on r.symbol = l.symbol and r.ts = l.ts),
@@ -577,9 +588,29 @@ query("swings", f"+ {X.SWINGS} select symbol, cast(swing_no as integer) as swing
 # thresholds in per cent of the price, small enough for many swings
 query("swings_fine", f"+ {X.SWINGS.replace('coalesce(greatest(300 * median(atr / nullif(close, 0)), 0.5), 3.0) / 100', '0.2::double')} select symbol, cast(swing_no as integer) as swing_no, cast(bar_idx as bigint) as bar_idx, ts, price, kind from sw")(lambda spark, sf_dir: chart.swings(S.hourly(spark, sf_dir), 20.0))
 query("chart_patterns")(lambda spark, sf_dir: chart.chart_patterns(S.hourly(spark, sf_dir)))
-query("chart_pattern_stats")(lambda spark, sf_dir: rounded(chart.chart_pattern_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return", "avg_confidence"))
-query("trendlines")(lambda spark, sf_dir: chart.converging(S.hourly(spark, sf_dir), chart.swings(S.hourly(spark, sf_dir))).select("symbol", "name", "direction", "at", "breakout_idx", "confidence"))
-query("flags")(lambda spark, sf_dir: chart.flags(S.hourly(spark, sf_dir)).select("symbol", "direction", "at", "breakout_idx", "confidence"))
+SMOOTHED = HOURLY.replace("bars as", "raw as", 1) + ", bars as (select symbol, ts, " + ", ".join(f"round(avg({c}) over ({W} rows between 23 preceding and current row), 6) as {c}" for c in frames.OHLCV) + " from raw)"
+_SHAPE = "symbol, name, direction, breakout_idx, breakout_time, round(breakout_price, 6) as breakout_price, confidence, n_vertices, cast(place as integer) as place"
+
+
+def _shapes(bars: DataFrame, percent: float) -> DataFrame:
+    made = chart.chart_patterns(bars, percent).withColumn("n_vertices", F.size("vertices"))
+    return rounded(made.select("symbol", "name", "direction", "breakout_idx", "breakout_time", "breakout_price", "confidence", "n_vertices", "place"), "breakout_price")
+
+
+def _smoothed(spark, sf_dir) -> DataFrame:
+    """Hourly bars, each the mean of a day's: a series that draws triangles and wedges."""
+    b = S.hourly(spark, sf_dir)
+    w = last_rows(series(b), 24)
+    return b.select("symbol", "ts", *(F.round(F.avg(c).over(w), 6).alias(c) for c in frames.OHLCV))
+
+
+query("shapes_hourly", f"+ {Y.patterns(40.0)} select {_SHAPE} from ch")(lambda spark, sf_dir: _shapes(S.hourly(spark, sf_dir), 40.0))
+query("shapes_smoothed", f"+ {Y.patterns(5.0)} select {_SHAPE} from ch", SMOOTHED)(lambda spark, sf_dir: _shapes(_smoothed(spark, sf_dir), 5.0))
+query("shape_stats", f"+ {Y.patterns(5.0)}, {Y.stats()} select symbol, name, direction, occurrences, round(win_rate, 6) as win_rate, round(avg_forward_return, 6) as avg_forward_return, round(avg_confidence, 6) as avg_confidence from cs", SMOOTHED)(
+    lambda spark, sf_dir: rounded(chart.chart_pattern_stats(_smoothed(spark, sf_dir), 10, chart.chart_patterns(_smoothed(spark, sf_dir), 5.0)), "win_rate", "avg_forward_return", "avg_confidence"))
+query("chart_pattern_stats", f"+ {Y.patterns()}, {Y.stats()} select symbol, name, direction, occurrences, round(win_rate, 6) as win_rate, round(avg_forward_return, 6) as avg_forward_return, round(avg_confidence, 6) as avg_confidence from cs")(lambda spark, sf_dir: rounded(chart.chart_pattern_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return", "avg_confidence"))
+query("trendlines", f"+ {Y.patterns()} select symbol, name, direction, at_ as at, breakout_idx, confidence from bn")(lambda spark, sf_dir: chart.converging(S.hourly(spark, sf_dir), chart.swings(S.hourly(spark, sf_dir))).select("symbol", "name", "direction", "at", "breakout_idx", "confidence"))
+query("flags", f"+ {Y.patterns()} select symbol, direction, at_ as at, breakout_idx, confidence from ch where name = 'flag'")(lambda spark, sf_dir: chart.flags(S.hourly(spark, sf_dir)).select("symbol", "direction", "at", "breakout_idx", "confidence"))
 
 
 @query("stream_ohlcv_batch", """select 'EVT' as symbol, cast(time_bucket(interval 1 hour, ts) as timestamp) as ts, arg_min(value, ts) as open, max(value) as high, min(value) as low, arg_max(value, ts) as close, sum(cast(1 + event_id % 5 as double)) as volume

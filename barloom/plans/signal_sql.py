@@ -180,11 +180,12 @@ EXACT_METRICS = METRICS.replace("mt as (select symbol,", "mt as (select symbol,
 BAR = "ts, open, high, low, close, volume"
 
 
-def contest(tables: dict[str, tuple], names: list[str], bars: str) -> str:
+def contest(tables: dict[str, tuple | str], names: list[str], bars: str) -> str:
     """Tables up to `mt`: figures of strategies in their default modes, each on all `bars`; its symbol is symbol#strategy. A
-    strategy's tables are a query of its own, as their names are alike."""
+    strategy's tables (parts of them for signals(), or all of them as one text) are a query of its own, as their names are alike."""
+    made = {n: t if isinstance(t, str) else signals(*t[:4], *next(iter(t[4].values()))) for n, t in tables.items() if n in names}
     each = " union all ".join(
-        f"(with recursive {bars}, {signals(*tables[n][:4], *next(iter(tables[n][4].values())))} select symbol || '#{n}' as symbol, {BAR}, signal, cast(stop_price as double) as stop_price, cast(target_price as double) as target_price from sg)"
+        f"(with recursive {bars}, {made[n]} select symbol || '#{n}' as symbol, {BAR}, signal, cast(stop_price as double) as stop_price, cast(target_price as double) as target_price from sg)"
         for n in names
     )
     return f"every as materialized ({each}), sg as (select * from every), {account()}, {EXACT_METRICS}"
@@ -200,7 +201,7 @@ def order_of(names: list[str]) -> str:
     return f"list_position({names!r}, strategy)"
 
 
-def walk(tables: dict[str, tuple], names: list[str], bars: str, regimes: str, before: int, test: int) -> str:
+def walk(tables: dict[str, tuple | str], names: list[str], bars: str, regimes: str, before: int, test: int) -> str:
     """Tables up to `wf`: figures of each strategy on the test days of each fold, the fold's regime, and `won`."""
     raw = bars.replace("bars as", "raw as", 1)
     days = f"{raw}, dy as (select distinct symbol, cast(ts as date) as day from raw), {fold_table(before, test)}"

@@ -53,22 +53,23 @@ def ranking(figures: DataFrame, by: str = "sharpe_ratio", order: tuple[str, ...]
 
 
 def best_and_worst(equity: DataFrame) -> DataFrame:
-    """kind, from_ts, to_ts, change: the largest fall from a peak and the largest rise from a trough; the first of equals."""
+    """kind, from_ts, to_ts, change, change_pct (of the equity at its start, null where that is 0): the largest fall from a peak and
+    the largest rise from a trough; the first of equals."""
     w = series(equity)
     df = equity.withColumns({"_hi": F.max("equity").over(upto(w)), "_lo": F.min("equity").over(upto(w))})
     per = keys(equity)
     # the first time that the running extreme had its value
     df = df.withColumns({"_hi_ts": F.min("ts").over(Window.partitionBy(*per, "_hi")), "_lo_ts": F.min("ts").over(Window.partitionBy(*per, "_lo"))})
-    both = df.select(*per, F.lit("worst").alias("kind"), C("_hi_ts").alias("from_ts"), C("ts").alias("to_ts"), (C("equity") - C("_hi")).alias("change"), (C("_hi") - C("equity")).alias("_size")).unionByName(
-        df.select(*per, F.lit("best").alias("kind"), C("_lo_ts").alias("from_ts"), C("ts").alias("to_ts"), (C("equity") - C("_lo")).alias("change"), (C("equity") - C("_lo")).alias("_size"))
+    both = df.select(*per, F.lit("worst").alias("kind"), C("_hi_ts").alias("from_ts"), C("ts").alias("to_ts"), (C("equity") - C("_hi")).alias("change"), ratio(C("equity") - C("_hi"), "_hi").alias("change_pct"), (C("_hi") - C("equity")).alias("_size")).unionByName(
+        df.select(*per, F.lit("best").alias("kind"), C("_lo_ts").alias("from_ts"), C("ts").alias("to_ts"), (C("equity") - C("_lo")).alias("change"), ratio(C("equity") - C("_lo"), "_lo").alias("change_pct"), (C("equity") - C("_lo")).alias("_size"))
     )
     top = Window.partitionBy(*per, "kind").orderBy(F.desc("_size"), "to_ts")
     return both.withColumn("_rn", F.row_number().over(top)).where("_rn = 1 and _size >= 1e-6").drop("_rn", "_size")
 
 
 def period_windows(periods: DataFrame, bars: DataFrame, around: int = 10) -> DataFrame:
-    """For each best or worst period the bars before, during and after it: price change, mean volume and its ratio to that of
-    all bars, deviation of returns, and how many there are (a phase without bars has no row)."""
+    """For each best or worst period the bars before, during and after it: first and last time, price change, mean volume and its
+    ratio to that of all bars, deviation of returns, and how many there are. A phase without bars has nulls and none."""
     from .frames import prepared
 
     per = [k for k in keys(bars)]
@@ -81,7 +82,9 @@ def period_windows(periods: DataFrame, bars: DataFrame, around: int = 10) -> Dat
     j = j.withColumn("phase", phase).where("phase is not null")
     first = F.min("bar_idx").over(Window.partitionBy(*per, *own, "kind", "phase"))
     j = j.withColumn("_r", F.when(C("bar_idx") > first, C("_r")))  # returns within the phase
-    return j.groupBy(*per, *own, "kind", "phase").agg(
-        (ratio(F.max_by("close", "bar_idx"), F.min_by("close", "bar_idx")) - 1).alias("price_change_pct"), F.avg("volume").alias("avg_volume"),
+    found = j.groupBy(*per, *own, "kind", "phase").agg(
+        F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), (ratio(F.max_by("close", "bar_idx"), F.min_by("close", "bar_idx")) - 1).alias("price_change_pct"), F.avg("volume").alias("avg_volume"),
         ratio(F.avg("volume"), F.first("_mean")).alias("volume_ratio"), F.stddev_samp("_r").alias("volatility"), F.count("*").alias("num_bars"),
     )
+    every = ends.select(*per, *own, "kind", F.explode(F.array(*map(F.lit, ("pre", "during", "post")))).alias("phase"))
+    return every.join(found, [*per, *own, "kind", "phase"], "left").withColumn("num_bars", F.coalesce("num_bars", F.lit(0)))

@@ -51,11 +51,13 @@ def features(trades: DataFrame, quotes: DataFrame, bucket: str = "15 minutes") -
 
 
 def validate(trades: DataFrame, quotes: DataFrame, bucket: str = "15 minutes", ahead: int = 1, least_trades: int = 5, least_quotes: int = 20, least: int = 10) -> DataFrame:
-    """Rank correlation of each feature with the return over the next windows that aren't thin; null for few windows."""
+    """Rank correlation of each feature with the return over the next windows that aren't thin; null for few windows. n counts the windows of a feature, and
+    n_windows those that have a price and a return."""
     f = features(trades, quotes, bucket).where((F.coalesce("trade_count", F.lit(0)) >= least_trades) & (F.coalesce("quote_count", F.lit(0)) >= least_quotes))
     f = f.withColumn("_r", ratio(F.lead("close", ahead).over(Window.partitionBy("symbol").orderBy("bucket")), "close") - 1)
-    long = f.select("symbol", "_r", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), C(n).alias("value")) for n in FEATURES))).alias("x")).select("symbol", "_r", "x.*")
+    f = f.withColumn("n_windows", F.count(F.when(C("close").isNotNull() & C("_r").isNotNull(), 1)).over(Window.partitionBy("symbol")))
+    long = f.select("symbol", "_r", "n_windows", F.explode(F.array(*(F.struct(F.lit(n).alias("feature"), C(n).alias("value")) for n in FEATURES))).alias("x")).select("symbol", "_r", "n_windows", "x.*")
     long = long.where("_r is not null and value is not null")
     by = ["symbol", "feature"]
     long = long.withColumns({"_a": average_rank(C("value"), by), "_b": average_rank(C("_r"), by)})
-    return long.groupBy(*by).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation(C("_a"), C("_b"))).alias("ic"))
+    return long.groupBy(*by).agg(F.count("*").alias("n"), F.first("n_windows").alias("n_windows"), F.when(F.count("*") >= least, correlation(C("_a"), C("_b"))).alias("ic"))

@@ -352,9 +352,9 @@ def _bracket(spark, sf_dir):
     return rounded(rounded(t, "entry_price", "exit_price", "pnl", places=4), "return_pct")
 
 
-@query("best_worst_periods", f"+ {AO_TABLES}, {X.account()}, {X.EXTREMES} select symbol, kind, from_ts, to_ts, round(change, 4) as change from ex")
+@query("best_worst_periods", f"+ {AO_TABLES}, {X.account()}, {X.EXTREMES} select symbol, kind, from_ts, to_ts, round(change, 4) as change, round(change_pct, 6) as change_pct from ex")
 def _periods(spark, sf_dir):
-    return rounded(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), "change", places=4)
+    return rounded(rounded(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), "change", places=4), "change_pct")
 
 
 NAMES = list(strategies.registered())
@@ -489,8 +489,9 @@ def _scan(spark, sf_dir):
 query("period_windows", f"""+ {AO_TABLES}, {X.account()}, {X.EXTREMES}, pb as (select *, row_number() over ({W}) - 1 as i, avg(volume) over (partition by symbol) as mean from bars),
  pe as (select ex.symbol, kind, a.i as a, b.i as b from ex join pb a on a.symbol = ex.symbol and a.ts = from_ts join pb b on b.symbol = ex.symbol and b.ts = to_ts),
  ph as (select pb.*, kind, case when i between a - 10 and a - 1 then 'pre' when i between a and b then 'during' when i between b + 1 and b + 10 then 'post' end as phase from pe join pb using (symbol)),
- pr as (select *, close / nullif(lag(close) over (partition by symbol, kind, phase order by i), 0) - 1 as r from ph where phase is not null)
- select symbol, kind, phase, round(arg_max(close, i) / nullif(arg_min(close, i), 0) - 1, 6) as price_change_pct, round(avg(volume), 6) as avg_volume, round(avg(volume) / nullif(any_value(mean), 0), 6) as volume_ratio, round(stddev_samp(r), 6) as volatility, count(*) as num_bars from pr group by 1, 2, 3""")(lambda spark, sf_dir: rounded(metrics.period_windows(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), S.hourly(spark, sf_dir)), "price_change_pct", "avg_volume", "volume_ratio", "volatility"))
+ pr as (select *, close / nullif(lag(close) over (partition by symbol, kind, phase order by i), 0) - 1 as r from ph where phase is not null),
+ pw as (select symbol, kind, phase, min(ts) as start_ts, max(ts) as end_ts, round(arg_max(close, i) / nullif(arg_min(close, i), 0) - 1, 6) as price_change_pct, round(avg(volume), 6) as avg_volume, round(avg(volume) / nullif(any_value(mean), 0), 6) as volume_ratio, round(stddev_samp(r), 6) as volatility, count(*) as num_bars from pr group by 1, 2, 3),
+ pa as (select symbol, kind, unnest(['pre', 'during', 'post']) as phase from pe) select pa.*, start_ts, end_ts, price_change_pct, avg_volume, volume_ratio, volatility, coalesce(num_bars, 0) as num_bars from pa left join pw on pw.symbol = pa.symbol and pw.kind = pa.kind and pw.phase = pa.phase""")(lambda spark, sf_dir: rounded(metrics.period_windows(metrics.best_and_worst(B.run(_ao_signals(spark, sf_dir))[0]), S.hourly(spark, sf_dir)), "price_change_pct", "avg_volume", "volume_ratio", "volatility"))
 query("symbol_document")(lambda spark, sf_dir: documents.symbol_document(S.hourly(spark, sf_dir)))
 query("stats_table", f"{_PATTERN_STATS} select symbol, name, direction, occurrences, {_ROUNDED}, row_number() over (partition by symbol, direction order by coalesce(win_rate, -1) desc, name) as row, occurrences < 5 as low_sample from ps")(lambda spark, sf_dir: rounded(documents.stats_table(A.pattern_stats(S.hourly(spark, sf_dir))), "win_rate", "avg_forward_return", "avg_confidence"))
 query("recommendation", f"""{_PATTERN_STATS}, rs as (select symbol, coalesce(sum(case when occurrences > 0 then case direction when 'bullish' then 1 when 'bearish' then -1 end * coalesce(win_rate, 0.5) * coalesce(avg_confidence, 50) / 100 * least(1.0, occurrences / 5.0) end), 0) as score from ps group by 1)
@@ -520,9 +521,9 @@ def _micro(spark, sf_dir):
 
 
 _IC = MICRO.replace("interval 15 minutes", "interval 6 hours") + """, f as (select * from a full outer join b using (symbol, bucket) where coalesce(trade_count, 0) >= 2 and coalesce(quote_count, 0) >= 2), g as (select *, lead(close) over (partition by symbol order by bucket) / nullif(close, 0) - 1 as r from f),
- l as (select symbol, r, unnest(['order_flow_imbalance', 'quote_imbalance', 'relative_spread']) as feature, unnest([order_flow_imbalance, quote_imbalance, relative_spread]) as value from g), m as (select * from l where r is not null and value is not null),
+ l as (select symbol, r, unnest(['order_flow_imbalance', 'quote_imbalance', 'relative_spread']) as feature, unnest([order_flow_imbalance, quote_imbalance, relative_spread]) as value from g), m as (select * from l where r is not null and value is not null), nw as (select symbol, count(*) as n_windows from g where close is not null and r is not null group by 1),
  k as (select *, rank() over (partition by symbol, feature order by value) + (count(*) over (partition by symbol, feature, value) - 1) / 2.0 as x, rank() over (partition by symbol, feature order by r) + (count(*) over (partition by symbol, feature, r) - 1) / 2.0 as y from m)
- select symbol, feature, count(*) as n, round(case when count(*) >= 10 then covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) end, 6) as ic from k group by 1, 2"""
+ select k.symbol, feature, count(*) as n, any_value(n_windows) as n_windows, round(case when count(*) >= 10 then covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) end, 6) as ic from k join nw on nw.symbol = k.symbol group by 1, 2"""
 query("micro_ic", _IC, "")(lambda spark, sf_dir: rounded(ticks.validate(S.trades(spark, sf_dir), S.quotes(spark, sf_dir), "6 hours", 1, 2, 2), "ic"))
 JOURNAL = """with t as (select o_orderpriority as setup_type, round(o_totalprice - 250000, 2) as net_pl from orders where o_orderstatus = 'F')
  select setup_type, cast(grouping(setup_type) as integer) as is_total, count(*) as trades, count(*) filter (where net_pl > 0) as wins, round(count(*) filter (where net_pl > 0) / count(*), 6) as win_rate, round(avg(net_pl) filter (where net_pl > 0), 4) as avg_win,

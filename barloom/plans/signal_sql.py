@@ -219,7 +219,7 @@ rm as (select *, row_number() over (partition by symbol, trend_regime, vol_regim
 
 
 EXTREMES = f"""x0 as (select *, max(equity) over ({W} rows unbounded preceding) as hi, min(equity) over ({W} rows unbounded preceding) as lo from eq), x1 as (select *, min(ts) over (partition by symbol, hi) as hts, min(ts) over (partition by symbol, lo) as lts from x0),
-x2 as (select symbol, 'worst' as kind, hts as from_ts, ts as to_ts, equity - hi as change, hi - equity as size from x1 union all select symbol, 'best', lts, ts, equity - lo, equity - lo from x1),
+x2 as (select symbol, 'worst' as kind, hts as from_ts, ts as to_ts, equity - hi as change, (equity - hi) / nullif(hi, 0) as change_pct, hi - equity as size from x1 union all select symbol, 'best', lts, ts, equity - lo, (equity - lo) / nullif(lo, 0), equity - lo from x1),
 ex as (select * from (select *, row_number() over (partition by symbol, kind order by size desc, to_ts) as k from x2) where k = 1 and size >= 1e-6)"""
 
 SWINGS = f"""{STRENGTH}, g0 as (select symbol, coalesce(greatest(300 * median(atr / nullif(close, 0)), 0.5), 3.0) / 100 as pct, count(*) as many from bars join st using (symbol, ts) group by 1), g1 as (select n.*, pct from n join g0 using (symbol) where many >= 3),

@@ -249,7 +249,10 @@ def test_period_windows(spark):
     got = {(r.kind, r.phase): r for r in metrics.period_windows(p, b, 2).collect()}
     assert {(r.kind, r.change) for r in p.collect()} == {("worst", -300.0), ("best", 300.0)}
     assert got["worst", "during"].num_bars == 4 and got["worst", "pre"].num_bars == 2 and got["worst", "post"].price_change_pct == pytest.approx(12 / 11 - 1)
-    assert ("best", "pre") not in got and got["best", "during"].volume_ratio == pytest.approx(11.5 / 14)
+    assert {(r.kind, round(r.change_pct, 9)) for r in p.collect()} == {("worst", round(-3 / 13, 9)), ("best", 0.3)}
+    assert len(got) == 6 and got["best", "pre"].num_bars == 0 and got["best", "pre"].start_ts is None and got["best", "pre"].volume_ratio is None
+    assert (got["worst", "during"].start_ts.hour, got["worst", "during"].end_ts.hour) == (3, 6)
+    assert got["best", "during"].volume_ratio == pytest.approx(11.5 / 14)
 
 
 def test_every_strategy_competes_and_the_benchmark_has_no_rank(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import last_rows, series
 from ..operators import analysis as A
 from ..operators import backtest as B
-from ..operators import candles, chart, documents, frames, journal, metrics, strategies, sweep, ticks
+from ..operators import candles, chart, documents, frames, journal, metrics, strategies, sweep, table_functions, ticks
 from ..operators import indicators as I
 from ..sources import feeds, provider, records, store
 from ..sources import fixtures as S
@@ -610,6 +610,16 @@ query("shapes_smoothed", f"+ {Y.patterns(5.0)} select {_SHAPE} from ch", SMOOTHE
 query("shape_stats", f"+ {Y.patterns(5.0)}, {Y.stats()} select symbol, name, direction, occurrences, round(win_rate, 6) as win_rate, round(avg_forward_return, 6) as avg_forward_return, round(avg_confidence, 6) as avg_confidence from cs", SMOOTHED)(
     lambda spark, sf_dir: rounded(chart.chart_pattern_stats(_smoothed(spark, sf_dir), 10, chart.chart_patterns(_smoothed(spark, sf_dir), 5.0)), "win_rate", "avg_forward_return", "avg_confidence"))
 query("chart_pattern_stats", f"+ {Y.patterns()}, {Y.stats()} select symbol, name, direction, occurrences, round(win_rate, 6) as win_rate, round(avg_forward_return, 6) as avg_forward_return, round(avg_confidence, 6) as avg_confidence from cs")(lambda spark, sf_dir: rounded(chart.chart_pattern_stats(S.hourly(spark, sf_dir)), "win_rate", "avg_forward_return", "avg_confidence"))
+
+
+@query("reversal_patterns", f"+ {Y.patterns(40.0)} select symbol, name, direction, breakout_idx, breakout_time, round(breakout_price, 6) as breakout_price, confidence from ch where name in ('head_and_shoulders', 'inverse_head_and_shoulders', 'double_top', 'double_bottom')")
+def _reversals(spark, sf_dir):
+    """Bars to occurrences by a table function in SQL."""
+    table_functions.register(spark)
+    made = spark.sql("select * from reversal_patterns(bars => table(select * from {bars}) partition by symbol order by ts, threshold => 40.0)", bars=S.hourly(spark, sf_dir))
+    return rounded(made, "breakout_price")
+
+
 query("trendlines", f"+ {Y.patterns()} select symbol, name, direction, at_ as at, breakout_idx, confidence from bn")(lambda spark, sf_dir: chart.converging(S.hourly(spark, sf_dir), chart.swings(S.hourly(spark, sf_dir))).select("symbol", "name", "direction", "at", "breakout_idx", "confidence"))
 query("flags", f"+ {Y.patterns()} select symbol, direction, at_ as at, breakout_idx, confidence from ch where name = 'flag'")(lambda spark, sf_dir: chart.flags(S.hourly(spark, sf_dir)).select("symbol", "direction", "at", "breakout_idx", "confidence"))
 

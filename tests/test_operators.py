@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.functions.tables import materialize
 from barloom.operators import analysis, backtest, chart, frames, indicators, journal, kernels, metrics, strategies, ticks
 from barloom.plans import queries as plans
 from barloom.sources import fixtures, store
@@ -200,8 +201,9 @@ def test_metrics_without_trades_or_losses(spark):
 
 def test_folds_and_scan(spark):
     df = spark.createDataFrame(walk(4, 12), BARS)
-    f = analysis.folds(df, 4, 2).orderBy("fold_id").collect()
-    assert [(r.fold_id, (r.test_start - r.before_start).days, (r.test_end - r.test_start).days) for r in f] == [(k, 4, 1) for k in range(4)]
+    f = analysis.fold_days(df, 4, 2).groupBy("fold_id", "part").agg(F.min("day").alias("a"), F.max("day").alias("b")).collect()
+    at = {(r.fold_id, r.part): (r.a, r.b) for r in f}
+    assert [(k, (at[k, "test"][0] - at[k, "before"][0]).days, (at[k, "test"][1] - at[k, "test"][0]).days) for k in range(4)] == [(k, 4, 1) for k in range(4)] and len(at) == 8
     watched = spark.createDataFrame([("A",), ("Z",)], "symbol string")
     assert [r.symbol for r in analysis.scan(df, watched).where("skipped").collect()] == ["Z"]
 
@@ -269,8 +271,8 @@ def test_every_strategy_competes_and_the_benchmark_has_no_rank(spark):
 
 
 def test_chart_breakouts_and_contraction_are_recent_patterns_and_hits(spark):
-    df = spark.createDataFrame(walk(9, 60), BARS).localCheckpoint()
-    n, shapes = df.count(), chart.chart_patterns(df).localCheckpoint()
+    df = spark.createDataFrame(walk(9, 60), BARS)
+    n, shapes = df.count(), materialize(chart.chart_patterns(df))
     want = sorted((r.breakout_time, r.name, r.direction) for r in shapes.collect() if r.breakout_idx >= n - 60)
     recent = analysis.recent_patterns(df, 60, shapes).collect()
     assert want and sorted((r.ts, r.name, r.direction) for r in recent if r.pattern_kind == "chart") == want

@@ -30,10 +30,11 @@ def test_defaults_as_rows_equal_defaults(spark, name):
     s = strategies.REGISTRY[name]
     moved = {k: v * 2 for k, v in s.defaults.items() if isinstance(v, float)} or {k: v + 2 for k, v in s.defaults.items()}
     made = sweep.sweep_signals(bars, sweep.parameter_sets(spark, name, [{}, moved, {"nobody": 3}], mode), name)
-    key = lambda df: sorted((r.symbol, r.ts, r.signal, r.stop_price, r.target_price) for r in df.collect())
-    as_row = lambda k: key(made.where(F.col("set_id") == k))
-    assert repr(as_row(0)) == repr(key(strategies.signals(bars, name, mode))) == repr(as_row(2))
-    assert repr(as_row(1)) == repr(key(strategies.signals(bars, name, mode, **moved)))
+    key = lambda rows: sorted((r.symbol, r.ts, r.signal, r.stop_price, r.target_price) for r in rows)
+    made = made.collect()
+    as_row = lambda k: key(r for r in made if r.set_id == k)
+    assert repr(as_row(0)) == repr(key(strategies.signals(bars, name, mode).collect())) == repr(as_row(2))
+    assert repr(as_row(1)) == repr(key(strategies.signals(bars, name, mode, **moved).collect()))
 
 
 def test_settings_are_typed_by_defaults(spark):

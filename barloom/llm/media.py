@@ -199,6 +199,7 @@ def payload_of(stored: bytes) -> bytes:
 
 
 def op3(spark, sf_dir):
+    """The media columns of all rows of `documents`; nulls and repeated rows as media_columns() says, whole texts of any length."""
     from .common import documents
 
     return media_columns(documents(spark, sf_dir, "doc_id", "text"))

@@ -392,4 +392,5 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4(spark, sf_dir):
+    """The digest of all rows of `documents`: null and empty texts keep nothing and lose nothing, texts of any length count whole."""
     return dedup_digest(documents(spark, sf_dir, "doc_id", "text"))

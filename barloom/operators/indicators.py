@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, rolling, series, upto
 from . import kernels as K
+from . import scan
 
 C = F.col
 
@@ -69,11 +70,17 @@ def true_range(bars: DataFrame) -> DataFrame:
     return bars.withColumn("true_range", F.greatest(C("high") - C("low"), F.abs(C("high") - before), F.abs(C("low") - before)))
 
 
-def ema(bars: DataFrame, span: int = 20, of: str = "close", name: str = "ema") -> DataFrame:
+def ema(bars: DataFrame, span: int = 20, of: str = "close", name: str = "ema", slice_: str | None = None) -> DataFrame:
+    """With `slice_` (a unit of date_trunc), here and in rsi, adx and range_contraction, a series is worked through in slices,
+    each a task's; otherwise as a whole, which suits series that a task can hold."""
+    if slice_:
+        return scan.ema(bars, span, of, name, slice_)
     return K.add(bars, {name: "double"}, lambda p: {name: K.smooth(p[of], span=span)})
 
 
-def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
+def rsi(bars: DataFrame, period: int = 14, slice_: str | None = None) -> DataFrame:
+    if slice_:
+        return scan.rsi(bars, period, slice_)
     return K.add(bars, {"rsi": "double"}, lambda p: {"rsi": K.rsi(p, period)})
 
 
@@ -81,7 +88,9 @@ def average_true_range(bars: DataFrame, period: int = 14) -> DataFrame:
     return K.add(bars, {"atr": "double"}, lambda p: {"atr": K.atr(p, period)}).withColumn("atr", F.nanvl("atr", F.lit(None).cast("double"))).withColumn("atr_pct", ratio("atr", "close"))
 
 
-def adx(bars: DataFrame, period: int = 14) -> DataFrame:
+def adx(bars: DataFrame, period: int = 14, slice_: str | None = None) -> DataFrame:
+    if slice_:
+        return scan.adx(bars, period, slice_).drop("atr")
     return K.add(bars, {"adx": "double"}, lambda p: {"adx": K.adx(p, period)})
 
 
@@ -98,11 +107,14 @@ def heikin_ashi(bars: DataFrame) -> DataFrame:
     return K.add(bars, dict.fromkeys(("ha_open", "ha_high", "ha_low", "ha_close"), "double"), K.heikin_ashi)
 
 
-def range_contraction(bars: DataFrame, n: int = 20, q: float = 0.2) -> DataFrame:
+def range_contraction(bars: DataFrame, n: int = 20, q: float = 0.2, slice_: str | None = None) -> DataFrame:
     """Is the mean range within the least `q` of all mean ranges so far (at least n of them, interpolated)? That holds when
     no more than floor(q (m - 1)) of the m are smaller."""
     bars = bars.withColumn("_r", rolling(F.avg, C("high") - C("low"), series(bars), n))
-    bars = K.add(bars, {"_below": "long"}, lambda p: {"_below": K.running_rank(p["_r"].to_numpy(float))})
+    if slice_:
+        bars = scan.ranks_so_far(bars, "_r", "_below", slice_)
+    else:
+        bars = K.add(bars, {"_below": "long"}, lambda p: {"_below": K.running_rank(p["_r"].to_numpy(float))})
     m = F.count("_r").over(upto(series(bars)))
     return bars.withColumn("contraction", F.coalesce((C("_below") <= F.floor(q * (m - 1))) & (m >= n) & C("_r").isNotNull(), F.lit(False))).drop("_r", "_below")
 

@@ -104,20 +104,30 @@ def heikin_ashi(p: pd.DataFrame) -> dict[str, pd.Series]:
 
 
 def running_rank(values: np.ndarray) -> np.ndarray:
-    """How many earlier or equal positions hold a smaller value; missing values don't count. By a sorted list."""
-    import bisect
-
-    seen, out = [], np.zeros(len(values), np.int64)
-    for i, v in enumerate(values.tolist()):
-        if v == v:
-            out[i] = bisect.bisect_left(seen, v)
-            seen.insert(int(bisect.bisect_right(seen, v)), v)
+    """How many earlier positions hold a smaller value; missing values don't count, and have 0. By merging neighbouring runs:
+    each is as long as both before, and its right half learns how many of its left half are smaller."""
+    at = np.flatnonzero(values == values)
+    order = np.argsort(values[at], kind="stable")
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.cumsum(np.append(0, np.diff(values[at][order]) > 0)[: len(at)])
+    below, place, width = np.zeros(len(at), np.int64), np.arange(len(at)), 1
+    while width < len(at):
+        left = place // width % 2 == 0
+        by = np.lexsort((left, rank, place // (2 * width)))  # of equal values, those of the right half come first
+        smaller = np.cumsum(left[by])
+        run = (place // (2 * width))[by]
+        smaller -= np.append(0, smaller)[np.searchsorted(run, run)]  # what runs before hold
+        below[by] += np.where(left[by], 0, smaller)
+        width *= 2
+    out = np.zeros(len(values), np.int64)
+    out[at] = below
     return out
 
 
-def hold(p: pd.DataFrame) -> np.ndarray:
-    """A position lasts from its entry to its exit; a bar that ends one may begin another, long before short."""
-    state, out = 0, []
+def hold(p: pd.DataFrame, state: int = 0) -> np.ndarray:
+    """A position lasts from its entry to its exit; a bar that ends one may begin another, long before short. `state` is what
+    is held before the first bar."""
+    out = []
     for el, es, xl, xs in zip(p["_el"], p["_es"], p["_xl"], p["_xs"], strict=True):
         if (xl, xs)[state < 0] if state else True:
             state = 1 if el else -1 if es else 0

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keys, last_rows, rolling, series, true
-from . import candles, frames, indicators as I, kernels as K
+from . import candles, frames, indicators as I, kernels as K, scan
 
 C = F.col
 
@@ -234,8 +234,9 @@ def buy_and_hold(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"signal": F.lit(1), "stop_price": F.lit(None).cast("double"), "target_price": F.lit(None).cast("double")})
 
 
-def signals(bars: DataFrame, name: str, exit_mode: str | None = None, **params) -> DataFrame:
-    """The bars with signal (-1, 0 or 1), stop_price and target_price (null: none)."""
+def signals(bars: DataFrame, name: str, exit_mode: str | None = None, slice_: str | None = None, **params) -> DataFrame:
+    """The bars with signal (-1, 0 or 1), stop_price and target_price (null: none). With `slice_`, positions that are held from
+    an entry to an exit come from slices of a series, each a task's."""
     if name == BENCHMARK:
         return buy_and_hold(bars)
     if name == "chart_pattern_breakout":
@@ -255,7 +256,11 @@ def signals(bars: DataFrame, name: str, exit_mode: str | None = None, **params)
     if way.kind in ("hold", "cross"):
         if way.kind == "cross":
             made = made.withColumns({"_el": true(C("_cross_up")), "_es": true(C("_cross_down"))})
-        made = K.add(made.withColumns({"_xl": true(way.long), "_xs": true(way.short)}), {"signal": "int"}, lambda d: {"signal": K.hold(d)}, *split)
+        made = made.withColumns({"_xl": true(way.long), "_xs": true(way.short)})
+        if slice_ and not split:
+            made = scan.positions(made, slice_)
+        else:
+            made = K.add(made, {"signal": "int"}, lambda d: {"signal": K.hold(d)}, *split)
     elif way.kind == "fixed":
         bars_held = p["fixed_hold_bars"]
         made = K.add(made, {"signal": "int"}, lambda d: {"signal": K.fixed_hold(d, bars_held)})

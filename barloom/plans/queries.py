@@ -176,8 +176,10 @@ simple("chaikin_money_flow", I.chaikin_money_flow, ["cmf"], f"""+ f as (select *
 simple("volume_surge", I.volume_surge, ["volume_surge"], f"select symbol, ts, coalesce(volume > 2 * ({full('avg(volume) {w}', 20, 'volume')}), false) as volume_surge from bars")
 simple("awesome_oscillator", I.awesome_oscillator, ["ao"], f"""+ m as (select *, (high + low) / 2 as m from bars) select symbol, ts, round(({full('avg(m) {w}', 5, 'm')}) - ({full('avg(m) {w}', 34, 'm')}), 6) as ao from m""")
 simple("true_range", I.true_range, ["true_range"], f"""+ p as (select *, lag(close) over ({W}) as p from bars) select symbol, ts, round(greatest(high - low, abs(high - p), abs(low - p)), 6) as true_range from p""")
-simple("range_contraction", I.range_contraction, ["contraction"], f"""+ r as (select *, {full('avg(high - low) {w}', 20)} as r from bars),
- q as (select *, quantile_cont(r, 0.2) over ({W} rows unbounded preceding) as q, count(r) over ({W} rows unbounded preceding) as m from r) select symbol, ts, coalesce(r <= q and m >= 20, false) as contraction from q""")
+CONTRACTION = f"""+ r as (select *, {full('avg(high - low) {w}', 20)} as r from bars),
+ q as (select *, quantile_cont(r, 0.2) over ({W} rows unbounded preceding) as q, count(r) over ({W} rows unbounded preceding) as m from r) select symbol, ts, coalesce(r <= q and m >= 20, false) as contraction from q"""
+simple("range_contraction", I.range_contraction, ["contraction"], CONTRACTION)
+simple("range_contraction_sliced", lambda b: I.range_contraction(b, slice_="week"), ["contraction"], CONTRACTION)
 
 
 def recursive(first: str, step: str, columns: str, out: str, more: str = "") -> str:
@@ -190,13 +192,16 @@ def ewm_sql(alpha: float, name: str) -> str:
 
 
 simple("ema", lambda b: I.ema(b, 20), ["ema"], ewm_sql(2 / 21, "ema"))
+simple("ema_sliced", lambda b: I.ema(b, 20, slice_="week"), ["ema"], ewm_sql(2 / 21, "ema"))
 simple("macd", I.macd, ["macd_line", "macd_signal", "macd_histogram"], recursive(
     "close as f, close as s, cast(0 as double) as g", "r.f * 11 / 13 + n.close * 2 / 13, r.s * 25 / 27 + n.close * 2 / 27, r.g * 0.8 + ((r.f * 11 / 13 + n.close * 2 / 13) - (r.s * 25 / 27 + n.close * 2 / 27)) * 0.2", "",
     "round(f - s, 6) as macd_line, round(g, 6) as macd_signal, round(f - s - g, 6) as macd_histogram"))
 CHANGES = f", c as (select *, coalesce(close - lag(close) over ({W}), 0) as d from n)"
-simple("rsi", I.rsi, ["rsi"], f"""+ {NUMBERED}{CHANGES}, r as (select symbol, ts, rn, cast(null as double) as g, cast(null as double) as l from c where rn = 1
+STRENGTH_OF_MOVES = f"""+ {NUMBERED}{CHANGES}, r as (select symbol, ts, rn, cast(null as double) as g, cast(null as double) as l from c where rn = 1
  union all select c.symbol, c.ts, c.rn, coalesce(r.g * 13 / 14 + greatest(c.d, 0) / 14, greatest(c.d, 0)), coalesce(r.l * 13 / 14 + greatest(-c.d, 0) / 14, greatest(-c.d, 0)) from r join c on c.symbol = r.symbol and c.rn = r.rn + 1)
- select symbol, ts, round(case when rn > 14 and l <> 0 then 100 - 100 / (1 + g / l) else 50 end, 6) as rsi from r""")
+ select symbol, ts, round(case when rn > 14 and l <> 0 then 100 - 100 / (1 + g / l) else 50 end, 6) as rsi from r"""
+simple("rsi", I.rsi, ["rsi"], STRENGTH_OF_MOVES)
+simple("rsi_sliced", lambda b: I.rsi(b, slice_="week"), ["rsi"], STRENGTH_OF_MOVES)
 RANGES = f", c as (select *, greatest(high - low, abs(high - lag(close) over ({W})), abs(low - lag(close) over ({W}))) as t from n)"
 simple("average_true_range", I.average_true_range, ["atr", "atr_pct"], f"""+ {NUMBERED}{RANGES}, r as (select symbol, ts, rn, close, t as a from c where rn = 1
  union all select c.symbol, c.ts, c.rn, c.close, r.a * 13 / 14 + c.t / 14 from r join c on c.symbol = r.symbol and c.rn = r.rn + 1)
@@ -205,6 +210,7 @@ simple("heikin_ashi", I.heikin_ashi, ["ha_open", "ha_high", "ha_low", "ha_close"
     "open as o, (open + high + low + close) / 4 as c, high as h, low as l", "(r.o + r.c) / 2, (n.open + n.high + n.low + n.close) / 4, n.high, n.low", "",
     "round(o, 6) as ha_open, round(greatest(o, c, h), 6) as ha_high, round(least(o, c, l), 6) as ha_low, round(c, 6) as ha_close"))
 simple("adx", I.adx, ["adx"], f"+ {X.STRENGTH} select symbol, ts, round(adx, 6) as adx from st")
+simple("adx_sliced", lambda b: I.adx(b, slice_="week"), ["adx"], f"+ {X.STRENGTH} select symbol, ts, round(adx, 6) as adx from st")
 simple("parabolic_sar", I.parabolic_sar, ["sar"], f"+ {X.NUMBERED}, {X.SAR} select symbol, ts, round(sar, 6) as sar from sr")
 _OVER = X.recurrence("oc", "c", "cast(0 as double) as g, cast(0 as double) as l", "r.g * 13 / 14 + greatest(n.ch, 0) / 14, r.l * 13 / 14 + greatest(-n.ch, 0) / 14")
 simple("chart_overlays", I.overlays, ["rsi_chart", "vwap_chart", "stoch_k", "stoch_d_chart", "bb_mid", "bb_upper", "bb_lower"], f"""+ {X.NUMBERED}, {X.MOVES}, {_OVER}, {VWAP}, o0 as (select *, {full('min(low) {w}', 14)} as lo, {full('max(high) {w}', 14)} as hi, {full('avg(close) {w}', 20)} as m, {full('stddev_pop(close) {w}', 20)} as sd from v),
@@ -287,6 +293,7 @@ for _name, _s in strategies.REGISTRY.items():
         else:
             query(f"sig_{_name}_{_mode}", signal_sql(_name, _mode, ", round(stop_price, 6) as stop_price, round(target_price, 6) as target_price"))(_signal)
 query("sig_buy_and_hold", "select symbol, ts, 1 as signal from bars")(lambda spark, sf_dir: strategies.buy_and_hold(S.hourly(spark, sf_dir)).select("symbol", "ts", "signal"))
+query("sig_bollinger_sliced", signal_sql("bollinger_reversion", "midline", ""))(lambda spark, sf_dir: strategies.signals(S.hourly(spark, sf_dir), "bollinger_reversion", "midline", "week").select("symbol", "ts", "signal"))
 for _mode in ("level_reversal", "vertex_stop", "measured_move"):
     query("sig_chart_pattern_breakout" + ("" if _mode == "level_reversal" else f"_{_mode}"), f"+ {Y.patterns()}, {Y.signals(_mode)} select symbol, ts, signal, stop_price, target_price from sg")(lambda spark, sf_dir, mode=_mode: chart.breakout_signals(S.hourly(spark, sf_dir), mode).select("symbol", "ts", "signal", "stop_price", "target_price"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tables import discard, materialize, shared_dir  # noqa: F401
 
@@ -29,6 +30,19 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash over all columns of a row. Maps, which Spark won't hash, count by their entries in order of keys, and columns with
+    maps inside by their JSON."""
+
+    def plain(field: T.StructField) -> Column:
+        inside = field.dataType.valueType if isinstance(field.dataType, T.MapType) else field.dataType
+        if "map<" in inside.simpleString() or "variant" in inside.simpleString():
+            return F.to_json(F.struct(F.col(f"`{field.name}`")))
+        return F.array_sort(F.map_entries(f"`{field.name}`")) if inside is not field.dataType else F.col(f"`{field.name}`")
+
+    return F.xxhash64(*map(plain, df.schema.fields))
+
+
 def remainder(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id written in decimal, modulo `modulus`; null ids count as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import documents, remainder
 
-#: The fitting sample: so many labelled documents of a language, whole, drawn among those of up to so many characters; only
-#: where a language has fewer such are longer ones drawn too, cut to that.
-DOCS_PER_LANG, LONGEST = 16, 2_000
+#: The fitting sample: so many labelled documents of a language, whole, drawn among those of up to so many characters; where a
+#: language has fewer such, its shortest others, of up to so many.
+DOCS_PER_LANG, LONGEST, MOST = 16, 2_000, 1 << 20
 DENSE = 64  # symbols with a column of the table
 BLOCK, LANES = 2048, 2048
 SPACE, OTHER = 0, 1
@@ -185,18 +185,19 @@ class Model:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """From up to DOCS_PER_LANG documents of each language, those of the least hashed ids among the short. Null languages
-    and texts are left out; rows that share an id are told apart by text. Only ids, hashes and languages are sorted; the
-    texts of the chosen rows come by a join with a list of that bound."""
+    """From up to DOCS_PER_LANG documents of each language, those of the least hashed ids among the short, and after them the
+    shortest of the long; documents of over MOST characters teach nothing. Texts are taken whole. Null languages and texts are
+    left out; rows that share an id are told apart by text, and equal rows are one. Only ids, hashes and languages are
+    sorted; the texts of the chosen rows come by a join with a list of that bound."""
     named = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = named.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    long, draw = (F.length("text") > LONGEST).alias("long"), F.xxhash64("id", F.lit(6)).alias("draw")
-    order = Window.partitionBy("lang").orderBy("long", "draw", "id", "h")
-    chosen = rows.select("lang", "id", "h", long, draw).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).drop("long")
-    chosen = chosen.groupBy("lang", "id", "h").agg(F.min("k").alias("k"))  # equal rows are one
+    rows = rows.where(F.length("text") <= MOST)
+    size, draw = F.min(F.greatest(F.length("text"), F.lit(LONGEST))).alias("size"), F.xxhash64("id", F.lit(6))
+    order = Window.partitionBy("lang").orderBy("size", draw, "id", "h")
+    chosen = rows.groupBy("lang", "id", "h").agg(size).withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_PER_LANG).select("lang", "id", "h", "k")
     c = F.broadcast(chosen.withColumnsRenamed({"lang": "_lang", "id": "_id", "h": "_h"}))
     got = rows.join(c, (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    got = got.groupBy("lang", "k").agg(F.min(F.substring("text", 1, LONGEST)).alias("text")).collect()
+    got = got.groupBy("lang", "k").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r.lang, r.k)):
         samples.setdefault(r.lang, []).append(r.text)

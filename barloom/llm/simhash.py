@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, lower_words_of, materialize, mix64, spread
+from .common import documents, lower_words_of, materialize, mix64, row_hash, spread
 from .components import components
 
 LIMIT, SHINGLE, SEED = 3, 3, 42
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, shingle: int = SHINGLE) -> DataFrame:
     """One row of `docs` of each group that links reach, with all its columns: that of the least id, null last, then of the
     least hash over all columns. Rows that are equal in everything are one row."""
-    columns, row = docs.columns, F.xxhash64(*docs.columns)
+    columns, row = docs.columns, row_hash(docs)
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, row))
     named = fps.join(linked(fps, limit).select("fp", "root"), "fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")

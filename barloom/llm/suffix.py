@@ -18,15 +18,16 @@ suffixes always share a distance to the cover and are compared by the bytes befo
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import Parted, answers_to
 from .common import bucketed, documents, materialize, mix64, pack, spread, unpack, unpack_sorted
@@ -43,32 +44,40 @@ ASK_COLUMNS = [c.split()[0] for c in ASK.split(", ")]
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Blocks of `docs` (doc_id, raw, carried)."""
+    """Blocks of `docs` (doc_id, raw and columns that a block carries along as they are, as an Arrow stream)."""
+    rest = docs.columns[2:]
 
-    def made(number: int, ids: list, raws: list[bytes], carried: list[str]) -> pd.DataFrame:
+    def made(number: int, ids: list, raws: list[bytes], carried: list[pa.RecordBatch]) -> pa.RecordBatch:
         null = np.array([pd.isna(i) for i in ids])
         numbers = np.array([LAST if n else int(i) for i, n in zip(ids, null, strict=True)], np.int64)
         data = zstandard.ZstdCompressor(level=3).compress(b"".join(raws))
-        return pd.DataFrame([{
+        stream = pa.BufferOutputStream()
+        if rest:
+            with pa.ipc.new_stream(stream, carried[0].schema) as out:
+                for some in carried:
+                    out.write_batch(some)
+        values = {
             "block": number, "doc_ids": pack(numbers), "lengths": pack(np.array([len(r) for r in raws], np.uint64)), "nulls": null.tobytes(), "data": data,
-            "carried": zstandard.ZstdCompressor().compress(json.dumps(carried).encode()),
-        }])
+            "carried": zstandard.ZstdCompressor().compress(stream.getvalue().to_pybytes()),
+        }
+        return pa.RecordBatch.from_pylist([values], pa.schema([(f.split()[0], pa.int64() if f.split()[1] == "long" else pa.binary()) for f in BLOCK.split(", ")]))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, k, ids, raws, carried, held = TaskContext.get().partitionId() << 24, 0, [], [], [], 0
-        for pdf in batches:
-            for i, raw, more in zip(pdf["doc_id"].astype(object), pdf["raw"], pdf["carried"], strict=True):
-                ids.append(i)
-                carried.append(more or "")
-                raws.append(b"" if raw is None else bytes(raw))
+        for batch in batches:
+            begin, more = 0, batch.select(rest)
+            for at, (i, raw) in enumerate(zip(batch.column("doc_id"), batch.column("raw"), strict=True), 1):
+                ids.append(i.as_py())
+                raws.append(raw.as_py() or b"")
                 held += len(raws[-1])
                 if held >= BLOCK_BYTES:
-                    yield made(base + k, ids, raws, carried)
-                    k, ids, raws, carried, held = k + 1, [], [], [], 0
+                    yield made(base + k, ids, raws, [*carried, more.slice(begin, at - begin)])
+                    k, ids, raws, carried, held, begin = k + 1, [], [], [], 0, at
+            carried.append(more.slice(begin))
         if ids:
             yield made(base + k, ids, raws, carried)
 
-    return docs.mapInPandas(rows, BLOCK)
+    return docs.mapInArrow(rows, BLOCK)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -174,12 +183,12 @@ class State:
         self.cover, by = Cover(row), dict(list(told.groupby("kind")))
         c = self.cover
         asked, at, _ = grams(c, parts)
-        self.total = asked.answers(by["grams"], "answer", np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
+        self.total = asked.answers(by["grams"], "answer", np.int64)[at] if len(at) else np.zeros(0, np.int64)
         self.some = np.flatnonzero(self.total > 1)
         self.found, self.asked = reaches(c, self.some, parts)
         if "reaches" in by or not len(self.some):
-            a = self.asked.answers(by["reaches"], "answer", np.uint32) if len(self.some) else np.zeros(0, np.uint32)
-            mine, count = (a & 1).astype(bool), (a >> 1).astype(np.int64)
+            a = self.asked.answers(by["reaches"], "answer", np.int64) if len(self.some) else np.zeros(0, np.int64)
+            mine, count = (a & 1).astype(bool), a >> 1
             first = np.zeros(len(self.some), bool)
             first[self.found.first[mine]] = True
             self.again = self.some[~first]  # all strings around these have occurred before
@@ -197,11 +206,11 @@ class State:
 
 
 def sums(pdf: pd.DataFrame) -> pd.DataFrame:
-    """How often each GRAM occurs."""
+    """How often each GRAM occurs. Sums are exact up to 2^53."""
     keys = [unpack_sorted(k) for k in pdf["keys"]]
     every, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate([unpack(c, np.uint32) for c in pdf["counts"]]), len(every))[at]
-    return _answers(pdf, [len(k) for k in keys], np.minimum(total, 0x7FFFFFFF).astype(np.uint32))
+    return _answers(pdf, [len(k) for k in keys], total.astype(np.int64))
 
 
 def firsts(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +223,7 @@ def firsts(pdf: pd.DataFrame) -> pd.DataFrame:
     by = np.lexsort((places, np.repeat(pdf["block"].to_numpy(), size), ids, at))
     first = np.zeros(len(at), bool)
     first[by[np.append(True, at[by][1:] != at[by][:-1])]] = True
-    return _answers(pdf, size, np.minimum(total, 0x7FFFFFFF).astype(np.uint32) << 1 | first)
+    return _answers(pdf, size, total.astype(np.int64) << 1 | first)
 
 
 def buckets(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -270,12 +279,13 @@ def ask_rows(kind: str, parted: Parted, block: int, **columns) -> pd.DataFrame:
     return pd.DataFrame(list(parted.ask(block, **columns)), columns=ASK_COLUMNS).assign(kind=kind)
 
 
-def removed(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_col: str = "text", carried: Column | None = None) -> DataFrame:
-    """Rows that `finish` makes of each block's cover, the mask of bytes to remove, and a carried string for each text."""
+def removed(docs: DataFrame, finish, schema: str | T.StructType, id_col: str = "doc_id", text_col: str = "text", carried: list[Column] | None = None) -> DataFrame:
+    """Rows that `finish` makes of each block's cover and the mask of bytes to remove; with `carried` columns, also of these,
+    as an Arrow table, and the rows are one too."""
     spark = docs.sparkSession
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("raw")
     parts = max(spread(spark), docs.count() // 4000)
-    blocks = bucketed(encode(docs.select(F.col(id_col).cast("long").alias("doc_id"), raw, (F.lit("") if carried is None else carried).alias("carried"))), parts, "block")
+    blocks = bucketed(encode(docs.select(F.col(id_col).cast("long").alias("doc_id"), raw, *(carried or []))), parts, "block")
 
     def ask_grams(batches):
         for pdf in batches:
@@ -316,7 +326,9 @@ def removed(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_c
 
     told = told.unionByName(materialize(grouped(answers_to(blocks, told, ask_buckets, ASK), settle)))
 
-    def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    alone = not carried
+
+    def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame | pa.Table:
         s = State(next(left.itertuples()), right, parts)
         c = s.cover
         edge = np.zeros(len(c.data) + 1, np.int32)
@@ -331,23 +343,28 @@ def removed(docs: DataFrame, finish, schema: str, id_col: str = "doc_id", text_c
         if len(s.hot):
             at, doc = s.strings()
             found = Firsts(c, c.span_hashes(at, at + LENGTH), at, doc)
-            mine = (Parted(found.keys, parts).answers(s.by["strings"], "answer", np.uint32) & 1).astype(bool)
+            mine = (Parted(found.keys, parts).answers(s.by["strings"], "answer", np.int64) & 1).astype(bool)
             first = np.zeros(len(at), bool)
             first[found.first[mine]] = True
             starts.append(at[~first])
         for at in starts:
             np.add.at(edge, at, 1)
             np.add.at(edge, at + LENGTH, -1)
-        return finish(c, np.cumsum(edge, dtype=np.int32)[:-1] > 0, carried_of(left))
+        gone = np.cumsum(edge, dtype=np.int32)[:-1] > 0
+        return finish(c, gone) if alone else finish(c, gone, carried_of(left))
 
-    return answers_to(blocks, told, cut, schema)
+    if alone:
+        return answers_to(blocks, told, cut, schema)
+    arrow = lambda left, right: cut(left.to_pandas(), right.to_pandas())
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(arrow, schema)
 
 
-def carried_of(left: pd.DataFrame) -> list[str]:
-    return json.loads(zstandard.ZstdDecompressor().decompress(bytes(left["carried"].iloc[0])))
+def carried_of(left: pd.DataFrame) -> pa.Table:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(left["carried"].iloc[0]))) as stream:
+        return stream.read_all()
 
 
-def digest(c: Cover, gone: np.ndarray, carried: list[str]) -> pd.DataFrame:
+def digest(c: Cover, gone: np.ndarray) -> pd.DataFrame:
     rows = []
     for i, null, a, b in zip(c.ids.tolist(), c.null, c.start, c.end, strict=True):
         out = gone[a:b]
@@ -368,27 +385,24 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, with their columns, what is left of each text, and n_removed. A character goes only with all of
-    its bytes. Null texts come back empty."""
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    its bytes. Null texts come back empty, texts of any length count whole, and an empty table gives one. Ids and all other
+    columns, of whatever type and name, come back as they were; a column n_removed of `docs` stays instead of the count."""
+    rest = [c for c in docs.columns if c != text_col]
 
-    def finish(c: Cover, gone: np.ndarray, carried: list[str]) -> pd.DataFrame:
+    def finish(c: Cover, gone: np.ndarray, carried: pa.Table) -> pa.Table:
         lead = np.flatnonzero((c.data & 0xC0) != 0x80)
         if len(lead):
             whole = np.minimum.reduceat(gone.astype(np.uint8), lead)
             gone = np.repeat(whole, np.diff(np.append(lead, len(gone)))).astype(bool)
-        rows = [
-            (None if n else i, c.data[a:b][~gone[a:b]].tobytes().decode(), int(gone[a:b].sum()), more)
-            for i, n, a, b, more in zip(c.ids.tolist(), c.null, c.start, c.end, carried, strict=True)
-        ]
-        return pd.DataFrame(rows, columns=["id", "kept", "n_removed", "carried"]).astype({"id": "Int64"})
-
-    schema = docs.select(*rest).schema
-    carried = F.to_json(F.struct(*rest)) if rest else None
-    made = removed(docs, finish, "id long, kept string, n_removed long, carried string", id_col, text_col, carried)
-    if rest:
-        made = made.withColumn("carried", F.from_json("carried", schema))
-    back = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: F.col("kept")} | {c: F.col("carried")[c] for c in rest}
-    return made.select(*(back[c].alias(c) for c in docs.columns), *(["n_removed"] if "n_removed" not in docs.columns else []))
+        kept = [c.data[a:b][~gone[a:b]].tobytes().decode() for a, b in zip(c.start, c.end, strict=True)]
+        counts = [int(gone[a:b].sum()) for a, b in zip(c.start, c.end, strict=True)]
+        return carried.append_column("kept", pa.array(kept, pa.string())).append_column("n_lost", pa.array(counts, pa.int64()))
+
+    named = {c: f"c{k}" for k, c in enumerate(rest)}
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in named.items()), T.StructField("kept", T.StringType()), T.StructField("n_lost", T.LongType())])
+    made = removed(docs, finish, schema, id_col, text_col, [F.col(c).alias(n) for c, n in named.items()])
+    back = [F.col(named.get(c, "kept")).alias(c) for c in docs.columns]
+    return made.select(*back, *([F.col("n_lost").alias("n_removed")] if "n_removed" not in docs.columns else []))
 
 
 def op4(spark, sf_dir):

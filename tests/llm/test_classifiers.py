@@ -64,6 +64,17 @@ def test_language_id_small_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_sample(spark, monkeypatch):
+    """Equal rows are one in the sample, long texts come whole and after the short, and those of over MOST teach nothing."""
+    monkeypatch.setattr(langid, "MOST", 9000)
+    seen = {}
+    monkeypatch.setattr(langid, "Model", seen.update)
+    rows = [(1, "same words again", "en")] * 30 + [(k, f"other {k}", "en") for k in range(2, 12)] + [(1, "x" * 5000, "fr"), (2, "y" * 3000, "fr"), (3, "z" * 9001, "fr")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(seen["en"]) == sorted({r[1] for r in rows if r[2] == "en"})
+    assert seen["fr"] == ["y" * 3000, "x" * 5000]
+
+
 def test_toxicity_held_out(spark):
     made = {r.doc_id: r for r in toxicity.op9(spark, "/root/testdata/sf0.1").collect()}
     labels = [r for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r.doc_id in made and made[r.doc_id].held_out]

@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from barloom.llm import suffix
+from barloom.llm.common import pack, pack_sorted, unpack
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +79,13 @@ def test_small_cases(spark):
     assert made == sorted([(False, 1, len(text), first), (False, 1, len(text), len(text)), (False, 2, 0, 0)])
     assert sorted(r.n_removed for r in suffix.dedup_digest(df).collect() if r.doc_id is None) == [0, len(text)]
     assert suffix.dedup_digest(df.limit(0)).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    """Counts of one key by many blocks are added whole, and the first block still is."""
+    keys, many = pack_sorted(np.array([7, 9], np.uint64)), pack(np.array([0xFFFFFFFF, 1], np.uint32))
+    rows = [{"kind": "g", "part": 0, "block": b, "keys": keys, "counts": many, "ids": pack(np.array([b, b])), "places": pack(np.zeros(2, np.uint64))} for b in range(5)]
+    asked = pd.DataFrame(rows)
+    assert [unpack(a, np.int64).tolist() for a in suffix.sums(asked)["answer"]] == [[5 * 0xFFFFFFFF, 5]] * 5
+    told = [unpack(a, np.int64) for a in suffix.firsts(asked)["answer"]]
+    assert [(a >> 1).tolist() for a in told] == [[5 * 0xFFFFFFFF, 5]] * 5 and [(a & 1).tolist() for a in told] == [[1, 1]] + [[0, 0]] * 4

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import mix, pack, quality, simhash, suffix
-from barloom.llm.common import materialize
+from barloom.llm.common import materialize, row_hash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: none, or up to three times. Equal rows are taken together."""
-    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("key"), F.xxhash64(*docs.columns).alias("hash"), "text", "source")
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").alias("key"), row_hash(docs).alias("hash"), "text", "source")
     taken = mix.mix(rows, id_col="key", row_col="hash").where("copies > 0").groupBy("doc_id", "row").agg(F.sum("copies").cast("int").alias("copies"))
     taken = materialize(taken.withColumnRenamed("doc_id", "id"))
     one = rows.dropDuplicates(["key", "hash"]).join(taken, F.col("key").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row")))

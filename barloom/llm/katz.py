@@ -5,9 +5,10 @@ what the whole corpus says of its distinct n-grams, order by order, and then of
 answer in the order asked: counts meet in as many tasks as there are parts and orders, whatever word is frequent, since every
 block has summed its own before. A part also says which n-grams only one block has. Whatever contains such an n-gram is in
 that block alone too, so the block knows all about it and asks no more: most trigrams of a corpus are never sent, and most
-contexts neither. What parts and blocks know is stored as two tables, whose rows score any text: n-grams with their counts,
-and contexts with what their backoff weights are made of. A row of either holds keys of one order and part; those that a
-block alone knows have its number in `block`, the others -1.
+contexts neither. Scoring stores the blocks and the answers only. What parts and blocks know makes two tables, computed from
+those when they are read, whose rows score any text: n-grams with their counts, and contexts with what their backoff weights
+are made of. A row of either holds keys of one order and part; those that a block alone knows have its number in `block`, the
+others -1.
 
 For an n-gram of context h and last word w, P(w | h) is d(c) c(h w) / c(h) where training has it, else alpha(h) P(w | h'),
 where h' is h without its first word; a context that training lacks has alpha 1. P(w) is d(c) c(w) / N for words seen in
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers_to
-from .common import bucketed, discard, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
+from .common import bucketed, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
 
 ORDER = 3
 TOKENS_PER_BLOCK = 2_000_000
@@ -154,16 +155,24 @@ class Grams:
         return ~(self.alone[n - 1][self.context[n]] | self.alone[n - 1][self.lower[n]])
 
     def ask_counts(self, orders: list[int]) -> pd.DataFrame:
-        """Questions, and rows of the model for trained n-grams that needn't be asked."""
+        """Questions, each with the tally() of its part's trained n-grams that needn't be asked."""
         out = []
         for n in orders:
             counts, ask = self.counts(n), self.to_ask(n)
             for p, a, b in self.runs[n]:
                 at, own = a + np.flatnonzero(ask[a:b]), a + np.flatnonzero(~ask[a:b] & (counts[a:b] > 0))
-                if len(at):
-                    out.append(("ask", n, p, self.block, pack_sorted(self.keys[n][at]), pack_counts(counts[at]), b"", b"", []))
-                if len(own):
-                    out.append(("model", n, p, self.block, pack_sorted(self.keys[n][own]), pack_counts(counts[own]), b"", b"", tally(counts[own])))
+                if len(at) or len(own):
+                    out.append(("ask", n, p, self.block, pack_sorted(self.keys[n][at]), pack_counts(counts[at]), b"", b"", tally(counts[own])))
+        return pd.DataFrame(out, columns=FIELDS)
+
+    def own_counts(self, n: int) -> pd.DataFrame:
+        """Rows of the model for trained n-grams that needn't be asked."""
+        out = []
+        counts, ask = self.counts(n), self.to_ask(n)
+        for p, a, b in self.runs[n]:
+            own = a + np.flatnonzero(~ask[a:b] & (counts[a:b] > 0))
+            if len(own):
+                out.append(("model", n, p, self.block, pack_sorted(self.keys[n][own]), pack_counts(counts[own]), b"", b"", tally(counts[own])))
         return pd.DataFrame(out, columns=FIELDS)
 
     def hear_counts(self, told: pd.DataFrame, orders: list[int]) -> None:
@@ -205,13 +214,19 @@ class Grams:
         of, size = self.context[n][mine], len(self.keys[n - 1])
         return np.concatenate([classes(of, self.seen[n][mine], size), classes(of, self.seen[n - 1][self.lower[n][mine]], size)])
 
-    def ask_contexts(self, discounts: dict[int, Discounts]) -> pd.DataFrame:
-        """Questions, and rows of the model for contexts that no other block has."""
+    def ask_contexts(self) -> pd.DataFrame:
         out = []
         for n in range(2, self.order + 1):
             facts, count, wants = self.facts(n), self.seen[n - 1], self.wants(n).astype(np.uint8)
             for p, at in self.contexts(n, alone=False):
                 out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(count[at]), pack_counts(facts[:, at].reshape(-1)), pack(wants[at]), []))
+        return pd.DataFrame(out, columns=FIELDS)
+
+    def own_contexts(self, discounts: dict[int, Discounts]) -> pd.DataFrame:
+        """Rows of the model for contexts that no other block has."""
+        out = []
+        for n in range(2, self.order + 1):
+            facts, count = self.facts(n), self.seen[n - 1]
             for p, every in self.contexts(n, alone=True):
                 for block, at in ((-1, every[self.asked[n - 1][every]]), (self.block, every[~self.asked[n - 1][every]])):
                     if len(at):
@@ -278,9 +293,9 @@ def tally(counts: np.ndarray) -> list[int]:
     return [*of[1 : CUT + 2].tolist(), int(counts.sum()), len(counts), int(counts[counts > CUT].sum())]
 
 
-def merge_counts(pdf: pd.DataFrame, order: int) -> pd.DataFrame:
-    """Sum what blocks count of a part's n-grams: a `model` row, and an answer to each block, with ids where they can be
-    contexts. Sums are exact up to 2^53."""
+def merge_counts(pdf: pd.DataFrame, order: int, model: bool = False) -> pd.DataFrame:
+    """Sum what blocks count of a part's n-grams: an answer to each block, with ids where they can be contexts, and the part's
+    `tally`, with what blocks have not asked; or the row of the model. Sums are exact up to 2^53."""
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys, flat = [unpack_sorted(k) for k in pdf["keys"]], np.concatenate([unpack_counts(c) for c in pdf["counts"]])
@@ -292,18 +307,21 @@ def merge_counts(pdf: pd.DataFrame, order: int) -> pd.DataFrame:
     first[at[has][::-1]] = has[::-1]
     more = (first[at] == np.arange(len(flat))).astype(np.uint8) | (np.bincount(at)[at] == 1).astype(np.uint8) << 1
     ids, told = (np.cumsum(trained) - trained).astype(np.uint64)[at], total[at]
-    counted = total[trained & (every != BEGIN)] if n == 1 else total[trained]
-    out = [("model", n, part, -1, pack_sorted(every[trained]), pack_counts(total[trained]), b"", b"", tally(counted))]
+    counted = tally(total[trained & (every != BEGIN)] if n == 1 else total[trained])
+    if model:
+        return pd.DataFrame([("model", n, part, -1, pack_sorted(every[trained]), pack_counts(total[trained]), b"", b"", counted)], columns=FIELDS)
+    out = [("tally", n, part, -1, b"", b"", b"", b"", np.sum([counted, *pdf["stats"]], 0).tolist())]
     ends = np.cumsum([len(k) for k in keys])
     for block, k, b in zip(pdf["block"], keys, ends, strict=True):
         a = b - len(k)
-        out.append(("told", n, part, block, b"", pack_counts(told[a:b]), pack(more[a:b]), pack_sorted(ids[a:b]) if n < order else b"", []))
+        if len(k):
+            out.append(("told", n, part, block, b"", pack_counts(told[a:b]), pack(more[a:b]), pack_sorted(ids[a:b]) if n < order else b"", []))
     return pd.DataFrame(out, columns=FIELDS)
 
 
-def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts]) -> pd.DataFrame:
+def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts], model: bool = False) -> pd.DataFrame:
     """Sum the facts that blocks have of a part's contexts: an answer to each block, with those that it wants and all contexts
-    that have one more in the denominator; and a row of the model with what known() makes of them, whose `ids` are places
+    that have one more in the denominator; or the row of the model with what known() makes of them, whose `ids` are places
     among the n-grams of the same order, part and block."""
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
@@ -314,7 +332,9 @@ def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts]) -> pd.Dat
     count = np.zeros(len(every))
     count[at] = np.concatenate([unpack_counts(c) for c in pdf["counts"]])
     left, below = known(n + 1, facts, count, discounts)
-    out = [("model", n, part, -1, b"", b"", pack_known(left, below), pack_sorted(every), [])]
+    if model:
+        return pd.DataFrame([("model", n, part, -1, b"", b"", pack_known(left, below), pack_sorted(every), [])], columns=FIELDS)
+    out = []
     ends = np.cumsum([len(k) for k in keys])
     for block, k, b, wants in zip(pdf["block"], keys, ends, pdf["ids"], strict=True):
         here = at[b - len(k) : b]
@@ -364,7 +384,8 @@ def answers(table: DataFrame, kind: str) -> DataFrame:
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", order: int = ORDER) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`; the model's tables.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`; the model's tables, which are
+    computed whenever they are read: write them to keep the model.
 
     Rows whose `held_col` is true (or null) take no part in training. Null and empty texts are their end alone. Repeated
     rows count each time. Other columns of `docs`, whatever their names, are left. Scores are log10 probabilities of words and
@@ -382,36 +403,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             for row in pdf.itertuples():
                 yield Grams(row, 2, parts).ask_counts([1, 2])
 
-    def ask_order(n: int):
-        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def hearing(n: int, told_orders: int, run):
+        """run(grams) of a block's n-grams up to order n, which have heard of those up to order `told_orders`."""
+
+        def rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             grams = Grams(next(left.itertuples()), n, parts)
-            grams.hear_counts(right, list(range(1, n)))
-            return grams.ask_counts([n])
+            grams.hear_counts(right, list(range(1, told_orders + 1)))
+            return run(grams)
 
-        return run
+        return rows
 
     def merged(asked: DataFrame, merge) -> DataFrame:
-        return materialize(asked.groupBy("n", "part").applyInPandas(merge, ROW), "kind")
+        return asked.groupBy("n", "part").applyInPandas(merge, ROW)
 
-    merge = lambda pdf: merge_counts(pdf, order)
-    counts = merged(blocks.mapInPandas(first_counts, ROW), merge)
+    merge, merge_model = lambda pdf: merge_counts(pdf, order), lambda pdf: merge_counts(pdf, order, model=True)
+    asked = blocks.mapInPandas(first_counts, ROW)
+    counts, ngrams = materialize(merged(asked, merge), "kind"), merged(asked, merge_model)
     for n in range(3, order + 1):
-        asked = materialize(answers_to(blocks, answers(counts, "told"), ask_order(n), ROW), "kind")
-        counts = counts.unionByName(merged(asked.where("kind = 'ask'"), merge)).unionByName(asked.where("kind = 'model'"))
-        discard(asked, "kind=ask")
-    sums = counts.where("kind = 'model'").groupBy("n").agg(F.array(*(F.sum(F.get("stats", F.lit(i))) for i in range(CUT + 4))).alias("stats"))
+        told = answers(counts, "told")
+        asked = answers_to(blocks, told, hearing(n, n - 1, lambda g: g.ask_counts([g.order])), ROW)
+        own = answers_to(blocks, told, hearing(n, n - 1, lambda g: g.own_counts(g.order)), ROW)
+        counts = counts.unionByName(materialize(merged(asked, merge), "kind"))
+        ngrams = ngrams.unionByName(merged(asked, merge_model)).unionByName(own)
+    sums = counts.where("kind = 'tally'").groupBy("n").agg(F.array(*(F.sum(F.get("stats", F.lit(i))) for i in range(CUT + 4))).alias("stats"))
     stats = {r.n: r.stats for r in sums.collect()}  # a row for each order
     discounts = {n: Discounts(stats.get(n, [0] * (CUT + 4))) for n in range(1, order + 1)}
-    one = discounts[1]
-
-    def ask_contexts(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(next(left.itertuples()), order, parts)
-        grams.hear_counts(right, list(range(1, order + 1)))
-        return grams.ask_contexts(discounts)
+    one, told = discounts[1], answers(counts, "told")
 
-    asked = materialize(answers_to(blocks, answers(counts, "told"), ask_contexts, ROW), "kind")
-    weights = merged(asked.where("kind = 'ask'"), lambda pdf: merge_contexts(pdf, discounts)).unionByName(asked.where("kind = 'model'"))
-    discard(asked, "kind=ask")
+    asked = answers_to(blocks, told, hearing(order, order, lambda g: g.ask_contexts()), ROW)
+    own = answers_to(blocks, told, hearing(order, order, lambda g: g.own_contexts(discounts)), ROW)
+    weights = materialize(merged(asked, lambda pdf: merge_contexts(pdf, discounts)))
+    contexts = merged(asked, lambda pdf: merge_contexts(pdf, discounts, model=True)).unionByName(own)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = next(left.itertuples())
@@ -432,9 +454,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             "n_known": total(known.astype(np.int64)), "train_tokens": one.total, "base_score": total(base), "score": total(log),
         })
 
-    heard = answers(counts, "told").withColumn("ids", F.lit(b"")).unionByName(answers(weights, "weights"))
-    out = answers_to(blocks, heard, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return out, {"ngrams": counts.where("kind = 'model'"), "weights": weights.where("kind = 'model'")}
+    every = told.withColumn("ids", F.lit(b"")).unionByName(weights.drop("keys", "stats"))
+    out = answers_to(blocks, every, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return out, {"ngrams": ngrams, "weights": contexts}
 
 
 def op1(spark, sf_dir):

@@ -1,10 +1,12 @@
 import math
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from barloom.functions import tables as stored
 from barloom.llm import katz
 from barloom.llm.common import unpack, unpack_sorted
 
@@ -127,6 +129,31 @@ def test_katz_stored_tables_score_a_text(spark):
         assert sum(math.log10(p(seq[max(0, i - 2) : i], seq[i])) for i in range(1, len(seq))) == pytest.approx(r.score)
 
 
+def test_scoring_stores_no_model_and_tables_are_whole(spark, monkeypatch, tmp_path):
+    """Scoring stores blocks and answers alone; the tables, read after it, hold each trained n-gram and context once."""
+    monkeypatch.setattr(katz, "TOKENS_PER_BLOCK", 20_000)
+    monkeypatch.setattr(stored, "shared_dir", lambda _: f"{tmp_path}/barloom-{uuid.uuid4().hex}")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "doc_id % 7 = 2 as held_out")
+    made, tables = katz.score(docs)
+    assert made.count() == docs.count()
+    assert list(tmp_path.glob("*/kind=told")) and not list(tmp_path.glob("*/kind=model")) and not list(tmp_path.glob("*/kind=ask"))
+    grams = {n: Counter() for n in (1, 2, 3)}
+    for r in docs.where("not held_out").collect():
+        seq = ("<s>", *(r.text or "").encode().lower().split(), "</s>")
+        for n in grams:
+            grams[n].update(seq[i - n : i] for i in range(n, len(seq) + 1))
+    keys, counts, contexts = {n: [] for n in grams}, Counter(), Counter()
+    for r in tables["ngrams"].collect():
+        keys[r.n] += unpack_sorted(bytes(r.keys)).tolist()
+        counts[r.n] += int(katz.unpack_counts(bytes(r.counts)).sum())
+    for r in tables["weights"].collect():
+        contexts[r.n] += len(unpack_sorted(bytes(r.ids)))
+        assert len(unpack(bytes(r.more), "V16")) == len(unpack_sorted(bytes(r.ids)))
+    for n, held in grams.items():
+        assert len(set(keys[n])) == len(keys[n]) == len(held) and counts[n] == sum(held.values())
+    assert contexts == {n: sum(g[-1] != "</s>" for g in grams[n]) for n in (1, 2)}
+
+
 def test_counts_keep_their_width():
     for top in (0, 255, 256, 2**32 - 1, 2**32, 2**40):
         assert katz.unpack_counts(katz.pack_counts(np.array([top, 1, 0]))).tolist() == [top, 1, 0]

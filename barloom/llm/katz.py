@@ -123,7 +123,7 @@ class Grams:
         self.block, self.order = row.block, order
         self.sizes = unpack(row.lengths, np.uint32).astype(np.int64)
         self.train, self.null = np.frombuffer(row.train, np.uint8).reshape(2, -1).astype(bool)
-        self.place = np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.place = (np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)).astype(np.int32)
         vocab = unpack(row.vocab, np.uint64)
         sort = np.argsort(vocab)
         rank = np.empty(len(vocab), np.int32)
@@ -181,7 +181,7 @@ class Grams:
         by = {(r.n, r.part): r for r in told[told["kind"] == "told"].itertuples()}
         for n in orders:
             ask, seen = self.to_ask(n), self.counts(n)
-            first, alone, ids = seen > 0, ~ask, np.zeros(len(ask), np.uint64)
+            first, alone, ids = seen > 0, ~ask, np.zeros(len(ask), np.uint32)
             for p, a, b in self.runs[n]:
                 own = ~ask[a:b] & first[a:b]
                 ids[a:b] = np.cumsum(own) - own
@@ -212,7 +212,10 @@ class Grams:
         n-grams below them."""
         mine = np.flatnonzero(self.first[n])
         of, size = self.context[n][mine], len(self.keys[n - 1])
-        return np.concatenate([classes(of, self.seen[n][mine], size), classes(of, self.seen[n - 1][self.lower[n][mine]], size)])
+        out = np.empty((2, CUT + 1, size), np.int32 if self.seen[n][mine].sum() + self.seen[n - 1][self.lower[n][mine]].sum() < 1 << 31 else np.int64)
+        classes(of, self.seen[n][mine], out[0])
+        classes(of, self.seen[n - 1][self.lower[n][mine]], out[1])
+        return out.reshape(-1, size)
 
     def ask_contexts(self) -> pd.DataFrame:
         out = []
@@ -240,33 +243,33 @@ class Grams:
         for n in range(2, self.order + 1):
             alpha, over[n] = np.ones(len(self.keys[n - 1])), np.maximum(self.seen[n - 1], 1).astype(np.float64)
             facts, wants = self.facts(n), self.wants(n)
-            wanted = []
-            for _, at in self.contexts(n, alone=True):
-                wanted.append((at, facts[:, at]))
-                over[n][at] += known(n, facts[:, at], self.seen[n - 1][at], discounts)[0] < 0
-            for part, at in self.contexts(n, alone=False):
-                r = by[n - 1, part]
-                over[n][at] += unpack(r.ids, np.uint8)
-                wanted.append((at[wants[at]], unpack_counts(r.more).reshape(len(facts), -1)))
-            for at, what in wanted:
-                left, under = known(n, what, self.seen[n - 1][at], discounts)
-                if n > 2:
-                    under = under / over[n - 1][self.lower[n - 1][at]]
-                alpha[at] = weight(left, under)
+            for alone in (True, False):
+                for part, at in self.contexts(n, alone):
+                    if alone:
+                        what = facts[:, at]
+                    else:
+                        r = by[n - 1, part]
+                        over[n][at] += unpack(r.ids, np.uint8)
+                        at, what = at[wants[at]], unpack_counts(r.more).reshape(len(facts), -1)
+                    left, under = known(n, what, self.seen[n - 1][at], discounts)
+                    if alone:
+                        over[n][at] += left < 0
+                    if n > 2:
+                        under = under / over[n - 1][self.lower[n - 1][at]]
+                    alpha[at] = weight(left, under)
             lower, of = self.lower[n], self.context[n]
             p[n] = np.where(self.seen[n] > 0, discounts[n].of(self.seen[n]) / over[n][of], alpha[of] * p[n - 1][lower])
         return p
 
 
-def classes(of: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+def classes(of: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
     """By context, how many n-grams have each count up to CUT, and the sum of larger counts: whole numbers that add up
     exactly in any order."""
-    out = np.empty((CUT + 1, size), np.int32 if counts.sum() < 1 << 31 else np.int64)
+    size = out.shape[1]
     for r in range(1, CUT + 1):
         out[r - 1] = np.bincount(of[counts == r], minlength=size)
     more = counts > CUT
     out[CUT] = np.bincount(of[more], counts[more], size)
-    return out
 
 
 def known(n: int, facts: np.ndarray, count: np.ndarray, discounts: dict[int, Discounts]) -> tuple[np.ndarray, np.ndarray]:

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,10 +36,48 @@ FEW = 2_000_000  # buckets to split that may be broadcast
 STAGED = PIECE + ", ids binary, terms binary, bucket long, row long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
 MARKS = b".,;:!?"
+TOGETHER = 1 << 23  # characters of texts whose distinct words are encoded once
+
+
+def runs(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`flat` holds runs of these sizes, one after the other: the runs that `at` names, and the sizes of those."""
+    sizes, begin = size[at], (np.cumsum(size) - size)[at]
+    return flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+
+class Words:
+    """What stands between the spaces of some texts: the distinct ones, and the numbers of each text's."""
+
+    def __init__(self, texts: list[str]):
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        self.texts, self.names, self.at = texts, coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy())))
+
+    def terms(self) -> list[np.ndarray]:
+        """Of each text, hashed terms, ascending, and counts of its words without marks around them, as [2, n]."""
+        flat, ends = [], []
+        for name in self.names:
+            for w in name.encode().lower().split():
+                w = w.strip(MARKS)
+                if w:
+                    flat.append(zlib.crc32(w) % TERMS)
+            ends.append(len(flat))
+        term, size = runs(np.array(flat, np.int64), np.diff(ends, prepend=0), self.at)
+        text = np.repeat(np.repeat(np.arange(len(self.texts)), np.diff(self.bounds)), size)
+        key = np.sort(text * TERMS + term)
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        held = np.stack([key[begin] % TERMS, np.diff(begin, append=len(key))]).astype(np.uint32)
+        return np.split(held, np.searchsorted(key[begin], np.arange(1, len(self.texts)) * TERMS), axis=1)
 
 
 class Encoder:
-    """Ids of the public byte-level BPE."""
+    """Ids of the public byte-level BPE.
+
+    The pattern that splits texts before the merges takes a space along with what follows it, and no piece goes on from
+    other characters into a space. So a text whose spaces stand alone between other characters is its first word and each
+    later one with its space before it; of some texts, each distinct word is encoded once. Any other text is encoded whole.
+    """
 
     def __init__(self, vocabulary: str):
         import public_tokenizers
@@ -45,11 +85,32 @@ class Encoder:
 
         with open(public_tokenizers.path(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.whole = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+
+    def ids(self, words: Words) -> Iterator[np.ndarray]:
+        """The ids of each text and its end."""
+        later = np.ones(len(words.at), bool)
+        later[words.bounds[:-1]] = False
+        at, bounds = words.at[later], words.bounds - np.arange(len(words.bounds))
+        used = np.bincount(at, minlength=len(words.names)) > 0
+        odd = np.array([u and (not w or w[0].isspace() or w[-1].isspace()) for u, w in zip(used.tolist(), words.names, strict=True)], bool)
+        once = np.flatnonzero(used & ~odd)
+        made = np.array(self.encode("".join(" " + words.names[k] for k in once)), "<u2")
+        size = np.zeros(len(words.names), np.int64)
+        size[once] = np.diff(np.flatnonzero(self.spaced[made]), append=len(made))  # only a word's first token has a space
+        every, sizes = runs(made, size, at)
+        ends, odd = np.concatenate(([0], np.cumsum(sizes)))[bounds], np.concatenate(([0], np.cumsum(odd[at])))[bounds]
+        for k, text in enumerate(words.texts):
+            first = words.names[words.at[words.bounds[k]]]
+            if odd[k] < odd[k + 1] or (bounds[k] < bounds[k + 1] and (not first or first[-1].isspace())):
+                yield np.array([*self.encode(text), END_ID], "<u2")
+            else:
+                yield np.concatenate([np.array(self.encode(first), "<u2"), every[ends[k] : ends[k + 1]], np.array([END_ID], "<u2")])
 
     def ids_of(self, text: str) -> np.ndarray:
-        """The ids of a text and its end."""
-        return np.array([*self.whole.encode_ordinary(text), END_ID], "<u2")
+        return next(self.ids(Words([text])))
 
 
 @cache
@@ -62,14 +123,7 @@ def checksum(ids: np.ndarray) -> int:
 
 
 def terms_of(text: str) -> np.ndarray:
-    """Hashed terms and counts of the words of a text without marks around them, as [2, n]."""
-    held: dict[int, int] = {}
-    for w, n in Counter(text.encode().lower().split()).items():
-        w = w.strip(MARKS)
-        if w:
-            t = zlib.crc32(w) % TERMS
-            held[t] = held.get(t, 0) + n
-    return np.array([list(held), list(held.values())], np.uint32).reshape(2, -1)
+    return Words([text]).terms()[0]
 
 
 def bucket_of(terms: np.ndarray, buckets: int) -> int:
@@ -83,11 +137,11 @@ def pieces(docs: DataFrame, buckets: int, vocabulary: str) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, made, e = TaskContext.get().partitionId() << 38, 0, encoder(vocabulary)
         for pdf in batches:
-            for a in range(0, len(pdf), 1000):
-                out = []
-                for i, text in zip(pdf["doc_id"].iloc[a : a + 1000], pdf["text"].iloc[a : a + 1000], strict=True):
-                    text = text if isinstance(text, str) else ""
-                    ids, terms = e.ids_of(text), terms_of(text)
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // TOGETHER)) + 1
+            for a, b in pairwise([0, *cuts.tolist(), len(texts)] if texts else []):
+                out, words = [], Words(texts[a:b])
+                for i, ids, terms in zip(pdf["doc_id"].iloc[a:b], e.ids(words), words.terms(), strict=True):
                     tail = len(ids) % WINDOW
                     for start in range(0, len(ids), WINDOW):
                         some = ids[start : start + WINDOW]

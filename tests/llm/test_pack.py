@@ -120,6 +120,32 @@ def test_ids_equal_those_of_the_json_form():
         assert e.ids_of(text or "").tolist() == encode(text or "")
 
 
+def test_words_of_many_texts_are_encoded_once(monkeypatch):
+    """Ids and terms equal those of each text alone, whatever stands beside its spaces; a word that repeats is encoded once."""
+    parts = ["red", "blue.", "'s", "it's", "ü", "中文", "12", "1", "\u00a0x", "\x1cy", "a\nb", "x\u2003", "", "\n", "\t", "\u3000", "#$", "don't\r\nGo", "\x85"]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(parts[: k % len(parts) + 1], k % 13)) for k in range(2000)] + [t or "" for _, t in ROWS] + ["", " ", "  ", "\n ", " a", "a ", "a"]
+    encode, e, words = reference(), pack.encoder(), pack.Words(texts)
+    for text, ids, terms in zip(texts, e.ids(words), words.terms(), strict=True):
+        assert ids.tolist() == encode(text) and ids.dtype == np.dtype("<u2")
+        want = defaultdict(int)
+        for w in text.encode().lower().split():
+            if w.strip(pack.MARKS):
+                want[zlib.crc32(w.strip(pack.MARKS)) % pack.TERMS] += 1
+        assert dict(terms.T.tolist()) == want and terms.dtype == np.uint32
+    asked, whole = [], e.encode
+    monkeypatch.setattr(e, "encode", lambda text: asked.append(len(text)) or whole(text))
+    assert len(list(e.ids(pack.Words(["one two three four " * 50 + "end"] * 100)))) == 100
+    assert sum(asked) < 1000
+
+
+@pytest.mark.parametrize("together", [1, 30])
+def test_texts_are_read_in_groups(spark, monkeypatch, together):
+    monkeypatch.setattr(pack, "TOGETHER", together)
+    docs = spark.createDataFrame(ROWS * 3, "doc_id long, text string")
+    check(docs, pack.pack_documents(docs).collect())
+
+
 def test_terms():
     assert pack.terms_of("").shape == (2, 0)
     got = pack.terms_of(" Red, red. RED ! blue " + "x " * 300)

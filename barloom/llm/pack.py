@@ -36,13 +36,16 @@ FEW = 2_000_000  # buckets to split that may be broadcast
 STAGED = PIECE + ", ids binary, terms binary, bucket long, row long"
 COLUMNS = [c.split()[0] for c in PIECE.split(", ")]
 MARKS = b".,;:!?"
-TOGETHER = 1 << 23  # characters of texts whose distinct words are encoded once
+TOGETHER = 1 << 21  # characters of texts whose distinct words are encoded once
 
 
 def runs(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """`flat` holds runs of these sizes, one after the other: the runs that `at` names, and the sizes of those."""
     sizes, begin = size[at], (np.cumsum(size) - size)[at]
-    return flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+    begin -= np.cumsum(sizes) - sizes
+    place = np.repeat(begin, sizes)
+    place += np.arange(len(place))
+    return flat[place], sizes
 
 
 class Words:

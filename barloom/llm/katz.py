@@ -20,19 +20,23 @@ P(w | h') are seen themselves and have the denominator of h', so that a part can
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answers_to
-from .common import bucketed, documents, lower_words_of, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
+from .common import bucketed, documents, materialize, mix64, pack, pack_sorted, remainder, spread, unpack, unpack_sorted
 
 ORDER = 3
 TOKENS_PER_BLOCK = 2_000_000
+BYTES_AT_ONCE = 1 << 22  # of texts that are cut into words together
 CUT = 5  # counts above it aren't discounted
 BEGIN, END = 1, 2  # keys beside the words' hashes
 BLOCK = "block long, doc_ids binary, lengths binary, train binary, tokens binary, vocab binary"
@@ -40,12 +44,6 @@ ROW = "kind string, n int, part int, block long, keys binary, counts binary, mor
 FIELDS = [f.split()[0] for f in ROW.split(", ")]
 
 
-class Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 1)
 
@@ -55,6 +53,26 @@ def longer_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix64(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique() of unsigned 64-bit keys with first places and inverse. Values with the places in their low bits are sorted,
+    which takes a quarter of the time of sorting places; where that cuts keys off below, they are nearly in order."""
+    bits = max(len(keys) - 1, 1).bit_length()
+    cut = max(bits + int(keys.max(initial=0)).bit_length() - 64, 0)
+    mixed = (keys >> np.uint64(cut)) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    del mixed
+    in_order = keys[order]
+    if (in_order[1:] < in_order[:-1]).any():
+        again = np.argsort(in_order, kind="stable")
+        order, in_order = order[again], in_order[again]
+    new = np.ones(len(keys), bool)
+    new[1:] = in_order[1:] != in_order[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return in_order[new], order[new], number
+
+
 def pack_counts(values: np.ndarray) -> bytes:
     """Compress counts in the least width that holds them all, which comes first."""
     top = int(values.max(initial=0))
@@ -66,16 +84,33 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return unpack(data[1:], f"u{data[0]}").astype(np.int64)
 
 
-def _encoded(number: int, docs: list[tuple], pieces: list[np.ndarray], vocabulary: Vocabulary) -> pd.DataFrame:
-    seq = np.concatenate(pieces)
-    sizes = np.array([len(p) for p in pieces], np.uint32)
-    order = np.argsort(-np.bincount(seq, minlength=len(vocabulary)), kind="stable")  # frequent words have small numbers
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all texts, A-Z lowered. Arrow's ASCII white space is space and bytes 9 to 13."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, sizes = cut.flatten(), pc.list_value_length(cut).to_numpy()
+    some = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves empty strings there
+    if some.all():
+        return sizes, words
+    before, ends = np.append(0, np.cumsum(some)), np.cumsum(sizes)
+    return before[ends] - before[ends - sizes], words.filter(pa.array(some))
+
+
+def _encoded(number: int, docs: list[pa.RecordBatch], sizes: list[np.ndarray], words: list[pa.Array]) -> pd.DataFrame:
+    coded = pa.chunked_array(words).dictionary_encode().combine_chunks()
+    sizes = np.concatenate(sizes) + 2
+    seq = np.full(int(sizes.sum()), 2, np.int32)
+    ends = np.cumsum(sizes)
+    seq[ends - sizes], seq[ends - 1] = 0, 1
+    seq[seq == 2] = coded.indices.to_numpy() + 2
+    vocabulary = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    keys = np.array([BEGIN, END, *map(word_key, vocabulary)], np.uint64)
+    order = np.argsort(-np.bincount(seq, minlength=len(keys)), kind="stable")  # frequent words have small numbers
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order))
-    keys = np.array([word_key(w) if k > 1 else (BEGIN, END)[k] for k, w in enumerate(vocabulary)], np.uint64)
-    flags = np.array([[not held for _, held in docs], [i is None for i, _ in docs]], np.uint8)
+    ids, held = (pa.chunked_array([d.column(c) for d in docs]) for c in ("doc_id", "held_out"))
+    flags = np.array([~held.to_numpy().astype(bool), ids.is_null().to_numpy()], np.uint8)
     return pd.DataFrame([{
-        "block": number, "doc_ids": pack(np.array([0 if i is None else i for i, _ in docs], np.int64)), "lengths": pack(sizes),
+        "block": number, "doc_ids": pack(ids.fill_null(0).to_numpy()), "lengths": pack(sizes.astype(np.uint32)),
         "train": flags.tobytes(), "tokens": pack(rank[seq]), "vocab": pack(keys[order]),
     }])
 
@@ -84,32 +119,36 @@ def encode(docs: DataFrame) -> DataFrame:
     """Blocks of `docs` (doc_id, text, held_out): each text is its start, its words and its end, as numbers of the block's
     own vocabulary."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, made = TaskContext.get().partitionId() << 24, 0
-
-        def fresh():
-            v = Vocabulary()
-            v[b" begin"], v[b" end"] = 0, 1  # no word has a space
-            return [], [], v, 0
-
-        seen, pieces, vocabulary, held = fresh()
-        for pdf in batches:
-            for i, text, out in zip(pdf["doc_id"].astype(object), pdf["text"], pdf["held_out"], strict=True):
-                words = lower_words_of(text)
-                piece = np.zeros(len(words) + 2, np.int32)
-                piece[-1] = 1
-                piece[1:-1] = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
-                seen.append((None if pd.isna(i) else int(i), bool(out)))
-                pieces.append(piece)
-                held += len(piece)
-                if held >= TOKENS_PER_BLOCK:
-                    yield _encoded(base + made, seen, pieces, vocabulary)
-                    seen, pieces, vocabulary, held = fresh()
-                    made += 1
-        if seen:
-            yield _encoded(base + made, seen, pieces, vocabulary)
-
-    return docs.mapInPandas(rows, BLOCK)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        base, made, held, docs, sizes, words = TaskContext.get().partitionId() << 24, 0, 0, [], [], []
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+            for a, b in pairwise([0, *(np.flatnonzero(np.diff(ends // BYTES_AT_ONCE)) + 1).tolist(), len(batch)]):
+                few = batch.slice(a, b - a)
+                size, split = words_in(few.column("text"))
+                ends = np.cumsum(size)
+                begin = 0
+                while begin < len(few):  # a block ends with the text that fills it
+                    before = int(ends[begin - 1]) if begin else 0
+                    full = np.searchsorted(ends[begin:] - before + 2 * np.arange(1, len(few) - begin + 1), TOKENS_PER_BLOCK - held)
+                    end = min(begin + int(full) + 1, len(few))
+                    docs.append(few.slice(begin, end - begin).select(["doc_id", "held_out"]))
+                    sizes.append(size[begin:end])
+                    words.append(split.slice(before, int(ends[end - 1]) - before))
+                    held += int(ends[end - 1]) - before + 2 * (end - begin)
+                    begin = end
+                    if held >= TOKENS_PER_BLOCK:
+                        yield _encoded(base + made, docs, sizes, words)
+                        made, held, docs, sizes, words = made + 1, 0, [], [], []
+        if docs:
+            yield _encoded(base + made, docs, sizes, words)
+
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c, pa.int64() if c == "block" else pa.binary()) for c in (f.split()[0] for f in BLOCK.split(", "))])
+        for block in rows(batches):
+            yield pa.RecordBatch.from_pandas(block, schema, preserve_index=False)
+
+    return docs.mapInArrow(stored, BLOCK)
 
 
 class Grams:
@@ -135,14 +174,15 @@ class Grams:
         for n in range(2, order + 1):
             key = longer_keys(np.append(np.uint64(0), key[:-1]), own)
             ends = np.flatnonzero(self.place >= n - 1)
-            self.keys[n], first, inverse = np.unique(key[ends], return_index=True, return_inverse=True)
+            self.keys[n], first, number = distinct(key[ends])
             self.at[n] = np.full(len(key), -1, np.int32)
-            self.at[n][ends] = inverse
+            self.at[n][ends] = number
             self.context[n], self.lower[n] = self.at[n - 1][ends[first] - 1], self.at[n - 1][ends[first]]
         self.runs = {}
         for n, keys in self.keys.items():
-            names, start = np.unique((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), return_index=True)
-            self.runs[n] = list(zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)][: len(names)], strict=True))
+            part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            start = np.flatnonzero(np.append(len(part) > 0, part[1:] != part[:-1]))
+            self.runs[n] = list(zip(part[start].tolist(), start.tolist(), [*start[1:].tolist(), len(keys)][: len(start)], strict=True))
 
     def counts(self, n: int) -> np.ndarray:
         here = (self.place >= n - 1) & np.repeat(self.train, self.sizes)
@@ -194,46 +234,53 @@ class Grams:
                         ids[at] = unpack_sorted(r.ids)
             self.seen[n], self.first[n], self.alone[n], self.ids[n], self.asked[n] = seen, first, alone, ids, ask
 
-    def contexts(self, n: int, alone: bool) -> Iterator[tuple[int, np.ndarray]]:
-        """Of the n-grams' contexts that training has, those that this block alone has, or the others: each part, and their
-        places among those of order n - 1."""
-        used = (np.bincount(self.context[n], minlength=len(self.keys[n - 1])) > 0) & (self.seen[n - 1] > 0) & (self.alone[n - 1] == alone)
+    def used(self, n: int, alone: bool) -> np.ndarray:
+        """Of the n-grams' contexts that training has, those that this block alone has, or the others."""
+        return (np.bincount(self.context[n], minlength=len(self.keys[n - 1])) > 0) & (self.seen[n - 1] > 0) & (self.alone[n - 1] == alone)
+
+    def contexts(self, n: int, alone: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of those contexts each part, their places among those of order n - 1, and their facts()."""
+        used, facts, done = self.used(n, alone), self.facts(n, alone), 0
         for p, a, b in self.runs[n - 1]:
             at = a + np.flatnonzero(used[a:b])
             if len(at):
-                yield p, at
+                yield p, at, facts[:, done : done + len(at)]
+                done += len(at)
 
     def wants(self, n: int) -> np.ndarray:
         """The contexts after which this block has an n-gram that training lacks; the others need no backoff weight."""
         return np.bincount(self.context[n][self.seen[n] == 0], minlength=len(self.keys[n - 1])) > 0
 
-    def facts(self, n: int) -> np.ndarray:
-        """By context, over the n-grams that were trained on here first: classes() of their counts, and of the counts of the
-        n-grams below them."""
-        mine = np.flatnonzero(self.first[n])
-        of, size = self.context[n][mine], len(self.keys[n - 1])
-        out = np.empty((2, CUT + 1, size), np.int32 if self.seen[n][mine].sum() + self.seen[n - 1][self.lower[n][mine]].sum() < 1 << 31 else np.int64)
-        classes(of, self.seen[n][mine], out[0])
-        classes(of, self.seen[n - 1][self.lower[n][mine]], out[1])
-        return out.reshape(-1, size)
+    def facts(self, n: int, alone: bool) -> np.ndarray:
+        """By used() context, over the n-grams that were trained on here first: classes() of their counts, and of the counts of
+        the n-grams below them."""
+        used = self.used(n, alone)
+        mine = np.flatnonzero(self.first[n] & used[self.context[n]])
+        of, size = (np.cumsum(used, dtype=np.int32) - np.int32(1))[self.context[n][mine]], int(used.sum())
+        seen, below = self.seen[n][mine], self.seen[n - 1][self.lower[n][mine]]
+        out = np.empty((2, CUT + 1, size), np.int32 if seen.sum() + below.sum() < 1 << 31 else np.int64)
+        classes(of, seen, out[0])
+        classes(of, below, out[1])
+        return out.reshape(2 * CUT + 2, size)
 
     def ask_contexts(self) -> pd.DataFrame:
         out = []
         for n in range(2, self.order + 1):
-            facts, count, wants = self.facts(n), self.seen[n - 1], self.wants(n).astype(np.uint8)
-            for p, at in self.contexts(n, alone=False):
-                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(count[at]), pack_counts(facts[:, at].reshape(-1)), pack(wants[at]), []))
+            count, wants = self.seen[n - 1], self.wants(n).astype(np.uint8)
+            for p, at, facts in self.contexts(n, alone=False):
+                out.append(("ask", n - 1, p, self.block, pack_sorted(self.ids[n - 1][at]), pack_counts(count[at]), pack_counts(facts.reshape(-1)), pack(wants[at]), []))
         return pd.DataFrame(out, columns=FIELDS)
 
     def own_contexts(self, discounts: dict[int, Discounts]) -> pd.DataFrame:
         """Rows of the model for contexts that no other block has."""
         out = []
         for n in range(2, self.order + 1):
-            facts, count = self.facts(n), self.seen[n - 1]
-            for p, every in self.contexts(n, alone=True):
-                for block, at in ((-1, every[self.asked[n - 1][every]]), (self.block, every[~self.asked[n - 1][every]])):
+            for p, every, facts in self.contexts(n, alone=True):
+                asked = self.asked[n - 1][every]
+                for block, those in ((-1, asked), (self.block, ~asked)):
+                    at = every[those]
                     if len(at):
-                        out.append(("model", n - 1, p, block, b"", b"", pack_known(*known(n, facts[:, at], count[at], discounts)), pack_sorted(self.ids[n - 1][at]), []))
+                        out.append(("model", n - 1, p, block, b"", b"", pack_known(*known(n, facts[:, those], self.seen[n - 1][at], discounts)), pack_sorted(self.ids[n - 1][at]), []))
         return pd.DataFrame(out, columns=FIELDS)
 
     def shares(self, discounts: dict[int, Discounts], told: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -242,21 +289,23 @@ class Grams:
         p, over = {1: discounts[1].share(self.seen[1])}, {}
         for n in range(2, self.order + 1):
             alpha, over[n] = np.ones(len(self.keys[n - 1])), np.maximum(self.seen[n - 1], 1).astype(np.float64)
-            facts, wants = self.facts(n), self.wants(n)
-            for alone in (True, False):
-                for part, at in self.contexts(n, alone):
-                    if alone:
-                        what = facts[:, at]
-                    else:
-                        r = by[n - 1, part]
-                        over[n][at] += unpack(r.ids, np.uint8)
-                        at, what = at[wants[at]], unpack_counts(r.more).reshape(len(facts), -1)
-                    left, under = known(n, what, self.seen[n - 1][at], discounts)
-                    if alone:
-                        over[n][at] += left < 0
-                    if n > 2:
-                        under = under / over[n - 1][self.lower[n - 1][at]]
-                    alpha[at] = weight(left, under)
+            wants = self.wants(n)
+
+            def weigh(at, left, under, n=n, alpha=alpha):
+                alpha[at] = weight(left, under / over[n - 1][self.lower[n - 1][at]] if n > 2 else under)
+
+            for _, at, facts in self.contexts(n, alone=True):
+                left, under = known(n, facts, self.seen[n - 1][at], discounts)
+                over[n][at] += left < 0
+                weigh(at, left, under)
+            used = self.used(n, alone=False)
+            for part, a, b in self.runs[n - 1]:
+                at = a + np.flatnonzero(used[a:b])
+                if len(at):
+                    r = by[n - 1, part]
+                    over[n][at] += unpack(r.ids, np.uint8)
+                    at = at[wants[at]]
+                    weigh(at, *known(n, unpack_counts(r.more).reshape(2 * CUT + 2, -1), self.seen[n - 1][at], discounts))
             lower, of = self.lower[n], self.context[n]
             p[n] = np.where(self.seen[n] > 0, discounts[n].of(self.seen[n]) / over[n][of], alpha[of] * p[n - 1][lower])
         return p
@@ -266,7 +315,10 @@ def classes(of: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
     """By context, how many n-grams have each count up to CUT, and the sum of larger counts: whole numbers that add up
     exactly in any order."""
     size = out.shape[1]
-    for r in range(1, CUT + 1):
+    out[0] = np.bincount(of[counts == 1], minlength=size)
+    several = counts > 1  # most n-grams occur once
+    of, counts = of[several], counts[several]
+    for r in range(2, CUT + 1):
         out[r - 1] = np.bincount(of[counts == r], minlength=size)
     more = counts > CUT
     out[CUT] = np.bincount(of[more], counts[more], size)
@@ -302,7 +354,7 @@ def merge_counts(pdf: pd.DataFrame, order: int, model: bool = False) -> pd.DataF
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys, flat = [unpack_sorted(k) for k in pdf["keys"]], np.concatenate([unpack_counts(c) for c in pdf["counts"]])
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, at = distinct(np.concatenate(keys))
     total = np.bincount(at, flat, len(every)).astype(np.int64)
     trained = total > 0
     has = np.flatnonzero(flat > 0)
@@ -329,7 +381,7 @@ def merge_contexts(pdf: pd.DataFrame, discounts: dict[int, Discounts], model: bo
     pdf = pdf.sort_values("block", kind="stable")
     n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
     keys = [unpack_sorted(k) for k in pdf["keys"]]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, at = distinct(np.concatenate(keys))
     told = np.concatenate([unpack_counts(m).reshape(-1, len(k)) for m, k in zip(pdf["more"], keys, strict=True)], 1)
     facts = np.stack([np.bincount(at, row, len(every)) for row in told]).astype(np.int64)
     count = np.zeros(len(every))

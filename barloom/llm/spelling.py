@@ -6,8 +6,9 @@ A wavelet tree over the reverse ranks in forward order reports the points in bot
 
 Two such words share their first half or their last, so a word goes to a group for either, as long as itself and as the target
 of words one letter shorter; a group looks at its own half of the places. A group of more than GROUP words is dealt anew to
-two, each with half of the places and what lies outside them as its key; at one place a group has no more words than there are
-letters. So every pair meets in one group, no group grows with the corpus, and a word goes to a few groups. Blocks of groups
+two, each with half of the places and what lies outside them as its key; at one place it is dealt to words of equal length and
+to each word with those that have one letter more there, and such groups have no more words than there are letters, and one.
+So every pair meets in one group, no group grows with the corpus, and a word goes to a few groups. Blocks of groups
 are one wavelet tree for each length, and send back a count and the most frequent neighbour for each word.
 """
 
@@ -68,9 +69,11 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return texts.mapInPandas(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= occurrences)
 
 
-def keyed(rows: DataFrame) -> DataFrame:
-    """A hash of what the words of a group share: what lies before and behind its places. `m` is the length of its shorter words."""
+def keyed(rows: DataFrame, more: Column | None = None) -> DataFrame:
+    """A hash of what the words of a group share: what lies before and behind its places, and `more` letters behind. `m` is the
+    length of its shorter words."""
     end = F.greatest(F.col("m") - F.col("hi"), F.lit(0))
+    end = end if more is None else end + more
     return rows.withColumn("key", F.xxhash64("m", "lo", "hi", F.left("word", "lo"), F.right("word", end)))
 
 
@@ -80,19 +83,28 @@ def halves(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
     return keyed(rows.withColumn("part", F.explode(F.array(F.struct(lo.alias("lo"), mid.alias("hi")), F.struct(mid.alias("lo"), hi.alias("hi"))))).select("word", "n", "m", "longer", "part.lo", "part.hi"))
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows at one place, before the end: words of equal length by what lies around their letter there, as they were, and the
+    shorter ones once more, with the longer, by all their letters."""
+    more = F.explode(F.when(F.col("longer"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
+    return keyed(rows.withColumn("more", more), F.col("more")).drop("more")
+
+
 def dealt(words: DataFrame, least: int, group: int = GROUP) -> DataFrame:
-    """word, n, m, longer, lo, hi, key: the groups that each word goes to. Large ones are halved until none is left."""
+    """word, n, m, longer, lo, hi, key: the groups that each word goes to. Large ones are halved until none is left, and at one
+    place are set apart()."""
     size = F.char_length("word")
     both = words.withColumn("longer", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("m", size - F.col("longer").cast("int")).where(F.col("m") >= least)
     rows, out = halves(both, F.lit(0), F.col("m") + 1), None
     while True:
-        large = materialize(rows.where("hi - lo > 1").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > group).select("key", F.lit(True).alias("large")))
+        large = materialize(rows.where("hi - lo > 1 or lo < m").groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > group).select("key", F.lit(True).alias("large")))
         if large.isEmpty():
             return rows if out is None else out.unionByName(rows)
         told = rows.join(large, "key", "left")
         small = told.where("large is null").drop("large")
-        out = small if out is None else out.unionByName(small)
-        rows = materialize(halves(told.where("large"), F.col("lo"), F.col("hi")))
+        done = small.unionByName(apart(told.where("large and hi - lo = 1").drop("large")))
+        out = done if out is None else out.unionByName(done)
+        rows = materialize(halves(told.where("large and hi - lo > 1"), F.col("lo"), F.col("hi")))
 
 
 class Wavelet:

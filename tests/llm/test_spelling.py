@@ -104,3 +104,14 @@ def test_groups_are_bounded(spark):
     words = spark.range(5000).selectExpr("concat('shared', translate(lpad(cast(id as string), 5, '0'), '0123456789', 'abcdefghij')) as word", "id + 2 as n")
     sizes = spelling.dealt(words, 7, group=50).groupBy("key", "lo", "hi").count().collect()
     assert all(r["count"] <= 50 or r.hi - r.lo == 1 for r in sizes) and max(r["count"] for r in sizes) <= 90
+
+
+def test_groups_at_one_place_have_no_more_words_than_letters(spark):
+    """Words with two free letters side by side, and words that lack one: bounded, and equal to brute force."""
+    letters = "abcdefghijklmnopqrstuvwxyzéüçñ"
+    words = {f"sha{a}{b}red": 2 + i * j for i, a in enumerate(letters) for j, b in enumerate(letters)} | {f"sha{a}red": 900 + i for i, a in enumerate(letters)}
+    frame = spark.createDataFrame(list(words.items()), "word string, n long")
+    groups = spelling.dealt(frame, 7, group=50).groupBy("key", "lo", "hi", "m").count().where("hi - lo = 1").collect()
+    assert groups and max(r["count"] for r in groups) <= len(letters) + 1
+    got = rows_of(spelling.spelling_variants(frame, group=50, block=64))
+    assert len(got) == len(words) and set(got) == brute(words)

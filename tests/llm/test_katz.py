@@ -206,3 +206,11 @@ def test_ngrams_of_a_block_take_less_than_sorting_their_places():
         return min(once() for _ in range(5))
 
     assert least(lambda: katz.Grams(row, 3, 100)) < 2 * least(lambda: np.unique(keys, return_index=True, return_inverse=True))
+
+
+def test_texts_cut_in_small_steps(spark, monkeypatch):
+    """Blocks and steps of a few texts, which end at different places."""
+    monkeypatch.setattr(katz, "BYTES_AT_ONCE", 700)
+    monkeypatch.setattr(katz, "TOKENS_PER_BLOCK", 2000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()
+    compare(spark, [(r.doc_id, None if r.doc_id % 9 == 4 else r.text, r.doc_id % 7 == 2) for r in docs], 3)
